@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality_rules
+from . import jaccard_join, line_dedup, packing, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
