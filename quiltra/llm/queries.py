@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, packing, quality_rules
+from . import jaccard_join, line_dedup, packing, ppm, quality_classifier, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op7_ppm": ppm.op7_ppm,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
