@@ -31,9 +31,13 @@ END_ID = 1
 #: Deals of one length; a length that a third of all pieces share goes to so many groups.
 BUCKETS = 1024
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 300_000
-#: White space of str.split() that the tokenizer's own white-space rule may read otherwise.
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+CACHE_WORDS = 500_000
+#: White space of str.split() that the tokenizer's own white-space rule may read otherwise,
+#: and the mark of special tokens, which lower-casing must not make.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
+
+#: Marks that end many words.
+MARKS = ".,;:!?"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,28 +49,62 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    For a tokenizer that drops white space and never joins across it, a text's
-    ids are those of its white-space separated words one after the other; the
-    ids of frequent words are kept.
+    For a tokenizer that lower-cases, drops white space and never joins across
+    it, a text's ids are those of its white-space separated words one after the
+    other.  The ids of words are kept for the life of the Python worker.  New
+    words without other characters than letters are encoded many at a time: the
+    word-end mark of the vocabulary says where each one's ids end.
     """
 
+    kept: dict[str, "WordTokenizer"] = {}
+
     def __init__(self, path: str, keep: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def of(cls, path: str) -> "WordTokenizer":
+        """The worker's own one for this file."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def learn(self, new: list[str]) -> None:
         known = self.known
-        new = list({w for p in parts if p for w in p if w not in known})
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = list({w for p in parts if p for w in p})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        # a mark after a letter is split off by the tokenizer itself
+        cut = [(w, w[:-1], w[-1]) for w in new if w[-1] in MARKS and w[-2:-1].isalpha()]
+        cut_words = {c[0] for c in cut}
+        bases = {*(w for w in new if w not in cut_words), *(c[1] for c in cut), *(c[2] for c in cut)} - known.keys()
+        plain = [w for w in bases if w.isalpha()]
+        other = [w for w in bases if not w.isalpha()]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):  # letters that the tokenizer's own tables don't know as such
+                other += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist()):
+                known[w] = raw[begin:end]
+                begin = end
+        for i in range(0, len(other), 2000):
+            some = other[i : i + 2000]
             known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False)))
-        get = known.__getitem__
+        known.update((w, known[a] + known[b]) for w, a, b in cut)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        # A-Z are lower-cased by the tokenizer anyway; doing it here makes fewer different words
+        parts = [None if any(c in t for c in ODD) else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split() for t in texts]
+        if len(self.known) > self.keep:
+            self.known.clear()
+        self.learn(list({w for p in parts if p for w in p} - self.known.keys()))
+        get = self.known.__getitem__
         return [np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
@@ -75,7 +113,7 @@ def pieces(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", tok
     path = tokenizer or tokenizer_path()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        model, end = WordTokenizer(path), np.array([end_id], "<u4").tobytes()
+        model, end = WordTokenizer.of(path), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, "text"):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(model.ids([t or "" for t in part.column(1).to_pylist()])):
