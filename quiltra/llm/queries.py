@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, packing, ppm, quality_classifier, quality_rules, substring_dedup
+from . import jaccard_join, line_dedup, packing, ppm, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_rollup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_token_counts": token_rollup.op3_token_counts,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
