@@ -59,3 +59,27 @@ def free_name(df: DataFrame, name: str) -> str:
 def crc_fold(column, modulus: int):
     """crc32(id as text) modulo `modulus`."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def summed_over_tasks(rows: DataFrame, total, length: int, chunks: int = 64):
+    """Sum of the float32 arrays of `length` that total(batches) returns in each task, added up chunk by chunk.
+
+    The result has a size that does not depend on the data; the driver gets `chunks` rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    cuts = [length * i // chunks for i in range(chunks + 1)]
+
+    def run(batches):
+        own = total(batches).astype(np.float32)
+        yield pa.record_batch([pa.array(np.arange(chunks, dtype=np.int32)), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["chunk", "data"])
+
+    def add(group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.float32) for x in group.column("data").to_pylist()]
+        return pa.table({"chunk": group.column("chunk").slice(0, 1).cast(pa.int32()), "data": pa.array([np.sum(parts, axis=0, dtype=np.float64).tobytes()], pa.binary())})
+
+    out = np.zeros(length)
+    for row in rows.mapInArrow(run, "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary").collect():
+        out[cuts[row["chunk"]] : cuts[row["chunk"] + 1]] = np.frombuffer(bytes(row["data"]), np.float64)
+    return out

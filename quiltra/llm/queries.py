@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, packing, ppm, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_rollup
+from . import decontamination, jaccard_join, line_dedup, packing, ppm, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_rollup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_token_counts": token_rollup.op3_token_counts,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
