@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,13 +32,13 @@ END_ID = 1
 #: Deals of one length; a length that a third of all pieces share goes to so many groups.
 BUCKETS = 1024
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: White space of str.split() that the tokenizer's own white-space rule may read otherwise,
 #: and the mark of special tokens, which lower-casing must not make.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 
-#: Marks that end many words.
-MARKS = ".,;:!?"
+#: ASCII marks, which the tokenizer splits from letters before them.
+MARKS = string.punctuation
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,14 +75,22 @@ class WordTokenizer:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def learn(self, new: list[str]) -> None:
-        known = self.known
-        # a mark after a letter is split off by the tokenizer itself
-        cut = [(w, w[:-1], w[-1]) for w in new if w[-1] in MARKS and w[-2:-1].isalpha()]
-        cut_words = {c[0] for c in cut}
-        bases = {*(w for w in new if w not in cut_words), *(c[1] for c in cut), *(c[2] for c in cut)} - known.keys()
-        plain = [w for w in bases if w.isalpha()]
-        other = [w for w in bases if not w.isalpha()]
+    def learn(self, new: set[str]) -> None:
+        known, plain, cut, other = self.known, [], [], []
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+                continue
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem[-1:].isalpha():  # marks after a letter are split off by the tokenizer itself
+                cut.append((w, stem, w[len(stem) :]))
+            else:
+                other.append(w)
+        more = {c[1] for c in cut} | {c[2] for c in cut}
+        more -= new
+        more -= known.keys()
+        for w in more:
+            (plain if w.isalpha() else other).append(w)
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -89,23 +98,35 @@ class WordTokenizer:
             if len(ends) != len(some):  # letters that the tokenizer's own tables don't know as such
                 other += some
                 continue
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist()):
-                known[w] = raw[begin:end]
-                begin = end
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(some, [raw[b:e] for b, e in zip([0, *ends], ends)]))
         for i in range(0, len(other), 2000):
             some = other[i : i + 2000]
             known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False)))
-        known.update((w, known[a] + known[b]) for w, a, b in cut)
+        for w, stem, marks in cut:
+            known[w] = known[stem] + known[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        # A-Z are lower-cased by the tokenizer anyway; doing it here makes fewer different words
-        parts = [None if any(c in t for c in ODD) else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
-        self.learn(list({w for p in parts if p for w in p} - self.known.keys()))
-        get = self.known.__getitem__
-        return [np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        get, found, new = self.known.get, [], set()
+        for t in texts:
+            if any(c in t for c in ODD):
+                found.append((None, np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), ()))
+                continue
+            # A-Z are lower-cased by the tokenizer anyway; doing it here makes fewer different words
+            words = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split()
+            own = list(map(get, words))
+            open_ = [i for i, x in enumerate(own) if x is None]
+            new.update(words[i] for i in open_)
+            found.append((words, own, open_))
+        self.learn(new)
+        out = []
+        for words, own, open_ in found:
+            for i in open_:
+                own[i] = self.known[words[i]]
+            out.append(own if words is None else b"".join(own))
+        return out
 
 
 def pieces(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
