@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = "sad"
+from . import images, vectors
+
+QUERIES: dict = {**images.QUERIES, **vectors.QUERIES}
+SQL: dict = {**images.SQL, **vectors.SQL}
+FLAGSHIP = "abs_difference_sum"
