@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def exploded(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -44,7 +45,7 @@ UNARY = {
 }
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gelu(x):  # x * (1 + erf(x / sqrt 2)) / 2; Spark has no erf
     import math
 

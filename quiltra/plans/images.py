@@ -33,9 +33,9 @@ def add(name: str, sql: str | None, tail: str = ""):
     return put
 
 
-def project(name: str, columns: dict, sql: dict) -> None:
-    """A projection of pixels: no shuffle."""
-    add(name, "SELECT img, y, x, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in sql.items()) + " FROM p")(lambda p: p.select(*KEY, *[v.cast("long").alias(k) for k, v in columns.items()]))
+def project(name: str, columns, sql: dict) -> None:
+    """A projection of pixels: no shuffle.  columns() is called in the query: a column needs a session."""
+    add(name, "SELECT img, y, x, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in sql.items()) + " FROM p")(lambda p: p.select(*KEY, *[v.cast("long").alias(k) for k, v in columns().items()]))
 
 
 def clamp_sql(v: str, low=0, high=255) -> str:
@@ -48,28 +48,28 @@ def div255_sql(v: str) -> str:
 
 # -- colour ----------------------------------------------------------------------
 
-project("bgr_to_gray", {"gray": C.gray(c("a"), c("b"), c("c"))}, {"gray": "(1868 * a + 9617 * b + 4899 * c + 8192) >> 14"})
-project("rgb_to_gray", {"gray": C.gray(c("c"), c("b"), c("a"))}, {"gray": "(1868 * c + 9617 * b + 4899 * a + 8192) >> 14"})
-project("bgra_to_gray", {"gray": C.gray(c("a"), c("b"), c("c")), "alpha": c("al")}, {"gray": "(1868 * a + 9617 * b + 4899 * c + 8192) >> 14", "alpha": "al"})
-project("int16_to_gray", {"v": C.int16_to_gray(c("a") * 3 - c("b"))}, {"v": clamp_sql("a * 3 - b")})
-project("bgr_to_rgb", {"v0": c("c"), "v1": c("b"), "v2": c("a")}, {"v0": "c", "v1": "b", "v2": "a"})
-project("bgr_to_bgra", {"v0": c("a"), "v1": c("b"), "v2": c("c"), "v3": F.lit(255)}, {"v0": "a", "v1": "b", "v2": "c", "v3": "255"})
-project("gray_to_bgr", {"v0": c("a"), "v1": c("a"), "v2": c("a")}, {"v0": "a", "v1": "a", "v2": "a"})
-project("bgr48p_to_bgra32", {"v0": (c("a") * 257) % 256, "v1": (c("b") * 129) % 256, "v2": (c("c") * 77) % 256, "v3": F.lit(255)}, {"v0": "(a * 257) % 256", "v1": "(b * 129) % 256", "v2": "(c * 77) % 256", "v3": "255"})
-project("alpha_premultiply", {"v": C.premultiply(c("a"), c("al"))}, {"v": div255_sql("a * al")})
-project("alpha_unpremultiply", {"v": C.unpremultiply(c("a"), c("al"))}, {"v": "CASE WHEN al = 0 THEN 0 ELSE least(floor(a * CAST(255.00001 AS DOUBLE) / greatest(al, 1)), 255) END"})
-project("texture_boosted_uv", {"v": C.boosted_uv(c("a"), 4)}, {"v": f"({clamp_sql('a', 96, 159)} - 96) * 4"})
-project("texture_compensation", {"v": E.compensate(c("a"), -37)}, {"v": clamp_sql("a - 37")})
-project("uint8_to_float32", {"v": F.rint(C.uint8_to_float(c("a"), -1.0, 1.0) * 1000)}, {"v": "round_even((a * CAST(2.0 / 255.0 AS DOUBLE) + CAST(-1.0 AS DOUBLE)) * 1000, 0)"})
-project("float32_to_uint8", {"v": C.float_to_uint8(c("a") / 64.0, 0.5, 3.0)}, {"v": "floor((least(greatest(a / CAST(64.0 AS DOUBLE), 0.5::DOUBLE), 3.0::DOUBLE) - 0.5::DOUBLE) * (255.0::DOUBLE / 2.5::DOUBLE))"})
-project("neural_convert", {"v": F.rint((255 - c("a")) / F.lit(255.0) * 100000)}, {"v": "round_even((255 - a) / 255.0::DOUBLE * 100000, 0)"})
-project("reorder_16bit", {"v": (c("a") * 256 + c("b")) % 256 * 256 + shr(c("a") * 256 + c("b"), 8)}, {"v": "b * 256 + a"})
-project("reorder_32bit", {"v": c("al") * 16777216 + c("c") * 65536 + c("b") * 256 + c("a")}, {"v": "al * 16777216 + c * 65536 + b * 256 + a"})
+project("bgr_to_gray", lambda: {"gray": C.gray(c("a"), c("b"), c("c"))}, {"gray": "(1868 * a + 9617 * b + 4899 * c + 8192) >> 14"})
+project("rgb_to_gray", lambda: {"gray": C.gray(c("c"), c("b"), c("a"))}, {"gray": "(1868 * c + 9617 * b + 4899 * a + 8192) >> 14"})
+project("bgra_to_gray", lambda: {"gray": C.gray(c("a"), c("b"), c("c")), "alpha": c("al")}, {"gray": "(1868 * a + 9617 * b + 4899 * c + 8192) >> 14", "alpha": "al"})
+project("int16_to_gray", lambda: {"v": C.int16_to_gray(c("a") * 3 - c("b"))}, {"v": clamp_sql("a * 3 - b")})
+project("bgr_to_rgb", lambda: {"v0": c("c"), "v1": c("b"), "v2": c("a")}, {"v0": "c", "v1": "b", "v2": "a"})
+project("bgr_to_bgra", lambda: {"v0": c("a"), "v1": c("b"), "v2": c("c"), "v3": F.lit(255)}, {"v0": "a", "v1": "b", "v2": "c", "v3": "255"})
+project("gray_to_bgr", lambda: {"v0": c("a"), "v1": c("a"), "v2": c("a")}, {"v0": "a", "v1": "a", "v2": "a"})
+project("bgr48p_to_bgra32", lambda: {"v0": (c("a") * 257) % 256, "v1": (c("b") * 129) % 256, "v2": (c("c") * 77) % 256, "v3": F.lit(255)}, {"v0": "(a * 257) % 256", "v1": "(b * 129) % 256", "v2": "(c * 77) % 256", "v3": "255"})
+project("alpha_premultiply", lambda: {"v": C.premultiply(c("a"), c("al"))}, {"v": div255_sql("a * al")})
+project("alpha_unpremultiply", lambda: {"v": C.unpremultiply(c("a"), c("al"))}, {"v": "CASE WHEN al = 0 THEN 0 ELSE least(floor(a * CAST(255.00001 AS DOUBLE) / greatest(al, 1)), 255) END"})
+project("texture_boosted_uv", lambda: {"v": C.boosted_uv(c("a"), 4)}, {"v": f"({clamp_sql('a', 96, 159)} - 96) * 4"})
+project("texture_compensation", lambda: {"v": E.compensate(c("a"), -37)}, {"v": clamp_sql("a - 37")})
+project("uint8_to_float32", lambda: {"v": F.rint(C.uint8_to_float(c("a"), -1.0, 1.0) * 1000)}, {"v": "round_even((a * CAST(2.0 / 255.0 AS DOUBLE) + CAST(-1.0 AS DOUBLE)) * 1000, 0)"})
+project("float32_to_uint8", lambda: {"v": C.float_to_uint8(c("a") / 64.0, 0.5, 3.0)}, {"v": "floor((least(greatest(a / CAST(64.0 AS DOUBLE), 0.5::DOUBLE), 3.0::DOUBLE) - 0.5::DOUBLE) * (255.0::DOUBLE / 2.5::DOUBLE))"})
+project("neural_convert", lambda: {"v": F.rint((255 - c("a")) / F.lit(255.0) * 100000)}, {"v": "round_even((255 - a) / 255.0::DOUBLE * 100000, 0)"})
+project("reorder_16bit", lambda: {"v": (c("a") * 256 + c("b")) % 256 * 256 + shr(c("a") * 256 + c("b"), 8)}, {"v": "b * 256 + a"})
+project("reorder_32bit", lambda: {"v": c("al") * 16777216 + c("c") * 65536 + c("b") * 256 + c("a")}, {"v": "al * 16777216 + c * 65536 + b * 256 + a"})
 
 _HUE = "CASE WHEN greatest(a, b, c) = least(a, b, c) THEN 0 ELSE ((CASE WHEN c = greatest(a, b, c) THEN b - a + 6 * (greatest(a, b, c) - least(a, b, c)) WHEN b = greatest(a, b, c) THEN a - c + 2 * (greatest(a, b, c) - least(a, b, c)) ELSE c - b + 4 * (greatest(a, b, c) - least(a, b, c)) END) * 85 // (2 * (greatest(a, b, c) - least(a, b, c)))) % 256 END"
 _TOP, _LOW = "greatest(a, b, c)", "least(a, b, c)"
-project("bgr_to_hsv", {f"o_{k}": v for k, v in C.bgr_to_hsv(c("a"), c("b"), c("c")).items()}, {"o_h": _HUE, "o_s": f"CASE WHEN {_TOP} = 0 THEN 0 ELSE 255 * ({_TOP} - {_LOW}) // {_TOP} END", "o_v": _TOP})
-project("bgr_to_hsl", {f"o_{k}": v for k, v in C.bgr_to_hsl(c("a"), c("b"), c("c")).items()}, {"o_h": _HUE, "o_s": f"CASE WHEN {_TOP} + {_LOW} IN (0, 510) THEN 0 WHEN {_TOP} + {_LOW} <= 255 THEN 255 * ({_TOP} - {_LOW}) // ({_TOP} + {_LOW}) ELSE 255 * ({_TOP} - {_LOW}) // (510 - {_TOP} - {_LOW}) END", "o_l": f"({_TOP} + {_LOW}) // 2"})
+project("bgr_to_hsv", lambda: {f"o_{k}": v for k, v in C.bgr_to_hsv(c("a"), c("b"), c("c")).items()}, {"o_h": _HUE, "o_s": f"CASE WHEN {_TOP} = 0 THEN 0 ELSE 255 * ({_TOP} - {_LOW}) // {_TOP} END", "o_v": _TOP})
+project("bgr_to_hsl", lambda: {f"o_{k}": v for k, v in C.bgr_to_hsl(c("a"), c("b"), c("c")).items()}, {"o_h": _HUE, "o_s": f"CASE WHEN {_TOP} + {_LOW} IN (0, 510) THEN 0 WHEN {_TOP} + {_LOW} <= 255 THEN 255 * ({_TOP} - {_LOW}) // ({_TOP} + {_LOW}) ELSE 255 * ({_TOP} - {_LOW}) // (510 - {_TOP} - {_LOW}) END", "o_l": f"({_TOP} + {_LOW}) // 2"})
 
 #: Fixed values: (y, u, v) rows of (blue, green, red) weights, 14 bits, and (y, u to blue, u to green, v to green, v to red) with their bits.
 _YUV = {
@@ -105,8 +105,8 @@ def _chroma(p, standard: str, dy: int, dx: int):
 
 
 for _s in C.STANDARDS:
-    project(f"bgr_to_yuv444p_{_s}", {f"o_{k}": v for k, v in C.bgr_to_yuv(c("a"), c("b"), c("c"), _s).items()}, {f"o_{k}": v for k, v in _forward_sql(_s).items()})
-    project(f"yuv444p_to_bgr_{_s}", {f"o_{k}": v for k, v in C.yuv_to_bgr(c("a"), c("b"), c("c"), _s).items()}, {f"o_{k}": v for k, v in _backward_sql(_s).items()})
+    project(f"bgr_to_yuv444p_{_s}", lambda _s=_s: {f"o_{k}": v for k, v in C.bgr_to_yuv(c("a"), c("b"), c("c"), _s).items()}, {f"o_{k}": v for k, v in _forward_sql(_s).items()})
+    project(f"yuv444p_to_bgr_{_s}", lambda _s=_s: {f"o_{k}": v for k, v in C.yuv_to_bgr(c("a"), c("b"), c("c"), _s).items()}, {f"o_{k}": v for k, v in _backward_sql(_s).items()})
     for _name, _dy, _dx in (("420p", 2, 2), ("422p", 1, 2)):
         _f, _n = _forward_sql(_s), _dy * _dx
         add(
@@ -128,7 +128,7 @@ for _m, ((_tl, _tr), (_bl, _br)) in C.BAYER.items():
     _pick = {"b": "a", "g": "b", "r": "c"}
     project(
         f"bgr_to_bayer_{_m}",
-        {"v": C.bayer(c("a"), c("b"), c("c"), c("y"), c("x"), _m)},
+        lambda _m=_m: {"v": C.bayer(c("a"), c("b"), c("c"), c("y"), c("x"), _m)},
         {"v": f"CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN {_pick[_tl]} WHEN y % 2 = 0 THEN {_pick[_tr]} WHEN x % 2 = 0 THEN {_pick[_bl]} ELSE {_pick[_br]} END"},
     )
 add("deinterleave_bgr", "SELECT img, y, x, 0 AS ch, a AS v FROM p UNION ALL SELECT img, y, x, 1, b FROM p UNION ALL SELECT img, y, x, 2, c FROM p")(
@@ -145,72 +145,91 @@ add("copy_frame", "SELECT img, y, x, CASE WHEN y BETWEEN 3 AND 26 AND x BETWEEN
 # -- predicates and binary operations ------------------------------------------------
 
 for _n, _o in COMPARE_SQL.items():
-    project(f"binarization_{_n}", {"v": E.binarize(c("a"), _n, 128, 255, 7)}, {"v": f"CASE WHEN a {_o} 128 THEN 255 ELSE 7 END"})
-    project(f"conditional_fill_{_n}", {"v": E.conditional_fill(c("a"), c("b"), _n, 100, 9)}, {"v": f"CASE WHEN a {_o} 100 THEN 9 ELSE b END"})
-    project(f"conditional_16i_{_n}", {"hit": COMPARE[_n](c("a") * 3 - c("b"), F.lit(77)).cast("int")}, {"hit": f"CASE WHEN a * 3 - b {_o} 77 THEN 1 ELSE 0 END"})
+    project(f"binarization_{_n}", lambda _n=_n, _o=_o: {"v": E.binarize(c("a"), _n, 128, 255, 7)}, {"v": f"CASE WHEN a {_o} 128 THEN 255 ELSE 7 END"})
+    project(f"conditional_fill_{_n}", lambda _n=_n, _o=_o: {"v": E.conditional_fill(c("a"), c("b"), _n, 100, 9)}, {"v": f"CASE WHEN a {_o} 100 THEN 9 ELSE b END"})
+    project(f"conditional_16i_{_n}", lambda _n=_n, _o=_o: {"hit": COMPARE[_n](c("a") * 3 - c("b"), F.lit(77)).cast("int")}, {"hit": f"CASE WHEN a * 3 - b {_o} 77 THEN 1 ELSE 0 END"})
 _BIN = {"average": "(a + b + 1) >> 1", "and": "a & b", "or": "a | b", "maximum": "greatest(a, b)", "minimum": "least(a, b)", "saturated_subtraction": "greatest(a - b, 0)", "saturated_addition": "least(a + b, 255)"}
 for _n, _o in _BIN.items():
-    project(f"operation_8u_{_n}", {"v": E.BINARY8[_n](c("a"), c("b"))}, {"v": _o})
+    project(f"operation_8u_{_n}", lambda _n=_n, _o=_o: {"v": E.BINARY8[_n](c("a"), c("b"))}, {"v": _o})
 for _n, _o in {"addition": "a * 200 + b * 211", "subtraction": "a * 200 - b * 211"}.items():
-    project(f"operation_16i_{_n}", {"v": E.BINARY16[_n](c("a") * 200, c("b") * 211)}, {"v": f"((({_o}) + 32768) % 65536 + 65536) % 65536 - 32768"})
-project("abs_difference", {"v": F.abs(c("a") - c("b"))}, {"v": "abs(a - b)"})
-project("vector_product", {"v": div255(c("a") * c("b"))}, {"v": div255_sql("a * b")})
-project("alpha_blending", {"v": blend(c("a"), c("b"), c("al"))}, {"v": div255_sql("a * al + b * (255 - al)")})
-project("alpha_blending_uniform", {"v": blend(c("a"), c("b"), F.lit(90))}, {"v": div255_sql("a * 90 + b * 165")})
-project("alpha_blending_2x", {"v": blend(c("c"), blend(c("a"), c("b"), c("al")), F.lit(40))}, {"v": div255_sql(f"c * 40 + ({div255_sql('a * al + b * (255 - al)')}) * 215")})
-project("alpha_filling", {"v": blend(F.lit(200), c("b"), c("al"))}, {"v": div255_sql("200 * al + b * (255 - al)")})
-project("add_feature_difference", {"v": F.least(c("c") + E.feature_difference(c("a"), F.least(c("b"), c("c")), F.greatest(c("b"), c("c")), 4096), F.lit(255))}, {"v": "least(c + least((greatest(a - greatest(b, c), least(b, c) - a, 0) * greatest(a - greatest(b, c), least(b, c) - a, 0) * 4096) >> 16, 255), 255)"})
-project("background_init_mask", {"v": F.when(c("m") == 2, F.lit(255)).otherwise(c("b"))}, {"v": "CASE WHEN m = 2 THEN 255 ELSE b END"})
-project("segmentation_change_index", {"v": F.when(c("m") == 1, F.lit(9)).otherwise(c("m"))}, {"v": "CASE WHEN m = 1 THEN 9 ELSE m END"})
+    project(f"operation_16i_{_n}", lambda _n=_n, _o=_o: {"v": E.BINARY16[_n](c("a") * 200, c("b") * 211)}, {"v": f"((({_o}) + 32768) % 65536 + 65536) % 65536 - 32768"})
+project("abs_difference", lambda: {"v": F.abs(c("a") - c("b"))}, {"v": "abs(a - b)"})
+project("vector_product", lambda: {"v": div255(c("a") * c("b"))}, {"v": div255_sql("a * b")})
+project("alpha_blending", lambda: {"v": blend(c("a"), c("b"), c("al"))}, {"v": div255_sql("a * al + b * (255 - al)")})
+project("alpha_blending_uniform", lambda: {"v": blend(c("a"), c("b"), F.lit(90))}, {"v": div255_sql("a * 90 + b * 165")})
+project("alpha_blending_2x", lambda: {"v": blend(c("c"), blend(c("a"), c("b"), c("al")), F.lit(40))}, {"v": div255_sql(f"c * 40 + ({div255_sql('a * al + b * (255 - al)')}) * 215")})
+project("alpha_filling", lambda: {"v": blend(F.lit(200), c("b"), c("al"))}, {"v": div255_sql("200 * al + b * (255 - al)")})
+project("add_feature_difference", lambda: {"v": F.least(c("c") + E.feature_difference(c("a"), F.least(c("b"), c("c")), F.greatest(c("b"), c("c")), 4096), F.lit(255))}, {"v": "least(c + least((greatest(a - greatest(b, c), least(b, c) - a, 0) * greatest(a - greatest(b, c), least(b, c) - a, 0) * 4096) >> 16, 255), 255)"})
+project("background_init_mask", lambda: {"v": F.when(c("m") == 2, F.lit(255)).otherwise(c("b"))}, {"v": "CASE WHEN m = 2 THEN 255 ELSE b END"})
+project("segmentation_change_index", lambda: {"v": F.when(c("m") == 1, F.lit(9)).otherwise(c("m"))}, {"v": "CASE WHEN m = 1 THEN 9 ELSE m END"})
 
 # -- background state updates ---------------------------------------------------------
 
-_LO, _HI = F.least(c("b"), c("c")), F.greatest(c("b"), c("c"))
+def _range():
+    """Lower and upper end of the background range."""
+    return F.least(c("b"), c("c")), F.greatest(c("b"), c("c"))
+
+
+def _masked(new: dict) -> dict:
+    """The new range where the mask is set."""
+    old = dict(zip(("lo", "hi"), _range()))
+    return {k: F.when(c("m") != 0, v).otherwise(old[k]) if k in old else v for k, v in new.items()}
+
+
+def _adjusted() -> dict:
+    return E.adjust_range(*_range(), c("al"), c("a"), 100)
+
+
+def _slid() -> dict:
+    return E.shift_range(c("a"), *_range())
+
+
 _lo, _hi = "least(b, c)", "greatest(b, c)"
-project("background_grow_range_slow", E.grow_slow(c("a"), _LO, _HI), {"lo": f"{_lo} - CASE WHEN a < {_lo} THEN 1 ELSE 0 END", "hi": f"{_hi} + CASE WHEN a > {_hi} THEN 1 ELSE 0 END"})
-project("background_grow_range_fast", E.grow_fast(c("a"), _LO, _HI), {"lo": "least(a, b, c)", "hi": "greatest(a, b, c)"})
-project("background_increment_count", E.increment_count(c("a"), _LO, _HI, c("al"), c("m")), {"lo_count": f"least(al + CASE WHEN a < {_lo} THEN 1 ELSE 0 END, 255)", "hi_count": f"least(m + CASE WHEN a > {_hi} THEN 1 ELSE 0 END, 255)"})
+project("background_grow_range_slow", lambda: E.grow_slow(c("a"), *_range()), {"lo": f"{_lo} - CASE WHEN a < {_lo} THEN 1 ELSE 0 END", "hi": f"{_hi} + CASE WHEN a > {_hi} THEN 1 ELSE 0 END"})
+project("background_grow_range_fast", lambda: E.grow_fast(c("a"), *_range()), {"lo": "least(a, b, c)", "hi": "greatest(a, b, c)"})
+project("background_increment_count", lambda: E.increment_count(c("a"), *_range(), c("al"), c("m")), {"lo_count": f"least(al + CASE WHEN a < {_lo} THEN 1 ELSE 0 END, 255)", "hi_count": f"least(m + CASE WHEN a > {_hi} THEN 1 ELSE 0 END, 255)"})
 _ADJ = {"lo": clamp_sql(f"{_lo} + CASE WHEN al > 100 THEN -1 WHEN al < 100 THEN 1 ELSE 0 END"), "hi": clamp_sql(f"{_hi} + CASE WHEN a > 100 THEN 1 WHEN a < 100 THEN -1 ELSE 0 END"), "lo_count": "0", "hi_count": "0"}
-_adj = E.adjust_range(_LO, _HI, c("al"), c("a"), 100)
-project("background_adjust_range", _adj, _ADJ)
-project("background_adjust_range_masked", {k: (F.when(c("m") != 0, v).otherwise({"lo": _LO, "hi": _HI}[k]) if k in ("lo", "hi") else v) for k, v in _adj.items()}, {k: (f"CASE WHEN m <> 0 THEN {v} ELSE {dict(lo=_lo, hi=_hi)[k]} END" if k in ("lo", "hi") else v) for k, v in _ADJ.items()})
+project("background_adjust_range", _adjusted, _ADJ)
+project("background_adjust_range_masked", lambda: _masked(_adjusted()), {k: (f"CASE WHEN m <> 0 THEN {v} ELSE {dict(lo=_lo, hi=_hi)[k]} END" if k in ("lo", "hi") else v) for k, v in _ADJ.items()})
 _MOVE = f"(CASE WHEN a > {_hi} THEN a - {_hi} WHEN a < {_lo} THEN a - {_lo} ELSE 0 END)"
 _SHIFT = {"lo": clamp_sql(f"{_lo} + {_MOVE}"), "hi": clamp_sql(f"{_hi} + {_MOVE}")}
-_shift = E.shift_range(c("a"), _LO, _HI)
-project("background_shift_range", _shift, _SHIFT)
-project("background_shift_range_masked", {k: F.when(c("m") != 0, v).otherwise({"lo": _LO, "hi": _HI}[k]) for k, v in _shift.items()}, {k: f"CASE WHEN m <> 0 THEN {v} ELSE {dict(lo=_lo, hi=_hi)[k]} END" for k, v in _SHIFT.items()})
+project("background_shift_range", _slid, _SHIFT)
+project("background_shift_range_masked", lambda: _masked(_slid()), {k: f"CASE WHEN m <> 0 THEN {v} ELSE {dict(lo=_lo, hi=_hi)[k]} END" for k, v in _SHIFT.items()})
 
 
 # -- aggregates -------------------------------------------------------------------------
 
 
-def summary(name: str, columns: dict, sql: dict, keys: tuple = ("img",)) -> None:
+def summary(name: str, columns, sql: dict, keys: tuple = ("img",)) -> None:
     """Partial sums in each task, one small shuffle on the keys."""
-    add(name, f"SELECT {', '.join(keys)}, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in sql.items()) + f" FROM p GROUP BY {', '.join(keys)}")(lambda p: p.groupBy(*keys).agg(*[v.cast("long").alias(k) for k, v in columns.items()]))
-
-
-_d = c("a") - c("b")
-summary("abs_difference_sum", {"s": A.total(F.abs(_d))}, {"s": "sum(abs(a - b))"})
-summary("abs_difference_sum_masked", {"s": A.where_sum(F.abs(_d), c("m") == 1)}, {"s": "sum(CASE WHEN m = 1 THEN abs(a - b) ELSE 0 END)"})
-summary("squared_difference_sum", {"s": A.total(_d * _d)}, {"s": "sum((a - b) * (a - b))"})
-summary("squared_difference_sum_masked", {"s": A.where_sum(_d * _d, c("m") == 1)}, {"s": "sum(CASE WHEN m = 1 THEN (a - b) * (a - b) ELSE 0 END)"})
-summary("correlation_sum", {"s": A.total(c("a") * c("b"))}, {"s": "sum(a * b)"})
-summary("value_sum", {"s": A.total(c("a"))}, {"s": "sum(a)"})
-summary("square_sum", {"s": A.total(c("a") * c("a"))}, {"s": "sum(a * a)"})
-summary("value_square_sum", {"s": A.total(c("a")), "q": A.total(c("a") * c("a"))}, {"s": "sum(a)", "q": "sum(a * a)"})
-summary("value_square_sums", {f"{k}_{n}": A.total(v) for k in "abc" for n, v in (("s", c(k)), ("q", c(k) * c(k)))}, {f"{k}_{n}": f"sum({v})" for k in "abc" for n, v in (("s", k), ("q", f"{k} * {k}"))})
-summary("get_statistic", A.statistic(c("a")), {"lo": "min(a)", "hi": "max(a)", "mean": "(CAST(sum(a) AS BIGINT) + count(a) // 2) // count(a)"})
-summary("get_moments", A.moments(c("x"), c("y"), c("m") == 2), {k: f"sum(CASE WHEN m = 2 THEN {v} ELSE 0 END)" for k, v in {"area": "1", "sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}.items()})
-summary("get_object_moments", A.object_moments(c("a"), c("x"), c("y"), c("m") == 2), {k: f"sum(CASE WHEN m = 2 THEN {v} ELSE 0 END)" for k, v in {"n": "1", "s": "a", "sx": "a * x", "sy": "a * y", "sxx": "a * x * x", "sxy": "a * x * y", "syy": "a * y * y"}.items()})
-summary("get_row_sums", {"s": A.total(c("a"))}, {"s": "sum(a)"}, ("img", "y"))
-summary("get_col_sums", {"s": A.total(c("a"))}, {"s": "sum(a)"}, ("img", "x"))
-summary("texture_difference_sum", {"s": A.total(c("a") - shr(c("b") + c("c") + 1, 1))}, {"s": "sum(a - ((b + c + 1) >> 1))"})
-summary("segmentation_shrink_region", {k: F.coalesce(f(F.when(c("m") == 3, c(v))), F.lit(0)) for k, f, v in (("l", F.min, "x"), ("t", F.min, "y"), ("r", F.max, "x"), ("bt", F.max, "y"))}, {"l": "coalesce(min(x) FILTER (WHERE m = 3), 0)", "t": "coalesce(min(y) FILTER (WHERE m = 3), 0)", "r": "coalesce(max(x) FILTER (WHERE m = 3), 0)", "bt": "coalesce(max(y) FILTER (WHERE m = 3), 0)"})
+    add(name, f"SELECT {', '.join(keys)}, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in sql.items()) + f" FROM p GROUP BY {', '.join(keys)}")(lambda p: p.groupBy(*keys).agg(*[v.cast("long").alias(k) for k, v in columns().items()]))
+
+
+def _d():
+    return c("a") - c("b")
+
+
+summary("abs_difference_sum", lambda: {"s": A.total(F.abs(_d()))}, {"s": "sum(abs(a - b))"})
+summary("abs_difference_sum_masked", lambda: {"s": A.where_sum(F.abs(_d()), c("m") == 1)}, {"s": "sum(CASE WHEN m = 1 THEN abs(a - b) ELSE 0 END)"})
+summary("squared_difference_sum", lambda: {"s": A.total(_d() * _d())}, {"s": "sum((a - b) * (a - b))"})
+summary("squared_difference_sum_masked", lambda: {"s": A.where_sum(_d() * _d(), c("m") == 1)}, {"s": "sum(CASE WHEN m = 1 THEN (a - b) * (a - b) ELSE 0 END)"})
+summary("correlation_sum", lambda: {"s": A.total(c("a") * c("b"))}, {"s": "sum(a * b)"})
+summary("value_sum", lambda: {"s": A.total(c("a"))}, {"s": "sum(a)"})
+summary("square_sum", lambda: {"s": A.total(c("a") * c("a"))}, {"s": "sum(a * a)"})
+summary("value_square_sum", lambda: {"s": A.total(c("a")), "q": A.total(c("a") * c("a"))}, {"s": "sum(a)", "q": "sum(a * a)"})
+summary("value_square_sums", lambda: {f"{k}_{n}": A.total(v) for k in "abc" for n, v in (("s", c(k)), ("q", c(k) * c(k)))}, {f"{k}_{n}": f"sum({v})" for k in "abc" for n, v in (("s", k), ("q", f"{k} * {k}"))})
+summary("get_statistic", lambda: A.statistic(c("a")), {"lo": "min(a)", "hi": "max(a)", "mean": "(CAST(sum(a) AS BIGINT) + count(a) // 2) // count(a)"})
+summary("get_moments", lambda: A.moments(c("x"), c("y"), c("m") == 2), {k: f"sum(CASE WHEN m = 2 THEN {v} ELSE 0 END)" for k, v in {"area": "1", "sx": "x", "sy": "y", "sxx": "x * x", "sxy": "x * y", "syy": "y * y"}.items()})
+summary("get_object_moments", lambda: A.object_moments(c("a"), c("x"), c("y"), c("m") == 2), {k: f"sum(CASE WHEN m = 2 THEN {v} ELSE 0 END)" for k, v in {"n": "1", "s": "a", "sx": "a * x", "sy": "a * y", "sxx": "a * x * x", "sxy": "a * x * y", "syy": "a * y * y"}.items()})
+summary("get_row_sums", lambda: {"s": A.total(c("a"))}, {"s": "sum(a)"}, ("img", "y"))
+summary("get_col_sums", lambda: {"s": A.total(c("a"))}, {"s": "sum(a)"}, ("img", "x"))
+summary("texture_difference_sum", lambda: {"s": A.total(c("a") - shr(c("b") + c("c") + 1, 1))}, {"s": "sum(a - ((b + c + 1) >> 1))"})
+summary("segmentation_shrink_region", lambda: {k: F.coalesce(f(F.when(c("m") == 3, c(v))), F.lit(0)) for k, f, v in (("l", F.min, "x"), ("t", F.min, "y"), ("r", F.max, "x"), ("bt", F.max, "y"))}, {"l": "coalesce(min(x) FILTER (WHERE m = 3), 0)", "t": "coalesce(min(y) FILTER (WHERE m = 3), 0)", "r": "coalesce(max(x) FILTER (WHERE m = 3), 0)", "bt": "coalesce(max(y) FILTER (WHERE m = 3), 0)"})
 add("conditional_sums", "SELECT img, " + ", ".join(f"CAST(sum(CASE WHEN b {o} 120 THEN {v} ELSE 0 END) AS BIGINT) AS {k}_{n}" for n, o in COMPARE_SQL.items() for k, v in (("count", "1"), ("sum", "a"), ("sqsum", "a * a"))) + " FROM p GROUP BY img")(lambda p: p.groupBy("img").agg(*A.conditional(p, "a", "b", 120)))
 
 _GRID = "SELECT i.img, r.bin, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT img FROM p) i CROSS JOIN (SELECT unnest(range(256)) AS bin) r LEFT JOIN (SELECT img, a AS bin, count(*) AS n FROM p WHERE {w} GROUP BY 1, 2) h ON h.img = i.img AND h.bin = r.bin"
-for _n, _cond, _w in (("histogram", None, "TRUE"), ("histogram_masked", c("m") == 1, "m = 1"), ("histogram_conditional", c("b") > 99, "b > 99")):
-    add(_n, _GRID.format(w=_w))(lambda p, cond=_cond: A.histogram(p, c("a"), ["img"], cond))
+for _n, _cond, _w in (("histogram", None, "TRUE"), ("histogram_masked", "m = 1", "m = 1"), ("histogram_conditional", "b > 99", "b > 99")):
+    add(_n, _GRID.format(w=_w))(lambda p, cond=_cond: A.histogram(p, c("a"), ["img"], cond and F.expr(cond)))
 _HG = f", g AS ({_GRID.format(w='TRUE')})"
 _EQ = ", q AS (SELECT *, sum(n) OVER (PARTITION BY img ORDER BY bin) AS cdf, first_value(n) OVER (PARTITION BY img ORDER BY CASE WHEN n > 0 THEN bin ELSE 999 END) AS low, sum(n) OVER (PARTITION BY img) AS total FROM g), e AS (SELECT img, bin AS v, CASE WHEN cdf <= low OR total <= low THEN 0 ELSE CAST((255 * (cdf - low) + (total - low) // 2) // greatest(total - low, 1) AS BIGINT) END AS new FROM q)"
 add("normalized_colors", "SELECT img, v, CAST(new AS BIGINT) AS new FROM e", _HG + _EQ)(lambda p: A.equalisation(A.histogram(p, c("a"), ["img"]), ["img"]))
@@ -227,8 +246,8 @@ add(
 _N1, _N2 = ", " + neighbourhood_sql("a", 1), ", " + neighbourhood_sql("a", 2)
 
 
-def stencil(name: str, columns: dict, sql: dict, radius: int = 1) -> None:
-    add(name, "SELECT img, y, x, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in sql.items()) + " FROM n", _N1 if radius == 1 else _N2)(lambda p: neighbourhood(p.select(*KEY, "a", "m"), "a", radius).select(*KEY, *[v.cast("long").alias(k) for k, v in columns.items()]))
+def stencil(name: str, columns, sql: dict, radius: int = 1) -> None:
+    add(name, "SELECT img, y, x, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in sql.items()) + " FROM n", _N1 if radius == 1 else _N2)(lambda p: neighbourhood(p.select(*KEY, "a", "m"), "a", radius).select(*KEY, *[v.cast("long").alias(k) for k, v in columns().items()]))
 
 
 def weights_sql(w) -> str:
@@ -239,39 +258,42 @@ _DX, _DY, _LP = (weights_sql(w) for w in (S.SOBEL_DX, S.SOBEL_DY, S.LAPLACE))
 _ALL1 = [f"n{i}{j}" for i in range(3) for j in range(3)]
 _ALL2 = [f"n{i}{j}" for i in range(5) for j in range(5)]
 _IN = f"x > 0 AND y > 0 AND x < {W - 1} AND y < {H - 1}"
-stencil("sobel_dx", {"v": S.sobel_dx(), "va": F.abs(S.sobel_dx())}, {"v": _DX, "va": f"abs({_DX})"})
-stencil("sobel_dy", {"v": S.sobel_dy(), "va": F.abs(S.sobel_dy())}, {"v": _DY, "va": f"abs({_DY})"})
-stencil("laplace", {"v": S.laplace(), "va": F.abs(S.laplace())}, {"v": _LP, "va": f"abs({_LP})"})
-stencil("contour_metrics", {"v": S.contour_metric()}, {"v": f"(abs({_DX}) + abs({_DY})) * 2 + CASE WHEN abs({_DX}) >= abs({_DY}) THEN 0 ELSE 1 END"})
-stencil("contour_metrics_masked", {"v": F.when(c("m") < 2, F.lit(0)).otherwise(S.contour_metric())}, {"v": f"CASE WHEN m < 2 THEN 0 ELSE (abs({_DX}) + abs({_DY})) * 2 + CASE WHEN abs({_DX}) >= abs({_DY}) THEN 0 ELSE 1 END END"})
-stencil("gaussian_blur_3x3", {"v": S.gauss3()}, {"v": f"({weights_sql(S.GAUSS3)} + 8) >> 4"})
-stencil("mean_filter_3x3", {"v": S.mean3()}, {"v": f"(({' + '.join(_ALL1)} + 5) * 7281) >> 16"})
-stencil("abs_gradient_saturated_sum", {"v": S.gradient_sum(W, H)}, {"v": f"CASE WHEN {_IN} THEN least(abs(n12 - n10) + abs(n21 - n01), 255) ELSE 0 END"})
-stencil("texture_boosted_gradient", S.boosted_gradient(16, 4, W, H), {"dx": f"CASE WHEN {_IN} THEN (16 + {clamp_sql('n12 - n10', -16, 16)}) * 4 ELSE 0 END", "dy": f"CASE WHEN {_IN} THEN (16 + {clamp_sql('n21 - n01', -16, 16)}) * 4 ELSE 0 END"})
-stencil("lbp_estimate", {"v": S.lbp(W, H)}, {"v": f"CASE WHEN {_IN} THEN " + " + ".join(f"CASE WHEN {n} >= n11 THEN {1 << k} ELSE 0 END" for k, n in enumerate(["n00", "n01", "n02", "n12", "n22", "n21", "n20", "n10"])) + " ELSE 0 END"})
+stencil("sobel_dx", lambda: {"v": S.sobel_dx(), "va": F.abs(S.sobel_dx())}, {"v": _DX, "va": f"abs({_DX})"})
+stencil("sobel_dy", lambda: {"v": S.sobel_dy(), "va": F.abs(S.sobel_dy())}, {"v": _DY, "va": f"abs({_DY})"})
+stencil("laplace", lambda: {"v": S.laplace(), "va": F.abs(S.laplace())}, {"v": _LP, "va": f"abs({_LP})"})
+stencil("contour_metrics", lambda: {"v": S.contour_metric()}, {"v": f"(abs({_DX}) + abs({_DY})) * 2 + CASE WHEN abs({_DX}) >= abs({_DY}) THEN 0 ELSE 1 END"})
+stencil("contour_metrics_masked", lambda: {"v": F.when(c("m") < 2, F.lit(0)).otherwise(S.contour_metric())}, {"v": f"CASE WHEN m < 2 THEN 0 ELSE (abs({_DX}) + abs({_DY})) * 2 + CASE WHEN abs({_DX}) >= abs({_DY}) THEN 0 ELSE 1 END END"})
+stencil("gaussian_blur_3x3", lambda: {"v": S.gauss3()}, {"v": f"({weights_sql(S.GAUSS3)} + 8) >> 4"})
+stencil("mean_filter_3x3", lambda: {"v": S.mean3()}, {"v": f"(({' + '.join(_ALL1)} + 5) * 7281) >> 16"})
+stencil("abs_gradient_saturated_sum", lambda: {"v": S.gradient_sum(W, H)}, {"v": f"CASE WHEN {_IN} THEN least(abs(n12 - n10) + abs(n21 - n01), 255) ELSE 0 END"})
+stencil("texture_boosted_gradient", lambda: S.boosted_gradient(16, 4, W, H), {"dx": f"CASE WHEN {_IN} THEN (16 + {clamp_sql('n12 - n10', -16, 16)}) * 4 ELSE 0 END", "dy": f"CASE WHEN {_IN} THEN (16 + {clamp_sql('n21 - n01', -16, 16)}) * 4 ELSE 0 END"})
+stencil("lbp_estimate", lambda: {"v": S.lbp(W, H)}, {"v": f"CASE WHEN {_IN} THEN " + " + ".join(f"CASE WHEN {n} >= n11 THEN {1 << k} ELSE 0 END" for k, n in enumerate(["n00", "n01", "n02", "n12", "n22", "n21", "n20", "n10"])) + " ELSE 0 END"})
 for _r, _all in ((1, _ALL1), (2, _ALL2)):
     _sz = 2 * _r + 1
     _rh = [f"n{i}{j}" for i in range(_sz) for j in range(_sz) if abs(i - _r) + abs(j - _r) <= _r]
-    stencil(f"median_filter_square_{_sz}x{_sz}", {"v": S.median([c(k) for k in _all])}, {"v": f"list_sort([{', '.join(_all)}])[{len(_all) // 2 + 1}]"}, _r)
-    stencil(f"median_filter_rhomb_{_sz}x{_sz}", {"v": S.median(S.rhomb(_r))}, {"v": f"list_sort([{', '.join(_rh)}])[{len(_rh) // 2 + 1}]"}, _r)
-    stencil(f"midpoint_filter_square_{_sz}x{_sz}", {"v": S.midpoint(_r)}, {"v": f"(greatest({', '.join(_all)}) + least({', '.join(_all)}) + 1) // 2"}, _r)
+    stencil(f"median_filter_square_{_sz}x{_sz}", lambda _r=_r, _all=_all: {"v": S.median([c(k) for k in _all])}, {"v": f"list_sort([{', '.join(_all)}])[{len(_all) // 2 + 1}]"}, _r)
+    stencil(f"median_filter_rhomb_{_sz}x{_sz}", lambda _r=_r, _all=_all: {"v": S.median(S.rhomb(_r))}, {"v": f"list_sort([{', '.join(_rh)}])[{len(_rh) // 2 + 1}]"}, _r)
+    stencil(f"midpoint_filter_square_{_sz}x{_sz}", lambda _r=_r, _all=_all: {"v": S.midpoint(_r)}, {"v": f"(greatest({', '.join(_all)}) + least({', '.join(_all)}) + 1) // 2"}, _r)
     for _nm, _top, _fn in (("max", True, "greatest"), ("min", False, "least")):
         _best = f"{_fn}({', '.join(_all)})"
-        stencil(f"{_nm}_filter_square_{_sz}x{_sz}", {"v": S.voted(_r, 2, _top)}, {"v": f"CASE WHEN len(list_filter([{', '.join(_all)}], lambda q: q = {_best})) >= 2 THEN {_best} ELSE n{_r}{_r} END"}, _r)
+        stencil(f"{_nm}_filter_square_{_sz}x{_sz}", lambda _r=_r, _all=_all, _nm=_nm, _top=_top, _fn=_fn: {"v": S.voted(_r, 2, _top)}, {"v": f"CASE WHEN len(list_filter([{', '.join(_all)}], lambda q: q = {_best})) >= 2 THEN {_best} ELSE n{_r}{_r} END"}, _r)
+
+
+def stencil_sum(name: str, value, sql: str) -> None:
+    add(name, f"SELECT img, CAST(sum({sql}) AS BIGINT) AS s FROM n GROUP BY img", _N1)(lambda p: neighbourhood(p.select(*KEY, "a", "b", "m"), "a", 1).groupBy("img").agg(A.total(value()).alias("s")))
 
 
-def stencil_sum(name: str, v, sql: str) -> None:
-    add(name, f"SELECT img, CAST(sum({sql}) AS BIGINT) AS s FROM n GROUP BY img", _N1)(lambda p: neighbourhood(p.select(*KEY, "a", "b", "m"), "a", 1).groupBy("img").agg(A.total(v).alias("s")))
+stencil_sum("sobel_dx_abs_sum", lambda: F.abs(S.sobel_dx()), f"abs({_DX})")
+stencil_sum("sobel_dy_abs_sum", lambda: F.abs(S.sobel_dy()), f"abs({_DY})")
+stencil_sum("laplace_abs_sum", lambda: F.abs(S.laplace()), f"abs({_LP})")
+def _g2():
+    return (c("n12") - c("n10")) * (c("n12") - c("n10")) + (c("n21") - c("n01")) * (c("n21") - c("n01"))
 
 
-stencil_sum("sobel_dx_abs_sum", F.abs(S.sobel_dx()), f"abs({_DX})")
-stencil_sum("sobel_dy_abs_sum", F.abs(S.sobel_dy()), f"abs({_DY})")
-stencil_sum("laplace_abs_sum", F.abs(S.laplace()), f"abs({_LP})")
-_g2 = (c("n12") - c("n10")) * (c("n12") - c("n10")) + (c("n21") - c("n01")) * (c("n21") - c("n01"))
-stencil_sum("conditional_square_gradient_sum", F.when(S.inner(W, H) & (c("m") >= 2), _g2).otherwise(F.lit(0)), f"CASE WHEN {_IN} AND m >= 2 THEN (n12 - n10) * (n12 - n10) + (n21 - n01) * (n21 - n01) ELSE 0 END")
-for _n, _cond, _w in (("abs_difference_sums_3x3", None, "TRUE"), ("abs_difference_sums_3x3_masked", c("m") == 1, "m = 1")):
+stencil_sum("conditional_square_gradient_sum", lambda: F.when(S.inner(W, H) & (c("m") >= 2), _g2()).otherwise(F.lit(0)), f"CASE WHEN {_IN} AND m >= 2 THEN (n12 - n10) * (n12 - n10) + (n21 - n01) * (n21 - n01) ELSE 0 END")
+for _n, _cond, _w in (("abs_difference_sums_3x3", "true", "TRUE"), ("abs_difference_sums_3x3_masked", "m = 1", "m = 1")):
     add(_n, "SELECT img, " + ", ".join(f"CAST(sum(abs(b - {k})) FILTER (WHERE {_IN} AND {_w}) AS BIGINT) AS s_{k}" for k in _ALL1) + " FROM n GROUP BY img", _N1)(
-        lambda p, cond=_cond: (lambda n: n.where(S.inner(W, H) if cond is None else S.inner(W, H) & cond).groupBy("img").agg(*[A.total(F.abs(c("b") - c(k))).alias(f"s_{k}") for k in _ALL1]))(neighbourhood(p.select(*KEY, "a", "b", "m"), "a", 1))
+        lambda p, cond=_cond: (lambda n: n.where(S.inner(W, H) & F.expr(cond)).groupBy("img").agg(*[A.total(F.abs(c("b") - c(k))).alias(f"s_{k}") for k in _ALL1]))(neighbourhood(p.select(*KEY, "a", "b", "m"), "a", 1))
     )
 add("abs_dx_col_sums", "SELECT img, x, CAST(sum(abs(n12 - n11)) AS BIGINT) AS s FROM n GROUP BY img, x", _N1)(lambda p: neighbourhood(p.select(*KEY, "a"), "a", 1).groupBy("img", "x").agg(A.total(F.abs(c("n12") - c("n11"))).alias("s")))
 add("abs_dy_row_sums", "SELECT img, y, CAST(sum(abs(n21 - n11)) AS BIGINT) AS s FROM n GROUP BY img, y", _N1)(lambda p: neighbourhood(p.select(*KEY, "a"), "a", 1).groupBy("img", "y").agg(A.total(F.abs(c("n21") - c("n11"))).alias("s")))

@@ -41,8 +41,7 @@ def rounded(df, *keys):
 def elementwise(name: str, f, sql: str) -> None:
     """A projection of (t, i, v); both zeros count as one."""
     sql = f"WITH {V}, r AS (SELECT t, CAST(i AS BIGINT) AS i, round(CAST({sql} AS DOUBLE), {R}) AS v FROM v) SELECT t, i, CASE WHEN v = 0 THEN 0::DOUBLE ELSE v END AS v FROM r"
-    value = F.round(f(c("v")).cast("double"), R)
-    add(name, sql)(lambda s, d: rows(s, d).select("t", "i", value.alias("v")).withColumn("v", F.when(c("v") == 0, F.lit(0.0)).otherwise(c("v"))))
+    add(name, sql)(lambda s, d: rows(s, d).select("t", "i", F.round(f(c("v")).cast("double"), R).alias("v")).withColumn("v", F.when(c("v") == 0, F.lit(0.0)).otherwise(c("v"))))
 
 
 _ACT_SQL = {
@@ -104,14 +103,15 @@ _ADJ = "WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embedding
 
 
 def adjacent(spark, sf_dir, f):
+    """f() of neighbouring ids' vectors e and g."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"))
-    return e.join(e.select((c("vec_id") - 1).alias("vec_id"), c("e").alias("g")), "vec_id").select(c("vec_id").alias("t"), F.round(f, 5).alias("v"))
+    return e.join(e.select((c("vec_id") - 1).alias("vec_id"), c("e").alias("g")), "vec_id").select(c("vec_id").alias("t"), F.round(f(), 5).alias("v"))
 
 
 _dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
-add("cosine_distance_32f", _ADJ.format(e="1 - list_cosine_similarity(a.e, b.e)"))(lambda s, d: adjacent(s, d, 1 - _dot("e", "g") / F.sqrt(_dot("e", "e") * _dot("g", "g"))))
-add("squared_difference_sum_32f", _ADJ.format(e="pow(list_distance(a.e, b.e), 2)"))(lambda s, d: adjacent(s, d, F.aggregate(F.zip_with("e", "g", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, v: a + v)))
-add("neural_product_sum", _ADJ.format(e="list_inner_product(a.e, b.e)"))(lambda s, d: adjacent(s, d, _dot("e", "g")))
+add("cosine_distance_32f", _ADJ.format(e="1 - list_cosine_similarity(a.e, b.e)"))(lambda s, d: adjacent(s, d, lambda: 1 - _dot("e", "g") / F.sqrt(_dot("e", "e") * _dot("g", "g"))))
+add("squared_difference_sum_32f", _ADJ.format(e="pow(list_distance(a.e, b.e), 2)"))(lambda s, d: adjacent(s, d, lambda: F.aggregate(F.zip_with("e", "g", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, v: a + v)))
+add("neural_product_sum", _ADJ.format(e="list_inner_product(a.e, b.e)"))(lambda s, d: adjacent(s, d, lambda: _dot("e", "g")))
 _DESCR = """WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings),
 q AS (SELECT vec_id, e, lo, (hi - lo) / 255 AS k FROM d)
 SELECT vec_id AS t, CAST(list_sum(list_transform(e, lambda x: CAST(round_even((x - lo) / k, 0) AS BIGINT))) AS BIGINT) AS qs, round(list_max(list_transform(e, lambda x: abs(round_even((x - lo) / k, 0) * k + lo - x))) / k, 3) <= 0.501 AS near FROM q"""
