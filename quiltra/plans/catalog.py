@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import images, vectors
+from . import frames, images, vectors
 
-QUERIES: dict = {**images.QUERIES, **vectors.QUERIES}
-SQL: dict = {**images.SQL, **vectors.SQL}
+QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES}
+SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL}
 FLAGSHIP = "abs_difference_sum"
