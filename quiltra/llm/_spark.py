@@ -48,6 +48,16 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Ids that a join may send to every task: 16 bytes each.
+SENT_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id is not in ids; ids are counted, and sent to all tasks only if they are few."""
+    ids = checkpointed(ids.select(id_col).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, id_col, "left_anti")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that clashes with none of df's columns."""
     taken = {c.lower() for c in df.columns}

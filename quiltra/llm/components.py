@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ._spark import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+#: Edges of one task: the tasks of an iteration follow the edges, not the session's shuffle partitions.
+EDGES_PER_TASK = 200_000
+
+
+def _large_star(edges: DataFrame, width: int) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(width)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(width)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _small_star(edges: DataFrame, width: int) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(width)
+    least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(width)
+    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(width)
+    return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(width).distinct().coalesce(width)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,13 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self loops and repeated edges change nothing; no edges give no rows.
     """
-    now = checkpointed(edges.select("u", "v").where("u <> v").distinct())
+    now = checkpointed(edges.select("u", "v").where("u <> v"))
+    width = max(1, -(-now.count() // EDGES_PER_TASK))
     print_of = None
     while True:
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now, width), width))
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == print_of:
             break
         print_of = tuple(row)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return checkpointed(roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    return checkpointed(roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).coalesce(width))

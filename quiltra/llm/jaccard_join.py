@@ -10,9 +10,11 @@ group gives a signature: linked sets share at least one.
 Equal sets are one node from the start.  Signatures meet in packed blocks: a
 task first merges equal signatures of its own sets, so a signature of a large
 group of copies leaves each task once.  A meeting emits a star (least set,
-other set) instead of all pairs; stars are verified exactly, and where a star
-edge fails its sets are tried against other members until no pair with a
-common signature is open, so no link between components is lost.
+other set) instead of all pairs.  One star edge of each set is verified
+exactly; what is then left are pairs with a common signature whose sets lie in
+different components.  Sketches of four-bit sums, which can only differ where
+features differ, rule out most of these, the others are verified, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -23,18 +25,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import checkpointed, table, tasks, written
+from ._spark import SENT_IDS, checkpointed, table, tasks, written
 from .components import components
 
 U = np.uint64
 #: Signatures or features that a task gathers before it sends them on.
 BLOCK = 1_000_000
 HUB_DEALS = 64
-STAR_ROUNDS = 4
+#: Candidate sets of one task once candidates are known; most documents have none, so later steps are small.
+SETS_PER_TASK = 2_000
 
 
 @dataclass(frozen=True)
@@ -43,9 +46,10 @@ class PartEnum:
 
     num: int = 90
     den: int = 100
-    n2: int = 2
+    n2: int = 3
     k2: int = 1
-    slack: float = 0.1
+    #: Groups beyond the least number, as a share of k: they let sets with a few empty parts do without signatures of empty parts.
+    slack: float = 0.0
 
     def bands(self, most: int) -> np.ndarray:
         """Upper ends r_i of the size bands up to size `most`, one band more."""
@@ -60,11 +64,25 @@ class PartEnum:
         """Largest symmetric difference of a link between sets of at most r features."""
         return 2 * (self.den - self.num) * r // (self.den + self.num)
 
-    def signatures(self, feats: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, row) for sets given as concatenated distinct features and their counts."""
-        out, rows = [], []
+    def sketches(self, feats: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of 16 four-bit sums of features in buckets, and the words of each set.
+
+        Sets of one instance have equally many buckets, sixteen times the
+        instance's k; two sets differ in as many features as in buckets at least.
+        """
+        ends = self.bands(int(counts.max(initial=1)))
+        words = np.maximum(1, self.differences(ends[np.searchsorted(ends, counts) + step]))
+        row = np.repeat(np.arange(len(counts)), counts)
+        first = np.concatenate([[0], np.cumsum(words)])
+        slot = 16 * first[row] + (_text.mix(feats ^ U(0x2545F4914F6CDD1D)) % (16 * words[row]).astype(np.uint64)).astype(np.int64)
+        sums = np.bincount(slot, (_text.mix(feats + U(0x9E6C63D0876A9A47)) & U(15)).astype(np.float64), 16 * int(first[-1])).astype(np.uint64) & U(15)
+        return (sums.reshape(-1, 16) << (U(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64), words
+
+    def signatures(self, feats: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, row, step) for sets given as concatenated distinct features and their counts; step 1 is the next band's instance."""
+        out, rows, steps = [], [], []
         if len(feats) == 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = self.bands(int(counts.max()))
         band = np.searchsorted(ends, counts)
         row = np.repeat(np.arange(len(counts)), counts)
@@ -99,9 +117,10 @@ class PartEnum:
                 sign = _text.mix(_text.mix(lo[:, s].sum(axis=1) + _text.mix(hi[:, s].sum(axis=1))) + _text.mix(mark))
                 out.append(sign[keep[:, j]])
                 rows.append(owner[keep[:, j]])
+                steps.append(np.full(len(rows[-1]), step))
         if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(out), np.concatenate(rows)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(out), np.concatenate(rows), np.concatenate(steps)
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,17 +165,30 @@ def _stars(keys: np.ndarray, ids: np.ndarray, head: np.ndarray) -> tuple[np.ndar
     return pivot[~head], ids[~head]
 
 
+def _set_slices(batches, scheme: PartEnum, signs: bool = True):
+    """(signatures, steps, set id of each, set ids, (features, counts)) of slices of a (set_id, feats) frame."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            lists = part.column(1)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            sign, row, step = scheme.signatures(values, counts) if signs else (None, None, None)
+            ids = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield sign, step, None if row is None else ids[row], part.column(0), (values, counts)
+
+
 def _meet(blocks: DataFrame) -> DataFrame:
-    """(a, b): stars over all signatures of packed blocks."""
+    """(a, b, n): stars over all signatures of packed blocks, and in how many places of the shuffle they met."""
 
     def merge(group: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), np.uint64)
         a, b = _stars(*_distinct_pairs(keys, ids))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-        return pa.table({"a": _text.as_long(np.ascontiguousarray(pairs[:, 0])), "b": _text.as_long(np.ascontiguousarray(pairs[:, 1]))})
+        pairs, n = np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+        return pa.table({"a": _text.as_long(np.ascontiguousarray(pairs[:, 0])), "b": _text.as_long(np.ascontiguousarray(pairs[:, 1])), "n": pa.array(n)})
 
-    return blocks.groupBy("part").applyInArrow(merge, "a long, b long").distinct()
+    return blocks.groupBy("part").applyInArrow(merge, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class JaccardJoin:
@@ -171,11 +203,15 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, doc_col: str = "doc_id", text_col: str = "text", scheme: PartEnum | None = None, rare_share: int | None = None):
         self.spark, self.shingle = docs.sparkSession, shingle
         self.docs = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-        self.scheme = scheme or PartEnum(num, den)
+        self.scheme = scheme or PartEnum(num, den, slack=0.0 if num * 100 >= 88 * den else 0.04)
         if rare_share is None and num * 100 < 85 * den:
             rare_share = max(1, int(0.75 * num / (den - num)))
         self.rare_share = rare_share
-        self.tested: DataFrame | None = None
+        self.width = tasks(self.spark)
+
+    def _few(self, df: DataFrame) -> DataFrame:
+        """So many tasks as the candidate sets need."""
+        return df.coalesce(self.width)
 
     # -- sets -----------------------------------------------------------------
 
@@ -207,7 +243,7 @@ class JaccardJoin:
             keys, ids, n = [], [], 0
             for part in _text.slices(batches):
                 feats, counts, own = shingle_sets(part.column(0), size)
-                sign, row = scheme.signatures(feats, counts)
+                sign, row, _ = scheme.signatures(feats, counts)
                 keys.append(sign), ids.append(own[row])
                 n += len(sign)
                 if n >= BLOCK:
@@ -263,28 +299,40 @@ class JaccardJoin:
 
     # -- verification ---------------------------------------------------------
 
-    def features(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        """set_id, feats of every set in pairs, written once."""
+    def features(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
+        """set_id, a, feats of every set in pairs, written once; a is the set's partner in `first`, if any."""
         size = self.shingle
         ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
         reps = sets.groupBy("set_id").agg(F.min("doc").alias("doc"))
-        chosen = ids.join(reps, "set_id").select("doc", "set_id").join(self.docs, "doc").select("set_id", "text")
+        chosen = ids.join(reps, "set_id").join(first.select(F.col("b").alias("set_id"), "a"), "set_id", "left")
+        chosen = chosen.select("doc", "set_id", "a").join(docs, "doc").select("set_id", "a", "text")
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             for part in _text.slices(batches):
-                feats, counts, _ = shingle_sets(part.column(1), size)
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _text.as_long(feats))], ["set_id", "feats"])
+                feats, counts, _ = shingle_sets(part.column(2), size)
+                yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _text.as_long(feats))], ["set_id", "a", "feats"])
 
-        return written(chosen.mapInArrow(run, "set_id long, feats array<long>").dropDuplicates(["set_id"]), "set-features")
+        return written(chosen.mapInArrow(run, "set_id long, a long, feats array<long>"), "set-features")
 
-    def verified(self, pairs: DataFrame, feats: DataFrame) -> DataFrame:
-        """(a, b, linked) by exact intersection; a hub's features go to at most HUB_DEALS groups of its pairs."""
+    def _picked(self, feats: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+        """Features of some sets as (name, f<name>); few ids are sent to all tasks, which then read what they need without a shuffle."""
+        ids = checkpointed(ids.select(F.col(name).alias("set_id")).distinct().coalesce(self.width))
+        own = feats.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "set_id", "left_semi")
+        return self._few(own.select(F.col("set_id").alias(name), F.col("feats").alias("f" + name)).dropDuplicates([name]))
+
+    def verified(self, pairs: DataFrame, feats: DataFrame, held: bool = False) -> DataFrame:
+        """(a, b, linked) by exact intersection; a hub's features go to at most HUB_DEALS groups of its pairs.
+
+        With `held`, pairs has the features fb already.
+        """
         num, den = self.scheme.num, self.scheme.den
         dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(HUB_DEALS)))
-        hubs = dealt.select("a", "deal").distinct().join(feats.select(F.col("set_id").alias("a"), F.col("feats").alias("fa")), "a")
-        sides = dealt.join(feats.select(F.col("set_id").alias("b"), F.col("feats").alias("fb")), "b").join(hubs, ["a", "deal"])
+        hubs = self._few(self._few(dealt.select("a", "deal").distinct()).join(self._picked(feats, pairs, "a"), "a"))
+        if not held:
+            dealt = self._few(self._few(dealt).join(self._picked(feats, pairs, "b"), "b"))
+        sides = dealt.join(hubs, ["a", "deal"])
         small = F.size(F.array_intersect("fa", "fb"))
-        return checkpointed(sides.select("a", "b", "deal", small.alias("i"), (F.size("fa") + F.size("fb")).alias("s")).select("a", "b", (F.col("i") * den >= num * (F.col("s") - F.col("i"))).alias("linked")))
+        return checkpointed(sides.select("a", "b", small.alias("i"), (F.size("fa") + F.size("fb")).alias("s")).select("a", "b", (F.col("i") * den >= num * (F.col("s") - F.col("i"))).alias("linked")).coalesce(self.width))
 
     def links(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Verified (u, v) edges between sets whose components are those of all links, and (node, root)."""
@@ -292,61 +340,103 @@ class JaccardJoin:
         if self.rare_share is not None:
             keep = self.possible(sets)
             reps = sets.groupBy("set_id").agg(F.min("doc").alias("doc")).join(keep, "set_id")
-            docs = docs.join(reps.select("doc"), "doc", "left_semi")
+            docs = written(docs.join(reps.select("doc"), "doc", "left_semi").select("doc", "text"), "possible-texts")
         pairs = checkpointed(self.candidates(docs))
-        feats = self.features(sets, pairs)
-        result = self.verified(pairs, feats)
+        # each set's most frequent star edge first: most others lie within a component then and need no test
+        first = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+        feats = self.features(docs, sets, pairs, first)
+        self.width = max(1, -(-feats.count() // SETS_PER_TASK))
+        pairs, first = self._few(pairs), self._few(first)
+        result = self.verified(feats.where("a is not null").select("a", F.col("set_id").alias("b"), F.col("feats").alias("fb")), feats, held=True)
         edges = result.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = components(edges)
-        failed = result.where("not linked").select("a", "b")
-        tested = pairs
-        for k in range(STAR_ROUNDS + 1):
-            root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-            open_ = failed.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-            comps = open_.select(F.col("ra").alias("comp")).union(open_.select("rb")).distinct()
-            rows = self._rows(feats, roots, comps)
-            more = self._open_pairs(rows, k if k < STAR_ROUNDS else None)
-            more = checkpointed(more.join(tested, ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                if k == STAR_ROUNDS or failed.isEmpty() or rows.isEmpty():
-                    break
-                continue
-            result = self.verified(more, feats)
-            tested = tested.union(more)
-            failed = failed.union(result.where("not linked").select("a", "b"))
-            fresh = result.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            if not fresh.isEmpty():
+        # then the other star edges between components, then all pairs between components with a common signature;
+        # sketches rule most of them out before features are read
+        sketches, tested = self._sketches(feats), first
+        for star in (True, False):
+            if star:
+                rest = self._ruled(self._across(pairs, roots), sketches)
+            else:
+                rest = self._open_pairs(self._rows(self._shared(feats), roots), sketches)
+            more = checkpointed(self._few(rest).join(self._few(tested), ["a", "b"], "left_anti").coalesce(self.width))
+            if not more.isEmpty():
+                tested = tested.union(more)
+                fresh = self.verified(more, feats).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
                 edges = edges.union(fresh)
                 roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(fresh))
         return edges, roots
 
-    def _rows(self, feats: DataFrame, roots: DataFrame, comps: DataFrame) -> DataFrame:
-        """sign, set_id, comp of the signatures that sets of two components share, of the open components."""
+    def _across(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs between two components."""
+        root = lambda c: self._few(roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)))
+        both = self._few(self._few(pairs.select("a", "b")).join(root("a"), "a", "left")).join(root("b"), "b", "left")
+        return self._few(both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+
+    def _near(self, sketch: str, other: str, size: str, other_size: str) -> Column:
+        """Can sets with these sketches of one instance link?  Buckets that differ can't be more than features that may."""
+        num, den = self.scheme.num, self.scheme.den
+
+        def apart(p, q):
+            x = p.bitwiseXOR(q)
+            return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111)))
+
+        differ = F.aggregate(F.zip_with(sketch, other, apart), F.lit(0), lambda a, n: a + n)
+        return differ * (den + num) <= (den - num) * (F.col(size) + F.col(other_size))
+
+    def _ruled(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs (a, b) that their sketches leave possible."""
+        side = lambda c: self._few(sketches.dropDuplicates(["set_id", "instance"]).select(F.col("set_id").alias(c), "instance", F.col("size").alias("n" + c), F.col("sketch").alias("s" + c)))
+        both = self._few(pairs.join(side("a"), "a")).join(side("b"), ["b", "instance"])
+        return self._few(both.where(self._near("sa", "sb", "na", "nb")).select("a", "b")).distinct()
+
+    def _shared(self, feats: DataFrame) -> DataFrame:
+        """sign, set_id, step of the signatures that two or more candidate sets have."""
+        scheme, parts = self.scheme, 2 * self.width
+
+        def run(batches) -> Iterator[pa.RecordBatch]:
+            for sign, step, ids, _, _ in _set_slices(batches, scheme):
+                for k in (0, 1):
+                    block = _packed(sign[step == k], ids[step == k], parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(2 * block.column(0).to_numpy() + k), *block.columns[1:]], ["part", "keys", "ids"])
+
+        def merge(group: pa.Table) -> pa.Table:
+            keys, ids, head = _distinct_pairs(*(np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint64) for c in ("keys", "ids")))
+            more = ~(head & np.append(head[1:], True)) if len(head) else head
+            step = np.full(int(more.sum()), group.column("part")[0].as_py() % 2, np.int32)
+            return pa.table({"sign": _text.as_long(keys[more]), "set_id": _text.as_long(ids[more]), "step": pa.array(step)})
+
+        blocks = self._few(feats.select("set_id", "feats").mapInArrow(run, "part int, keys binary, ids binary"))
+        return checkpointed(blocks.groupBy("part").applyInArrow(merge, "sign long, set_id long, step int").coalesce(self.width))
+
+    def _sketches(self, feats: DataFrame) -> DataFrame:
+        """set_id, step, instance, size, sketch of every candidate set."""
         scheme = self.scheme
 
         def run(batches) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    lists = part.column(2)
-                    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    sign, row = scheme.signatures(values, counts)
-                    pick = pa.array(row)
-                    yield pa.record_batch([_text.as_long(sign), part.column(0).take(pick), part.column(1).take(pick)], ["sign", "set_id", "comp"])
-
-        known = feats.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("comp"), "feats").join(comps, "comp", "left_semi")
-        rows = checkpointed(known.select("set_id", "comp", "feats").mapInArrow(run, "sign long, set_id long, comp long"))
-        mixed = rows.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign")
-        return checkpointed(rows.join(mixed, "sign"))
-
-    @staticmethod
-    def _open_pairs(rows: DataFrame, k: int | None) -> DataFrame:
-        """Pairs across components: with one member of each signature (round k), or all of them (None)."""
-        other = rows.toDF("sign", "other", "other_comp")
-        if k is not None:
-            other = rows.groupBy("sign").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "comp")).alias("p")).select("sign", F.col("p.set_id").alias("other"), F.col("p.comp").alias("other_comp"))
-        both = rows.join(other, "sign").where("comp <> other_comp")
+            for _, _, _, sets, (values, counts) in _set_slices(batches, scheme, False):
+                for k in (0, 1):
+                    words, n = scheme.sketches(values, counts, k)
+                    sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _text.as_long(words))
+                    instance = np.searchsorted(scheme.bands(int(counts.max(initial=1))), counts) + k
+                    yield pa.record_batch([sets, pa.array(np.full(len(counts), k, np.int32)), pa.array(instance), pa.array(counts), sketch], ["set_id", "step", "instance", "size", "sketch"])
+
+        return checkpointed(self._few(feats.select("set_id", "feats").mapInArrow(run, "set_id long, step int, instance long, size long, sketch array<long>")))
+
+    def _rows(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """sign, set_id, step, comp of the signatures that sets of two components share."""
+        named = self._few(shared.join(self._few(roots.select(F.col("node").alias("set_id"), "root")), "set_id", "left"))
+        named = named.select("sign", "set_id", "step", F.coalesce("root", "set_id").alias("comp"))
+        mixed = self._few(named.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign"))
+        return checkpointed(named.join(mixed, "sign").coalesce(self.width))
+
+    def _open_pairs(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs (a, b) across components with a common signature, but those whose sketches differ too much for a link."""
+        names = ["set_id", "comp", "size", "sketch"]
+        rows = self._few(self._few(rows).join(self._few(sketches.dropDuplicates(["set_id", "step"])), ["set_id", "step"]).select("sign", *names))
+        other = rows.select("sign", *[F.col(c).alias("o_" + c) for c in names])
+        near = (F.col("set_id") < F.col("o_set_id")) & (F.col("comp") != F.col("o_comp")) & self._near("sketch", "o_sketch", "size", "o_size")
+        left, right = rows.alias("l"), other.alias("r")
+        both = self._few(left.join(right, (F.col("l.sign") == F.col("r.sign")) & near)).select("set_id", F.col("o_set_id").alias("other"))
         # as unsigned order, which the stars have
         less = lambda x, y: F.expr(f"({x} ^ {-(2**63)}) < ({y} ^ {-(2**63)})")
         first = less("set_id", "other")
