@@ -33,6 +33,8 @@ COSINE = 0.35
 LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 #: An item's last words, a quarter of it, are its answer.
 ANSWER_PART = 4
+#: Bytes of text that a task's matrices are made of at a time.
+SLICE = 2 << 20
 #: Items that one pass holds; a larger benchmark takes more passes.
 ITEMS = 20_000
 
@@ -73,14 +75,16 @@ class Terms:
         self.doc_of_block = np.repeat(np.arange(len(counts)), blocks)
 
 
-def _by_block(terms: Terms, weights: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of weighted vectors of the terms with a weight, for blocks that have any; and these blocks."""
-    use = weights[terms.col] > 0
+def _by_block(terms: Terms, used: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks that have terms in use, the sums of these terms' vectors, and each term's column and row of the sums."""
+    use = used[terms.col]
     col, block = terms.col[use], terms.block[use]
     if not len(col):
-        return np.zeros(0, np.int64), np.zeros((0, vectors.shape[1]), np.float32)
-    own, begin = np.unique(block, return_index=True)
-    return own, np.add.reduceat(vectors[col] * weights[col][:, None], begin, axis=0)
+        return np.zeros(0, np.int64), np.zeros((0, vectors.shape[1]), np.float32), col, col
+    head = np.ones(len(block), bool)
+    head[1:] = block[1:] != block[:-1]
+    begin = np.flatnonzero(head)
+    return block[begin], np.add.reduceat(vectors[col], begin, axis=0), col, np.cumsum(head) - 1
 
 
 class Decontamination:
@@ -108,7 +112,9 @@ class Decontamination:
             total = np.zeros(size + 1, np.int64)
             for part in _text.slices(batches):
                 terms = Terms(part.column(0), known)
-                pairs = np.unique(terms.block * size + terms.col)
+                pairs = terms.block * size + terms.col
+                pairs = np.sort(pairs.astype(np.int32) if terms.n_blocks * size < 2**31 else pairs)
+                pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
                 total[:size] += np.bincount(pairs % size, minlength=size)
                 total[size] += terms.n_blocks
             return total
@@ -126,20 +132,22 @@ class Decontamination:
         rank = min(self.rank, size)
         omega = np.random.default_rng(3).standard_normal((size, rank)).astype(np.float32)
 
+        weighted, used = omega * weights[:, None], weights > 0
+
         def sketch(batches) -> np.ndarray:
             total = np.zeros((size + 1, rank), np.float32)
-            for part in _text.slices(batches):
-                terms = Terms(part.column(0), known)
-                own, y = _by_block(terms, weights, omega)
-                use = weights[terms.col] > 0
-                col, block = terms.col[use], terms.block[use]
-                if not len(col):
+            for part in _text.slices(batches, most=SLICE):
+                own, y, col, row = _by_block(Terms(part.column(0), known), used, weighted)
+                if not len(own):
                     continue
-                order = np.argsort(col, kind="stable")
-                col, row = col[order], np.searchsorted(own, block[order])
-                at, begin = np.unique(col, return_index=True)
-                total[at] += np.add.reduceat(y[row] * weights[col][:, None], begin, axis=0)
+                order = np.argsort(col.astype(np.uint16) if size < 65536 else col, kind="stable")
+                col = col[order]
+                head = np.ones(len(col), bool)
+                head[1:] = col[1:] != col[:-1]
+                begin = np.flatnonzero(head)
+                total[col[begin]] += np.add.reduceat(y[row[order]], begin, axis=0)
                 total[size, 0] += float((weights[col] ** 2).sum())
+            total[:size] *= weights[:, None]
             return total.ravel()
 
         corpus = summed_over_tasks(text, sketch, (size + 1) * rank).reshape(size + 1, rank)
@@ -175,24 +183,33 @@ class Decontamination:
         def run(batches) -> Iterator[pa.RecordBatch]:
             vocabulary, weights, basis, latent, items = sent.value
             known = HashTable(vocabulary)
+            weighted, used = basis * weights[:, None], weights > 0
             bags = [set(w) for _, w in items]
             for part in _text.slices(batches):
                 terms = Terms(part.column(1), known)
-                own, z = _by_block(terms, weights, basis)
+                own, z, _, _ = _by_block(terms, used, weighted)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 if len(own):
-                    # a passage is a block and the one after it, in one document
+                    # a passage is a block and the one after it, in one document: its products are the sums of theirs
                     start = np.union1d(own, own - 1)
                     start = start[start >= 0]
-                    pair = np.zeros((len(start), z.shape[1]), np.float32)
-                    for shift in (0, 1):
-                        at = np.minimum(np.searchsorted(own, start + shift), len(own) - 1)
-                        there = (own[at] == start + shift) & (terms.doc_of_block[np.minimum(start + shift, terms.n_blocks - 1)] == terms.doc_of_block[start])
-                        pair[there] += z[at[there]]
-                    norm = np.linalg.norm(pair, axis=1)
+                    after = np.minimum(start + 1, terms.n_blocks - 1)
+                    first, second = (np.minimum(np.searchsorted(own, x), len(own) - 1) for x in (start, after))
+                    has_first = own[first] == start
+                    has_second = (own[second] == start + 1) & (terms.doc_of_block[after] == terms.doc_of_block[start])
+                    length = np.einsum("ij,ij->i", z, z)
+                    both = has_first & has_second
+                    norm = np.where(has_first, length[first], 0) + np.where(has_second, length[second], 0)
+                    norm[both] += 2 * np.einsum("ij,ij->i", z[first[both]], z[second[both]])
+                    norm = np.sqrt(np.maximum(norm, 1e-12))
                     step = max(1, 4_000_000 // max(1, len(items)))
                     for i in range(0, len(start), step):
-                        cos = pair[i : i + step] @ latent.T / np.maximum(norm[i : i + step], 1e-9)[:, None]
+                        f, g = first[i : i + step], second[i : i + step]
+                        low = min(f.min(), g.min())
+                        product = z[low : max(f.max(), g.max()) + 1] @ latent.T
+                        cos = product[f - low] * has_first[i : i + step, None]
+                        cos += product[g - low] * has_second[i : i + step, None]
+                        cos /= norm[i : i + step, None]
                         for p, q in zip(*np.nonzero(cos >= cosine)):
                             doc = int(terms.doc_of_block[start[i + p]])
                             lo, hi = terms.found.first[doc], terms.found.first[doc + 1]
