@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltra.llm._spark import table, written
+from quiltra.llm._spark import table, without, written
 from quiltra.llm.decontamination import Decontamination
 from quiltra.llm.jaccard_join import JaccardJoin
 from quiltra.llm.line_dedup import LineDedup
@@ -36,13 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 the one with the least id stays."""
     groups = JaccardJoin(docs, shingle=5, num=80, den=100).groups()
-    return docs.join(groups.where("doc = component or component is null").select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(*COLUMNS)
+    return without(docs, groups.where("doc <> component").select(F.col("doc").alias("doc_id")), "doc_id").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a paraphrase of one, go."""
     found = Decontamination().fit(docs, table(spark, sf_dir, "benchmark")).matches(docs)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, found, "doc_id").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
