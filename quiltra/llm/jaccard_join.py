@@ -38,6 +38,8 @@ BLOCK = 1_000_000
 HUB_DEALS = 64
 #: Candidate sets of one task once candidates are known; most documents have none, so later steps are small.
 SETS_PER_TASK = 2_000
+#: Buckets of a coarse sketch for each feature that a link may differ by; a fine one has 16.
+COARSE = 2
 
 
 @dataclass(frozen=True)
@@ -64,14 +66,14 @@ class PartEnum:
         """Largest symmetric difference of a link between sets of at most r features."""
         return 2 * (self.den - self.num) * r // (self.den + self.num)
 
-    def sketches(self, feats: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    def sketches(self, feats: np.ndarray, counts: np.ndarray, step: int, buckets: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """Words of 16 four-bit sums of features in buckets, and the words of each set.
 
-        Sets of one instance have equally many buckets, sixteen times the
+        Sets of one instance have equally many buckets, `buckets` times the
         instance's k; two sets differ in as many features as in buckets at least.
         """
         ends = self.bands(int(counts.max(initial=1)))
-        words = np.maximum(1, self.differences(ends[np.searchsorted(ends, counts) + step]))
+        words = np.maximum(1, -(-buckets * self.differences(ends[np.searchsorted(ends, counts) + step]) // 16))
         row = np.repeat(np.arange(len(counts)), counts)
         first = np.concatenate([[0], np.cumsum(words)])
         slot = 16 * first[row] + (_text.mix(feats ^ U(0x2545F4914F6CDD1D)) % (16 * words[row]).astype(np.uint64)).astype(np.int64)
@@ -384,10 +386,18 @@ class JaccardJoin:
         return differ * (den + num) <= (den - num) * (F.col(size) + F.col(other_size))
 
     def _ruled(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs (a, b) that their sketches leave possible."""
-        side = lambda c: self._few(sketches.dropDuplicates(["set_id", "instance"]).select(F.col("set_id").alias(c), "instance", F.col("size").alias("n" + c), F.col("sketch").alias("s" + c)))
-        both = self._few(pairs.join(side("a"), "a")).join(side("b"), ["b", "instance"])
-        return self._few(both.where(self._near("sa", "sb", "na", "nb")).select("a", "b")).distinct()
+        """Pairs (a, b) that their sketches leave possible: coarse ones, then fine ones for the pairs left.
+
+        A pair meets in one instance, the larger set's own; sets more than one band apart don't link.
+        """
+        band = lambda c: self._few(sketches.where("step = 0").select(F.col("set_id").alias(c), F.col("instance").alias("n" + c)).dropDuplicates([c]))
+        left = self._few(self._few(pairs.select("a", "b")).join(band("a"), "a")).join(band("b"), "b")
+        left = left.where(F.abs(F.col("na") - F.col("nb")) <= 1).select("a", "b", F.greatest("na", "nb").alias("instance"))
+        for sketch in ("coarse", "sketch"):
+            side = lambda c: self._few(sketches.select(F.col("set_id").alias(c), "instance", F.col("size").alias("n" + c), F.col(sketch).alias("s" + c)).dropDuplicates([c, "instance"]))  # noqa: B023, E731
+            both = self._few(self._few(left).join(side("a"), ["a", "instance"])).join(side("b"), ["b", "instance"])
+            left = checkpointed(both.where(self._near("sa", "sb", "na", "nb")).select("a", "b", "instance").coalesce(self.width))
+        return left.select("a", "b")
 
     def _shared(self, feats: DataFrame) -> DataFrame:
         """sign, set_id, step of the signatures that two or more candidate sets have."""
@@ -409,18 +419,20 @@ class JaccardJoin:
         return checkpointed(blocks.groupBy("part").applyInArrow(merge, "sign long, set_id long, step int").coalesce(self.width))
 
     def _sketches(self, feats: DataFrame) -> DataFrame:
-        """set_id, step, instance, size, sketch of every candidate set."""
+        """set_id, step, instance, size, sketch and coarse sketch of every candidate set."""
         scheme = self.scheme
 
+        def packed(words, n) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _text.as_long(words))
+
         def run(batches) -> Iterator[pa.RecordBatch]:
             for _, _, _, sets, (values, counts) in _set_slices(batches, scheme, False):
                 for k in (0, 1):
-                    words, n = scheme.sketches(values, counts, k)
-                    sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _text.as_long(words))
+                    sketch, coarse = packed(*scheme.sketches(values, counts, k)), packed(*scheme.sketches(values, counts, k, COARSE))
                     instance = np.searchsorted(scheme.bands(int(counts.max(initial=1))), counts) + k
-                    yield pa.record_batch([sets, pa.array(np.full(len(counts), k, np.int32)), pa.array(instance), pa.array(counts), sketch], ["set_id", "step", "instance", "size", "sketch"])
+                    yield pa.record_batch([sets, pa.array(np.full(len(counts), k, np.int32)), pa.array(instance), pa.array(counts), sketch, coarse], ["set_id", "step", "instance", "size", "sketch", "coarse"])
 
-        return checkpointed(self._few(feats.select("set_id", "feats").mapInArrow(run, "set_id long, step int, instance long, size long, sketch array<long>")))
+        return checkpointed(self._few(feats.select("set_id", "feats").mapInArrow(run, "set_id long, step int, instance long, size long, sketch array<long>, coarse array<long>")))
 
     def _rows(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
         """sign, set_id, step, comp of the signatures that sets of two components share."""
