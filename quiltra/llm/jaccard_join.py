@@ -38,8 +38,8 @@ BLOCK = 1_000_000
 HUB_DEALS = 64
 #: Candidate sets of one task once candidates are known; most documents have none, so later steps are small.
 SETS_PER_TASK = 2_000
-#: Buckets of a coarse sketch for each feature that a link may differ by; a fine one has 16.
-COARSE = 2
+#: Buckets of a sketch for each feature that a link may differ by: pairs that differ in 1.2 times as many are ruled out.
+BUCKETS = 8
 
 
 @dataclass(frozen=True)
@@ -66,19 +66,19 @@ class PartEnum:
         """Largest symmetric difference of a link between sets of at most r features."""
         return 2 * (self.den - self.num) * r // (self.den + self.num)
 
-    def sketches(self, feats: np.ndarray, counts: np.ndarray, step: int, buckets: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """Words of 16 four-bit sums of features in buckets, and the words of each set.
+    def sketches(self, feats: np.ndarray, counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of 64 buckets, each the parity of its number of features, and the words of each set.
 
-        Sets of one instance have equally many buckets, `buckets` times the
+        Sets of one instance have equally many buckets, BUCKETS times the
         instance's k; two sets differ in as many features as in buckets at least.
         """
         ends = self.bands(int(counts.max(initial=1)))
-        words = np.maximum(1, -(-buckets * self.differences(ends[np.searchsorted(ends, counts) + step]) // 16))
+        words = np.maximum(1, -(-BUCKETS * self.differences(ends[np.searchsorted(ends, counts) + step]) // 64))
         row = np.repeat(np.arange(len(counts)), counts)
         first = np.concatenate([[0], np.cumsum(words)])
-        slot = 16 * first[row] + (_text.mix(feats ^ U(0x2545F4914F6CDD1D)) % (16 * words[row]).astype(np.uint64)).astype(np.int64)
-        sums = np.bincount(slot, (_text.mix(feats + U(0x9E6C63D0876A9A47)) & U(15)).astype(np.float64), 16 * int(first[-1])).astype(np.uint64) & U(15)
-        return (sums.reshape(-1, 16) << (U(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64), words
+        slot = 64 * first[row] + (_text.mix(feats ^ U(0x2545F4914F6CDD1D)) % (64 * words[row]).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(slot, minlength=64 * int(first[-1])) & 1).astype(np.uint8)
+        return np.packbits(odd, bitorder="little").view(np.uint64), words
 
     def signatures(self, feats: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(signature, row, step) for sets given as concatenated distinct features and their counts; step 1 is the next band's instance."""
@@ -342,7 +342,8 @@ class JaccardJoin:
         if self.rare_share is not None:
             keep = self.possible(sets)
             reps = sets.groupBy("set_id").agg(F.min("doc").alias("doc")).join(keep, "set_id")
-            docs = written(docs.join(reps.select("doc"), "doc", "left_semi").select("doc", "text"), "possible-texts")
+            reps = checkpointed(reps.select("doc"))
+            docs = written(docs.join(F.broadcast(reps) if reps.count() <= SENT_IDS else reps, "doc", "left_semi").select("doc", "text"), "possible-texts")
         pairs = checkpointed(self.candidates(docs))
         # each set's most frequent star edge first: most others lie within a component then and need no test
         first = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
@@ -377,27 +378,20 @@ class JaccardJoin:
     def _near(self, sketch: str, other: str, size: str, other_size: str) -> Column:
         """Can sets with these sketches of one instance link?  Buckets that differ can't be more than features that may."""
         num, den = self.scheme.num, self.scheme.den
-
-        def apart(p, q):
-            x = p.bitwiseXOR(q)
-            return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111)))
-
-        differ = F.aggregate(F.zip_with(sketch, other, apart), F.lit(0), lambda a, n: a + n)
+        differ = F.aggregate(F.zip_with(sketch, other, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, n: a + n)
         return differ * (den + num) <= (den - num) * (F.col(size) + F.col(other_size))
 
     def _ruled(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs (a, b) that their sketches leave possible: coarse ones, then fine ones for the pairs left.
+        """Pairs (a, b) that their sketches leave possible.
 
         A pair meets in one instance, the larger set's own; sets more than one band apart don't link.
         """
         band = lambda c: self._few(sketches.where("step = 0").select(F.col("set_id").alias(c), F.col("instance").alias("n" + c)).dropDuplicates([c]))
-        left = self._few(self._few(pairs.select("a", "b")).join(band("a"), "a")).join(band("b"), "b")
-        left = left.where(F.abs(F.col("na") - F.col("nb")) <= 1).select("a", "b", F.greatest("na", "nb").alias("instance"))
-        for sketch in ("coarse", "sketch"):
-            side = lambda c: self._few(sketches.select(F.col("set_id").alias(c), "instance", F.col("size").alias("n" + c), F.col(sketch).alias("s" + c)).dropDuplicates([c, "instance"]))  # noqa: B023, E731
-            both = self._few(self._few(left).join(side("a"), ["a", "instance"])).join(side("b"), ["b", "instance"])
-            left = checkpointed(both.where(self._near("sa", "sb", "na", "nb")).select("a", "b", "instance").coalesce(self.width))
-        return left.select("a", "b")
+        side = lambda c: self._few(sketches.select(F.col("set_id").alias(c), "instance", F.col("size").alias("n" + c), F.col("sketch").alias("s" + c)).dropDuplicates([c, "instance"]))
+        met = self._few(self._few(pairs.select("a", "b")).join(band("a"), "a")).join(band("b"), "b")
+        met = self._few(met.where(F.abs(F.col("na") - F.col("nb")) <= 1).select("a", "b", F.greatest("na", "nb").alias("instance")))
+        both = self._few(met.join(side("a"), ["a", "instance"])).join(side("b"), ["b", "instance"])
+        return both.where(self._near("sa", "sb", "na", "nb")).select("a", "b")
 
     def _shared(self, feats: DataFrame) -> DataFrame:
         """sign, set_id, step of the signatures that two or more candidate sets have."""
@@ -419,20 +413,18 @@ class JaccardJoin:
         return checkpointed(blocks.groupBy("part").applyInArrow(merge, "sign long, set_id long, step int").coalesce(self.width))
 
     def _sketches(self, feats: DataFrame) -> DataFrame:
-        """set_id, step, instance, size, sketch and coarse sketch of every candidate set."""
+        """set_id, step, instance, size, sketch of every candidate set."""
         scheme = self.scheme
 
-        def packed(words, n) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _text.as_long(words))
-
         def run(batches) -> Iterator[pa.RecordBatch]:
             for _, _, _, sets, (values, counts) in _set_slices(batches, scheme, False):
                 for k in (0, 1):
-                    sketch, coarse = packed(*scheme.sketches(values, counts, k)), packed(*scheme.sketches(values, counts, k, COARSE))
+                    words, n = scheme.sketches(values, counts, k)
+                    sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _text.as_long(words))
                     instance = np.searchsorted(scheme.bands(int(counts.max(initial=1))), counts) + k
-                    yield pa.record_batch([sets, pa.array(np.full(len(counts), k, np.int32)), pa.array(instance), pa.array(counts), sketch, coarse], ["set_id", "step", "instance", "size", "sketch", "coarse"])
+                    yield pa.record_batch([sets, pa.array(np.full(len(counts), k, np.int32)), pa.array(instance), pa.array(counts), sketch], ["set_id", "step", "instance", "size", "sketch"])
 
-        return checkpointed(self._few(feats.select("set_id", "feats").mapInArrow(run, "set_id long, step int, instance long, size long, sketch array<long>, coarse array<long>")))
+        return checkpointed(self._few(feats.select("set_id", "feats").mapInArrow(run, "set_id long, step int, instance long, size long, sketch array<long>")))
 
     def _rows(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
         """sign, set_id, step, comp of the signatures that sets of two components share."""
@@ -443,12 +435,9 @@ class JaccardJoin:
 
     def _open_pairs(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b) across components with a common signature, but those whose sketches differ too much for a link."""
-        names = ["set_id", "comp", "size", "sketch"]
-        rows = self._few(self._few(rows).join(self._few(sketches.dropDuplicates(["set_id", "step"])), ["set_id", "step"]).select("sign", *names))
-        other = rows.select("sign", *[F.col(c).alias("o_" + c) for c in names])
-        near = (F.col("set_id") < F.col("o_set_id")) & (F.col("comp") != F.col("o_comp")) & self._near("sketch", "o_sketch", "size", "o_size")
-        left, right = rows.alias("l"), other.alias("r")
-        both = self._few(left.join(right, (F.col("l.sign") == F.col("r.sign")) & near)).select("set_id", F.col("o_set_id").alias("other"))
+        rows = self._few(self._few(rows).join(self._few(sketches.dropDuplicates(["set_id", "step"])), ["set_id", "step"]).select("sign", "set_id", "comp", "size", "sketch"))
+        near = (F.col("l.set_id") < F.col("r.set_id")) & (F.col("l.comp") != F.col("r.comp")) & self._near("l.sketch", "r.sketch", "l.size", "r.size")
+        both = self._few(rows.alias("l").join(rows.alias("r"), (F.col("l.sign") == F.col("r.sign")) & near)).select(F.col("l.set_id").alias("set_id"), F.col("r.set_id").alias("other"))
         # as unsigned order, which the stars have
         less = lambda x, y: F.expr(f"({x} ^ {-(2**63)}) < ({y} ^ {-(2**63)})")
         first = less("set_id", "other")
