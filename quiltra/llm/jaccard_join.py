@@ -40,6 +40,8 @@ HUB_DEALS = 64
 SETS_PER_TASK = 2_000
 #: Buckets of a sketch for each feature that a link may differ by: pairs that differ in 1.2 times as many are ruled out.
 BUCKETS = 8
+#: Stars around other sets of a signature before all pairs: they join most of a large group of near copies at little cost.
+PIVOTS = 3
 
 
 @dataclass(frozen=True)
@@ -193,6 +195,12 @@ def _meet(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("part").applyInArrow(merge, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b) from (set_id, other), the lesser first, as unsigned numbers like those of the stars."""
+    first = F.expr(f"(set_id ^ {-(2**63)}) < (other ^ {-(2**63)})")
+    return pairs.select(F.when(first, F.col("set_id")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("set_id")).alias("b"))
+
+
 class JaccardJoin:
     """Documents linked by Jaccard similarity of their word-shingle sets.
 
@@ -287,15 +295,20 @@ class JaccardJoin:
             if n:
                 yield flush(keys, ids)
 
-        def shared(group: pa.Table) -> pa.Table:
-            """How many counted features each set has that another set has too, and that it has at all."""
+        def alone(group: pa.Table) -> pa.Table:
+            """How many counted features each set has that no other set has, packed by the part of the set."""
             keys, ids, head = _distinct_pairs(*(np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint64) for c in ("keys", "ids")))
             last = np.concatenate([head[1:], [True]]) if len(head) else head
-            alone = ids[head & last]
-            own, n = np.unique(alone, return_counts=True)
+            own, n = np.unique(ids[head & last], return_counts=True)
+            return pa.Table.from_batches([_packed(own, n.astype(np.int64), parts)])
+
+        def summed(group: pa.Table) -> pa.Table:
+            own, back = np.unique(np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64), return_inverse=True)
+            n = np.bincount(back, np.frombuffer(b"".join(group.column("ids").to_pylist()), np.int64), len(own))
             return pa.table({"set_id": _text.as_long(own), "n": pa.array(n.astype(np.int64))})
 
-        alone = self.docs.select("text").mapInArrow(run, "part int, keys binary, ids binary").groupBy("part").applyInArrow(shared, "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("n"))
+        packed = "part int, keys binary, ids binary"
+        alone = self.docs.select("text").mapInArrow(run, packed).groupBy("part").applyInArrow(alone, packed).groupBy("part").applyInArrow(summed, "set_id long, n long")
         sizes = sets.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("size"))
         return sizes.join(alone, "set_id", "left").where(F.coalesce("n", F.lit(0)) * num <= (den - num) * F.col("size")).select("set_id")
 
@@ -353,14 +366,16 @@ class JaccardJoin:
         result = self.verified(feats.where("a is not null").select("a", F.col("set_id").alias("b"), F.col("feats").alias("fb")), feats, held=True)
         edges = result.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = components(edges)
-        # then the other star edges between components, then all pairs between components with a common signature;
-        # sketches rule most of them out before features are read
-        sketches, tested = self._sketches(feats), first
-        for star in (True, False):
-            if star:
+        # then the other star edges between components, then stars around other sets of each signature, then all pairs
+        # between components with a common signature; sketches rule most of them out before features are read
+        sketches, tested, shared = self._sketches(feats), first, None
+        for turn in range(PIVOTS + 2):
+            if turn == 0:
                 rest = self._ruled(self._across(pairs, roots), sketches)
             else:
-                rest = self._open_pairs(self._rows(self._shared(feats), roots), sketches)
+                shared = self._shared(feats) if shared is None else shared
+                rows = self._rows(shared, roots)
+                rest = self._ruled(self._star_pairs(rows, turn), sketches) if turn <= PIVOTS else self._open_pairs(rows, sketches)
             more = checkpointed(self._few(rest).join(self._few(tested), ["a", "b"], "left_anti").coalesce(self.width))
             if not more.isEmpty():
                 tested = tested.union(more)
@@ -433,15 +448,18 @@ class JaccardJoin:
         mixed = self._few(named.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign"))
         return checkpointed(named.join(mixed, "sign").coalesce(self.width))
 
+    def _star_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
+        """(a, b): pairs across components of each signature's sets with one of them, another one each turn."""
+        pivots = rows.groupBy("sign").agg(F.min_by(F.struct("set_id", "comp"), F.xxhash64("set_id", F.lit(turn))).alias("pivot"))
+        both = self._few(self._few(rows).join(self._few(pivots), "sign")).where("comp <> pivot.comp")
+        return self._few(_ordered(both.select("set_id", F.col("pivot.set_id").alias("other"))).distinct())
+
     def _open_pairs(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b) across components with a common signature, but those whose sketches differ too much for a link."""
         rows = self._few(self._few(rows).join(self._few(sketches.dropDuplicates(["set_id", "step"])), ["set_id", "step"]).select("sign", "set_id", "comp", "size", "sketch"))
         near = (F.col("l.set_id") < F.col("r.set_id")) & (F.col("l.comp") != F.col("r.comp")) & self._near("l.sketch", "r.sketch", "l.size", "r.size")
         both = self._few(rows.alias("l").join(rows.alias("r"), (F.col("l.sign") == F.col("r.sign")) & near)).select(F.col("l.set_id").alias("set_id"), F.col("r.set_id").alias("other"))
-        # as unsigned order, which the stars have
-        less = lambda x, y: F.expr(f"({x} ^ {-(2**63)}) < ({y} ^ {-(2**63)})")
-        first = less("set_id", "other")
-        return both.select(F.when(first, F.col("set_id")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("set_id")).alias("b")).distinct()
+        return _ordered(both).distinct()
 
     def groups(self) -> DataFrame:
         """doc, n_shingles, component: the least doc reachable by links, the document itself included."""
