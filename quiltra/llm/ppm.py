@@ -11,6 +11,7 @@ shorter context, where the bytes seen above are excluded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from ._spark import crc_fold, table, tasks, written
 U = np.uint64
 ORDER = 5
 HELD_OUT = (7, 2)
-#: Bound of the trie that scoring tasks hold, in strings of its deepest level; a larger one loses its rarest deepest strings, which then score one level up.
+#: Bound of the strings that scoring tasks hold of a level; the scores of the other strings are joined, so it changes no score.
 TRIE_STRINGS = 3_000_000
 #: Bound of the word counts that scoring tasks hold; the other words' counts are joined.
 KNOWN_WORDS = 800_000
@@ -198,11 +199,11 @@ class Trie:
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[i] == wanted, i, -1)
 
-    def walk(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each string in the context of the bytes before it."""
+    def walk(self, code: np.ndarray, seen_total: np.ndarray | None = None, seen_distinct: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of the last byte of each string in the context of the bytes before it; seen: what a context longer than all of this trie has."""
         out = np.zeros(len(code))
         left = np.arange(len(code))
-        seen_total, seen_distinct = np.zeros(len(code)), np.zeros(len(code))
+        seen_total, seen_distinct = (np.zeros(len(code)) if x is None else x.copy() for x in (seen_total, seen_distinct))
         for k in range(self.order, -1, -1):
             own = code[left] & U((1 << (8 * (k + 1))) - 1)
             c = self._at(self.contexts[k], own >> U(8))
@@ -234,24 +235,114 @@ class Trie:
         return out
 
 
-def trie_of(found: DataFrame, order: int, most: int = TRIE_STRINGS) -> Trie:
-    """Collect the trie: each level's counts are sums of the deepest level's; a level over `most` strings loses its rarest."""
-    deepest = found.where("kind = 0").select("key", "n")
-    levels = []
-    for k in range(order + 1):
-        level = deepest.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")) if k < order else deepest
-        spread = level.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.count(F.lit(1)).alias("strings")).orderBy(F.desc("size")).collect()  # a few hundred rows
-        held, least = 0, 0
+def _lower(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of k context bytes and one more, from longer ones."""
+    return _summed(keys & U((1 << (8 * (k + 1))) - 1), n)
+
+
+def _ends(column, k: int, order: int):
+    """The last k + 1 bytes of strings of order + 1 bytes."""
+    return column.bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)) if k < order else column
+
+
+@dataclass
+class Model:
+    """Context trie in two parts: `trie` holds the levels that are sent whole, `large` has the longer ones as written tables.
+
+    large: (k, strings: key, n; contexts: context, total, distinct, above), deepest first.
+    With large levels, hot and hot_logs are deepest strings of high count and their log10 probabilities.
+    """
+
+    trie: Trie
+    large: list[tuple[int, DataFrame, DataFrame]]
+    hot: np.ndarray
+    hot_logs: np.ndarray
+
+
+def _arrays(rows: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows.toArrow()
+    return rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(kind)
+
+
+def model_of(found: DataFrame, order: int, most: int = TRIE_STRINGS) -> Model:
+    """Each level's counts are sums of the deepest level's; levels up to `most` strings are collected, larger ones stay tables.
+
+    Contexts of one byte and of none have 65,536 strings at most and are always collected.
+    """
+    level, large = found.where("kind = 0").select("key", "n"), []
+    k = order
+    while k > 1 and level.count() > most:
+        shorter = written(level.groupBy(_ends(F.col("key"), k - 1, order).alias("key")).agg(F.sum("n").alias("n")), f"model-level-{k - 1}")
+        held = level.withColumn("shorter", _ends(F.col("key"), k - 1, order)).join(shorter.select(F.col("key").alias("shorter"), F.col("n").alias("held")), "shorter")
+        contexts = held.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("held").alias("above"))
+        large.append((k, level, written(contexts, f"model-contexts-{k}")))
+        level, k = shorter, k - 1
+    levels = [_arrays(level, np.int64)]
+    for j in range(k - 1, -1, -1):
+        levels.insert(0, _lower(*levels[0], j))
+    hot, hot_logs = np.zeros(0, np.uint64), np.zeros(0)
+    if large:
+        _, deepest, contexts = large[0]
+        size = F.floor(F.log2("n") * 4)
+        spread = deepest.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("strings")).orderBy(F.desc("size")).collect()  # a few hundred rows
+        held, least = 0, None
         for row in spread:
-            held += row["strings"]
-            if held > most:
-                least = row["size"] + 1
+            if held + row["strings"] > most:
                 break
-        if k < order or held > most:
-            level = level.where(F.floor(F.log2("n") * 4) >= least)
-        rows = level.toArrow()
-        levels.append((rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64)))
-    return Trie(order, levels)
+            held, least = held + row["strings"], row["size"]
+        if least is not None:
+            scores = deepest.where(size >= least).withColumn("context", F.shiftrightunsigned("key", 8)).join(contexts, "context")
+            hot, hot_logs = _arrays(scores.select("key", F.log10((F.col("n") - 0.5) / F.col("total")).alias("log")), np.float64)
+    return Model(Trie(k, levels), large, hot, hot_logs)
+
+
+def far_scores(wanted: DataFrame, model: Model, order: int) -> DataFrame:
+    """key, score of the strings in wanted.key, each once: large levels by joins of strings and contexts, then Trie.walk()."""
+    zero = F.lit(0.0)
+    left = wanted.select("key").distinct().select("key", zero.alias("score"), zero.alias("seen_total"), zero.alias("seen_distinct"))
+    done = []
+    for k, level, contexts in model.large:
+        own = left.withColumns({"own": _ends(F.col("key"), k, order), "context": F.shiftrightunsigned(_ends(F.col("key"), k, order), 8)})
+        own = own.join(contexts, "context", "left").join(level.select(F.col("key").alias("own"), "n"), "own", "left")
+        room, fresh = F.col("total") - F.col("seen_total"), F.col("distinct") - F.col("seen_distinct")
+        state = own.select(
+            "key",
+            F.col("n").isNotNull().alias("hit"),
+            (F.col("score") + F.when(F.col("n").isNotNull(), F.log10((F.col("n") - 0.5) / room)).when(fresh > 0, F.log10(0.5 * fresh / room)).otherwise(zero)).alias("score"),
+            F.coalesce(F.col("above").cast("double"), "seen_total").alias("seen_total"),
+            F.coalesce(F.col("distinct").cast("double"), "seen_distinct").alias("seen_distinct"),
+        )
+        state = written(state, f"far-level-{k}")
+        done.append(state.where("hit").select("key", "score"))
+        left = state.where("not hit").drop("hit")
+    sent = wanted.sparkSession.sparkContext.broadcast(model.trie)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, score, total, distinct = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            yield pa.record_batch([pa.array(keys), pa.array(score + sent.value.walk(keys.astype(np.int64).view(np.uint64), total, distinct))], ["key", "score"])
+
+    out = left.mapInArrow(run, "key long, score double")
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+class _Far:
+    """Keys that a task has no value for, and the rows they stand in."""
+
+    def __init__(self):
+        self.keys, self.rows, self.n = [], [], 0
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        if len(keys):
+            self.keys.append(keys), self.rows.append(rows)
+            self.n += len(keys)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        out = np.concatenate(self.keys), np.concatenate(self.rows)
+        self.__init__()
+        return out
 
 
 # -- scoring --------------------------------------------------------------------
@@ -272,7 +363,8 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     n_docs = train.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
-    trie = trie_of(found, order, trie_strings)
+    model = model_of(found, order, trie_strings)
+    whole = not model.large
     spread = words.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect()  # a few hundred rows
     held, least = 0, None
     for row in spread:
@@ -282,20 +374,21 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     size = F.floor(F.log2("n") * 8)
     common = words.where(size >= least) if least is not None else words.where("false")
     common = common.toArrow()
-    sent = spark.sparkContext.broadcast((trie, common.column("key").to_numpy().astype(np.int64).view(np.uint64), common.column("n").to_numpy().astype(np.int64)))
+    sent = spark.sparkContext.broadcast((model.trie if whole else None, model.hot, model.hot_logs, common.column("key").to_numpy().astype(np.int64).view(np.uint64), common.column("n").to_numpy().astype(np.int64)))
     parts, end_log = 2 * tasks(spark), float(np.log10(n_docs + 1))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        trie, keys, n = sent.value
+        trie, hot, hot_logs, keys, n = sent.value
+        hot = None if whole else HashTable(hot)
         known, logs = HashTable(keys), np.log10(n + 1.0)
         base, at = TaskContext.get().partitionId() << 33, 0
-        far_keys, far_rows, far = [], [], 0
+        far = {0: _Far(), 1: _Far()}  # strings, words
         none = lambda m, t: pa.nulls(m, t)
 
-        def flush():
-            own = _blocks(0, np.concatenate(far_keys), np.concatenate(far_rows), parts)
+        def flush(kind):
+            own = _blocks(kind, *far[kind].taken(), parts)
             m = own.num_rows
-            return pa.RecordBatch.from_arrays([none(m, fields[0]), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), own.column(1), own.column(2), own.column(3)], names)
+            return pa.RecordBatch.from_arrays([none(m, fields[0]), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), *own.columns], names)
 
         fields = None
         for part in _text.slices(batches):
@@ -303,7 +396,13 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
             text, m = part.column(2), part.num_rows
             found = _text.words(text)
             data, bounds = stream(text, found)
-            sums = np.concatenate([[0.0], np.cumsum(trie.log10(strings(data, bounds, trie.order)))])
+            code = strings(data, bounds, order)
+            if whole:
+                each = trie.log10(code)
+            else:
+                at_hot = hot.find(code)
+                each, miss = np.where(at_hot >= 0, hot_logs[at_hot], 0.0) if len(hot_logs) else np.zeros(len(code)), np.flatnonzero(at_hot < 0)
+            sums = np.concatenate([[0.0], np.cumsum(each)])
             score = sums[bounds[1:]] - sums[bounds[:-1]]
             place = known.find(found.hash)
             hit = place >= 0
@@ -311,60 +410,69 @@ def score_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
             n_known = np.bincount(found.doc[hit], minlength=m)
             ids = base + at + np.arange(m)
             at += m
-            if (~hit).any():
-                far_keys.append(found.hash[~hit]), far_rows.append(ids[found.doc[~hit]])
-                far += int((~hit).sum())
+            far[1].add(found.hash[~hit], ids[found.doc[~hit]])
+            if not whole:
+                far[0].add(code[miss], np.repeat(ids, np.diff(bounds))[miss])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(ids), pa.array(np.diff(found.first) + 1), pa.array(n_known + (end_log > 0)), pa.array(base_log + end_log), pa.array(score), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary())], names
+                [part.column(0), part.column(1), pa.array(ids), pa.array(np.diff(found.first) + 1), pa.array(n_known + (end_log > 0)), pa.array(base_log + end_log), pa.array(score), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary()), none(m, pa.binary())], names
             )
-            if far >= FLUSH:
-                yield flush()
-                far_keys, far_rows, far = [], [], 0
-        if far:
-            yield flush()
+            for kind in far:
+                if far[kind].n >= FLUSH:
+                    yield flush(kind)
+        for kind in far:
+            if far[kind].n:
+                yield flush(kind)
 
-    names = ["doc", "held_out", "row", "n_tokens", "n_known", "base_log", "score", "part", "keys", "n"]
-    scored = written(rows.mapInArrow(run, f"doc {kind}, held_out boolean, row long, n_tokens long, n_known long, base_log double, score double, part int, keys binary, n binary"), "scored")
-
-    # the rarer words: each part of the hash space meets its own counts
-    packed = words.where(size < least) if least is not None else words
+    names = ["doc", "held_out", "row", "n_tokens", "n_known", "base_log", "score", "kind", "part", "keys", "n"]
+    scored = written(rows.mapInArrow(run, f"doc {kind}, held_out boolean, row long, n_tokens long, n_known long, base_log double, score double, kind int, part int, keys binary, n binary"), "scored")
 
+    # the rarer words and strings: each part of the hash space meets its own values
     def pack(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _blocks(1, *(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(t) for i, t in ((0, np.uint64), (1, np.int64))), parts)
+                yield _blocks(1, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), parts)
 
-    sides = scored.where("part is not null").select(F.lit(0).alias("kind"), "part", "keys", "n").unionByName(packed.mapInArrow(pack, _BLOCKS))
+    def unpack(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in batch.column(0):
+                yield pa.record_batch([pa.array(np.unique(np.frombuffer(keys.as_py(), np.int64)))], ["key"])
+
+    def sides(kind: int, values: DataFrame) -> DataFrame:
+        """Far keys of a kind with their rows, and the logarithm of each key."""
+        return scored.where(F.col("kind") == kind).select(F.lit(0).alias("kind"), "part", "keys", "n").unionByName(values.mapInArrow(pack, _BLOCKS))
 
     def meet(group: pa.Table) -> pa.Table:
         side = np.array(group.column("kind").to_pylist())
         keys, n = (np.array(group.column(c).to_pylist(), object) for c in ("keys", "n"))
         join = lambda which, t, c: np.frombuffer(b"".join(c[side == which]), t)
         mine, rows = join(0, np.uint64, keys), join(0, np.int64, n)
-        theirs, count = join(1, np.uint64, keys), join(1, np.int64, n)
+        theirs, log = join(1, np.uint64, keys), join(1, np.float64, n)
         if not len(mine) or not len(theirs):
             return pa.table({"row": pa.array([], pa.int64()), "log": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
         by = np.argsort(theirs)
-        theirs, count = theirs[by], count[by]
+        theirs, log = theirs[by], log[by]
         at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
         hit = theirs[at] == mine
         own, back, known = np.unique(rows[hit], return_inverse=True, return_counts=True)
-        return pa.table({"row": pa.array(own), "log": pa.array(np.bincount(back, np.log10(count[at[hit]] + 1.0), len(own))), "known": pa.array(known.astype(np.int64))})
+        return pa.table({"row": pa.array(own), "log": pa.array(np.bincount(back, log[at[hit]], len(own))), "known": pa.array(known.astype(np.int64))})
+
+    def summed(kind: int, values: DataFrame) -> DataFrame:
+        return sides(kind, values).groupBy("part").applyInArrow(meet, "row long, log double, known long").groupBy("row").agg(F.sum("log").alias("log"), F.sum("known").alias("known"))
 
-    rare = sides.groupBy("part").applyInArrow(meet, "row long, log double, known long").groupBy("row").agg(F.sum("log").alias("log"), F.sum("known").alias("known"))
+    rare = summed(1, (words.where(size < least) if least is not None else words).select("key", F.log10(F.col("n") + 1.0).alias("log")))
+    base = scored.where("kind is null").drop("kind", "part", "keys", "n").join(rare, "row", "left")
+    if not whole:
+        wanted = scored.where("kind = 0").select("keys").mapInArrow(unpack, "key long")
+        base = base.join(summed(0, far_scores(wanted, model, order)).select("row", F.col("log").alias("far_score")), "row", "left")
     unit = float(np.log10(total + distinct + 1))
-    return (
-        scored.where("part is null")
-        .join(rare, "row", "left")
-        .select(
-            F.col("doc").alias(doc_col),
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-            F.lit(int(total)).cast("long").alias("train_tokens"),
-            (F.col("base_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-            "score",
-        )
+    return base.select(
+        F.col("doc").alias(doc_col),
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
+        "score" if whole else (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -53,6 +53,15 @@ def test_base_scores_and_ppm_are_brute_force(spark, known_words):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("order, trie_strings", [(3, 0), (3, 400), (5, 0), (5, 700)])
+def test_ppm_scores_strings_that_tasks_do_not_hold(spark, order, trie_strings):
+    rows = texts(3) + [(k, "zq xk " * k) for k in range(60, 80)]
+    got = {r.doc_id: r.score for r in ppm.score_documents(frame(spark, rows).repartition(3), order=order, trie_strings=trie_strings).collect()}
+    stream = lambda t: b"".join(w + b" " for w in brute.words(t)) + b"\0"
+    want = brute.ppm([stream(t) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2], [stream(t) for _, t in rows], order)
+    assert np.allclose([got[k] for k, _ in rows], want, rtol=1e-9, atol=1e-9)
+
+
 def test_ppm_of_empty_tables_and_no_training_rows(spark):
     assert ppm.score_documents(frame(spark, []), order=2).count() == 0
     k = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
