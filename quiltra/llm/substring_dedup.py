@@ -7,6 +7,13 @@ and the sentences of every run but the first (least document id, then place)
 are removed.  A task first settles the equal runs among its own documents: all
 but its least occurrence are non-first for certain, so a run that a third of
 all documents share leaves each task once.
+
+A passage need not hold whole sentences.  With `passage` words, each document
+is also cut at content-defined words, whatever its sentences: the least word
+hash of every WINDOW consecutive words begins a piece.  Inside equal passages
+the cuts are equal but for those near the ends, so runs of pieces of
+piece_words(passage) words at least meet for every repeated passage of
+`passage` words, and such a passage always loses words.
 """
 
 from __future__ import annotations
@@ -26,6 +33,12 @@ U = np.uint64
 RUN = 2
 #: A run has so many words at least: less repeats by chance.
 MIN_WORDS = 20
+#: Every repeated passage of so many words loses words.
+PASSAGE_WORDS = 50
+#: A piece begins in every so many consecutive words.
+WINDOW = 6
+#: Added to the place of a run of pieces: its first word's number in the document.
+PIECES = 1 << 30
 BLOCK = 1_000_000
 NO_ID = -(2**63)
 _STOP = np.zeros(256, bool)
@@ -56,8 +69,41 @@ def run_ends(first: np.ndarray, doc: np.ndarray, n_words: int, rows: int, run: i
     return last, place, ((wanted <= ends[doc]) | (place == 0)) & (bounds[last] - first >= min_words)
 
 
-def spans(column: pa.Array, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first sentence within the row) of every run of a slice."""
+def piece_words(passage: int) -> int:
+    """The most words that a run of pieces can ask for and still be inside every passage.
+
+    The first cut lies in the first WINDOW words, the last one in the last WINDOW, and a run ends WINDOW - 1 words late at most.
+    """
+    return passage - 3 * WINDOW + 2
+
+
+def piece_begins(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Words that have the least hash (the last one of equals) of some WINDOW consecutive words of a document."""
+    m = len(h) - WINDOW + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    least, at = h[:m].copy(), np.arange(m)
+    for j in range(1, WINDOW):
+        lower = h[j : j + m] <= least
+        least[lower] = h[j : j + m][lower]
+        at[lower] = np.flatnonzero(lower) + j
+    chosen = np.zeros(len(h), bool)
+    chosen[at[doc[:m] == doc[WINDOW - 1 :]]] = True
+    return np.flatnonzero(chosen)
+
+
+def piece_runs(h: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the run of pieces from each cut: to the first cut that is `least` words or more after it, within a document."""
+    begin = piece_begins(h, doc)
+    to = np.searchsorted(begin, begin + least)
+    ok = to < len(begin)
+    begin, end = begin[ok], begin[to[ok]]
+    same = doc[begin] == doc[end]
+    return begin[same], end[same]
+
+
+def spans(column: pa.Array, run: int, min_words: int, passage: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place) of every run of a slice: the first sentence within the row, or PIECES and the first word."""
     found, first = sentences(column)
     if len(first) == 0:
         z = np.zeros(0, np.int64)
@@ -68,7 +114,12 @@ def spans(column: pa.Array, run: int, min_words: int) -> tuple[np.ndarray, np.nd
     last, place, keep = run_ends(first, doc, len(found.hash), len(column), run, min_words)
     begin, end = first[keep], np.append(first, len(found.hash))[last][keep]
     h = _text.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return h, doc[keep], place[keep]
+    if passage is None:
+        return h, doc[keep], place[keep]
+    begin, end = piece_runs(found.hash, found.doc, piece_words(passage))
+    pieces = _text.mix(_text.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)) + U(PIECES))
+    row = found.doc[begin]
+    return np.concatenate([h, pieces]), np.concatenate([doc[keep], row]), np.concatenate([place[keep], PIECES + begin - found.first[row]])
 
 
 def _settled(keys: np.ndarray, docs: np.ndarray, place: np.ndarray):
@@ -83,8 +134,8 @@ def _settled(keys: np.ndarray, docs: np.ndarray, place: np.ndarray):
     return keys, docs, place, head
 
 
-def repeats(docs: DataFrame, doc_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
-    """doc, place: the first sentence of every non-first run."""
+def repeats(docs: DataFrame, doc_col: str, text_col: str, run: int, min_words: int, passage: int | None = None) -> DataFrame:
+    """doc, place: the first sentence of every non-first run, or PIECES and its first word."""
     parts = U(2 * tasks(docs.sparkSession))
 
     def blocks(kind: int, keys, ids, place) -> pa.RecordBatch:
@@ -104,7 +155,7 @@ def repeats(docs: DataFrame, doc_col: str, text_col: str, run: int, min_words: i
     def gather(batches) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for part in _text.slices(batches):
-            h, row, place = spans(part.column(1), run, min_words)
+            h, row, place = spans(part.column(1), run, min_words, passage)
             rows.append((h, part.column(0).to_numpy(zero_copy_only=False)[row], place))
             n += len(h)
             if n >= BLOCK:
@@ -125,23 +176,38 @@ def repeats(docs: DataFrame, doc_col: str, text_col: str, run: int, min_words: i
     return rows.mapInArrow(gather, "kind int, part int, keys binary, docs binary, place binary").groupBy("part").applyInArrow(meet, "doc long, place int")
 
 
-def _reduced(text: str, places, run: int, min_words: int) -> tuple[str, int, int]:
+def _reduced(text: str, places, run: int, min_words: int, passage: int | None = None) -> tuple[str, int, int]:
     column = pa.array([text])
     found, first = sentences(column)
     n = len(first)
     if places is None or len(places) == 0:
         return text, n, 0
-    gone = np.zeros(n, bool)
+    places = np.asarray(places, np.int64)
+    gone = np.zeros(len(found.hash) + 1, np.int64)  # +1 where a removed range of words begins, -1 at its end
     last, _, _ = run_ends(first, found.doc[first], len(found.hash), 1, run, min_words)
-    for p in places:
-        gone[p : last[p]] = True
+    whole = places[places < PIECES]
+    np.add.at(gone, first[whole], 1)
+    np.add.at(gone, np.append(first, len(found.hash))[last[whole]], -1)
+    if passage is not None:
+        begin, end = piece_runs(found.hash, found.doc, piece_words(passage))
+        mine = np.isin(begin, places[places >= PIECES] - PIECES)
+        np.add.at(gone, begin[mine], 1)
+        np.add.at(gone, end[mine], -1)
+    gone = np.cumsum(gone[:-1]) > 0
     raw = text.encode("utf-8", "surrogatepass")
-    cuts = [0, *found.start[first[1:]].tolist(), len(raw)]
-    return b"".join(raw[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(~gone)).decode("utf-8", "surrogatepass"), n, int(gone.sum())
+    turns = np.flatnonzero(np.diff(gone)) + 1
+    cuts = [0, *found.start[turns].tolist(), len(raw)]
+    kept = [raw[b:e] for b, e, g in zip(cuts, cuts[1:], gone[np.append(0, turns)]) if not g]
+    return b"".join(kept).decode("utf-8", "surrogatepass"), n, int(np.logical_or.reduceat(gone, first).sum())
+
 
+def substring_dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS, passage: int | None = None) -> DataFrame:
+    """All rows and columns of docs, the text without non-first repeated runs, n_sentences and n_removed (sentences that lose words).
 
-def substring_dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of docs, the text without non-first repeated runs, n_sentences and n_removed.
+    With `passage`, of 20 or more, every passage of so many words that stands
+    elsewhere before loses words also where it holds no whole sentences; up to
+    2 * WINDOW words at each of its ends may stay.  Without, only runs of whole
+    sentences are removed.
 
     Words are compared with A-Z lower-cased, whatever the spaces between them.
     Null texts become empty.  Rows with one id count as one document, null ids
@@ -149,16 +215,16 @@ def substring_dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     n_removed are replaced.  Runs are compared by a 64-bit hash.
     """
     mark = free_name(docs, "_places")
-    gone = repeats(docs, doc_col, text_col, run, min_words).groupBy("doc").agg(F.collect_set("place").alias(mark)).withColumnRenamed("doc", mark + "_doc")
+    gone = repeats(docs, doc_col, text_col, run, min_words, passage).groupBy("doc").agg(F.collect_set("place").alias(mark)).withColumnRenamed("doc", mark + "_doc")
     joined = docs.join(gone, F.coalesce(docs[doc_col].cast("long"), F.lit(NO_ID)) == gone[mark + "_doc"], "left").drop(mark + "_doc")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def reduce(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_reduced(t or "", p, run, min_words) for t, p in zip(text, places)], columns=["text", "n_sentences", "n_removed"])
+        return pd.DataFrame([_reduced(t or "", p, run, min_words, passage) for t, p in zip(text, places)], columns=["text", "n_sentences", "n_removed"])
 
     out = joined.withColumn(mark + "_out", reduce(F.col(text_col), F.col(mark)))
     return out.withColumns({text_col: F.col(mark + "_out.text"), "n_sentences": F.col(mark + "_out.n_sentences"), "n_removed": F.col(mark + "_out.n_removed")}).drop(mark, mark + "_out")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "text")
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE_WORDS).select("doc_id", "n_sentences", "n_removed", "text")

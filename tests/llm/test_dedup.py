@@ -54,6 +54,30 @@ def test_substring_dedup_keeps_the_first_and_all_columns(spark):
     assert substring_dedup.substring_dedup(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_substring_dedup_finds_every_passage_of_50_words(spark, seed, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 200 if seed == 11 else 10**6)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))
+    text = lambda n, stop: " ".join(word() + (rng.choice(".!?\n") if rng.random() < stop else "") for _ in range(n))
+    rows, planted = [], {}
+    for k in range(40):  # no sentence begin inside, few of them, and short sentences
+        passage = text(50, [0, 0.03, 0.3][k % 3])
+        planted[100 + k] = passage.split()
+        rows += [(k, f"{text(rng.randint(0, 80), 0.1)} {passage} {text(30, 0.1)}"), (100 + k, f"{text(rng.randint(0, 80), 0.1)} {passage.upper()} {text(30, 0.1)}")]
+    rows += [(200, text(400, 0)), (201, "ab " * 300), (202, None)]
+    clean = {k for k, _ in rows} - set(planted) - {201}
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, rows).repartition(3), passage=50).collect()}
+    for k, text_in in rows:
+        left, own = (got[k].text or "").split(), (text_in or "").split()
+        if k in clean:
+            assert left == own and got[k].n_removed == 0
+        elif k in planted:
+            assert got[k].n_removed > 0 and 50 - 4 * substring_dedup.WINDOW <= len(own) - len(left) <= 50
+            at = next(i for i in range(len(own)) if own[i : i + 50] == [w.upper() for w in planted[k]])
+            assert left[:at] == own[:at] and left[len(left) - (len(own) - at - 50) :] == own[at + 50 :]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_suffix_dedup_is_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FLUSH", 50 if seed == 3 else 10**6)
