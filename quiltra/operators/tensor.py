@@ -97,6 +97,35 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
 
 
+def gram(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """i, j, v of C = A'A over the rows of an array column; each task adds up its own products before the shuffle.
+
+    Rows may differ in length; an element that is missing or null adds nothing.
+    """
+
+    def run(batches):
+        total, met = np.zeros((0, 0)), np.zeros((0, 0), bool)
+        for batch in batches:
+            lists = batch.column(0)
+            size = np.diff(lists.offsets.to_numpy()) * np.asarray(lists.is_valid())
+            width = int(size.max(initial=0))
+            if width > len(total):
+                grow = ((0, width - len(total)),) * 2
+                total, met = np.pad(total, grow), np.pad(met, grow)
+            for begin in range(0, len(size), 4096):
+                own = size[begin : begin + 4096]
+                a, there = np.zeros((len(own), len(total))), np.arange(len(total)) < own[:, None]
+                values = lists.slice(begin, 4096).flatten()
+                a[there] = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+                there[there] = np.asarray(values.is_valid())
+                total += a.T @ a
+                met |= (there.T.astype(np.float32) @ there) > 0
+        i, j = np.nonzero(met)
+        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "v"])
+
+    return vectors.select(F.col(column).cast("array<double>")).mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def query_distances(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
     """Cosine distances of a stated query set to every row, in blocks of queries; each block is one pass over the rows."""
     n = queries.count()

@@ -9,6 +9,7 @@ import __spark_entry__
 from quiltra import model
 from quiltra.functions import color
 from quiltra.operators import stencil
+from quiltra.operators import tensor as T
 from quiltra.plans import catalog
 from quiltra.sources import images
 from quiltra.streaming import background
@@ -103,3 +104,20 @@ def test_entry_and_registry(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert len(catalog.QUERIES) >= 200
+
+
+def test_gram_multiplies_all_dimensions(spark):
+    vectors = np.random.default_rng(5).standard_normal((300, 20))
+    rows = [(k, v[: 20 - k % 3].tolist()) for k, v in enumerate(vectors)] + [(300, None), (301, []), (302, [None, 2.0])]
+    full = np.zeros((303, 20))
+    for k, v in rows:
+        full[k, : len(v or [])] = [x or 0.0 for x in v or []]
+    got = {(r.i, r.j): r.v for r in T.gram(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert len(got) == 400 and np.allclose([[got[i, j] for j in range(20)] for i in range(20)], full.T @ full)
+    assert T.gram(spark.createDataFrame([], "embedding array<double>")).count() == 0
+
+
+def test_gemm_of_the_embeddings_has_every_cell(spark):
+    found = catalog.QUERIES["gemm_full_32f"](spark, DATA)
+    assert found.count() == 64 * 64
+    assert {tuple(r) for r in catalog.QUERIES["gemm_32f"](spark, DATA).collect()} <= {tuple(r) for r in found.collect()}
