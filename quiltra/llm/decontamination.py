@@ -6,7 +6,9 @@ nothing to a product with an item), with document frequencies over the whole
 corpus.  A distributed randomised SVD - each task adds up A'(A Omega) of its
 own passages - gives the latent space; the items take part in it with half of
 the weight, so that their rare words keep a direction.  Every passage is
-compared with every item by latent cosine, in blocks, and a candidate is
+compared with every item by latent cosine, in blocks; an item of more words
+than a passage is cut into overlapping parts of a passage's length, so that a
+passage of its copy is like one of them however long it is.  A candidate is
 confirmed by the longest common subsequence of its words with the item's and
 with the item's closing words, its answer.
 """
@@ -58,6 +60,12 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def parts(n: int) -> list[tuple[int, int]]:
+    """Begin and end of the parts of an item of n words: passages a block apart, the last one at the end."""
+    size = 2 * BLOCK_WORDS
+    return [(b, b + size) for b in [*range(0, n - size, BLOCK_WORDS), n - size]] if n > size else [(0, n)]
+
+
 class Terms:
     """Benchmark words of a slice of documents, by block."""
 
@@ -124,7 +132,9 @@ class Decontamination:
         n, df = df[-1], df[:-1]
         idf = np.log((n + 1) / (df + 1)) + 0.1
         keep = df <= max(5.0, MAX_DF * n)
-        columns = [np.searchsorted(vocabulary, w) for _, w in self.items]
+        cuts = [(i, b, e) for i, (_, w) in enumerate(self.items) for b, e in parts(len(w))]
+        self.item_of = np.array([i for i, _, _ in cuts])
+        columns = [np.searchsorted(vocabulary, self.items[i][1][b:e]) for i, b, e in cuts]
         for c in columns:
             own = np.unique(c)
             keep[own[np.argsort(df[own], kind="stable")[:RAREST]]] = True
@@ -177,11 +187,12 @@ class Decontamination:
 
     def _pass(self, spark: SparkSession, rows: DataFrame, which: slice, schema: str) -> DataFrame:
         items = [(int(i), [int(x) for x in w]) for i, w in self.items[which]]
-        sent = spark.sparkContext.broadcast((self.vocabulary, self.weights, self.basis, self.latent[which], items))
+        held = slice(*np.searchsorted(self.item_of, [which.start, which.stop]))
+        sent = spark.sparkContext.broadcast((self.vocabulary, self.weights, self.basis, self.latent[held], self.item_of[held] - which.start, items))
         cosine, lcs_share, answer_share = self.cosine, self.lcs_share, self.answer_share
 
         def run(batches) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, basis, latent, items = sent.value
+            vocabulary, weights, basis, latent, item_of, items = sent.value
             known = HashTable(vocabulary)
             weighted, used = basis * weights[:, None], weights > 0
             bags = [set(w) for _, w in items]
@@ -202,7 +213,7 @@ class Decontamination:
                     norm = np.where(has_first, length[first], 0) + np.where(has_second, length[second], 0)
                     norm[both] += 2 * np.einsum("ij,ij->i", z[first[both]], z[second[both]])
                     norm = np.sqrt(np.maximum(norm, 1e-12))
-                    step = max(1, 4_000_000 // max(1, len(items)))
+                    step = max(1, 4_000_000 // max(1, len(latent)))
                     for i in range(0, len(start), step):
                         f, g = first[i : i + step], second[i : i + step]
                         low = min(f.min(), g.min())
@@ -210,7 +221,11 @@ class Decontamination:
                         cos = product[f - low] * has_first[i : i + step, None]
                         cos += product[g - low] * has_second[i : i + step, None]
                         cos /= norm[i : i + step, None]
+                        near: dict[tuple[int, int], float] = {}  # passage and item: of its parts, the nearest one's cosine
                         for p, q in zip(*np.nonzero(cos >= cosine)):
+                            pair = int(p), int(item_of[q])
+                            near[pair] = max(near.get(pair, -1.0), float(cos[p, q]))
+                        for (p, q), like in near.items():
                             doc = int(terms.doc_of_block[start[i + p]])
                             lo, hi = terms.found.first[doc], terms.found.first[doc + 1]
                             begin = lo + (start[i + p] - terms.first_block[doc]) * BLOCK_WORDS
@@ -227,7 +242,7 @@ class Decontamination:
                             answer = lcs(tail, region) / len(tail)
                             if answer < answer_share:
                                 continue
-                            key, value = (doc, int(q)), (share, answer, float(cos[p, q]))
+                            key, value = (doc, q), (share, answer, like)
                             if value > best.get(key, (0.0, 0.0, 0.0)):
                                 best[key] = value
                 docs_ = pa.array([d for d, _ in best], pa.int64())

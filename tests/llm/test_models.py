@@ -172,6 +172,21 @@ def test_decontamination_finds_leaks_and_paraphrases(spark):
     assert decontamination.Decontamination().fit(docs.limit(0), bench).matches(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [65, 130, 1000])
+def test_decontamination_finds_a_verbatim_item_of_many_words(spark, n):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(2000)]  # of which rank 2000 drops no direction
+    items = {i: rng.sample(vocabulary, n) for i in range(3)} | {i: rng.sample(vocabulary, 30) for i in range(3, 300)}
+    rows = [(k, " ".join(rng.choices(vocabulary, k=300))) for k in range(100)]
+    rows += [(200 + i, " ".join(rng.choices(vocabulary, k=45 + i) + items[i] + rng.choices(vocabulary, k=70))) for i in range(4)]
+    rows += [(300, " ".join(items[0][: n // 2]))]  # half an item isn't one
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = frame(spark, rows).repartition(3)
+    found = decontamination.Decontamination(rank=2000).fit(docs, bench).matches(docs).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(200 + i, i) for i in range(4)}
+    assert all(r.lcs == 1 and r.answer == 1 for r in found)
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(50):
