@@ -34,7 +34,7 @@ from .components import components
 
 U = np.uint64
 #: Signatures or features that a task gathers before it sends them on.
-BLOCK = 1_000_000
+BLOCK = 200_000
 HUB_DEALS = 64
 #: Candidate sets of one task once candidates are known; most documents have none, so later steps are small.
 SETS_PER_TASK = 2_000

@@ -32,7 +32,7 @@ END_ID = 1
 #: Deals of one length; a length that a third of all pieces share goes to so many groups.
 BUCKETS = 1024
 #: Distinct words whose ids a task keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000
 #: White space of str.split() that the tokenizer's own white-space rule may read otherwise,
 #: and the mark of special tokens, which lower-casing must not make.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
