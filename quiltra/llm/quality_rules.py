@@ -78,9 +78,8 @@ def repeat_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) < 3, F.lit(0)).otherwise(let(tokens, windows)).cast("long")
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """The rule table's metrics as expressions over two bound arrays named `_words` and `_lines`."""
-    words, lines = F.col("_words"), F.col("_lines")
+def metrics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """The rule table's metrics as expressions over a text and the arrays of its words and of its lines with a word."""
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -111,21 +110,21 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataF
 
     Null and empty texts have no words: all counts are 0, base_failed is true
     and kept false.  Rows are judged alone, so ties and repeated rows get equal
-    values; an empty table gives an empty result.  A column of `docs` with the
-    name of a metric is replaced.  Window equality is by 64-bit hash in a row.
+    values; an empty table gives an empty result.  Columns of `docs` are kept but
+    for those with the name of a metric, `base_failed` or `kept`, which are
+    replaced.  A text of any length is one row's arrays.  Window equality is by 64-bit hash in a row.
     """
-    name = free_name(docs, "_quality_text")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn(name, text).drop(*[c for c in docs.columns if c in ("_words", "_lines")])
+    name, words, lines = (free_name(docs, n) for n in ("_quality_text", "_quality_words", "_quality_lines"))
+    out = docs.withColumn(name, F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns(
         {
-            "_words": F.filter(F.split(F.col(name), SPACE_CLASS + "+"), lambda w: w != ""),
-            "_lines": F.filter(F.split(F.col(name), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            words: F.filter(F.split(F.col(name), SPACE_CLASS + "+"), lambda w: w != ""),
+            lines: F.filter(F.split(F.col(name), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
-    out = out.withColumns(metrics(F.col(name)))
+    out = out.withColumns(metrics(F.col(name), F.col(words), F.col(lines)))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop(name, "_words", "_lines")
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop(name, words, lines)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
