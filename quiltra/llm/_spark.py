@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,26 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: one pass over the column, nothing but a sum moves."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+
+
+def parts_of(spark: SparkSession, size: int, each: int) -> int:
+    """Places where keys meet: twice the shuffle partitions, more where a place would take over `each` of `size` bytes."""
+    return max(2 * tasks(spark), -(-size // each))
+
+
+def row_print(doc_col: str, text_col: str) -> Column:
+    """64 bits of a row's id and text: rows of one id with different texts differ."""
+    return F.xxhash64(F.col(doc_col), F.col(text_col))
+
+
+def keyed(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """doc, print, text: what tells rows apart when ids are null or repeated."""
+    return docs.select(F.col(doc_col).alias("doc"), row_print(doc_col, text_col).alias("print"), F.col(text_col).alias("text"))
+
+
 #: Ids that a join may send to every task: 16 bytes each.
 SENT_IDS = 200_000
 

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from . import _text
-from ._spark import free_name, table, tasks
+from ._spark import free_name, keyed, parts_of, row_print, table, text_bytes
 
 U = np.uint64
 RUN = 2
@@ -40,7 +41,8 @@ WINDOW = 6
 #: Added to the place of a run of pieces: its first word's number in the document.
 PIECES = 1 << 30
 BLOCK = 1_000_000
-NO_ID = -(2**63)
+#: Bytes of text for each place where runs meet.
+PART_BYTES = 256 << 20
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -122,41 +124,46 @@ def spans(column: pa.Array, run: int, min_words: int, passage: int | None = None
     return np.concatenate([h, pieces]), np.concatenate([doc[keep], row]), np.concatenate([place[keep], PIECES + begin - found.first[row]])
 
 
-def _settled(keys: np.ndarray, docs: np.ndarray, place: np.ndarray):
-    """Order by (key, doc, place), drop repeated rows; is each the first of its key?"""
-    order = np.lexsort((place, docs, keys))
-    keys, docs, place = keys[order], docs[order], place[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (place[1:] != place[:-1])
-    keys, docs, place = keys[fresh], docs[fresh], place[fresh]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    return keys, docs, place, head
+_RUN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("print", "<i8"), ("place", "<i4")])
+
+
+def _settled(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in order of key, document and place, repeated ones once; is each the first of its key?"""
+    runs = runs[np.lexsort((runs["place"], runs["print"], runs["doc"], runs["key"]))]
+    fresh = np.ones(len(runs), bool)
+    fresh[1:] = runs[1:] != runs[:-1]
+    runs = runs[fresh]
+    head = np.ones(len(runs), bool)
+    head[1:] = runs["key"][1:] != runs["key"][:-1]
+    return runs, head
 
 
 def repeats(docs: DataFrame, doc_col: str, text_col: str, run: int, min_words: int, passage: int | None = None) -> DataFrame:
-    """doc, place: the first sentence of every non-first run, or PIECES and its first word."""
-    parts = U(2 * tasks(docs.sparkSession))
+    """doc, print, place: the first sentence of every non-first run, or PIECES and its first word."""
+    parts = U(parts_of(docs.sparkSession, text_bytes(docs, text_col), PART_BYTES))
 
-    def blocks(kind: int, keys, ids, place) -> pa.RecordBatch:
-        part = (keys >> U(20)) % parts
+    def blobs(kind: int, by: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+        part = (by >> U(20)) % parts
         order = np.argsort(part.astype(np.uint32), kind="stable")
+        runs = runs[order]
         own, begin = np.unique(part[order], return_index=True)
-        columns = [x[order] for x in (keys, ids, place.astype(np.int32))]
-        cuts = list(zip(begin, [*begin[1:], len(keys)]))
-        return pa.record_batch([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int32)), *(pa.array([c[b:e].tobytes() for b, e in cuts], pa.binary()) for c in columns)], ["kind", "part", "keys", "docs", "place"])
+        return pa.record_batch([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int32)), pa.array([runs[b:e].tobytes() for b, e in zip(begin, [*begin[1:], len(runs)])], pa.binary())], ["kind", "part", "runs"])
 
     def flush(rows) -> Iterator[pa.RecordBatch]:
-        keys, ids, place, head = _settled(*(np.concatenate(x) for x in zip(*rows)))
-        yield blocks(0, keys[head], ids[head], place[head])
-        if not head.all():
-            yield blocks(1, keys[~head], ids[~head], place[~head])
+        runs, head = _settled(np.concatenate(rows))
+        yield blobs(0, runs["key"][head], runs[head])
+        if not head.all():  # not the first for certain: nothing to meet, so dealt by its text and not by its key
+            runs = runs[~head]
+            yield blobs(1, _text.mix(runs["print"].view(np.uint64)), runs)
 
     def gather(batches) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for part in _text.slices(batches):
-            h, row, place = spans(part.column(1), run, min_words, passage)
-            rows.append((h, part.column(0).to_numpy(zero_copy_only=False)[row], place))
+            h, row, place = spans(part.column(2), run, min_words, passage)
+            own = np.zeros(len(h), _RUN)
+            own["key"], own["place"] = h, place
+            own["doc"], own["print"] = (part.column(c).fill_null(0).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
+            rows.append(own)
             n += len(h)
             if n >= BLOCK:
                 yield from flush(rows)
@@ -165,15 +172,21 @@ def repeats(docs: DataFrame, doc_col: str, text_col: str, run: int, min_words: i
             yield from flush(rows)
 
     def meet(group: pa.Table) -> pa.Table:
-        kind = np.array(group.column("kind").to_pylist())
-        columns = []
-        for which in (0, 1):
-            columns.append([np.frombuffer(b"".join(x for x, k in zip(group.column(c).to_pylist(), kind) if k == which), t) for c, t in (("keys", np.uint64), ("docs", np.int64), ("place", np.int32))])
-        _, ids, place, head = _settled(*columns[0])
-        return pa.table({"doc": pa.array(np.concatenate([ids[~head], columns[1][1]])), "place": pa.array(np.concatenate([place[~head], columns[1][2]]).astype(np.int32))})
+        kind, data = group.column("kind").to_pylist(), group.column("runs").to_pylist()
+        open_, settled = (np.frombuffer(b"".join(x for x, k in zip(data, kind) if k == which), _RUN) for which in (0, 1))
+        open_, head = _settled(open_)
+        gone = np.concatenate([open_[~head], settled])
+        return pa.table({"doc": pa.array(np.ascontiguousarray(gone["doc"])), "print": pa.array(np.ascontiguousarray(gone["print"])), "place": pa.array(np.ascontiguousarray(gone["place"]))})
+
+    rows = keyed(docs, doc_col, text_col)
+    rows = rows.withColumn("doc", rank_of(docs.schema[doc_col].dataType, F.col("doc")))
+    return rows.mapInArrow(gather, "kind int, part int, runs binary").groupBy("part").applyInArrow(meet, "doc long, print long, place int")
+
 
-    rows = docs.select(F.coalesce(F.col(doc_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(gather, "kind int, part int, keys binary, docs binary, place binary").groupBy("part").applyInArrow(meet, "doc long, place int")
+def rank_of(kind: DataType, doc: Column) -> Column:
+    """The id as a number by which documents are ordered; ids that are no integers have the order of their hash, null ids come first."""
+    number = doc.cast("long") if isinstance(kind, IntegralType) else F.xxhash64(doc)
+    return F.coalesce(number, F.lit(-(2**63)))
 
 
 def _reduced(text: str, places, run: int, min_words: int, passage: int | None = None) -> tuple[str, int, int]:
@@ -210,18 +223,24 @@ def substring_dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     sentences are removed.
 
     Words are compared with A-Z lower-cased, whatever the spaces between them.
-    Null texts become empty.  Rows with one id count as one document, null ids
-    as one too; ties go to the lower place.  Columns named n_sentences or
-    n_removed are replaced.  Runs are compared by a 64-bit hash.
+    Null texts become empty.  A document is told by id and text: two rows of
+    one id with different texts are two documents, the one with the lesser
+    hash of its text first, and so are rows of null ids, which come before all
+    others; equal rows are one document and stay equal.  Within a document ties
+    go to the lower place.  Columns named n_sentences or n_removed are
+    replaced, all others kept, whatever their names; an empty table gives an
+    empty result.  Runs are compared by a 64-bit hash.
     """
     mark = free_name(docs, "_places")
-    gone = repeats(docs, doc_col, text_col, run, min_words, passage).groupBy("doc").agg(F.collect_set("place").alias(mark)).withColumnRenamed("doc", mark + "_doc")
-    joined = docs.join(gone, F.coalesce(docs[doc_col].cast("long"), F.lit(NO_ID)) == gone[mark + "_doc"], "left").drop(mark + "_doc")
+    gone = repeats(docs, doc_col, text_col, run, min_words, passage).groupBy(F.col("doc").alias(mark + "_doc"), F.col("print").alias(mark + "_print")).agg(F.collect_set("place").alias(mark))
+    same = (rank_of(docs.schema[doc_col].dataType, docs[doc_col]) == gone[mark + "_doc"]) & (row_print(doc_col, text_col) == gone[mark + "_print"])
+    joined = docs.join(gone, same, "left").drop(mark + "_doc", mark + "_print")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def reduce(text: pd.Series, places: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_reduced(t or "", p, run, min_words, passage) for t, p in zip(text, places)], columns=["text", "n_sentences", "n_removed"])
 
+    joined = joined.drop("n_sentences", "n_removed")
     out = joined.withColumn(mark + "_out", reduce(F.col(text_col), F.col(mark)))
     return out.withColumns({text_col: F.col(mark + "_out.text"), "n_sentences": F.col(mark + "_out.n_sentences"), "n_removed": F.col(mark + "_out.n_removed")}).drop(mark, mark + "_out")
 

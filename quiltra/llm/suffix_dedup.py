@@ -1,24 +1,26 @@
 """Removal of every byte that lies in a 400-byte string found elsewhere in the corpus.
 
-Prefix-free parsing.  The trigger of a window of `length` bytes is the place
-in it whose rolling hash over `gram` bytes is least (the last one of equals):
-equal windows have their trigger at the same place, so triggers cut all
-documents into phrases (the windows of one trigger) without any
-synchronisation, and windows only ever equal windows of an equal trigger.
-
-* dictionary: phrases whose trigger string occurs once in the corpus hold no
-  repeated window and leave; in highly repetitive text the rest is small;
-* parse: a phrase is cut into short blocks of windows; blocks with an equal
-  block elsewhere are repeated as a whole, blocks whose common core is unique
-  are not repeated at all;
-* the few blocks left, where a repeat begins or ends, are taken apart into
-  their windows.
-
-Suffixes of dictionary and parse are ordered by 64-bit fingerprints, not by
-their bytes: neighbours in either order show the same equal strings, and no
-task needs the dictionary's suffix array.  Equal keys of one task are settled
-there; each task sends a key on at most once, so a passage that a third of all
-documents share burdens no task.
+Prefix-free parsing.  Triggers are the places whose rolling hash over `gram`
+bytes is least among `span` places in a row (the last one of equals), so equal
+strings of `gram + span - 1` bytes hold an equal trigger at an equal place, and
+the triggers cut all documents into phrases without any synchronisation.  A
+phrase is the run of places that have one trigger; phrases tile a document.
+
+* dictionary: trigger strings are counted over the corpus.  A window of
+  `length` bytes can only be repeated if all phrases that lie in it have a
+  trigger string that occurs elsewhere too, so documents shrink to runs of
+  repeated phrases;
+* parse: the windows of a phrase are one block.  Blocks with an equal block
+  elsewhere are repeated as a whole; all windows of a phrase share a core
+  behind the trigger, and where that core is unique none is repeated;
+* the few blocks left, where a repeat begins or ends inside a phrase, are
+  taken apart into their windows.
+
+Phrases, blocks and windows meet by fingerprints instead of by their order in
+a suffix array: equal neighbours are all that the removal needs.  What removes
+bytes is told apart by 128 bits, what only proposes candidates by 64.  Equal
+keys of one task are settled there; each task sends a key on at most once, so
+a passage that a third of all documents share burdens no task.
 """
 
 from __future__ import annotations
@@ -31,34 +33,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import table, tasks, written
+from ._spark import keyed, parts_of, row_print, table, text_bytes, written
 
 U = np.uint64
 LENGTH = 400
-GRAM = 128
-BLOCK = 16
+GRAM, SPAN = 192, 79
 FLUSH = 1_000_000
-NO_ID = -(2**63)
+#: Bytes of text for each place where keys meet.
+PART_BYTES = 256 << 20
 
 
 class Prints:
-    """Fingerprints of byte ranges of a slice."""
+    """Fingerprints of byte ranges of a slice; `second` ones are independent of the first."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, second: bool = False):
+        value = _text.mix(_text.BYTE_VALUE + U(0x632BE59BD9B4E019)) if second else _text.BYTE_VALUE
         self.up, self.down = _text.powers(len(raw) + 1)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_text.BYTE_VALUE[raw] * self.up[:-1], out=self.sums[1:])
+        np.cumsum(value[raw] * self.up[:-1], out=self.sums[1:])
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _text.mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def phrases(raw: np.ndarray, off: np.ndarray, prints: Prints, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, trigger, first window, last window) of every phrase, as places in the slice."""
-    span = length - gram + 1
+def phrases(raw: np.ndarray, off: np.ndarray, prints: Prints, gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, trigger, first, last) of every phrase of texts of gram + span - 1 bytes or more, as places in the slice."""
     n = len(raw) - gram + 1
     size = np.diff(off)
-    if n < span or not (size >= length).any():
+    if n < span or not (size >= gram + span - 1).any():
         z = np.zeros(0, np.int64)
         return z, z, z, z
     places = np.arange(n)
@@ -73,8 +75,7 @@ def phrases(raw: np.ndarray, off: np.ndarray, prints: Prints, length: int, gram:
     least = np.minimum(behind[:m], ahead[span - 1 : span - 1 + m])
     trigger = (U(0xFFFFFFFF) - (least & U(0xFFFFFFFF))).astype(np.int64)
     row = np.repeat(np.arange(len(size)), size)[:m]
-    inside = np.arange(m) + length <= off[1:][row]
-    starts = np.flatnonzero(inside)
+    starts = np.flatnonzero(np.arange(m) + gram + span - 1 <= off[1:][row])
     cut = np.ones(len(starts), bool)
     cut[1:] = (trigger[starts[1:]] != trigger[starts[:-1]]) | (row[starts[1:]] != row[starts[:-1]])
     head = np.flatnonzero(cut)
@@ -85,28 +86,47 @@ def phrases(raw: np.ndarray, off: np.ndarray, prints: Prints, length: int, gram:
 # -- equal keys across the corpus -------------------------------------------------
 
 _SCHEMA = "kind int, part int, keys binary, data binary"
-_LOOSE = "doc long, a int, b int, core long, shared boolean"
-_ROW = np.dtype([("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("core", "<u8"), ("mark", "<i4")])
-_PLAIN, _STANDS_FOR = 0, 1
+_PLACE = np.dtype([("print", "<i8"), ("a", "<i4")])
+_BLOCK = np.dtype([("check", "<u8"), ("row", "<i8"), ("a", "<i4"), ("b", "<i4"), ("core", "<u8"), ("stands", "?")])
+_CORE = np.dtype([("row", "<i8"), ("a", "<i4"), ("b", "<i4"), ("rep", "?"), ("stands", "?")])
+_WINDOW = np.dtype([("check", "<u8"), ("row", "<i8"), ("a", "<i4"), ("stands", "?")])
+_SQL = {"print": "long", "row": "long", "a": "int", "b": "int", "core": "long", "rep": "boolean"}
 
 
-def _blocks(kind: int, keys: np.ndarray, data: np.ndarray, parts: int) -> pa.RecordBatch:
-    part = (keys >> U(20)) % U(parts)
-    order = np.argsort(part.astype(np.uint32), kind="stable")
-    keys, data, part = keys[order], data[order], part[order]
-    own, begin = np.unique(part, return_index=True)
-    cuts = list(zip(begin, [*begin[1:], len(keys)]))
-    return pa.record_batch([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int32)), pa.array([keys[b:e].tobytes() for b, e in cuts], pa.binary()), pa.array([data[b:e].tobytes() for b, e in cuts], pa.binary())], ["kind", "part", "keys", "data"])
+def _filled(kind: np.dtype, **columns) -> np.ndarray:
+    out = np.zeros(len(columns["a"]), kind)
+    for name, values in columns.items():
+        out[name] = values
+    return out
 
 
-def _rows(doc, a, b=0, core=0, mark=_PLAIN) -> np.ndarray:
-    out = np.zeros(len(doc), _ROW)
-    out["doc"], out["a"], out["b"], out["core"], out["mark"] = doc, a, b, core, mark
-    return out
+def _groups(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and rows in order of the key and its check, if rows have one, and whether each is the first of its kind."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    if "check" in rows.dtype.names:
+        check = rows["check"]
+        if (check[1:] != check[:-1])[~head[1:]].any():  # equal keys of unlike strings
+            order = np.lexsort((check, keys))
+            keys, rows = keys[order], rows[order]
+            head[1:] = (keys[1:] != keys[:-1]) | (rows["check"][1:] != rows["check"][:-1])
+    return keys, rows, head
+
+
+def _blobs(kind: int, by: np.ndarray, keys: np.ndarray, rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Keys and rows packed by the part that `by` deals them to."""
+    part = (by >> U(20)) % U(parts)
+    order = np.argsort(part.astype(np.uint32), kind="stable")
+    keys, rows, part = keys[order], rows[order], part[order]
+    own, begin = np.unique(part, return_index=True)
+    cuts = list(zip(begin, [*begin[1:], len(part)]))
+    return pa.record_batch([pa.array(np.full(len(own), kind, np.int32)), pa.array(own.astype(np.int32)), pa.array([keys[b:e].tobytes() for b, e in cuts], pa.binary()), pa.array([rows[b:e].tobytes() for b, e in cuts], pa.binary())], ["kind", "part", "keys", "data"])
 
 
 class Sender:
-    """Gathers (key, row) of a task; what is shared within the task is settled at once (kind 1), one row of it stands for the key elsewhere."""
+    """Gathers (key, row) of a task.  What is shared within the task is settled at once (kind 1) and meets nothing any more; one row of it stands for the key elsewhere."""
 
     def __init__(self, parts: int):
         self.parts, self.keys, self.rows, self.n = parts, [], [], 0
@@ -120,43 +140,35 @@ class Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        keys, rows = np.concatenate(self.keys), np.concatenate(self.rows)
+        keys, rows, head = _groups(np.concatenate(self.keys), np.concatenate(self.rows))
         self.keys, self.rows, self.n = [], [], 0
-        order = np.argsort(keys, kind="stable")
-        keys, rows = keys[order], rows[order]
-        head = np.ones(len(keys), bool)
-        head[1:] = keys[1:] != keys[:-1]
         alone = head & np.append(head[1:], True)
-        stands = rows[head & ~alone].copy()
-        stands["mark"] = _STANDS_FOR
-        yield _blocks(0, np.concatenate([keys[alone], keys[head & ~alone]]), np.concatenate([rows[alone], stands]), self.parts)
+        proxy = rows[head & ~alone].copy()
+        if "stands" in rows.dtype.names:  # else a shared place may be found once more, which changes nothing
+            proxy["stands"] = True
+        open_keys, open_rows = np.concatenate([keys[alone], keys[head & ~alone]]), np.concatenate([rows[alone], proxy])
+        yield _blobs(0, open_keys, open_keys, open_rows, self.parts)
         if not alone.all():
-            yield _blocks(1, keys[~alone], rows[~alone], self.parts)
-
+            settled = rows[~alone]
+            by = _text.mix(settled["row" if "row" in settled.dtype.names else "print"].astype(np.int64).view(np.uint64))
+            yield _blobs(1, by, keys[~alone], settled, self.parts)
 
-def _loose(rows: np.ndarray, shared: np.ndarray) -> pa.Table:
-    return pa.table({"doc": pa.array(rows["doc"]), "a": pa.array(rows["a"]), "b": pa.array(rows["b"]), "core": _text.as_long(np.ascontiguousarray(rows["core"])), "shared": pa.array(shared)})
 
-
-def _meet(blocks: DataFrame, singles: bool = False, standing: bool = False) -> DataFrame:
+def _meet(blobs: DataFrame, kind: np.dtype, singles: bool = False, standing: bool = False) -> DataFrame:
     """Rows whose key another row has (shared); with `singles` the others too (not shared).
 
     With `standing`, one more row of each shared key, not marked shared and
     with a negative a, that stands for the key's core.
     """
+    names = [n for n in kind.names if n in _SQL]
 
     def meet(group: pa.Table) -> pa.Table:
-        kind = np.array(group.column("kind").to_pylist())
+        sort = np.array(group.column("kind").to_pylist())
         keys, data = group.column("keys").to_pylist(), group.column("data").to_pylist()
-        k = np.frombuffer(b"".join(x for x, g in zip(keys, kind) if g == 0), np.uint64)
-        r = np.frombuffer(b"".join(x for x, g in zip(data, kind) if g == 0), _ROW)
-        known = np.frombuffer(b"".join(x for x, g in zip(data, kind) if g == 1), _ROW)
-        order = np.argsort(k, kind="stable")
-        k, r = k[order], r[order]
-        head = np.ones(len(k), bool)
-        head[1:] = k[1:] != k[:-1]
+        known = np.frombuffer(b"".join(x for x, g in zip(data, sort) if g == 1), kind)
+        k, r, head = _groups(np.frombuffer(b"".join(x for x, g in zip(keys, sort) if g == 0), np.uint64), np.frombuffer(b"".join(x for x, g in zip(data, sort) if g == 0), kind))
         alone = head & np.append(head[1:], True) if len(k) else head
-        plain = r["mark"] == _PLAIN
+        plain = ~r["stands"] if "stands" in kind.names else np.ones(len(r), bool)
         hit = r[~alone & plain]
         out, flag = [known, hit], [np.ones(len(known), bool), np.ones(len(hit), bool)]
         if singles:
@@ -167,102 +179,109 @@ def _meet(blocks: DataFrame, singles: bool = False, standing: bool = False) -> D
             rep["a"] = -1 - rep["a"]
             out.append(rep)
             flag.append(np.zeros(len(rep), bool))
-        return _loose(np.concatenate(out), np.concatenate(flag))
+        rows = np.concatenate(out)
+        columns = {n: _text.as_long(np.ascontiguousarray(rows[n])) if n == "core" else pa.array(np.ascontiguousarray(rows[n])) for n in names}
+        return pa.table({**columns, "shared": pa.array(np.concatenate(flag))})
+
+    return blobs.groupBy("part").applyInArrow(meet, ", ".join(f"{n} {_SQL[n]}" for n in names) + ", shared boolean")
+
 
-    return blocks.groupBy("part").applyInArrow(meet, _LOOSE)
+def _ranges(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, n[i] numbers from low[i] on: (i repeated, the numbers)."""
+    each = np.repeat(np.arange(len(low)), n)
+    return each, low[each] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 class SuffixDedup:
     """Documents without the bytes of strings of `length` bytes that start elsewhere too.
 
-    docs needs a unique integer id (null ids count as one).  A null text is
-    empty.  Matches never cross documents; overlaps count.  Texts shorter than
-    `length` never lose a byte; an empty table gives an empty result.
+    Every row is a document of its own, whatever its id: two rows of one id (or
+    of a null id) with different texts are told apart by id and text, and equal
+    rows repeat each other, as any two copies do.  A null text is empty.
+    Matches never cross documents; overlaps count; equal strings all go, so
+    there are no ties.  Texts shorter than `length` never lose a byte; an empty
+    table gives an empty result; other columns of docs are not read.  A task
+    holds one whole text at a time, about 100 bytes of memory a byte of text.
     """
 
-    def __init__(self, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK):
-        if not 0 < gram <= length - block:
-            raise ValueError("gram must leave room for a block in a window")
-        self.length, self.gram, self.block = length, gram, block
-        self.parts = 2 * tasks(docs.sparkSession)
-        self.docs = docs.select(F.coalesce(F.col(doc_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    def __init__(self, docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, span: int = SPAN):
+        if not (gram > 0 < span and gram + 2 * span - 1 <= length):
+            raise ValueError("a window must hold the core of every phrase in it")
+        self.length, self.gram, self.span = length, gram, span
+        self.docs = keyed(docs, doc_col, text_col)
+        self.parts = parts_of(docs.sparkSession, text_bytes(docs, text_col), PART_BYTES)
 
     def triggers(self) -> DataFrame:
-        """doc, a: triggers (from the document's begin) whose string is a trigger elsewhere too."""
-        length, gram, parts = self.length, self.gram, self.parts
+        """print, at: places of the triggers of a text whose string is a trigger elsewhere too."""
+        gram, span, parts = self.gram, self.span, self.parts
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             out = Sender(parts)
             for part in _text.slices(batches):
                 raw, off = _text.value_buffer(part.column(1))
                 prints = Prints(raw)
-                row, at, _, _ = phrases(raw, off, prints, length, gram)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield from out.add(prints(at, at + gram), _rows(ids[row], at - off[row]))
+                row, at, _, _ = phrases(raw, off, prints, gram, span)
+                texts = part.column(0).to_numpy(zero_copy_only=False)
+                yield from out.add(prints(at, at + gram), _filled(_PLACE, print=texts[row], a=at - off[row]))
             yield from out.flush()
 
-        return _meet(self.docs.mapInArrow(run, _SCHEMA))
+        found = _meet(self.docs.select("print", "text").mapInArrow(run, _SCHEMA), _PLACE)
+        return found.groupBy("print").agg(F.collect_set("a").alias("at"))
 
-    def windows(self) -> tuple[DataFrame, DataFrame]:
-        """(hot, found): texts of documents with a shared trigger, and (doc, a, b) runs of repeated windows."""
-        length, gram, block, parts = self.length, self.gram, self.block, self.parts
-        places = self.triggers().groupBy("doc").agg(F.collect_set("a").alias("at"))
-        hot = written(self.docs.join(places, "doc").select("doc", "at", "text"), "repeat-texts")
+    def windows(self, hot: DataFrame) -> DataFrame:
+        """(row, a, b): runs of repeated windows of texts (row, at, text) with shared triggers."""
+        length, gram, span, parts = self.length, self.gram, self.span, self.parts
+        less = length - (gram + span - 1)
 
         def cut(batches) -> Iterator[pa.RecordBatch]:
             out = Sender(parts)
             for part in _text.slices(batches):
                 raw, off = _text.value_buffer(part.column(2))
-                prints = Prints(raw)
-                row, at, first, last = phrases(raw, off, prints, length, gram)
+                prints, second = Prints(raw), Prints(raw, True)
+                row, at, first, last = phrases(raw, off, prints, gram, span)
                 lists = part.column(1)
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                wanted = np.unique(lists.flatten().to_numpy(zero_copy_only=False) + off[owner])
-                mine = np.isin(at, wanted)
+                mine = np.isin(at, lists.flatten().to_numpy(zero_copy_only=False) + off[owner])
                 row, at, first, last = row[mine], at[mine], first[mine], last[mine]
-                # windows by their distance to the trigger, `block` of them together
-                low, high = (at - last) // block, (at - first) // block
-                n = high - low + 1
-                each = np.repeat(np.arange(len(at)), n)
-                b = low[each] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                begin = np.maximum(at[each] - block * b - block + 1, first[each])
-                end = np.minimum(at[each] - block * b, last[each])
-                tag = _text.mix(b.astype(np.uint64) + U(1))
-                core = _text.mix(prints(at[each] - block * b, at[each] - block * b - block + 1 + length) + tag)
-                whole = _text.mix(prints(begin, end + length) + _text.mix(core + (at[each] - begin).astype(np.uint64)))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                base = off[row[each]]
-                yield from out.add(whole, _rows(ids[row[each]], begin - base, end - base, core))
+                if not len(at):
+                    continue
+                # windows end `less` places before their run of shared phrases does
+                ends = np.ones(len(at), bool)
+                ends[:-1] = (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)
+                run_end = last[ends][np.cumsum(np.append(0, ends[:-1]))]
+                last = np.minimum(last, run_end - less)
+                some = last >= first
+                row, at, first, last = row[some], at[some], first[some], last[some]
+                distance = (at - first).astype(np.uint64)
+                core = prints(at, at + length - span + 1)
+                whole = _text.mix(prints(first, last + length) + _text.mix(distance))
+                base, ids = off[row], part.column(0).to_numpy(zero_copy_only=False)
+                yield from out.add(whole, _filled(_BLOCK, check=_text.mix(second(first, last + length) + distance), row=ids[row], a=first - base, b=last - base, core=core))
             yield from out.flush()
 
-        pieces = written(_meet(hot.mapInArrow(cut, _SCHEMA), singles=True, standing=True), "repeat-blocks")
-        full = pieces.where("shared").select("doc", "a", "b")
+        pieces = written(_meet(hot.select("row", "at", "text").mapInArrow(cut, _SCHEMA), _BLOCK, singles=True, standing=True), "repeat-blocks")
 
         def cores(batches) -> Iterator[pa.RecordBatch]:
             out = Sender(parts)
             for batch in batches:
-                cols = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(("doc", "a", "b", "core"))}
-                keys = cols["core"].astype(np.int64).view(np.uint64)
-                yield from out.add(keys, _rows(cols["doc"], cols["a"], cols["b"], keys))
+                row, a, b, core = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                yield from out.add(core.astype(np.int64).view(np.uint64), _filled(_CORE, row=row, a=np.where(a < 0, -1 - a, a), b=b, rep=a < 0))
             yield from out.flush()
 
-        open_ = _meet(pieces.where("not shared").select("doc", "a", "b", "core").mapInArrow(cores, _SCHEMA))
         # representatives of equal blocks come in with a negative a
-        todo = open_.select("doc", F.when(F.col("a") < 0, -1 - F.col("a")).otherwise(F.col("a")).alias("a"), "b", (F.col("a") < 0).alias("rep"))
-        todo = todo.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "rep")).alias("runs"))
+        todo = _meet(pieces.where("not shared").select("row", "a", "b", "core").mapInArrow(cores, _SCHEMA), _CORE)
+        todo = todo.groupBy("row").agg(F.collect_list(F.struct("a", "b", "rep")).alias("runs"))
 
         def apart(batches) -> Iterator[pa.RecordBatch]:
             out = Sender(parts)
             for part in _text.slices(batches):
                 raw, off = _text.value_buffer(part.column(2))
-                prints = Prints(raw)
+                prints, second = Prints(raw), Prints(raw, True)
                 runs = part.column(1)
                 owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
                 flat = runs.flatten()
                 a, b, rep = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                n = (b - a + 1).astype(np.int64)
-                each = np.repeat(np.arange(len(a)), n)
-                s = a[each] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                each, s = _ranges(a.astype(np.int64), (b - a + 1).astype(np.int64))
                 row = owner[each]
                 # a window comes once for a document's place, by itself rather than by a block that stands for others
                 order = np.lexsort((rep[each], s, row))
@@ -270,19 +289,25 @@ class SuffixDedup:
                 fresh = np.ones(len(s), bool)
                 fresh[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
                 s, row = s[fresh], row[fresh]
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield from out.add(prints(s + off[row], s + off[row] + length), _rows(ids[row], s, s))
+                begin, ids = s + off[row], part.column(0).to_numpy(zero_copy_only=False)
+                yield from out.add(prints(begin, begin + length), _filled(_WINDOW, check=second(begin, begin + length), row=ids[row], a=s))
             yield from out.flush()
 
-        texts = hot.select("doc", "text").join(todo, "doc").select("doc", "runs", "text")
-        single = _meet(texts.mapInArrow(apart, _SCHEMA)).select("doc", "a", "b")
-        return hot, full.union(single)
+        texts = hot.select("row", "text").join(todo, "row").select("row", "runs", "text")
+        single = _meet(texts.mapInArrow(apart, _SCHEMA), _WINDOW).select("row", "a", F.col("a").alias("b"))
+        return pieces.where("shared").select("row", "a", "b").unionByName(single)
 
     def removals(self) -> DataFrame:
-        """doc, n_removed, n_spans, kept of every document that loses a byte."""
-        hot, found = self.windows()
-        length = self.length
-        runs = found.groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+        """doc, print, n_repeated, n_removed, n_spans, kept: one row of each (id, text) that holds a repeated phrase's trigger.
+
+        n_repeated counts the bytes of `gram`-byte trigger strings found
+        elsewhere: strings of gram + span - 1 bytes or more that repeat always
+        hold one.  `kept` is null where nothing is removed.
+        """
+        length, gram = self.length, self.gram
+        found = self.docs.join(self.triggers(), "print")
+        hot = written(found.select(F.monotonically_increasing_id().alias("row"), "doc", "print", "at", "text"), "repeat-texts")
+        runs = self.windows(hot).groupBy("row").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
         def reduce(batches) -> Iterator[pa.RecordBatch]:
             for part in _text.slices(batches):
@@ -296,16 +321,22 @@ class SuffixDedup:
                     n_removed.append(int(gone.sum()))
                     n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                     kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-                yield pa.record_batch([part.column(0), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc", "n_removed", "n_spans", "kept"])
+                yield pa.record_batch([part.column(0), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_removed", "n_spans", "kept"])
 
-        texts = hot.select("doc", "text").join(runs, "doc").select("doc", "a", "b", "text")
-        return texts.mapInArrow(reduce, "doc long, n_removed long, n_spans long, kept binary")
+        texts = hot.select("row", "text").join(runs, "row").select("row", "a", "b", "text")
+        lost = texts.mapInArrow(reduce, "row long, n_removed long, n_spans long, kept binary")
+        starts = F.sort_array("at")
+        steps = F.zip_with(starts, F.slice(starts, 2, F.size("at")), lambda x, y: F.least(F.coalesce(y - x, F.lit(gram)), F.lit(gram)))
+        counts = hot.select("row", "doc", "print", F.aggregate(steps, F.lit(0), lambda n, x: n + x).cast("long").alias("n_repeated"))
+        out = counts.join(lost, "row", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_removed", "n_spans")})
+        return out.drop("row").dropDuplicates(["doc", "print"])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = SuffixDedup(docs).removals().select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = SuffixDedup(docs).removals().select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "n_repeated", "n_removed", "n_spans", F.sha2("kept", 256).alias("_kept"))
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    all_ = docs.select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
-    joined = all_.join(lost, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    all_ = docs.select("doc_id", row_print("doc_id", "text").alias("_text"), F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_sha"))
+    joined = all_.join(found, all_["doc_id"].eqNullSafe(found["_doc"]) & (F.col("_text") == F.col("_print")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    return joined.select("doc_id", "n_bytes", *counts, F.coalesce("_kept", "_sha").alias("kept_sha256"), F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"))

@@ -82,18 +82,22 @@ def test_substring_dedup_finds_every_passage_of_50_words(spark, seed, monkeypatc
 def test_suffix_dedup_is_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FLUSH", 50 if seed == 3 else 10**6)
     rows, length = corpus(seed), 24
-    found = suffix_dedup.SuffixDedup(frame(spark, rows).repartition(3), length=length, gram=8, block=4).removals().collect()
-    got = {r.doc: (r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found}
+    found = suffix_dedup.SuffixDedup(frame(spark, rows).repartition(3), length=length, gram=8, span=8).removals().collect()
+    got = {r.doc: (r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found if r.n_removed}
     want = brute.suffix_dedup(rows, length)
     assert {k: got.get(k, (0, 0, v[2])) for k, v in want.items()} == want
+    # n_repeated: every repeated string of gram + span - 1 bytes holds a trigger, and triggers lie in repeated strings of gram bytes
+    some, most = (brute.suffix_dedup(rows, n) for n in (15, 8))
+    repeated = {r.doc: r.n_repeated for r in found}
+    assert all(k in repeated for k, v in some.items() if v[0]) and all(0 < n <= most[k][0] for k, n in repeated.items())
 
 
 def test_suffix_dedup_of_periodic_text_and_empty_table(spark):
     rows = [(1, "ab" * 50), (2, "x" * 30), (3, "short")]
-    got = {r.doc: (r.n_removed, r.n_spans) for r in suffix_dedup.SuffixDedup(frame(spark, rows), length=24, gram=8, block=4).removals().collect()}
+    got = {r.doc: (r.n_removed, r.n_spans) if r.n_removed else None for r in suffix_dedup.SuffixDedup(frame(spark, rows), length=24, gram=8, span=8).removals().collect()}
     want = brute.suffix_dedup(rows, 24)
-    assert got == {k: v[:2] for k, v in want.items() if v[0]}
-    assert suffix_dedup.SuffixDedup(frame(spark, []), length=24, gram=8, block=4).removals().count() == 0
+    assert {k: v for k, v in got.items() if v} == {k: v[:2] for k, v in want.items() if v[0]}
+    assert suffix_dedup.SuffixDedup(frame(spark, []), length=24, gram=8, span=8).removals().count() == 0
 
 
 @pytest.mark.parametrize("filter_bytes", [0, 1 << 20])
