@@ -3,9 +3,11 @@
 Documents are cut into blocks of words; two neighbouring blocks are a passage.
 Passages are TF-IDF vectors over the benchmark's words (other words add
 nothing to a product with an item), with document frequencies over the whole
-corpus.  A distributed randomised SVD - each task adds up A'(A Omega) of its
-own passages - gives the latent space; the items take part in it with half of
-the weight, so that their rare words keep a direction.  Every passage is
+corpus.  A distributed randomised SVD gives the latent space: each task adds up
+Y = A'(A Omega) of its own passages, and the singular values and right singular
+vectors of A follow from Y and Omega'Y alone (Nystrom), without another pass;
+the leading `rank` of them are kept.  The items take part with half of the
+weight, so that their rare words keep a direction.  Every passage is
 compared with every item by latent cosine, in blocks; an item of more words
 than a passage is cut into overlapping parts of a passage's length, so that a
 passage of its copy is like one of them however long it is.  A candidate is
@@ -23,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import summed_over_tasks, table
+from ._spark import summed_over_tasks, table, text_bytes
 from .ppm import HashTable
 
 U = np.uint64
 BLOCK_WORDS = 32
-RANK = 256
+#: Singular vectors kept, and further columns of the sketch that make these exact.
+RANK, OVERSAMPLE = 224, 32
+#: Weight of the items among the rows of A.
+ITEM_SHARE = 0.5
 #: Words in more blocks than this share say little; every item keeps its RAREST anyway.
 MAX_DF, RAREST = 0.005, 6
 COSINE = 0.35
@@ -37,8 +42,8 @@ LCS_SHARE, ANSWER_SHARE = 0.6, 0.5
 ANSWER_PART = 4
 #: Bytes of text that a task's matrices are made of at a time.
 SLICE = 2 << 20
-#: Items that one pass holds; a larger benchmark takes more passes.
-ITEMS = 20_000
+#: Bytes of item texts that one fit and one pass hold; a larger benchmark takes more of them.
+ITEM_BYTES = 1 << 20
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -95,25 +100,50 @@ def _by_block(terms: Terms, used: np.ndarray, vectors: np.ndarray) -> tuple[np.n
     return block[begin], np.add.reduceat(vectors[col], begin, axis=0), col, np.cumsum(head) - 1
 
 
+def _nystrom(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors (columns) and singular values of A, from Y = A'A Omega."""
+    shift = np.sqrt(len(y)) * np.finfo(np.float64).eps * max(float(np.linalg.norm(y)), 1e-30)
+    y = y + shift * omega
+    core = omega.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > values[-1] * 1e-10
+    left, squares, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    return left[:, :rank], np.sqrt(np.maximum(squares[:rank] ** 2 - shift, 0))
+
+
 class Decontamination:
     """fit(docs, items), then matches(docs).
 
-    docs and items need ids; texts of null or no words match nothing, and an
-    item without words is never found.  Repeated rows are matched each.
+    Texts of null or no words match nothing, and an item without words is never
+    found.  Ids may be null, repeated and of any type: every row of docs and of
+    items stands for itself, so repeated rows are matched each and equal items
+    are found each.  Of one row and item the passage with the largest share
+    counts, then the larger answer, then the larger cosine.  Other columns are
+    not read.  Empty tables give an empty result.
     """
 
-    def __init__(self, rank: int = RANK, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"):
+    def __init__(self, rank: int = RANK, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", item_share: float = ITEM_SHARE, item_bytes: int = ITEM_BYTES):
         self.rank, self.cosine, self.lcs_share, self.answer_share = rank, cosine, lcs_share, answer_share
         self.doc_col, self.text_col, self.item_col, self.item_text = doc_col, text_col, item_col, item_text
+        self.item_share, self.item_bytes = item_share, item_bytes
 
     def fit(self, docs: DataFrame, items: DataFrame) -> Decontamination:
-        rows = sorted((r[0], r[1]) for r in items.select(self.item_col, F.coalesce(self.item_text, F.lit(""))).collect())  # the stated query set
-        self.items = [(i, w) for i, w in ((i, item_words(t)) for i, t in rows) if len(w)]
+        """A latent space for each block of items; a block's texts are `item_bytes` or so, whatever the benchmark's size."""
+        self.item_kind = items.schema[self.item_col].dataType.simpleString()
+        items = items.select(F.col(self.item_col).alias("item"), F.coalesce(F.col(self.item_text), F.lit("")).alias("text"))
+        blocks = max(1, -(-text_bytes(items) // self.item_bytes))
         text = docs.select(F.col(self.text_col).alias("text"))
-        vocabulary = np.unique(np.concatenate([w for _, w in self.items])) if self.items else np.zeros(0, np.uint64)
-        self.vocabulary = vocabulary
-        if not len(vocabulary):
-            return self
+        self.blocks = []
+        for b in range(blocks):
+            rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
+            found = [(i, w) for i, w in enumerate(map(item_words, rows.column("text").to_pylist())) if len(w)]
+            if found:
+                ids = rows.column("item").combine_chunks().take(pa.array([i for i, _ in found]))
+                self.blocks.append(self._space(text, ids, [w for _, w in found]))
+        return self
+
+    def _space(self, text: DataFrame, ids: pa.Array, items: list[np.ndarray]) -> dict:
+        vocabulary = np.unique(np.concatenate(items))
         known, size = HashTable(vocabulary), len(vocabulary)
 
         def frequencies(batches) -> np.ndarray:
@@ -132,20 +162,20 @@ class Decontamination:
         n, df = df[-1], df[:-1]
         idf = np.log((n + 1) / (df + 1)) + 0.1
         keep = df <= max(5.0, MAX_DF * n)
-        cuts = [(i, b, e) for i, (_, w) in enumerate(self.items) for b, e in parts(len(w))]
-        self.item_of = np.array([i for i, _, _ in cuts])
-        columns = [np.searchsorted(vocabulary, self.items[i][1][b:e]) for i, b, e in cuts]
+        cuts = [(i, b, e) for i, w in enumerate(items) for b, e in parts(len(w))]
+        columns = [np.searchsorted(vocabulary, items[i][b:e]) for i, b, e in cuts]
         for c in columns:
             own = np.unique(c)
             keep[own[np.argsort(df[own], kind="stable")[:RAREST]]] = True
-        self.weights = weights = np.where(keep, idf, 0).astype(np.float32)
+        weights = np.where(keep, idf, 0).astype(np.float32)
         rank = min(self.rank, size)
-        omega = np.random.default_rng(3).standard_normal((size, rank)).astype(np.float32)
+        width = min(rank + OVERSAMPLE, size)
+        omega = np.random.default_rng(3).standard_normal((size, width)).astype(np.float32)
 
         weighted, used = omega * weights[:, None], weights > 0
 
         def sketch(batches) -> np.ndarray:
-            total = np.zeros((size + 1, rank), np.float32)
+            total = np.zeros((size + 1, width), np.float32)
             for part in _text.slices(batches, most=SLICE):
                 own, y, col, row = _by_block(Terms(part.column(0), known), used, weighted)
                 if not len(own):
@@ -160,42 +190,41 @@ class Decontamination:
             total[:size] *= weights[:, None]
             return total.ravel()
 
-        corpus = summed_over_tasks(text, sketch, (size + 1) * rank).reshape(size + 1, rank)
-        queries = np.zeros((len(columns), size), np.float32)
-        for i, c in enumerate(columns):
-            np.add.at(queries[i], c, weights[c])
-        energy = float((queries**2).sum()) or 1.0
-        both = corpus[:size] + max(corpus[size, 0], 1.0) / energy * (queries.T @ (queries @ omega))
-        basis, _ = np.linalg.qr(both)
-        self.basis = basis.astype(np.float32)
-        latent = queries @ self.basis
-        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        return self
+        corpus = summed_over_tasks(text, sketch, (size + 1) * width).reshape(size + 1, width)
+        own, energy = np.zeros((size, width)), 0.0
+        for c in columns:
+            terms, n_terms = np.unique(c, return_counts=True)
+            values = weights[terms] * n_terms
+            own[terms] += np.outer(values, values @ omega[terms])
+            energy += float(values @ values)
+        share = self.item_share
+        # relative weights of corpus and items; without a corpus the items alone make the space
+        both = (1 - share) * corpus[:size] + share * max(corpus[size, 0], 1.0) / max(energy, 1e-9) * own
+        basis, values = _nystrom(both, omega.astype(np.float64), rank)
+        basis = basis.astype(np.float32)
+        latent = np.stack([weights[c] @ basis[c] for c in columns])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        return {"vocabulary": vocabulary, "weights": weights, "basis": basis, "singular": values, "latent": latent, "item_of": np.array([i for i, _, _ in cuts]), "ids": ids, "items": [[int(x) for x in w] for w in items]}
 
     def matches(self, docs: DataFrame) -> DataFrame:
         """doc_col, item_col, cosine, lcs, answer: confirmed pairs, the best passage of each."""
-        spark, kind = docs.sparkSession, docs.schema[self.doc_col].dataType.simpleString()
-        schema = f"doc {kind}, item long, cosine double, lcs double, answer double"
+        schema = f"doc {docs.schema[self.doc_col].dataType.simpleString()}, item {self.item_kind}, cosine double, lcs double, answer double"
         rows = docs.select(F.col(self.doc_col).alias("doc"), F.col(self.text_col).alias("text"))
-        if not len(self.vocabulary):
-            return rows.sparkSession.createDataFrame([], schema).toDF(self.doc_col, self.item_col, "cosine", "lcs", "answer")
-        out = None
-        for i in range(0, len(self.items), ITEMS):
-            some = self._pass(spark, rows, slice(i, i + ITEMS), schema)
-            out = some if out is None else out.unionByName(some)
+        out = docs.sparkSession.createDataFrame([], schema)
+        for space in self.blocks:
+            some = self._pass(rows, space, schema)
+            out = some if space is self.blocks[0] else out.unionByName(some)
         return out.toDF(self.doc_col, self.item_col, "cosine", "lcs", "answer")
 
-    def _pass(self, spark: SparkSession, rows: DataFrame, which: slice, schema: str) -> DataFrame:
-        items = [(int(i), [int(x) for x in w]) for i, w in self.items[which]]
-        held = slice(*np.searchsorted(self.item_of, [which.start, which.stop]))
-        sent = spark.sparkContext.broadcast((self.vocabulary, self.weights, self.basis, self.latent[held], self.item_of[held] - which.start, items))
+    def _pass(self, rows: DataFrame, space: dict, schema: str) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(space)  # bounded by item_bytes
         cosine, lcs_share, answer_share = self.cosine, self.lcs_share, self.answer_share
 
         def run(batches) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, basis, latent, item_of, items = sent.value
+            vocabulary, weights, basis, latent, item_of, ids, items = (sent.value[k] for k in ("vocabulary", "weights", "basis", "latent", "item_of", "ids", "items"))
             known = HashTable(vocabulary)
             weighted, used = basis * weights[:, None], weights > 0
-            bags = [set(w) for _, w in items]
+            bags = [set(w) for w in items]
             for part in _text.slices(batches):
                 terms = Terms(part.column(1), known)
                 own, z, _, _ = _by_block(terms, used, weighted)
@@ -229,7 +258,7 @@ class Decontamination:
                             doc = int(terms.doc_of_block[start[i + p]])
                             lo, hi = terms.found.first[doc], terms.found.first[doc + 1]
                             begin = lo + (start[i + p] - terms.first_block[doc]) * BLOCK_WORDS
-                            words = items[q][1]
+                            words = items[q]
                             n = len(words)
                             reach = max(BLOCK_WORDS // 2, n - BLOCK_WORDS)
                             region = terms.found.hash[max(lo, begin - reach) : min(hi, begin + 2 * BLOCK_WORDS + reach)].tolist()
@@ -247,7 +276,7 @@ class Decontamination:
                                 best[key] = value
                 docs_ = pa.array([d for d, _ in best], pa.int64())
                 found = list(best.values())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(docs_), pa.array([items[q][0] for _, q in best], pa.int64()), pa.array([v[2] for v in found], pa.float64()), pa.array([v[0] for v in found], pa.float64()), pa.array([v[1] for v in found], pa.float64())], ["doc", "item", "cosine", "lcs", "answer"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(docs_), ids.take(pa.array([q for _, q in best], pa.int64())), pa.array([v[2] for v in found], pa.float64()), pa.array([v[0] for v in found], pa.float64()), pa.array([v[1] for v in found], pa.float64())], ["doc", "item", "cosine", "lcs", "answer"])
 
         return rows.mapInArrow(run, schema)
 

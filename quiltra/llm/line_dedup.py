@@ -6,6 +6,8 @@ State of the operator, all in the shared folder:
   that hold it, kept as signed deltas (+1 a document inserted, -1 deleted), so
   a deletion restores what the insertion changed;
 * cuckoo filters: one row per shard, over the keys at or above the threshold.
+  A batch inserts the keys that it lifts to the threshold into the filters of
+  their shards and deletes those that it takes below; other shards stay.
 
 A document's lines are first probed against the filters; only hits go on to
 the exact join with the counts, so a false positive never drops a line.
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import free_name, table, written
+from ._spark import free_name, table, text_bytes, written
 from ._text import SPACES, slices
 
 MIN_DOCS = 10
@@ -30,8 +32,10 @@ MIN_CHARS = 1
 #: Keys of a shard's filter; the number of shards follows the number of keys.
 SHARD_KEYS = 50_000
 SLOTS = 4
-#: Filters are sent to every task up to this size; beyond it all lines take the exact join.
+#: Filters are sent to every task up to this size; beyond it lines go to the tasks that hold their shard.
 FILTER_BYTES = 64 << 20
+#: Bytes of text whose lines one shard's task takes, where lines go to the shards.
+PROBE_BYTES = 256 << 20
 #: Copies of each hot key in the exact join: a line in a third of all documents is dealt over so many tasks.
 SALTS = 32
 
@@ -108,6 +112,9 @@ class CuckooFilter:
         return ((self.table[one] == mark[:, None]) | (self.table[two] == mark[:, None])).any(axis=1)
 
 
+_FILTERS = "shard int, buckets long, data binary"
+
+
 def _shard_of(key: bytes, shards: int) -> int:
     return int.from_bytes(key[:8], "little") % shards
 
@@ -130,23 +137,51 @@ class LineDedup:
     apply(docs) drops every line whose key is held by `min_docs` documents or
     more.  Each row counts as one document: a repeated row counts again.  Null
     and empty texts are one empty line, which has no key and always stays.
+    apply() replaces columns of docs named n_lines or n_dropped and keeps all
+    others; rows of one id, or of a null id, lose the lines that are hot, each
+    from its own text.  An empty table gives an empty result.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text_col: str = "text", filter_bytes: int = FILTER_BYTES):
         self.spark, self.min_docs, self.min_chars, self.text_col, self.filter_bytes = spark, min_docs, min_chars, text_col, filter_bytes
         self._counts: DataFrame | None = None
         self._filters: DataFrame | None = None
+        self._shards = 1
 
     def _change(self, docs: DataFrame, sign: int) -> LineDedup:
         delta = document_keys(docs, self.text_col, self.min_chars).groupBy("key").agg((F.lit(sign) * F.count(F.lit(1))).alias("n_docs"))
         if self._counts is None:
             self._counts = written(delta, "line-counts")
-        else:
-            merged = self._counts.unionByName(delta).groupBy("key").agg(F.sum("n_docs").alias("n_docs")).where("n_docs <> 0")
-            self._counts = written(merged, "line-counts")
-        self._filters = None
+            return self
+        delta = written(delta, "line-delta")
+        merged = self._counts.unionByName(delta).groupBy("key").agg(F.sum("n_docs").alias("n_docs")).where("n_docs <> 0")
+        before, self._counts = self._counts, written(merged, "line-counts")
+        if self._filters is not None:
+            self._filters = self._crossed(before, delta)
         return self
 
+    def _crossed(self, before: DataFrame, delta: DataFrame) -> DataFrame:
+        """The filters after a batch: keys that crossed the threshold are inserted or deleted in the filters of their shards."""
+        change = delta.select("key", F.col("n_docs").alias("change")).join(before, "key", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+        was, is_ = F.col("n_docs") >= self.min_docs, F.col("n_docs") + F.col("change") >= self.min_docs
+        crossed = change.where(was != is_).select(self._shard(F.col("key")).alias("shard"), "key", is_.alias("hot"))
+
+        def touch(own: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            shard = int((own if len(own) else keys)["shard"].iloc[0])
+            f = CuckooFilter(int(own["buckets"].iloc[0]), bytes(own["data"].iloc[0])) if len(own) else CuckooFilter.build([])
+            for key in keys["key"][~keys["hot"].astype(bool)]:
+                f.delete(bytes(key))
+            full = [key for key in keys["key"][keys["hot"].astype(bool)] if not f.insert(bytes(key))]
+            # a filter without room keeps no keys to grow from: its shard is built anew from the counts
+            return pd.DataFrame({"shard": [shard], "buckets": [-1 if full else f.buckets], "data": [b"" if full else f.table.tobytes()]})
+
+        after = written(self._filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(touch, _FILTERS), "line-filters")
+        full = after.where("buckets < 0").select("shard")
+        if full.isEmpty():
+            return after
+        anew = self._built(self.hot().withColumn("shard", self._shard(F.col("key"))).join(F.broadcast(full), "shard", "left_semi"))
+        return written(after.where("buckets > 0").unionByName(anew), "line-filters")
+
     def insert(self, docs: DataFrame) -> LineDedup:
         return self._change(docs, 1)
 
@@ -163,28 +198,33 @@ class LineDedup:
     def hot(self) -> DataFrame:
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
-    def filters(self) -> DataFrame:
-        """shard int, buckets long, data binary: one cuckoo filter per shard of the hot keys."""
-        if self._filters is None:
-            n = self.hot().count()
-            self._shards = shards = max(1, -(-n // SHARD_KEYS))
+    def _shard(self, key: Column) -> Column:
+        shards = self._shards
+        return F.pandas_udf(lambda keys: keys.map(lambda k: _shard_of(bytes(k), shards)).astype("int32"), "int")(key)
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        """Filters from (shard, key)."""
+
+        def build(group: pd.DataFrame) -> pd.DataFrame:
+            f = CuckooFilter.build([bytes(k) for k in group["key"]])
+            return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "buckets": [f.buckets], "data": [f.table.tobytes()]})
 
-            def build(group: pd.DataFrame) -> pd.DataFrame:
-                f = CuckooFilter.build(list(group["key"]))
-                return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "buckets": [f.buckets], "data": [f.table.tobytes()]})
+        return keys.select("shard", "key").groupBy("shard").applyInPandas(build, _FILTERS)
 
-            shard = F.pandas_udf(lambda keys: keys.map(lambda k: _shard_of(bytes(k), shards)), "int")
-            self._filters = written(self.hot().select(shard("key").alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard int, buckets long, data binary"), "line-filters")
+    def filters(self) -> DataFrame:
+        """shard int, buckets long, data binary: one cuckoo filter per shard of the hot keys.
+
+        The number of shards follows the first corpus; where the hot keys have grown far beyond it, they are dealt anew.
+        """
+        n = self.hot().count()
+        if self._filters is None or n > 4 * SHARD_KEYS * self._shards:
+            self._shards = max(1, -(-n // SHARD_KEYS))
+            self._filters = written(self._built(self.hot().withColumn("shard", self._shard(F.col("key")))), "line-filters")
         return self._filters
 
-    def _hits(self, docs: DataFrame, doc_col: str) -> DataFrame:
-        """(doc, key) of lines that the filters can't exclude, each pair once a row."""
-        filters = self.filters()
-        size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
+    def _lines(self, docs: DataFrame, doc_col: str, known=None) -> DataFrame:
+        """(doc, key) of each row's distinct line keys, with `known` filters only of those that the filters can't exclude."""
         min_chars, shards = self.min_chars, self._shards
-        known = None
-        if size <= self.filter_bytes:
-            known = self.spark.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["data"])) for r in filters.collect()})
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             tables = None if known is None else {s: CuckooFilter(b, d) for s, (b, d) in known.value.items()}
@@ -208,6 +248,26 @@ class LineDedup:
         kind = docs.schema[doc_col].dataType.simpleString()
         return docs.select(F.col(doc_col).alias("doc"), F.col(self.text_col).alias("text")).mapInArrow(run, f"doc {kind}, key binary")
 
+    def _hits(self, docs: DataFrame, doc_col: str) -> DataFrame:
+        """(doc, key) of lines that the filters can't exclude, each pair once a row."""
+        filters = self.filters()
+        size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
+        if size <= self.filter_bytes:
+            known = self.spark.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["data"])) for r in filters.collect()})
+            return self._lines(docs, doc_col, known)
+        # each shard's filter goes to as many tasks as its lines need
+        deals = max(1, -(-text_bytes(docs, self.text_col) // (PROBE_BYTES * self._shards)))
+        lines = self._lines(docs, doc_col).withColumns({"shard": self._shard(F.col("key")), "deal": F.pmod(F.xxhash64("doc", "key"), F.lit(deals)).cast("int")})
+        dealt = filters.select("*", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+
+        def probe(lines: pa.Table, own: pa.Table) -> pa.Table:
+            keys = [k.as_py() for k in lines.column("key")] if own.num_rows else []
+            hit = CuckooFilter(own.column("buckets")[0].as_py(), own.column("data")[0].as_py()).probe(keys) if keys else np.zeros(lines.num_rows, bool)
+            return lines.select(["doc", "key"]).filter(pa.array(hit))
+
+        kind = docs.schema[doc_col].dataType.simpleString()
+        return lines.groupBy("shard", "deal").cogroup(dealt.groupBy("shard", "deal")).applyInArrow(probe, f"doc {kind}, key binary")
+
     def dropped(self, docs: DataFrame, doc_col: str) -> DataFrame:
         """doc, keys: the hot keys of each document, by exact join."""
         salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
@@ -220,7 +280,7 @@ class LineDedup:
         into = into or self.text_col
         mark = free_name(docs, "_dropped_keys")
         gone = self.dropped(docs, doc_col).select(F.col("doc").alias(mark + "_doc"), F.col("keys").alias(mark))
-        joined = docs.join(gone, docs[doc_col].eqNullSafe(gone[mark + "_doc"]), "left").drop(mark + "_doc")
+        joined = docs.join(gone, docs[doc_col].eqNullSafe(gone[mark + "_doc"]), "left").drop(mark + "_doc").drop("n_lines", "n_dropped")
         min_chars = self.min_chars
 
         @F.pandas_udf("text string, n_lines long, n_dropped long")

@@ -5,10 +5,13 @@ the old count taken off and the new one added) to the totals by source,
 language and tokenizer version.  A batch is one folder of deltas and one
 commit record; the record is created without overwriting and names the folder,
 so a batch that is sent again, or whose writer was lost half way, counts once.
+Compaction writes the sums of all batches so far and then one base record that
+names the folder and these batches: it appears whole or not at all.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_folder, table
+from ._spark import checkpointed, shared_folder, table
 from ._text import slices
 from .packing import WordTokenizer, tokenizer_path
 
@@ -32,7 +35,7 @@ class PieceCounter:
 
     kept: dict[str, "PieceCounter"] = {}
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -67,7 +70,7 @@ class WordCounter:
 
 KINDS = {"word": WordCounter, "piece": PieceCounter}
 #: Tokenizer version -> (kind, file).
-VERSIONS = {"word_bpe_49k": ("word", "word_bpe_49k.json")}
+VERSIONS = {"word_bpe_49k": ("word", "word_bpe_49k.json"), "byte_bpe_50k": ("piece", "byte_bpe_50k.json")}
 
 
 def _counter(kind: str, path: str):
@@ -97,10 +100,12 @@ def document_counts(docs: DataFrame, versions=None, doc_col: str = "doc_id", tex
 class TokenRollup:
     """Totals of a corpus in a folder that all executors share.
 
-    insert, delete and revise take a batch id; the first commit of an id
-    counts, later ones change nothing.  Deletes take counts (rows of
-    document_counts), so a text need not be tokenised again.  Null keys are a
-    group of their own; a group whose documents are all gone has no row.
+    insert, delete and revise take a batch id, a file name that starts with
+    neither . nor _; the first commit of an id counts, later ones change
+    nothing.  Deletes take counts (rows of document_counts), so a text need not
+    be tokenised again.  Null keys are a group of their own; a group whose
+    documents are all gone has no row; repeated rows count each; null texts
+    have no tokens.  No rows at all give no totals.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -110,17 +115,16 @@ class TokenRollup:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _record(self, batch: str) -> str:
+        if not batch or batch[0] in "._" or "/" in batch:
+            raise ValueError(f"not a batch id: {batch!r}")
         return f"{self.path}/commits/{batch}"
 
-    def committed(self) -> dict[str, str]:
-        """Batch id -> folder of its deltas."""
-        top = self._path(f"{self.path}/commits")
-        if not self._fs.exists(top):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(top):
+    def _read(self, folder: str) -> dict[str, str]:
+        """File name -> content of the records of a folder."""
+        top, out = self._path(f"{self.path}/{folder}"), {}
+        for status in self._fs.listStatus(top) if self._fs.exists(top) else []:
             name = status.getPath().getName()
-            if name.startswith("."):
+            if name[0] in "._":
                 continue
             stream = self._fs.open(status.getPath())
             try:
@@ -129,6 +133,27 @@ class TokenRollup:
                 stream.close()
         return out
 
+    def _publish(self, record: str, content: str) -> bool:
+        """A record appears whole under its name, or not at all: written aside, then renamed, which fails if the name is taken."""
+        aside, target = self._path(f"{record.rpartition('/')[0]}/.{uuid.uuid4().hex}"), self._path(record)
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray(content.encode()))
+        stream.close()
+        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            self._fs.delete(aside, False)
+            return False
+        return True
+
+    def committed(self) -> dict[str, str]:
+        """Batch id -> folder of its deltas, whether or not a base holds them already."""
+        return self._read("commits")
+
+    def _base(self) -> tuple[int, dict]:
+        """Number and content of the newest base record."""
+        found = self._read("bases")
+        last = max(found, default=None)
+        return (int(last), json.loads(found[last])) if last else (0, {"folder": None, "batches": []})
+
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Add signed rows (KEYS, sign, n_tokens, n_chars) once; False if the batch is in already."""
         if self._fs.exists(self._path(self._record(batch))):
@@ -136,13 +161,7 @@ class TokenRollup:
         sums = signed.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), *(F.sum(F.col(c) * F.col("sign")).cast("long").alias(c) for c in SUMS[1:]))
         folder = f"{self.path}/deltas/{batch}-{uuid.uuid4().hex}"
         sums.write.parquet(folder)
-        # the record appears whole under its name, or not at all: written aside, then renamed, which fails if the name is taken
-        aside = self._path(f"{self.path}/commits/.{uuid.uuid4().hex}")
-        stream = self._fs.create(aside, False)
-        stream.write(bytearray(folder.encode()))
-        stream.close()
-        if self._fs.exists(self._path(self._record(batch))) or not self._fs.rename(aside, self._path(self._record(batch))):
-            self._fs.delete(aside, False)
+        if not self._publish(self._record(batch), folder):
             self._fs.delete(self._path(folder), True)
             return False
         return True
@@ -159,26 +178,32 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars over all committed batches."""
-        folders = sorted(self.committed().values())
+        base = self._base()[1]
+        return self._sums(base, self.committed())
+
+    def _sums(self, base: dict, batches: dict[str, str]) -> DataFrame:
+        folders = [base["folder"]] * bool(base["folder"]) + sorted(f for b, f in batches.items() if b not in base["batches"])
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
         rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
         return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
-    def compact(self, name: str) -> None:
-        """Replace all deltas so far by one batch of their sums; batch ids stay committed."""
+    def compact(self) -> bool:
+        """Sum all batches so far into a new base; batch ids stay committed.  False if another compaction came first."""
+        number, base = self._base()
         had = self.committed()
-        folder = f"{self.path}/deltas/{name}-{uuid.uuid4().hex}"
-        self.totals().write.parquet(folder)
-        empty = f"{self.path}/deltas/{name}-none-{uuid.uuid4().hex}"
-        self.totals().limit(0).write.parquet(empty)
-        for i, batch in enumerate(sorted(had)):
-            stream = self._fs.create(self._path(self._record(batch)), True)
-            stream.write(bytearray((folder if i == 0 else empty).encode()))
-            stream.close()
+        folder = f"{self.path}/deltas/base-{uuid.uuid4().hex}"
+        self._sums(base, had).write.parquet(folder)
+        return self._publish(f"{self.path}/bases/{number + 1:012d}", json.dumps({"folder": folder, "batches": sorted(had)}))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents come in, the first batch is sent again, later exact copies of a text go."""
+    """Totals of `documents` by two tokenizers after four batches.
+
+    All documents come in; that batch is sent again and changes nothing; exact
+    copies of a text, but the one of the least id, are deleted (a document is its
+    id; rows without one stay); the counts of
+    the word tokenizer are revised to hold one end token a document.
+    """
     docs = table(spark, sf_dir, "documents")
     rollup = TokenRollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
     folder = f"{rollup.path}/documents"
@@ -192,5 +217,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)).cast("int")
     first = first.select("first", "print", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
     later = prints.withColumn("deal", deal).join(first, ["print", "deal"]).where("doc_id <> first").select(F.col("doc_id").alias("doc"))
+    later = checkpointed(later)
     rollup.delete("1-copies", counts.join(later, "doc", "left_semi"))
+    left = counts.where(F.col("tokenizer") == "word_bpe_49k").join(later, "doc", "left_anti")
+    rollup.revise("2-end-token", left, left.withColumn("n_tokens", F.col("n_tokens") + 1))
     return rollup.totals()

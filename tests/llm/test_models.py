@@ -213,7 +213,7 @@ def test_rollup_is_idempotent_and_reversible(spark, tmp_path):
     new = token_rollup.document_counts(frame(spark, [(1, "one two three four")]))
     assert rollup.revise("c", counts.where("doc = 1"), new)
     assert total() == {"src0": (1, 1, 4), "src1": (2, 4, 18)}
-    rollup.compact("base")
+    assert rollup.compact()
     assert total() == {"src0": (1, 1, 4), "src1": (2, 4, 18)}
     assert not rollup.insert("a", counts)
     assert rollup.delete("d", counts.where("doc <> 1 and doc <> 2").unionByName(new))
