@@ -159,22 +159,30 @@ class Network:
                     params[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
             rng.shuffle(used)
         net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
-        logits = net.logit(x[held])
-        loss = [np.mean(np.logaddexp(0, -np.where(y[held] == 1, 1, -1) * logits / q)) for q in TEMPERATURES]
-        net.temperature = float(TEMPERATURES[int(np.argmin(loss))])
+        net.temperature = fitted_temperature(net.logit(x[held]), y[held])
         return net
 
 
-#: A temperature under 1 would sharpen what a separable sample makes sharp already.
-TEMPERATURES = np.geomspace(1, 8, 41)
+#: Temperatures tried on the rows kept from training: under 1 sharpens an under-confident network, above 1 softens an over-confident one.
+TEMPERATURES = np.geomspace(0.25, 8, 61)
+
+
+def fitted_temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least log loss."""
+    loss = [np.mean(np.logaddexp(0, -np.where(y == 1, 1, -1) * logits / q)) for q in TEMPERATURES]
+    return float(TEMPERATURES[int(np.argmin(loss))])
 
 
 class QualityClassifier:
     """fit(docs, labels) on a bounded labelled sample, score(docs) for every row.
 
-    Ids, languages, sources and labels are never inputs of a score.  Null and
-    empty texts are scored from an all-zero mean; a sample without rows gives
-    0.5 everywhere.
+    Ids, languages, sources and labels are never inputs of a score, so equal
+    texts get equal scores whatever their ids.  Null and empty texts are scored
+    from an all-zero mean; a sample without rows gives 0.5 everywhere.  The
+    sample is the labelled rows of least id hash, ties by id and label; a row
+    labelled twice counts twice, null ids are never labelled.  score() keeps all
+    columns of docs but one named like the score; a text of any length is read
+    whole; an empty table gives an empty result.
     """
 
     def __init__(self, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD):

@@ -134,9 +134,50 @@ def test_classifier_separates_held_out_rows(spark):
     model = quality_classifier.QualityClassifier().fit(docs, labels)
     got = model.score(docs).join(labels, "doc_id").where(quality_classifier.crc_fold(F.col("doc_id"), 4) == 2).select("score", "quality").collect()
     assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in got]) > 0.95
+    # calibrated: in each third of the scores the mean score is near the share of label 1
+    for part in np.array_split(sorted((r.score, r.quality) for r in got), 3):
+        assert abs(part[:, 0].mean() - part[:, 1].mean()) < 0.12
     assert all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.parametrize("sharp, low, high", [(0.3, 0.25, 0.6), (4.0, 2.0, 8.0)])
+def test_temperature_sharpens_and_softens(sharp, low, high):
+    """Labels drawn from known logits: the fitted temperature undoes a scale in either direction."""
+    rng = np.random.default_rng(1)
+    logits = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-logits))).astype(float)
+    assert low <= quality_classifier.fitted_temperature(logits * sharp, y) <= high
+
+
+def test_classifier_is_the_method_step_by_step(spark):
+    """Scores of a small table against plain Python: context vectors, pooled means, the fitted network."""
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 23}{'#' * (j % 3)}" for j in range(5 + k % 9))) for k in range(40)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    model = quality_classifier.QualityClassifier().fit(docs, labels)
+    index = quality_classifier.index_vectors(quality_classifier.BUCKETS, quality_classifier.DIM, 11)
+    bucket = lambda w: int(_text.words(pa.array([w])).hash[0] >> np.uint64(40)) % quality_classifier.BUCKETS
+    context = collections.defaultdict(lambda: np.zeros(quality_classifier.DIM))
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            own = [bucket(w) for w in t.split()]
+            for i, b in enumerate(own):
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(own):
+                        context[b] += index[own[j]]
+    scores = {r.doc_id: r.score for r in model.score(docs.drop("score")).collect()}
+    for k, t in rows:
+        vectors = []
+        for w in t.split():
+            v = context[bucket(w)]
+            vectors.append(v / max(np.linalg.norm(v), 1e-9) + 0.5 * index[bucket(w)])
+        x = quality_classifier.pooled(pa.array([t]), model.vectors, model.shapes)[0]
+        assert np.allclose(x[: quality_classifier.DIM], np.mean(vectors, axis=0), atol=1e-4)
+        n = model.network
+        logit = np.tanh((x - n.mean) / n.scale @ n.w1 + n.b1) @ n.w2 + n.b2
+        assert math.isclose(scores[k], 1 / (1 + math.exp(-logit / n.temperature)), rel_tol=1e-6)
+
+
 def test_classifier_without_labels_nulls_and_clashing_columns(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "some words")])
     model = quality_classifier.QualityClassifier().fit(docs, docs.select("doc_id", "quality"))
@@ -236,7 +277,7 @@ def test_pipeline_stages_take_effect(spark):
     before = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
-        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert out.columns == docs.columns
         path = f"{spark.conf.get('spark.checkpoint.dir')}/stage-{name}"
         out.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
