@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quiltra-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -72,10 +74,11 @@ def keyed(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
 SENT_IDS = 200_000
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of docs whose id is not in ids; ids are counted, and sent to all tasks only if they are few."""
-    ids = checkpointed(ids.select(id_col).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, id_col, "left_anti")
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose key is not in gone's only column; keys are counted, and sent to all tasks only if they are few."""
+    name = free_name(docs, "_gone")
+    gone = checkpointed(gone.toDF(name).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, key == gone[name], "left_anti")
 
 
 def free_name(df: DataFrame, name: str) -> str:

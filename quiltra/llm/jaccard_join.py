@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import SENT_IDS, checkpointed, table, tasks, written
+from ._spark import SENT_IDS, checkpointed, keyed, table, tasks, written
 from .components import components
 
 U = np.uint64
@@ -41,7 +41,9 @@ SETS_PER_TASK = 2_000
 #: Buckets of a sketch for each feature that a link may differ by: pairs that differ in 1.2 times as many are ruled out.
 BUCKETS = 8
 #: Stars around other sets of a signature before all pairs: they join most of a large group of near copies at little cost.
-PIVOTS = 3
+PIVOTS = 1
+#: Sets of a signature that meet in one place at a time when all pairs are looked at.
+SETS_PER_DEAL = 128
 
 
 @dataclass(frozen=True)
@@ -204,15 +206,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 class JaccardJoin:
     """Documents linked by Jaccard similarity of their word-shingle sets.
 
-    docs needs a unique integer id; `shingle` words make a feature, two
-    documents link when den * intersection >= num * union.  Texts of fewer
-    words have their whole word sequence as the only feature; null and empty
-    texts have no set and link with nothing.  Repeated texts are one set.
+    `shingle` words make a feature, two documents link when
+    den * intersection >= num * union.  Texts of fewer words have their whole
+    word sequence as the only feature; null and empty texts have no set and
+    link with nothing.  Repeated texts are one set.  Every row is a document,
+    told by id and text: ids may be null or repeated; a null id is never the
+    least of a component that has another.  An empty table gives an empty
+    result; other columns of docs are not read, so no name clashes.
     """
 
     def __init__(self, docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, doc_col: str = "doc_id", text_col: str = "text", scheme: PartEnum | None = None, rare_share: int | None = None):
         self.spark, self.shingle = docs.sparkSession, shingle
-        self.docs = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+        self.docs = keyed(docs, doc_col, text_col)
         self.scheme = scheme or PartEnum(num, den, slack=0.0 if num * 100 >= 88 * den else 0.04)
         if rare_share is None and num * 100 < 85 * den:
             rare_share = max(1, int(0.75 * num / (den - num)))
@@ -226,15 +231,15 @@ class JaccardJoin:
     # -- sets -----------------------------------------------------------------
 
     def sets(self) -> DataFrame:
-        """doc, n_shingles, set_id (null for an empty set), written once."""
+        """doc, print, n_shingles, set_id (null for an empty set), written once."""
         size, kind = self.shingle, self.docs.schema["doc"].dataType.simpleString()
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             for part in _text.slices(batches):
-                _, counts, ids = shingle_sets(part.column(1), size)
-                yield pa.record_batch([part.column(0), pa.array(counts.astype(np.int64)), pa.array(ids.view(np.int64), mask=counts == 0)], ["doc", "n_shingles", "set_id"])
+                _, counts, ids = shingle_sets(part.column(2), size)
+                yield pa.record_batch([*part.columns[:2], pa.array(counts.astype(np.int64)), pa.array(ids.view(np.int64), mask=counts == 0)], ["doc", "print", "n_shingles", "set_id"])
 
-        return self.docs.mapInArrow(run, f"doc {kind}, n_shingles long, set_id long")
+        return self.docs.mapInArrow(run, f"doc {kind}, print long, n_shingles long, set_id long")
 
     # -- candidates -----------------------------------------------------------
 
@@ -318,9 +323,9 @@ class JaccardJoin:
         """set_id, a, feats of every set in pairs, written once; a is the set's partner in `first`, if any."""
         size = self.shingle
         ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        reps = sets.groupBy("set_id").agg(F.min("doc").alias("doc"))
+        reps = sets.groupBy("set_id").agg(F.min("print").alias("print"))
         chosen = ids.join(reps, "set_id").join(first.select(F.col("b").alias("set_id"), "a"), "set_id", "left")
-        chosen = chosen.select("doc", "set_id", "a").join(docs, "doc").select("set_id", "a", "text")
+        chosen = chosen.select("print", "set_id", "a").join(docs, "print").select("set_id", "a", "text")
 
         def run(batches) -> Iterator[pa.RecordBatch]:
             for part in _text.slices(batches):
@@ -354,9 +359,9 @@ class JaccardJoin:
         docs = self.docs
         if self.rare_share is not None:
             keep = self.possible(sets)
-            reps = sets.groupBy("set_id").agg(F.min("doc").alias("doc")).join(keep, "set_id")
-            reps = checkpointed(reps.select("doc"))
-            docs = written(docs.join(F.broadcast(reps) if reps.count() <= SENT_IDS else reps, "doc", "left_semi").select("doc", "text"), "possible-texts")
+            reps = sets.groupBy("set_id").agg(F.min("print").alias("print")).join(keep, "set_id")
+            reps = checkpointed(reps.select("print"))
+            docs = written(docs.join(F.broadcast(reps) if reps.count() <= SENT_IDS else reps, "print", "left_semi").select("print", "text"), "possible-texts")
         pairs = checkpointed(self.candidates(docs))
         # each set's most frequent star edge first: most others lie within a component then and need no test
         first = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
@@ -442,36 +447,54 @@ class JaccardJoin:
         return checkpointed(self._few(feats.select("set_id", "feats").mapInArrow(run, "set_id long, step int, instance long, size long, sketch array<long>")))
 
     def _rows(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """sign, set_id, step, comp of the signatures that sets of two components share."""
+        """sign, set_id, step, comp of the signatures that sets of two components share, and in how many deals a signature's sets lie."""
         named = self._few(shared.join(self._few(roots.select(F.col("node").alias("set_id"), "root")), "set_id", "left"))
         named = named.select("sign", "set_id", "step", F.coalesce("root", "set_id").alias("comp"))
-        mixed = self._few(named.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sign"))
+        deals = F.ceil(F.count(F.lit(1)) / SETS_PER_DEAL).cast("int")
+        mixed = self._few(named.groupBy("sign").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), deals.alias("deals")).where("x <> y").select("sign", "deals"))
         return checkpointed(named.join(mixed, "sign").coalesce(self.width))
 
     def _star_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
-        """(a, b): pairs across components of each signature's sets with one of them, another one each turn."""
-        pivots = rows.groupBy("sign").agg(F.min_by(F.struct("set_id", "comp"), F.xxhash64("set_id", F.lit(turn))).alias("pivot"))
+        """(a, b): pairs across components of each signature's sets with one of them: the one of most signatures, or in later turns a chance one.
+
+        What near copies were made from shares more signatures than they do with each other.
+        """
+        weight = rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("weight")) if turn == 1 else rows.select("set_id", F.lit(0).alias("weight")).distinct()
+        weighed = self._few(self._few(rows).join(self._few(weight), "set_id"))
+        pivots = weighed.groupBy("sign").agg(F.max_by(F.struct("set_id", "comp"), F.struct("weight", F.xxhash64("set_id", F.lit(turn)))).alias("pivot"))
         both = self._few(self._few(rows).join(self._few(pivots), "sign")).where("comp <> pivot.comp")
         return self._few(_ordered(both.select("set_id", F.col("pivot.set_id").alias("other"))).distinct())
 
     def _open_pairs(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs (a, b) across components with a common signature, but those whose sketches differ too much for a link."""
-        rows = self._few(self._few(rows).join(self._few(sketches.dropDuplicates(["set_id", "step"])), ["set_id", "step"]).select("sign", "set_id", "comp", "size", "sketch"))
+        """Pairs (a, b) across components with a common signature, but those whose sketches differ too much for a link.
+
+        The sets of a signature are dealt, and every two deals meet in a place of their own, so no task gets a frequent signature whole.
+        """
+        rows = self._few(self._few(rows).join(self._few(sketches.dropDuplicates(["set_id", "step"])), ["set_id", "step"]))
+        deal, each = F.pmod(F.xxhash64("set_id"), F.col("deals")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
+        rows = rows.select("sign", "set_id", "comp", "size", "sketch", "deals", deal.alias("deal"))
+        left, right = rows.withColumn("other", each).alias("l"), rows.withColumnRenamed("deal", "other").withColumn("deal", each).alias("r")
+        place = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("sign", "deal", "other")]
         near = (F.col("l.set_id") < F.col("r.set_id")) & (F.col("l.comp") != F.col("r.comp")) & self._near("l.sketch", "r.sketch", "l.size", "r.size")
-        both = self._few(rows.alias("l").join(rows.alias("r"), (F.col("l.sign") == F.col("r.sign")) & near)).select(F.col("l.set_id").alias("set_id"), F.col("r.set_id").alias("other"))
+        both = self._few(left.join(right, place[0] & place[1] & place[2] & near)).select(F.col("l.set_id").alias("set_id"), F.col("r.set_id").alias("other"))
         return _ordered(both).distinct()
 
     def groups(self) -> DataFrame:
-        """doc, n_shingles, component: the least doc reachable by links, the document itself included."""
+        """doc, print, n_shingles, component, stays: the least doc reachable by links, the document itself included, and whether the row is its component's one.
+
+        Equal rows stay or go together.
+        """
         sets = written(self.sets(), "shingle-sets")
         _, roots = self.links(sets)
-        reps = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
+        row = F.struct(F.col("doc").isNull().alias("bare"), "doc", "print")
+        reps = sets.where("set_id is not null").groupBy("set_id").agg(F.min(row).alias("head"), F.count(F.lit(1)).alias("n"))
         known = reps.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-        least = known.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
-        named = known.where("root is not null or n > 1").join(least, "root", "left").select("set_id", F.coalesce("least", "doc").alias("least"))
-        return sets.join(named, "set_id", "left").select("doc", "n_shingles", F.coalesce("least", "doc").alias("component"))
+        least = known.where("root is not null").groupBy("root").agg(F.min("head").alias("least"))
+        named = known.where("root is not null or n > 1").join(least, "root", "left").select("set_id", F.coalesce("least", "head").alias("head"))
+        out = sets.join(named, "set_id", "left")
+        return out.select("doc", "print", "n_shingles", F.coalesce("head.doc", "doc").alias("component"), (F.col("head").isNull() | (F.col("head.print") == F.col("print"))).alias("stays"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = JaccardJoin(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, num=90, den=100)
-    return join.groups().toDF("doc_id", "n_shingles", "component_id")
+    return join.groups().select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
