@@ -1,44 +1,56 @@
-"""Bit-level conversions that Spark has no expression for: half and bfloat16 storage, CRC-32C.
-
-Arrow batches of NumPy work; each is one small function over a column.
-"""
+"""Half and bfloat16 storage as column expressions, and CRC-32C, for which Spark has none."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType
+from pyspark.sql.types import LongType
 
 _POLYNOMIAL = 0x82F63B78
 
 
-def _float32(v: pd.Series) -> np.ndarray:
-    return v.to_numpy(np.float32, na_value=np.nan)
+def _exponent(x: Column) -> Column:
+    """floor(log2(x)) of x > 0, mended where the logarithm rounds."""
+    e = F.floor(F.log2(x))
+    return (e + F.when(F.pow(F.lit(2.0), e + 1) <= x, 1).when(F.pow(F.lit(2.0), e) > x, -1).otherwise(0)).cast("long")
+
+
+def _signed(v: Column, magnitude: Column) -> Column:
+    return magnitude + F.when(v < 0, F.lit(0x8000)).otherwise(F.lit(0))
 
 
-@F.pandas_udf(IntegerType())
-def float32_to_float16(v: pd.Series) -> pd.Series:
-    """IEEE half bits."""
-    with np.errstate(over="ignore"):
-        return pd.Series(_float32(v).astype(np.float16).view(np.uint16).astype(np.int32))
+def float16_bits(v: Column) -> Column:
+    """IEEE half bits of a float, rounded to the nearest and ties to even; beyond the largest half infinity."""
+    v = v.cast("float").cast("double")
+    x = F.abs(v)
+    e = F.greatest(_exponent(F.greatest(x, F.lit(2.0**-30))), F.lit(-14))
+    # a mantissa that rounds up to 2048 carries into the exponent by itself
+    bits = (e + 14) * 1024 + F.rint(x * F.pow(F.lit(2.0), 10 - e)).cast("long")
+    return _signed(v, F.least(bits, F.lit(0x7C00)))
 
 
-@F.pandas_udf(DoubleType())
-def float16_to_float32(bits: pd.Series) -> pd.Series:
-    return pd.Series(bits.to_numpy(np.uint16).view(np.float16).astype(np.float64))
+def float16(bits: Column) -> Column:
+    """The value of finite half bits."""
+    e, m = F.shiftright(bits % 32768, 10), (bits % 1024).cast("double")
+    x = F.when(e == 0, m * 2.0**-24).otherwise((m + 1024) * F.pow(F.lit(2.0), e - 25))
+    return F.when(bits >= 32768, -x).otherwise(x)
 
 
-@F.pandas_udf(IntegerType())
-def float32_to_bfloat16(v: pd.Series) -> pd.Series:
-    """Upper half of the float's bits, rounded to the nearest and ties to even."""
-    u = _float32(v).view(np.uint32)
-    return pd.Series(((u + np.uint32(0x7FFF) + ((u >> np.uint32(16)) & np.uint32(1))) >> np.uint32(16)).astype(np.int32))
+def bfloat16_bits(v: Column) -> Column:
+    """Upper half of a normal float's bits, rounded to the nearest and ties to even."""
+    v = v.cast("float").cast("double")
+    x = F.abs(v)
+    e = _exponent(F.greatest(x, F.lit(2.0**-126)))
+    return F.when(x == 0, F.lit(0)).otherwise(_signed(v, (e + 126) * 128 + F.rint(x * F.pow(F.lit(2.0), 7 - e)).cast("long")))
 
 
-@F.pandas_udf(DoubleType())
-def bfloat16_to_float32(bits: pd.Series) -> pd.Series:
-    return pd.Series((bits.to_numpy(np.uint32) << np.uint32(16)).view(np.float32).astype(np.float64))
+def bfloat16(bits: Column) -> Column:
+    """The value of the bits of a normal bfloat16 or of zero."""
+    e, m = F.shiftright(bits % 32768, 7), (bits % 128).cast("double")
+    x = F.when(e == 0, F.lit(0.0)).otherwise((m + 128) * F.pow(F.lit(2.0), e - 134))
+    return F.when(bits >= 32768, -x).otherwise(x)
 
 
 def _crc_table() -> list[int]:

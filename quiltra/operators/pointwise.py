@@ -45,8 +45,10 @@ def compensate(v: Column, shift: int) -> Column:
 
 
 def change_colors(df: DataFrame, value: str, lut: DataFrame) -> DataFrame:
-    """value -> lut row (v, new); the table has 256 rows, so it is always small enough to send."""
-    return df.join(F.broadcast(lut.limit(256).select(F.col("v").alias(value), F.col("new"))), value).withColumn(value, F.col("new")).drop("new")
+    """value -> lut row (v, new) of a table of at most 256 rows, which is checked before it is sent to every task."""
+    if lut.limit(257).count() > 256:
+        raise ValueError("a table of colours has 256 rows at most")
+    return df.join(F.broadcast(lut.select(F.col("v").alias(value), F.col("new"))), value).withColumn(value, F.col("new")).drop("new")
 
 
 def aligned(a: DataFrame, b: DataFrame, keys=("img", "y", "x")) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import frames, images, vectors
+from . import formats, frames, images, vectors
 
-QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES}
-SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL}
+QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES}
+SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL}
 FLAGSHIP = "abs_difference_sum"

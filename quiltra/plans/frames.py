@@ -66,9 +66,6 @@ for _n, _to, _cols in (
 add("yuv422p_to_uyvy422", f"WITH {P} SELECT img, y, x * 2 AS x, CASE WHEN x % 2 = 0 THEN b ELSE c END AS v FROM p UNION ALL SELECT img, y, x * 2 + 1, a FROM p")(
     lambda s, d: pixels(s, d).select("img", "y", "x", F.posexplode(F.array(F.when(c("x") % 2 == 0, c("b")).otherwise(c("c")), c("a")))).select("img", "y", (c("x") * 2 + c("pos")).alias("x"), c("col").alias("v"))
 )
-add("uyvy422_to_yuv", f"WITH {P} SELECT img, y, x // 4 AS x, max(CASE WHEN x % 4 = 0 THEN a END) AS u, max(CASE WHEN x % 4 = 1 THEN a END) AS y0, max(CASE WHEN x % 4 = 2 THEN a END) AS v, max(CASE WHEN x % 4 = 3 THEN a END) AS y1 FROM p WHERE x < {W // 4 * 4} GROUP BY 1, 2, 3")(
-    lambda s, d: pixels(s, d).where(f"x < {W // 4 * 4}").groupBy("img", "y", F.expr("x div 4").alias("k")).agg(*[F.max(F.when(c("x") % 4 == i, c("a"))).alias(n) for i, n in enumerate(("u", "y0", "v", "y1"))]).withColumnRenamed("k", "x")
-)
 
 # -- stencils with a reach of their own ----------------------------------------------------
 
@@ -86,20 +83,30 @@ add("abs_second_derivative_histogram", f"WITH {P}, {_N1} SELECT img, CAST({_SD}
     .groupBy("img", F.greatest(F.abs(c("n11") - shr(c("n10") + c("n12") + 1, 1)), F.abs(c("n11") - shr(c("n01") + c("n21") + 1, 1))).alias("bin"))
     .agg(F.count(F.lit(1)).alias("n"))
 )
-_PAR = f"SELECT p.img, p.y, p.x, CASE WHEN min(q.m) = 1 AND max(q.m) = 1 THEN 1 WHEN bool_or(q.m = 1) AND max(p.a) > 100 THEN 1 ELSE 0 END AS v FROM p JOIN p AS q ON q.img = p.img AND q.y IN (least(greatest((p.y - 1) // 2, 0), {H // 2 - 1}), least(greatest((p.y - 1) // 2 + 1, 0), {H // 2 - 1})) AND q.x IN (least(greatest((p.x - 1) // 2, 0), {W // 2 - 1}), least(greatest((p.x - 1) // 2 + 1, 0), {W // 2 - 1})) GROUP BY 1, 2, 3"
+_SMALL = f"d AS (SELECT img, y // 2 AS y, x // 2 AS x, (CAST(sum(c) AS BIGINT) + 2) // 4 % 4 AS v FROM p GROUP BY 1, 2, 3)"
+_PAR = f"""g AS (SELECT p.*, (p.y - 1) // 2 AS py, (p.x - 1) // 2 AS px FROM p WHERE p.y BETWEEN 1 AND {H - 2} AND p.x BETWEEN 1 AND {W - 2}),
+f AS (SELECT g.img, g.y, g.x, count(*) FILTER (WHERE d.v = 1) AS n FROM g JOIN d ON d.img = g.img AND d.y - g.py IN (0, 1) AND d.x - g.px IN (0, 1) GROUP BY 1, 2, 3)
+SELECT p.img, p.y, p.x, CASE WHEN f.n IS NULL OR p.al >= 200 THEN p.al WHEN f.n = 4 OR f.n > 0 AND p.a > 100 THEN 1 ELSE 0 END AS v FROM p LEFT JOIN f ON f.img = p.img AND f.y = p.y AND f.x = p.x"""
 
 
 def propagate(spark, sf_dir):
-    """Child mask from the four parent cells around it; parents are the upper left quarter of the plane."""
+    """A coarse mask's index goes into the fine mask al, where four coarse pixels around hold it, or one of them and the difference a is over 100.
+
+    The outer frame and pixels at or above the invalid index 200 stay; a coarse
+    pixel sends itself to the four by four fine pixels that it is a corner of.
+    """
     p = pixels(spark, sf_dir)
-    cell = lambda k, n: F.array_distinct(F.array(*[F.least(F.greatest(F.expr(f"({k} - 1) div 2") + i, F.lit(0)), F.lit(n // 2 - 1)) for i in (0, 1)]))
-    child = p.select(*KEY, "a", F.explode(cell("y", H)).alias("py")).select("*", F.explode(cell("x", W)).alias("px"))
-    both = child.join(p.select("img", c("y").alias("py"), c("x").alias("px"), c("m").alias("pm")), ["img", "py", "px"])
-    v = F.when((F.min("pm") == 1) & (F.max("pm") == 1), 1).when(F.max((c("pm") == 1).cast("int")) * F.when(F.max("a") > 100, 1).otherwise(0) == 1, 1).otherwise(0)
-    return both.groupBy(*KEY).agg(v.alias("v"))
+    coarse = p.groupBy("img", F.expr("y div 2").alias("py"), F.expr("x div 2").alias("px")).agg((shr(F.sum("c") + 2, 2) % 4).alias("v"))
+    reach = lambda k: F.explode(F.sequence(2 * c(k) - 1, 2 * c(k) + 2))
+    sent = coarse.select("img", "px", "v", reach("py").alias("y")).select("img", "y", "v", reach("px").alias("x"))
+    inner = f"y between 1 and {H - 2} and x between 1 and {W - 2}"
+    own = p.select(*KEY, "a", "al", F.lit(None).cast("long").alias("v"))
+    met = own.unionByName(sent.where(inner).select(*KEY, F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("al"), "v"))
+    met = met.groupBy(*KEY).agg(F.max("a").alias("a"), F.max("al").alias("al"), F.count("v").alias("around"), F.count_if(c("v") == 1).alias("n"))
+    return met.select(*KEY, F.when((c("around") == 0) | (c("al") >= 200), c("al")).when((c("n") == 4) | ((c("n") > 0) & (c("a") > 100)), 1).otherwise(0).alias("v"))
 
 
-add("segmentation_propagate_2x2", f"WITH {P} {_PAR}")(propagate)
+add("segmentation_propagate_2x2", f"WITH {P}, {_SMALL}, {_PAR}")(propagate)
 
 # -- matching ---------------------------------------------------------------------------------
 
@@ -154,13 +161,6 @@ add("synet_deconvolution_2x2_stride2", f"WITH {P}, w(i, j, w) AS (VALUES (0, 0,
 )
 add("neural_pooling_1x1_max_3x3", f"WITH {P}, {_N1} SELECT img, y, x, greatest({', '.join(f'n{i}{j}' for i in range(3) for j in range(3))}) AS v FROM n")(lambda s, d: neighbourhood(pixels(s, d).select(*KEY, "a"), "a", 1).select(*KEY, F.greatest(*[c(f"n{i}{j}") for i in range(3) for j in range(3)]).alias("v")))
 _WIN = "t AS (SELECT img, y // 2 AS ty, x // 2 AS tx, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN a END) AS d00, max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN a END) AS d01, max(CASE WHEN y % 2 = 1 AND x % 2 = 0 THEN a END) AS d10, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN a END) AS d11 FROM p GROUP BY 1, 2, 3)"
-add("winograd_2x2_input_tile", f"WITH {P}, {_WIN} SELECT img, ty, tx, d00 - d01 - d10 + d11 AS m00, d01 - d11 AS m01, d10 - d11 AS m10, d11 AS m11 FROM t")(
-    lambda s, d: pixels(s, d)
-    .groupBy("img", F.expr("y div 2").alias("ty"), F.expr("x div 2").alias("tx"))
-    .agg(*[F.max(F.when((c("y") % 2 == i) & (c("x") % 2 == j), c("a"))).alias(f"d{i}{j}") for i in (0, 1) for j in (0, 1)])
-    .select("img", "ty", "tx", (c("d00") - c("d01") - c("d10") + c("d11")).alias("m00"), (c("d01") - c("d11")).alias("m01"), (c("d10") - c("d11")).alias("m10"), c("d11").alias("m11"))
-)
-
 # -- relational operations over pixels -----------------------------------------------------------------
 
 add("pixels_rollup", f"WITH {P} SELECT coalesce(img, -1) AS img, coalesce(m, -1) AS m, count(*) AS n, CAST(sum(a) AS BIGINT) AS s FROM p GROUP BY ROLLUP (p.img, p.m)")(lambda s, d: pixels(s, d).rollup("img", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("a").cast("long").alias("s")).na.fill(-1, ["img", "m"]))

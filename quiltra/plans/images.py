@@ -134,7 +134,7 @@ for _m, ((_tl, _tr), (_bl, _br)) in C.BAYER.items():
 add("deinterleave_bgr", "SELECT img, y, x, 0 AS ch, a AS v FROM p UNION ALL SELECT img, y, x, 1, b FROM p UNION ALL SELECT img, y, x, 2, c FROM p")(
     lambda p: p.select(*KEY, F.posexplode(F.array("a", "b", "c"))).select(*KEY, c("pos").alias("ch"), c("col").alias("v"))
 )
-add("interleave_uv", "SELECT img, y, x, a * 256 + b AS uv FROM p")(lambda p: p.select(*KEY, "a").join(p.select(*KEY, "b"), KEY).select(*KEY, (c("a") * 256 + c("b")).alias("uv")))
+add("interleave_uv", "SELECT img, y, x, a * 256 + b AS uv FROM p")(lambda p: p.select(*KEY, (c("a") * 256 + c("b")).alias("uv")))
 add("change_colors", "SELECT p.img, p.y, p.x, (p.a * 7 + 64) % 192 AS v FROM p")(
     lambda p: E.change_colors(p.select(*KEY, c("a").alias("v")), "v", p.sparkSession.range(256).select(c("id").alias("v"), ((c("id") * 7 + 64) % 192).alias("new"))).select(*KEY, "v")
 )
@@ -147,14 +147,12 @@ add("copy_frame", "SELECT img, y, x, CASE WHEN y BETWEEN 3 AND 26 AND x BETWEEN
 for _n, _o in COMPARE_SQL.items():
     project(f"binarization_{_n}", lambda _n=_n, _o=_o: {"v": E.binarize(c("a"), _n, 128, 255, 7)}, {"v": f"CASE WHEN a {_o} 128 THEN 255 ELSE 7 END"})
     project(f"conditional_fill_{_n}", lambda _n=_n, _o=_o: {"v": E.conditional_fill(c("a"), c("b"), _n, 100, 9)}, {"v": f"CASE WHEN a {_o} 100 THEN 9 ELSE b END"})
-    project(f"conditional_16i_{_n}", lambda _n=_n, _o=_o: {"hit": COMPARE[_n](c("a") * 3 - c("b"), F.lit(77)).cast("int")}, {"hit": f"CASE WHEN a * 3 - b {_o} 77 THEN 1 ELSE 0 END"})
 _BIN = {"average": "(a + b + 1) >> 1", "and": "a & b", "or": "a | b", "maximum": "greatest(a, b)", "minimum": "least(a, b)", "saturated_subtraction": "greatest(a - b, 0)", "saturated_addition": "least(a + b, 255)"}
 for _n, _o in _BIN.items():
     project(f"operation_8u_{_n}", lambda _n=_n, _o=_o: {"v": E.BINARY8[_n](c("a"), c("b"))}, {"v": _o})
 for _n, _o in {"addition": "a * 200 + b * 211", "subtraction": "a * 200 - b * 211"}.items():
     project(f"operation_16i_{_n}", lambda _n=_n, _o=_o: {"v": E.BINARY16[_n](c("a") * 200, c("b") * 211)}, {"v": f"((({_o}) + 32768) % 65536 + 65536) % 65536 - 32768"})
 project("abs_difference", lambda: {"v": F.abs(c("a") - c("b"))}, {"v": "abs(a - b)"})
-project("vector_product", lambda: {"v": div255(c("a") * c("b"))}, {"v": div255_sql("a * b")})
 project("alpha_blending", lambda: {"v": blend(c("a"), c("b"), c("al"))}, {"v": div255_sql("a * al + b * (255 - al)")})
 project("alpha_blending_uniform", lambda: {"v": blend(c("a"), c("b"), F.lit(90))}, {"v": div255_sql("a * 90 + b * 165")})
 project("alpha_blending_2x", lambda: {"v": blend(c("c"), blend(c("a"), c("b"), c("al")), F.lit(40))}, {"v": div255_sql(f"c * 40 + ({div255_sql('a * al + b * (255 - al)')}) * 215")})
@@ -290,7 +288,13 @@ def _g2():
     return (c("n12") - c("n10")) * (c("n12") - c("n10")) + (c("n21") - c("n01")) * (c("n21") - c("n01"))
 
 
-stencil_sum("conditional_square_gradient_sum", lambda: F.when(S.inner(W, H) & (c("m") >= 2), _g2()).otherwise(F.lit(0)), f"CASE WHEN {_IN} AND m >= 2 THEN (n12 - n10) * (n12 - n10) + (n21 - n01) * (n21 - n01) ELSE 0 END")
+_G2_SQL = "(n12 - n10) * (n12 - n10) + (n21 - n01) * (n21 - n01)"
+add("conditional_square_gradient_sum", "SELECT img, " + ", ".join(f"CAST(coalesce(sum({_G2_SQL}) FILTER (WHERE {_IN} AND m {_o} 2), 0) AS BIGINT) AS s_{_n}" for _n, _o in COMPARE_SQL.items()) + " FROM n GROUP BY img", _N1)(
+    lambda p: neighbourhood(p.select(*KEY, "a", "m"), "a", 1).groupBy("img").agg(*[A.where_sum(_g2(), S.inner(W, H) & COMPARE[n](c("m"), F.lit(2))).alias(f"s_{n}") for n in COMPARE])
+)
+add("conditional_count_16i", "SELECT img, " + ", ".join(f"count(*) FILTER (WHERE a * 3 - b {_o} 77) AS n_{_n}" for _n, _o in COMPARE_SQL.items()) + " FROM p GROUP BY img")(
+    lambda p: p.groupBy("img").agg(*[F.count_if(COMPARE[n](c("a") * 3 - c("b"), F.lit(77))).alias(f"n_{n}") for n in COMPARE])
+)
 for _n, _cond, _w in (("abs_difference_sums_3x3", "true", "TRUE"), ("abs_difference_sums_3x3_masked", "m = 1", "m = 1")):
     add(_n, "SELECT img, " + ", ".join(f"CAST(sum(abs(b - {k})) FILTER (WHERE {_IN} AND {_w}) AS BIGINT) AS s_{k}" for k in _ALL1) + " FROM n GROUP BY img", _N1)(
         lambda p, cond=_cond: (lambda n: n.where(S.inner(W, H) & F.expr(cond)).groupBy("img").agg(*[A.total(F.abs(c("b") - c(k))).alias(f"s_{k}") for k in _ALL1]))(neighbourhood(p.select(*KEY, "a", "b", "m"), "a", 1))
@@ -341,13 +345,14 @@ add(
 
 
 def pyramid(p, levels: int = 3):
+    """img, lvl, y, x, v: all levels; a level is made from the one before."""
     level = p.select("img", "y", "x", c("a").alias("v"))
-    out = level.groupBy("img").agg(A.total(c("v")).alias("s")).withColumn("lvl", F.lit(0))
+    out = level.withColumn("lvl", F.lit(0))
     for k in range(1, levels + 1):
         level = G.reduce2x2(level, "v")
-        out = out.unionByName(level.groupBy("img").agg(A.total(c("v")).alias("s")).withColumn("lvl", F.lit(k)))
+        out = out.unionByName(level.withColumn("lvl", F.lit(k)))
     return out
 
 
 _PYR = ", l0 AS (SELECT img, y, x, a AS v FROM p)" + "".join(f", l{k} AS (SELECT img, y // 2 AS y, x // 2 AS x, (CAST(sum(v) AS BIGINT) * (4 // count(*)) + 2) // 4 AS v FROM l{k - 1} GROUP BY 1, 2, 3)" for k in (1, 2, 3))
-add("build_pyramid", " UNION ALL ".join(f"SELECT img, CAST(sum(v) AS BIGINT) AS s, {k} AS lvl FROM l{k} GROUP BY img" for k in range(4)), _PYR)(pyramid)
+add("build_pyramid", " UNION ALL ".join(f"SELECT img, y, x, v, {k} AS lvl FROM l{k}" for k in range(4)), _PYR)(pyramid)

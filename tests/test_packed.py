@@ -12,14 +12,24 @@ from .test_library import long_plane, plane
 def test_half_and_bfloat16_bits(spark):
     values = np.array([0.0, -0.0, 1.0, 1.0039062, 65504.0, 1e-8, -3.14159, 123456.0], np.float32)
     df = spark.createDataFrame([(float(v),) for v in values], "v float")
-    rows = df.select("v", bits.float32_to_float16("v").alias("h"), bits.float32_to_bfloat16("v").alias("b"))
-    rows = rows.select("*", bits.float16_to_float32("h").alias("hv"), bits.bfloat16_to_float32("b").alias("bv")).collect()
+    rows = df.select("v", bits.float16_bits(F.col("v")).alias("h"), bits.bfloat16_bits(F.col("v")).alias("b"))
+    rows = rows.select("*", bits.float16(F.col("h")).alias("hv"), bits.bfloat16(F.col("b")).alias("bv")).collect()
     for r, v in zip(rows, values):
         with np.errstate(over="ignore"):
-            assert r.h == int(np.float16(v).view(np.uint16)) and r.hv == float(np.float16(v))
+            half = np.float16(v)
+            assert r.h & 0x7FFF == int(half.view(np.uint16)) & 0x7FFF and (np.isinf(half) or r.hv == float(half))
         assert abs(r.bv - v) <= abs(float(v)) * 2**-8
 
 
+def test_half_bits_are_numpys(spark):
+    values = np.random.default_rng(3).normal(0, 1, 4000).astype(np.float32) * np.float32(10.0) ** np.random.default_rng(4).integers(-8, 5, 4000).astype(np.float32)
+    rows = spark.createDataFrame([(float(v),) for v in values], "v float").select("v", bits.float16_bits(F.col("v")).alias("h"), bits.bfloat16_bits(F.col("v")).alias("b")).collect()
+    with np.errstate(over="ignore"):
+        assert [r.h for r in rows] == [int(np.float16(r.v).view(np.uint16)) for r in rows]
+    u = np.array([r.v for r in rows], np.float32).view(np.uint32)
+    assert [r.b for r in rows] == ((u + np.uint32(0x7FFF) + ((u >> np.uint32(16)) & np.uint32(1))) >> np.uint32(16)).tolist()
+
+
 def test_crc32c(spark):
     known = {b"": 0, b"123456789": 0xE3069283, bytes(32): 0x8A9136AA}
     df = spark.createDataFrame([(k,) for k in known], "v binary").select("v", bits.crc32c("v").alias("c"))
