@@ -77,7 +77,6 @@ elementwise("synet_add_bias", lambda v: v + (c("i") % 8) * F.lit(0.25), "v + (i
 elementwise("synet_prelu", lambda v: F.greatest(v, F.lit(0.0)) + (c("i") % 8) * F.lit(0.1) * F.least(v, F.lit(0.0)), "greatest(v, 0::DOUBLE) + (i % 8) * 0.1::DOUBLE * least(v, 0::DOUBLE)")
 elementwise("synet_tiled_scale_2d", lambda v: v * (c("i") % 8 + 1) * (F.floor(c("i") / 8) + 2), "v * (i % 8 + 1) * (i // 8 + 2)")
 elementwise("synet_quantized_add", lambda v: T.quantize(T.dequantize(T.quantize(v, 0.005, 128), 0.005, 128) + F.lit(0.1), 0.01, 100), "least(greatest(round_even(((least(greatest(round_even(v / 0.005::DOUBLE, 0) + 128, 0), 255) - 128) * 0.005::DOUBLE + 0.1::DOUBLE) / 0.01::DOUBLE, 0) + 100, 0), 255)")
-add("synet_gelu_32f", None)(lambda s, d: rows(s, d).select("t", "i", F.round(T.gelu("v"), R).alias("v")))
 add("synet_softmax_32f", f"WITH {V}, e AS (SELECT t, i, exp(v - max(v) OVER (PARTITION BY t)) AS e FROM v) SELECT t, CAST(i AS BIGINT) AS i, round(e / sum(e) OVER (PARTITION BY t), {R}) AS v FROM e")(lambda s, d: rounded(T.softmax(rows(s, d), ["t"]), "t", "i"))
 add("synet_normalize", f"WITH {V} SELECT t, CAST(i AS BIGINT) AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY t) + 1e-10::DOUBLE), {R}) AS v FROM v")(lambda s, d: rounded(T.l2_normalize(rows(s, d), ["t"]), "t", "i"))
 _LN = "WITH {V}, m AS (SELECT *, v - avg(v) OVER (PARTITION BY {k}) AS d FROM v) SELECT t, CAST(i AS BIGINT) AS i, round(d / sqrt(avg(d * d) OVER (PARTITION BY {k}) + 1e-5::DOUBLE), {R}) AS v FROM m"
