@@ -141,32 +141,43 @@ def gram(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(F.col(column).cast("array<double>")).mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def query_distances(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
-    """Cosine distances of a stated query set to every row, in blocks of queries; each block is one pass over the rows."""
-    n = queries.count()
-    out = None
-    ordered = queries.select(F.col(id_col).alias("q"), F.col(column).alias("e"))
-    bounds = [None] if n <= block else [r for r in ordered.stat.approxQuantile("q", [i * block / n for i in range(1, -(-n // block))], 0.001)]
-    edges = [(None, None)] if bounds == [None] else list(zip([None, *bounds], [*bounds, None]))
-    for low, high in edges:
-        part = ordered if low is None else ordered.where(F.col("q") > low)
-        part = part if high is None else part.where(F.col("q") <= high)
-        rows = sorted((r["q"], r["e"]) for r in part.collect())  # one block
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        m = np.array([r[1] for r in rows], np.float64)
-        norm = np.sqrt((m * m).sum(1))
-
-        def run(batches, ids=ids, m=m, norm=norm) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    d = 1 - (m @ v.T) / (norm[:, None] * np.sqrt((v * v).sum(1))[None, :])
-                    own = np.tile(part.column(0).to_numpy(zero_copy_only=False), len(ids))
-                    yield pa.record_batch([pa.array(np.repeat(ids, part.num_rows)), pa.array(own), pa.array(d.ravel())], ["q", "r", "d"])
-
-        some = vectors.select(F.col(id_col).cast("long"), F.col(column)).mapInArrow(run, "q long, r long, d double")
-        out = some if out is None else out.unionByName(some)
-    return out
+#: Vectors of a block, and places that the rows' blocks are dealt to for each block of queries.
+BLOCK, DEALS = 2048, 32
+
+
+def blocks_of(vectors: DataFrame, id_col: str, column: str, block: int) -> DataFrame:
+    """ids binary, data binary: `block` vectors of a task in a row, scaled to unit length."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                v = v / np.sqrt((v * v).sum(1))[:, None]
+                yield pa.record_batch([pa.array([part.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ids", "data"])
+
+    return vectors.select(F.col(id_col).cast("long"), F.col(column).cast("array<double>")).mapInArrow(run, "ids binary, data binary")
+
+
+def query_distances(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(q, r, d): cosine distances of a stated query set to every row.
+
+    Blocks of queries meet blocks of rows by an equi-join on a deal: a block of
+    queries goes to every deal, a block of rows to its own.  Nothing passes the
+    driver, and one pass over the rows serves any number of queries.
+    """
+    deal = F.pmod(F.xxhash64("ids"), F.lit(DEALS)).cast("int")
+    rows = blocks_of(vectors, id_col, column, block).select("ids", "data", deal.alias("deal"))
+    asked = blocks_of(queries, id_col, column, block).select(F.col("ids").alias("asked"), F.col("data").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, data, own, m = (batch.column(i)[k].as_py() for i in range(4))
+                ids, own = np.frombuffer(ids, np.int64), np.frombuffer(own, np.int64)
+                d = 1 - np.frombuffer(m, np.float64).reshape(len(own), -1) @ np.frombuffer(data, np.float64).reshape(len(ids), -1).T
+                for i in range(0, len(own), 64):
+                    some = own[i : i + 64]
+                    yield pa.record_batch([pa.array(np.repeat(some, len(ids))), pa.array(np.tile(ids, len(some))), pa.array(d[i : i + 64].ravel())], ["q", "r", "d"])
+
+    return rows.join(asked, "deal").select("ids", "data", "asked", "m").mapInArrow(run, "q long, r long, d double")

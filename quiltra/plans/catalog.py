@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import formats, frames, images, layers, vectors
+from . import descriptors, formats, frames, images, layers, vectors
 
-QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES, **layers.QUERIES}
-SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL, **layers.SQL}
+QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES, **layers.QUERIES, **descriptors.QUERIES}
+SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL, **layers.SQL, **descriptors.SQL}
 FLAGSHIP = "abs_difference_sum"

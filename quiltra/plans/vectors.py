@@ -111,21 +111,6 @@ _dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0)
 add("cosine_distance_32f", _ADJ.format(e="1 - list_cosine_similarity(a.e, b.e)"))(lambda s, d: adjacent(s, d, lambda: 1 - _dot("e", "g") / F.sqrt(_dot("e", "e") * _dot("g", "g"))))
 add("squared_difference_sum_32f", _ADJ.format(e="pow(list_distance(a.e, b.e), 2)"))(lambda s, d: adjacent(s, d, lambda: F.aggregate(F.zip_with("e", "g", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, v: a + v)))
 add("neural_product_sum", _ADJ.format(e="list_inner_product(a.e, b.e)"))(lambda s, d: adjacent(s, d, lambda: _dot("e", "g")))
-_DESCR = """WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings),
-q AS (SELECT vec_id, e, lo, (hi - lo) / 255 AS k FROM d)
-SELECT vec_id AS t, CAST(list_sum(list_transform(e, lambda x: CAST(round_even((x - lo) / k, 0) AS BIGINT))) AS BIGINT) AS qs, round(list_max(list_transform(e, lambda x: abs(round_even((x - lo) / k, 0) * k + lo - x))) / k, 3) <= 0.501 AS near FROM q"""
-
-
-def descr_int(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("t"), c("embedding").cast("array<double>").alias("e"))
-    d = d.withColumns({"lo": F.array_min("e"), "k": (F.array_max("e") - F.array_min("e")) / 255})
-    code = lambda x: F.rint((x - c("lo")) / c("k"))
-    return d.select("t", F.aggregate(F.transform("e", lambda x: code(x).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v).alias("qs"), (F.round(F.array_max(F.transform("e", lambda x: F.abs(code(x) * c("k") + c("lo") - x))) / c("k"), 3) <= 0.501).alias("near"))
-
-
-add("descr_int_encode_decode", _DESCR)(descr_int)
-
-
 def gemm(spark, sf_dir):
     """The first eight dimensions' part of C = A'A, as a join on the row; gemm_full_32f has all of it."""
     r = rows(spark, sf_dir).where("i < 8")
@@ -173,7 +158,6 @@ for _k in (2, 3, 4, 5):
 
 add("base64_encode", "SELECT page_id, base64(encode(html)) AS v FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.regexp_replace(F.base64(F.encode("html", "UTF-8")), "\r\n", "").alias("v")))
 add("base64_decode", "SELECT page_id, decode(from_base64(base64(encode(url)))) AS v FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.decode(F.unbase64(F.base64(F.encode("url", "UTF-8"))), "UTF-8").alias("v")))
-add("crc32", None)(lambda s, d: table(s, d, "pages").select("page_id", F.crc32(F.encode("html", "UTF-8")).alias("crc32")))
 
 # -- a stream of readings per sensor, replayed in order -----------------------------------------
 
