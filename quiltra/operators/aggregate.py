@@ -37,12 +37,12 @@ def bins(spark: SparkSession, n: int = 256) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: Column, keys: list[str], condition: Column | None = None) -> DataFrame:
-    """(keys, bin, n) of all 256 bins: partial counts in each task, then one shuffle of at most 256 rows a key and task."""
-    rows = df if condition is None else df.where(condition)
-    counts = rows.groupBy(*keys, value.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    images = df.select(*keys).distinct()
-    grid = images.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("bin"))
-    return grid.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    """(keys, bin, n) of all 256 bins in one scan: partial counts in each task, one shuffle of at most 256 rows a key and task, a map of each key's bins."""
+    hits = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    counts = df.groupBy(*keys, value.cast("long").alias("bin")).agg(hits.alias("n"))
+    held = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    bins_ = held.select(*keys, "held", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("bin"))
+    return bins_.select(*keys, "bin", F.coalesce(F.element_at("held", F.col("bin")), F.lit(0)).alias("n"))
 
 
 def equalisation(hist: DataFrame, keys: list[str]) -> DataFrame:

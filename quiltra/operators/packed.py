@@ -27,6 +27,15 @@ def on_planes(images: DataFrame, f: Callable[[np.ndarray], np.ndarray], dtype: s
     return images.select("img", "w", "h", "data").mapInPandas(run, "img long, w int, h int, data binary")
 
 
+def median_filter(plane: np.ndarray, radius: int, rhomb: bool = False) -> np.ndarray:
+    """Median of the square or rhomb around each pixel, borders clamped."""
+    h, w = plane.shape
+    p = np.pad(plane, radius, mode="edge")
+    size = 2 * radius + 1
+    shifts = [p[i : i + h, j : j + w] for i in range(size) for j in range(size) if not rhomb or abs(i - radius) + abs(j - radius) <= radius]
+    return np.partition(np.stack(shifts), len(shifts) // 2, axis=0)[len(shifts) // 2]
+
+
 def gaussian_kernel(sigma: float, epsilon: float = 0.001) -> np.ndarray:
     """Normalised taps down to epsilon of the centre."""
     half = max(1, int(np.floor(sigma * np.sqrt(-2 * np.log(epsilon)))))

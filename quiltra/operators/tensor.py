@@ -141,6 +141,20 @@ def gram(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.select(F.col(column).cast("array<double>")).mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def tap_sums(df: DataFrame, source: str, gradient: str, k: int, width: int, height: int) -> DataFrame:
+    """(i, j, v): for each tap of a k x k kernel, the sum of source(y + i, x + j) * gradient(y, x) over the valid outputs.
+
+    The image's rows are together after one shuffle; windows shift them, and every task adds up all taps at once.
+    """
+    row, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
+    out = df.select("img", "y", "x", source, gradient).repartition("img")
+    out = out.select("*", *[F.lead(source, j).over(row).alias(f"_h{j}") for j in range(k)])
+    out = out.select("y", "x", gradient, *[F.lead(f"_h{j}", i).over(column).alias(f"_t{i}{j}") for i in range(k) for j in range(k)])
+    sums = out.where((F.col("y") <= height - k) & (F.col("x") <= width - k)).agg(*[F.sum(F.col(f"_t{i}{j}") * F.col(gradient)).alias(f"_t{i}{j}") for i in range(k) for j in range(k)])
+    taps = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col(f"_t{i}{j}").cast("long").alias("v")) for i in range(k) for j in range(k)]))
+    return sums.select(taps.alias("t")).select("t.*")
+
+
 #: Vectors of a block, and places that the rows' blocks are dealt to for each block of queries.
 BLOCK, DEALS = 2048, 32
 

@@ -9,9 +9,10 @@ from ..functions.numeric import COMPARE, COMPARE_SQL, blend, div255, idiv, shr
 from ..model import HEIGHT as H
 from ..model import PIXELS_SQL as P
 from ..model import WIDTH as W
-from ..model import neighbourhood, neighbourhood_sql, pixels
+from ..model import neighbourhood, neighbourhood_sql, pack, pixels, unpack
 from ..operators import aggregate as A
 from ..operators import geometry as G
+from ..operators import packed
 from ..operators import pointwise as E
 from ..operators import stencil as S
 
@@ -275,6 +276,9 @@ for _r, _all in ((1, _ALL1), (2, _ALL2)):
     for _nm, _top, _fn in (("max", True, "greatest"), ("min", False, "least")):
         _best = f"{_fn}({', '.join(_all)})"
         stencil(f"{_nm}_filter_square_{_sz}x{_sz}", lambda _r=_r, _all=_all, _nm=_nm, _top=_top, _fn=_fn: {"v": S.voted(_r, 2, _top)}, {"v": f"CASE WHEN len(list_filter([{', '.join(_all)}], lambda q: q = {_best})) >= 2 THEN {_best} ELSE n{_r}{_r} END"}, _r)
+# a sort of 25 neighbours per pixel is NumPy's work on packed planes
+for _n, _rhomb in (("median_filter_square_5x5", False), ("median_filter_rhomb_5x5", True)):
+    QUERIES[_n] = lambda s, d, rhomb=_rhomb: unpack(packed.on_planes(pack(pixels(s, d), "a"), lambda v: packed.median_filter(v, 2, rhomb))).select(*KEY, "v")
 
 
 def stencil_sum(name: str, value, sql: str) -> None:

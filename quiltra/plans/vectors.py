@@ -147,11 +147,7 @@ for _k in (2, 3, 4, 5):
         f"convolution_{_k}x{_k}_sum",
         f"WITH {P}, t AS (SELECT unnest(range({_k})) AS i), u AS (SELECT unnest(range({_k})) AS j) SELECT i, j, CAST(sum(p.a * q.b) AS BIGINT) AS v FROM p, t, u, p AS q WHERE q.img = p.img AND q.y = p.y - i AND q.x = p.x - j AND q.y <= {H - _k} AND q.x <= {W - _k} GROUP BY 1, 2",
     )(
-        lambda s, d, k=_k: (lambda p: p.select("img", "y", "x", "a", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(k) for j in range(k)])).alias("t"))
-        .select("img", (c("y") - c("t.i")).alias("y"), (c("x") - c("t.j")).alias("x"), "a", "t.i", "t.j")
-        .join(p.where(f"y <= {H - k} and x <= {W - k}").select("img", "y", "x", "b"), ["img", "y", "x"])
-        .groupBy("i", "j")
-        .agg(F.sum(c("a") * c("b")).cast("long").alias("v")))(pixels(s, d))
+        lambda s, d, k=_k: T.tap_sums(pixels(s, d), "a", "b", k, W, H)
     )
 
 # -- byte strings -----------------------------------------------------------------------------
