@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import descriptors, filters, formats, frames, images, layers, vectors
+from . import descriptors, filters, formats, frames, images, layers, scenes, vectors
 
-QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES, **layers.QUERIES, **descriptors.QUERIES, **filters.QUERIES}
-SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL, **layers.SQL, **descriptors.SQL, **filters.SQL}
+QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES, **layers.QUERIES, **descriptors.QUERIES, **filters.QUERIES, **scenes.QUERIES}
+SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL, **layers.SQL, **descriptors.SQL, **filters.SQL, **scenes.SQL}
 FLAGSHIP = "abs_difference_sum"
