@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def signatures(df: DataFrame, value: str, cell: int) -> DataFrame:
-    """(img, mean, sig): rounded block means in row order; one shuffle of partial sums."""
+def signatures(df: DataFrame, value: str, cell: int, grid: tuple[int, int]) -> DataFrame:
+    """(img, mean, gx, gy, sig): rounded block means in row order, their mean and how much the right half tops the left and the lower the upper; one shuffle of partial sums.
+
+    grid: blocks in a row and in a column.
+    """
     cells = df.groupBy("img", F.expr(f"y div {cell}").alias("cy"), F.expr(f"x div {cell}").alias("cx")).agg(F.floor(F.avg(value)).alias("v"))
     sig = F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "v"))), lambda s: s["v"])
-    return cells.groupBy("img").agg(sig.alias("sig"), F.floor(F.avg("v")).alias("mean"))
+    half = lambda k, n: F.avg(F.when(2 * F.col(k) > n - 1, F.col("v"))) - F.avg(F.when(2 * F.col(k) < n - 1, F.col("v")))
+    return cells.groupBy("img").agg(sig.alias("sig"), F.floor(F.avg("v")).alias("mean"), half("cx", grid[0]).alias("gx"), half("cy", grid[1]).alias("gy"))
 
 
-def near_images(sigs: DataFrame, half: int, rms: float) -> DataFrame:
+def near_images(sigs: DataFrame, half: int, rms: float, grid: tuple[int, int]) -> DataFrame:
     """Pairs a < b within `half` of mean and `rms` root mean square difference.
 
-    Means are dealt into buckets of width half + 1 and an image looks into its
-    own bucket and the next one: an equi-join instead of all pairs.
+    Images are dealt into buckets of mean and of both gradients, each so wide
+    that a pair lies in the same or in neighbouring buckets: a gradient over m
+    of n blocks differs by 2 rms sqrt(n / m) at most.  One side looks into all
+    27 neighbours; the join is on the bucket, and no pair is lost.
     """
-    bucket = F.floor(F.col("mean") / (half + 1))
-    left = sigs.select(F.col("img").alias("p"), F.col("mean").alias("mp"), F.col("sig").alias("sp"), bucket.alias("bucket"))
-    right = sigs.select(F.col("img").alias("q"), F.col("mean").alias("mq"), F.col("sig").alias("sq"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    pairs = left.join(right, "bucket").where(f"p < q and abs(mp - mq) <= {half}")
+    nx, ny = grid
+
+    def bucket(value: str, width: float) -> Column:
+        return F.floor(F.col(value) / width).cast("long")
+
+    def width(n: int) -> float:
+        used = 2 * (n // 2) / n
+        return 2 * rms * (1 / used) ** 0.5 + 1e-6
+
+    keys = {"bm": bucket("mean", half + 1), "bx": bucket("gx", width(nx)), "by": bucket("gy", width(ny))}
+    left = sigs.select(F.col("img").alias("p"), F.col("mean").alias("mp"), F.col("sig").alias("sp"), *[v.alias(k) for k, v in keys.items()])
+    right = sigs.select(F.col("img").alias("q"), F.col("mean").alias("mq"), F.col("sig").alias("sq"), *[v.alias(k) for k, v in keys.items()])
+    for k in keys:
+        right = right.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    pairs = left.join(right, list(keys)).where(f"p < q and abs(mp - mq) <= {half}")
     square = F.aggregate(F.zip_with("sp", "sq", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, v: s + v)
     return pairs.withColumn("d", square).where(F.col("d") <= F.lit(rms * rms) * F.size("sp")).select(F.col("p").alias("a"), F.col("q").alias("b"), "d")
 

@@ -112,7 +112,7 @@ add("segmentation_propagate_2x2", f"WITH {P}, {_SMALL}, {_PAR}")(propagate)
 
 _SIG = f"{P}, k AS (SELECT img, y // 10 AS cy, x // 10 AS cx, CAST(floor(avg(a)) AS BIGINT) AS v FROM p GROUP BY 1, 2, 3), g AS (SELECT img, list(v ORDER BY cy, cx) AS sig, CAST(floor(avg(v)) AS BIGINT) AS mean FROM k GROUP BY img)"
 add("image_matcher", f"WITH {_SIG}, d AS (SELECT p.img AS a, q.img AS b, CAST(list_sum(list_transform(list_zip(p.sig, q.sig), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM g p, g q WHERE p.img < q.img AND abs(p.mean - q.mean) <= 2) SELECT a, b, d FROM d WHERE d <= 15 * 100.0")(
-    lambda s, d: M.near_images(M.signatures(pixels(s, d), "a", 10), 2, 10.0)
+    lambda s, d: M.near_images(M.signatures(pixels(s, d), "a", 10, (W // 10, H // 10)), 2, 10.0, (W // 10, H // 10))
 )
 _OFF = "o AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx))"
 add("shift_detector", f"WITH {P}, {_OFF}, t AS (SELECT p.img, dy, dx, CAST(sum(abs(p.a - q.b)) AS BIGINT) AS s, count(*) AS n FROM p, o, p AS q WHERE q.img = p.img AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3) SELECT img, dy, dx, s, n FROM t QUALIFY row_number() OVER (PARTITION BY img ORDER BY s / n, dy, dx) = 1")(

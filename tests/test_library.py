@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 
 import numpy as np
@@ -121,3 +122,71 @@ def test_gemm_of_the_embeddings_has_every_cell(spark):
     found = catalog.QUERIES["gemm_full_32f"](spark, DATA)
     assert found.count() == 64 * 64
     assert {tuple(r) for r in catalog.QUERIES["gemm_32f"](spark, DATA).collect()} <= {tuple(r) for r in found.collect()}
+
+
+def test_near_images_lose_no_pair(spark):
+    from quiltra.operators import matching
+
+    rng = np.random.default_rng(5)
+    grid, rms, half = (5, 3), 10.0, 4
+    base = rng.integers(0, 256, (60, 3, 5))
+    noisy = [np.clip(base[k % 60] + rng.integers(-12, 13, (3, 5)), 0, 255) for k in range(240)]
+    signs = np.concatenate([base, np.array(noisy)])
+    half_of = lambda v: v[..., 3:].mean((1, 2)) - v[..., :2].mean((1, 2))
+    gx, gy = half_of(signs), signs[:, 2].mean(1) - signs[:, 0].mean(1)
+    rows = [(k, int(v.mean()), float(gx[k]), float(gy[k]), [int(x) for x in v.ravel()]) for k, v in enumerate(signs)]
+    got = {(r.a, r.b, r.d) for r in matching.near_images(spark.createDataFrame(rows, "img long, mean long, gx double, gy double, sig array<long>"), half, rms, grid).collect()}
+    want = set()
+    for a in range(len(signs)):
+        for b in range(a + 1, len(signs)):
+            d = int(((signs[a] - signs[b]) ** 2).sum())
+            if abs(rows[a][1] - rows[b][1]) <= half and d <= rms * rms * 15:
+                want.add((a, b, d))
+    assert got == want and len(want) > 100
+
+
+def test_convolution_is_a_plain_loop():
+    from quiltra.operators import layers
+
+    rng = np.random.default_rng(2)
+    for n, ch, h, w, out, kh, kw, s, d, p, g in ((2, 4, 7, 6, 6, 3, 2, 1, 1, (1, 0, 2, 1), 2), (1, 3, 9, 9, 4, 3, 3, 2, 2, (2, 2, 2, 2), 1), (3, 4, 5, 5, 4, 3, 3, 1, 1, (1, 1, 1, 1), 4)):
+        x, weights = rng.normal(size=(n, ch, h, w)), rng.normal(size=(out, ch // g, kh, kw))
+        got = layers.Convolution(weights, None, s, d, p, g)(x)
+        padded = np.pad(x, ((0, 0), (0, 0), (p[0], p[2]), (p[1], p[3])))
+        for o in range(out):
+            for i in range(got.shape[2]):
+                for j in range(got.shape[3]):
+                    group = o // (out // g) * (ch // g)
+                    patch = padded[:, group : group + ch // g, i * s : i * s + (kh - 1) * d + 1 : d, j * s : j * s + (kw - 1) * d + 1 : d]
+                    assert np.allclose(got[:, o, i, j], (patch * weights[o]).sum((1, 2, 3)))
+
+
+def test_streams_give_every_row_back(spark, tmp_path):
+    from quiltra.streaming.run import replayed
+
+    (spark.range(100).selectExpr("id % 7 as key", "id as seq", "(id * 37) % 50 as v").coalesce(1).write.parquet(f"{tmp_path}/in"))
+    frames = spark.readStream.schema("key long, seq long, v long").parquet(f"{tmp_path}/in")
+    rows = replayed(background.background_range(frames)).collect()
+    assert len(rows) == 100
+    for r in rows:
+        seen = [(k * 37) % 50 for k in range(100) if k % 7 == r.key and k <= r.seq]
+        assert (r.lo, r.hi) == (min(seen), max(seen))
+
+
+def test_late_rows_leave_closed_windows_alone(spark, tmp_path):
+    """Files of one micro-batch each: a row behind the watermark changes no window."""
+    from pyspark.sql import functions as F
+
+    from quiltra.streaming.run import shared_folder
+
+    steps = [[("2024-01-01 00:10:00", 1), ("2024-01-01 00:50:00", 2)], [("2024-01-01 05:00:00", 3)], [("2024-01-01 09:00:00", 4)], [("2024-01-01 00:20:00", 100), ("2024-01-01 14:00:00", 5)], [("2024-01-01 20:00:00", 6)]]
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, "ts string, v int").selectExpr("to_timestamp(ts) as ts", "v").coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        for file in (tmp_path / "in" / f"part={k}").glob("*.parquet"):
+            os.utime(file, (1_700_000_000 + 10 * k,) * 2)  # files are taken in the order of their times
+    frames = spark.readStream.schema("ts timestamp, v int, part int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").select("ts", "v")
+    out = f"{shared_folder(spark)}/late-{tmp_path.name}"
+    query = background.windowed_statistic(frames, "ts", "v", [], "1 hour", "1 hour").writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {str(r.start): (r.n, r.s) for r in spark.read.parquet(f"{out}/rows").select(F.col("window.start").alias("start"), "n", "s").collect()}
+    assert got["2024-01-01 00:00:00"] == (2, 3) and got["2024-01-01 05:00:00"] == (1, 3)
