@@ -111,15 +111,9 @@ _dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0)
 add("cosine_distance_32f", _ADJ.format(e="1 - list_cosine_similarity(a.e, b.e)"))(lambda s, d: adjacent(s, d, lambda: 1 - _dot("e", "g") / F.sqrt(_dot("e", "e") * _dot("g", "g"))))
 add("squared_difference_sum_32f", _ADJ.format(e="pow(list_distance(a.e, b.e), 2)"))(lambda s, d: adjacent(s, d, lambda: F.aggregate(F.zip_with("e", "g", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, v: a + v)))
 add("neural_product_sum", _ADJ.format(e="list_inner_product(a.e, b.e)"))(lambda s, d: adjacent(s, d, lambda: _dot("e", "g")))
-def gemm(spark, sf_dir):
-    """The first eight dimensions' part of C = A'A, as a join on the row; gemm_full_32f has all of it."""
-    r = rows(spark, sf_dir).where("i < 8")
-    a = r.select(c("t").alias("k"), c("i"), c("v").alias("av"))
-    return T.matmul(a, a.select("k", c("i").alias("j"), c("av").alias("bv"))).select("i", "j", F.round("v", 4).alias("v"))
-
-
-add("gemm_32f", f"WITH {V} SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, round(sum(a.v * b.v), 4) AS v FROM v a JOIN v b ON a.t = b.t WHERE a.i < 8 AND b.i < 8 GROUP BY 1, 2")(gemm)
-add("gemm_full_32f", f"WITH {V} SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, round(sum(a.v * b.v), 4) AS v FROM v a JOIN v b ON a.t = b.t GROUP BY 1, 2")(lambda s, d: T.gram(table(s, d, "embeddings")).select("i", "j", F.round("v", 4).alias("v")))
+_GRAM = f"WITH {V} SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, round(sum(a.v * b.v), 4) AS v FROM v a JOIN v b ON a.t = b.t GROUP BY 1, 2"
+for _n in ("gemm_32f", "gemm_full_32f"):  # C = A'A of all dimensions, under both names that it has had
+    add(_n, _GRAM)(lambda s, d: T.gram(table(s, d, "embeddings")).select("i", "j", F.round("v", 4).alias("v")))
 _IP = f"WITH {V}, w AS (SELECT unnest(range(4)) AS o) SELECT t, o, round(sum(v.v * (((i * 7 + o * 3) % 11) - 5) * 0.1::DOUBLE) + o * 0.5::DOUBLE, 5) AS v FROM v, w GROUP BY t, o"
 add("synet_inner_product_32f", _IP)(
     lambda s, d: rows(s, d).select("t", "i", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("o")).groupBy("t", "o").agg(F.sum(c("v") * ((c("i") * 7 + c("o") * 3) % 11 - 5) * F.lit(0.1)).alias("v")).select("t", "o", F.round(c("v") + c("o") * 0.5, 5).alias("v"))
