@@ -11,13 +11,13 @@ names the folder and these batches: it appears whole or not at all.
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,30 +30,21 @@ DEALS = 32
 SUMS = ("n_docs", "n_tokens", "n_chars")
 
 
-class PieceCounter:
-    """Token counts of whole texts by a byte-level tokenizer whose pattern cuts a text into independent pieces; counts of pieces are kept."""
+class RankCounter:
+    """Token counts of whole texts by a byte-level tokenizer given as ranks of byte strings."""
 
-    kept: dict[str, "PieceCounter"] = {}
+    kept: dict[str, "RankCounter"] = {}
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.cut, self.keep, self.known = regex.compile(public_tokenizers.PATTERN), keep, {}
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.model = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def counts(self, texts: list[str]) -> list[int]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        parts = [self.cut.findall(t) for t in texts]
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        new = list({p[i] for p, n in zip(parts, found) for i, x in enumerate(n) if x is None})
-        for i in range(0, len(new), 4000):
-            some = new[i : i + 4000]
-            self.known.update((w, len(e.ids)) for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False)))
-        return [sum(n) if None not in n else sum(self.known[w] for w in p) for p, n in zip(parts, found)]
+        return [len(self.model.encode_ordinary(t)) for t in texts]
 
 
 class WordCounter:
@@ -68,9 +59,9 @@ class WordCounter:
         return [len(ids) // 4 for ids in self.tokenizer.ids(texts)]
 
 
-KINDS = {"word": WordCounter, "piece": PieceCounter}
+KINDS = {"word": WordCounter, "ranks": RankCounter}
 #: Tokenizer version -> (kind, file).
-VERSIONS = {"word_bpe_49k": ("word", "word_bpe_49k.json"), "byte_bpe_50k": ("piece", "byte_bpe_50k.json")}
+VERSIONS = {"word_bpe_49k": ("word", "word_bpe_49k.json"), "byte_bpe_50k": ("ranks", "byte_bpe_50k.tiktoken")}
 
 
 def _counter(kind: str, path: str):

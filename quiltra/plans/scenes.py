@@ -15,10 +15,13 @@ from ..model import PIXELS_SQL as P
 from ..model import WIDTH as W
 from ..model import pixels, table
 from ..operators import geometry as G
+from ..operators.layers import exploded
+from ..operators.training import Network
 from ..streaming.background import background_range, windowed_statistic
 from ..streaming.run import replayed
+from . import frames, images
 from .formats import planes
-from .images import _forward_sql, clamp_sql
+from .images import _forward_sql
 from .vectors import _EV
 
 QUERIES: dict = {}
@@ -273,6 +276,60 @@ def activations(spark, sf_dir) -> DataFrame:
 
 add("neural_activations", activations, "WITH v AS (SELECT vec_id AS t, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT t, CAST(i AS BIGINT) AS i, " + ", ".join(f"round({f}, 5) + 0::DOUBLE AS {n}" for n, (f, _) in _FN.items()) + ", " + ", ".join(f"round({g}, 5) + 0::DOUBLE AS d_{n}" for n, (_, g) in _FN.items()) + " FROM v")
 
+# -- a network -------------------------------------------------------------------------------------------------
+
+CLASSES, STEPS = 2, 8
+
+
+def _weights() -> list[np.ndarray]:
+    """Fixed weights of 64, 3 and 2 units."""
+    one = np.array([[((i * 7 + o * 3) % 11 - 5) * 0.1 for o in range(3)] for i in range(65)])
+    two = np.array([[((i * 5 + o * 2) % 7 - 3) * 0.3 for o in range(2)] for i in range(4)])
+    return [one, two]
+
+
+def predicted(spark, sf_dir) -> DataFrame:
+    net = Network((64, 3, CLASSES), weights=_weights())
+    return exploded(net.predict(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 5)
+
+
+add(
+    "network_predict",
+    predicted,
+    """WITH v AS (SELECT vec_id AS t, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+h AS (SELECT t, o, tanh(sum(v * ((((i * 7 + o * 3) % 11) - 5) * 0.1::DOUBLE)) + any_value((((64 * 7 + o * 3) % 11) - 5) * 0.1::DOUBLE)) AS v FROM v, (SELECT unnest(range(3)) AS o) GROUP BY 1, 2),
+z AS (SELECT t, p, exp(sum(v * ((((o * 5 + p * 2) % 7) - 3) * 0.3::DOUBLE)) + any_value((((3 * 5 + p * 2) % 7) - 3) * 0.3::DOUBLE)) AS e FROM h, (SELECT unnest(range(2)) AS p) GROUP BY 1, 2)
+SELECT t, CAST(p AS BIGINT) AS i, round(e / sum(e) OVER (PARTITION BY t), 5) AS v FROM z""",
+)
+
+
+def trained(spark, sf_dir) -> DataFrame:
+    """Mean loss before each of STEPS steps on all embeddings and the parity of their label; tests hold it against one machine's sums."""
+    rows = table(spark, sf_dir, "embeddings").select("embedding", F.pmod("label", F.lit(CLASSES)).alias("label"))
+    losses = Network((64, 8, CLASSES)).train(rows, "embedding", "label", STEPS)
+    return spark.createDataFrame([(k, v) for k, v in enumerate(losses)], "step long, loss double")
+
+
+add("network_train", trained, None)
+
+# -- methods chosen by name ---------------------------------------------------------------------------------------
+
+
+def by_name(name: str, methods: dict[str, str], queries: dict, sql: dict) -> None:
+    """The methods of one operator under one query, a column saying which."""
+
+    def run(s, d) -> DataFrame:
+        out = None
+        for kind, query in methods.items():
+            some = queries[query](s, d).withColumn("kind", F.lit(kind))
+            out = some if out is None else out.unionByName(some)
+        return out
+
+    add(name, run, " UNION ALL BY NAME ".join(f"(SELECT *, '{kind}' AS kind FROM ({sql[query]}))" for kind, query in methods.items()))
+
+
+by_name("reduce_gray", {k: f"reduce_gray_{k}" for k in ("2x2", "3x3", "4x4", "5x5")}, {**images.QUERIES, **frames.QUERIES}, {**images.SQL, **frames.SQL})
+
 # -- joins in time, JSON, approximate counts -------------------------------------------------------------------
 
 

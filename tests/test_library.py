@@ -190,3 +190,34 @@ def test_late_rows_leave_closed_windows_alone(spark, tmp_path):
     query.awaitTermination()
     got = {str(r.start): (r.n, r.s) for r in spark.read.parquet(f"{out}/rows").select(F.col("window.start").alias("start"), "n", "s").collect()}
     assert got["2024-01-01 00:00:00"] == (2, 3) and got["2024-01-01 05:00:00"] == (1, 3)
+
+
+def test_training_sums_gradients_over_partitions(spark):
+    from quiltra.operators.training import Network
+
+    rows = [(r.embedding, r.label % 2) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    x, y = np.array([r[0] for r in rows], np.float64), np.array([r[1] for r in rows])
+    net, losses = Network((64, 8, 2)), []
+    for _ in range(8):
+        losses.append(net.step(net.gradients(x, y)))
+    got = [r.loss for r in catalog.QUERIES["network_train"](spark, DATA).orderBy("step").collect()]
+    assert np.allclose(got, losses, rtol=1e-9) and got[-1] < got[0]
+
+
+def test_gradients_are_differences():
+    from quiltra.operators.training import Network
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(6, 5)), rng.integers(0, 3, 6)
+    net = Network((5, 4, 3))
+    total = net.gradients(x, y)
+    for k, at in ((0, 7), (1, 4)):
+        w = net.weights[k].ravel()
+        held = w[at]
+        loss = []
+        for d in (1e-6, -1e-6):
+            net.weights[k].ravel()[at] = held + d
+            loss.append(net.gradients(x, y)[-2])
+        net.weights[k].ravel()[at] = held
+        begin = sum(v.size for v in net.weights[:k])
+        assert abs((loss[0] - loss[1]) / 2e-6 - total[begin + at]) < 1e-5
