@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,12 +14,14 @@ from ..functions import color as C
 from ..model import HEIGHT as H
 from ..model import PIXELS_SQL as P
 from ..model import WIDTH as W
-from ..model import pixels, table
+from ..model import pack, pixels, table, unpack
 from ..operators import geometry as G
 from ..operators.layers import exploded
 from ..operators.training import Network
+from ..sources.images import encoded, read_images
+from ..sources.sink import write_files
 from ..streaming.background import background_range, windowed_statistic
-from ..streaming.run import replayed
+from ..streaming.run import replayed, shared_folder
 from . import frames, images
 from .formats import planes
 from .images import _forward_sql
@@ -375,6 +378,21 @@ def approximate(spark, sf_dir) -> DataFrame:
 
 add("approximate_aggregates", approximate, f"WITH {P} SELECT img, true AS count_near, true AS median_near FROM p GROUP BY img")
 
+# -- image files ----------------------------------------------------------------------------------------------------
+
+
+def saved_and_loaded(spark, sf_dir, kind: str) -> DataFrame:
+    """The images written as files of a kind and read again from their folder."""
+    folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    planes_ = pack(pixels(spark, sf_dir), "a").withColumn("channels", F.lit(1))
+    write_files(encoded(planes_, kind).select(F.format_string(f"%012d.{kind}", "img").alias("name"), "content"), folder)
+    back = read_images(spark, f"{folder}/*.{kind}").where("data is not null")
+    return unpack(back.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("img"), "w", "h", "data"))
+
+
+for _kind in ("png", "pgm"):
+    add(f"image_files_{_kind}", lambda s, d, kind=_kind: saved_and_loaded(s, d, kind), f"WITH {P} SELECT img, y, x, a AS v FROM p")
+
 # -- real streams, read up and given back --------------------------------------------------------------------------
 
 
