@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, ppm, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_rollup
+from . import (
+    decontamination,
+    importance_resampling,
+    jaccard_join,
+    line_dedup,
+    packing,
+    ppm,
+    quality_classifier,
+    quality_rules,
+    source_divergence,
+    substring_dedup,
+    suffix_dedup,
+    token_rollup,
+    url_filters,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,9 +29,15 @@ QUERIES = {
     "op7_ppm": ppm.op7_ppm,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_importance_resampling": importance_resampling.op12_importance_resampling,
+    "op13_url_filters": url_filters.op13_url_filters,
 }
 
 SQL = {
     "op5_quality_rules": quality_rules.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op11_source_divergence": source_divergence.SQL,
+    "op12_importance_resampling": importance_resampling.SQL,
+    "op13_url_filters": url_filters.SQL,
 }

@@ -44,6 +44,8 @@ def tables(spark, tmp_path_factory):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         items = [(None, rows[9][1]), (None, rows[10][1]), (7, rows[9][1]), (8, None), (9, "")] if rows else []
         spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        pages = [(k, u, "x", "x", "x") for k, u in enumerate([None, "", "no host", "http://A.Example.com/en/1?q", "http://A.Example.com/en/1?q", "x://.net/es/" + "a/" * 9000])] if rows else []
+        spark.createDataFrame(pages, "page_id long, url string, html string, Host string, verdict string").write.parquet(f"{folder}/pages.parquet")
         out.append(folder)
     return out
 
