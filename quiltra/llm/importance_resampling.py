@@ -10,6 +10,7 @@ gains, scores every document and ranks the draw over range partitions.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 
 import numpy as np
@@ -21,8 +22,8 @@ from ._spark import checkpointed, table, written
 from ._text import SLICE_BYTES, value_buffer
 
 BUCKETS, GRAMS, SEED, LEAST_WORDS, PERCENT = 10_000, 3, 42, 20, 5
-#: Rows that one range of the ranking holds.
-RANKED_ROWS = 500_000
+#: Rows that one range of the ranking holds, and rows of bucket counts that Python scores at once.
+RANKED_ROWS, SCORED_ROWS = 500_000, 500
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
@@ -37,7 +38,7 @@ r AS (SELECT row, i <= n AS own, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c
 g AS (SELECT row, a AS gram FROM r WHERE own
       UNION ALL SELECT row, a || ' ' || b FROM r WHERE own AND b IS NOT NULL
       UNION ALL SELECT row, a || ' ' || b || ' ' || c FROM r WHERE own AND c IS NOT NULL)
-SELECT row, crc(gram) % {{buckets}} AS bucket, count(*) AS n FROM g GROUP BY ALL ORDER BY row, bucket
+SELECT row * {{buckets}} + crc(gram) % {{buckets}} AS key, count(*) AS n FROM g GROUP BY ALL
 """
 
 
@@ -84,7 +85,7 @@ def spilled(texts: DataFrame, buckets: int, name: str, most: int = SLICE_BYTES)
             con.register("slice", slice)
             found = con.sql(sql).to_arrow_table()
             con.unregister("slice")
-            return [found.column(c).to_numpy().astype(t) for c, t in (("row", np.int64), ("bucket", np.int32), ("n", np.int64))]
+            return [found.column(c).to_numpy().astype(np.int64) for c in ("key", "n")]
 
         for batch in batches:
             raw, off = value_buffer(batch.column("text"))
@@ -100,18 +101,21 @@ def spilled(texts: DataFrame, buckets: int, name: str, most: int = SLICE_BYTES)
                         parts, size = [], 0
                 if parts:
                     got.append(counted(parts))
-                row, bucket, n = (np.concatenate(c) for c in zip(*got))
+                key, n = (np.concatenate(c) for c in zip(*got))
                 if len(got) > 1:  # pieces of one text
-                    keys, at = np.unique(row * buckets + bucket, return_inverse=True)
-                    row, bucket, n = keys // buckets, (keys % buckets).astype(np.int32), np.bincount(at, n, len(keys)).astype(np.int64)
-                first = np.searchsorted(row, np.arange(end - begin + 1)).astype(np.int32)
+                    key, at = np.unique(key, return_inverse=True)
+                    n = np.bincount(at, n, len(key)).astype(np.int64)
+                else:
+                    order = np.argsort(key)
+                    key, n = key[order], n[order]
+                first = np.searchsorted(key, np.arange(end - begin + 1) * buckets).astype(np.int32)
                 sums = np.concatenate([[0], np.cumsum(n)])[first]
-                lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in (bucket, n)]
+                lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)) for x in ((key % buckets).astype(np.int32), n.astype(np.int32))]
                 yield pa.record_batch([*(batch.column(c).slice(begin, end - begin) for c in ("id", "print")), pa.array(np.diff(sums)), *lists], ["id", "print", "n_features", "bucket", "n"])
                 begin = end
 
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.select("id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, f"id {kind}, print long, n_features long, bucket array<int>, n array<long>")
+    rows = texts.select("id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, f"id {kind}, print long, n_features long, bucket array<int>, n array<int>")
     return written(rows, name)
 
 
@@ -146,6 +150,18 @@ def _weight(by_bucket: list[int]):
     return weight
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Record batches of `rows` rows for plans that are run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def noise(doc: Column, seed: int) -> Column:
     """floor(-1000 * ln(-ln(u))): u from the first 32 bits of sha256(seed:doc); a null id is an empty one."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit("")))
@@ -194,7 +210,9 @@ def importance_resampling(
     scored = own.select("id", "print", "n_features", weight("bucket", "n").alias("weight"))
     # n words have n + (n - 1) + (n - 2) runs: least_words of them are found by the count of features
     features = sum(max(0, least_words - k) for k in range(GRAMS))
-    scored = written(scored.select("*", (F.col("weight") + noise(F.col("id"), seed)).alias("score"), (F.col("n_features") >= features).alias("eligible")), "resampling-scores")
+    # a row may hold `buckets` entries, so few rows are sent to Python at once
+    with arrow_rows(docs.sparkSession, SCORED_ROWS):
+        scored = written(scored.select("*", (F.col("weight") + noise(F.col("id"), seed)).alias("score"), (F.col("n_features") >= features).alias("eligible")), "resampling-scores")
     n = scored.where("eligible").count()
     return ranked(scored, percent * n // 100, n, range_rows).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
