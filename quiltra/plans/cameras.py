@@ -1,4 +1,4 @@
-"""Queries on streams of camera frames: motion detection and tracking."""
+"""Queries on camera frames: motion detection and tracking by stream, shifts, contours."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import table
+from ..model import around, neighbourhood, pack, pixels, table
+from ..operators.contours import contours
+from ..operators.shift import ShiftOptions, shifts
 from ..streaming.motion import MotionOptions, motion
 from ..streaming.run import micro_batches, replayed
 
@@ -62,5 +64,32 @@ def motion_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(motion(camera_frames(spark, sf_dir), OPTIONS))
 
 
+# -- shifts and contours of the pixel planes ----------------------------------------------------------------
+
+REGION = (10, 6, 40, 24)
+
+
+def shifted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smooth background for each image, and a part of it from (img % 7 - 3, img % 5 - 2) away with noise."""
+    n = neighbourhood(pixels(spark, sf_dir).select("img", "y", "x", "a", "b"), "a", 2)
+    smooth = n.select("img", "y", "x", "b", F.floor(sum(around(2), F.lit(0)) / 25).alias("v"))
+    smooth = neighbourhood(smooth, "v", 2).select("img", "y", "x", "b", F.floor(sum(around(2), F.lit(0)) / 25).alias("v"))
+    l, t, r, b = REGION
+    tx, ty = F.col("img") % 7 - 3, F.col("img") % 5 - 2
+    picture = smooth.select("img", (F.col("y") - ty - t).alias("y"), (F.col("x") - tx - l).alias("x"), (F.col("v") + F.col("b") % 2).alias("v")).where(f"y between 0 and {b - t - 1} and x between 0 and {r - l - 1}")
+    front = pack(picture, "v").select("img", F.col("w").alias("pw"), F.col("h").alias("ph"), F.col("data").alias("picture"))
+    return pack(smooth, "v").withColumnRenamed("data", "background").join(front, "img").select("*", F.lit(l).alias("x0"), F.lit(t).alias("y0"))
+
+
+def _shift(options: ShiftOptions):
+    fine = [f"round({k}, 6) as {k}" for k in ("fine_dx", "fine_dy", "stability", "correlation")]
+    return lambda spark, sf_dir: shifts(shifted_pairs(spark, sf_dir), options).selectExpr("img", "found", "dx", "dy", *fine)
+
+
+QUERIES["shift_detector_levels"] = _shift(ShiftOptions(levels=3, max_x=8, max_y=8, penalty=0.5))
+QUERIES["shift_detector_levels_squared"] = _shift(ShiftOptions(levels=3, max_x=8, max_y=8, squared=True))
+QUERIES["shift_detector_levels_gradients"] = _shift(ShiftOptions(levels=2, max_x=8, max_y=8, gradients=True))
+QUERIES["contour_detector"] = lambda spark, sf_dir: contours(pixels(spark, sf_dir), "a", gradient=420, shortest=3)
+
 QUERIES["motion_detector"] = motion_detector
 QUERIES["motion_detector_table"] = motion_detector_table

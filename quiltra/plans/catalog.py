@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cameras, descriptors, filters, formats, frames, images, layers, scenes, vectors
+from . import cameras, descriptors, detection, filters, formats, frames, images, layers, scenes, vectors
 
-QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES, **layers.QUERIES, **descriptors.QUERIES, **filters.QUERIES, **scenes.QUERIES, **cameras.QUERIES}
-SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL, **layers.SQL, **descriptors.SQL, **filters.SQL, **scenes.SQL, **cameras.SQL}
+QUERIES: dict = {**images.QUERIES, **vectors.QUERIES, **frames.QUERIES, **formats.QUERIES, **layers.QUERIES, **descriptors.QUERIES, **filters.QUERIES, **scenes.QUERIES, **cameras.QUERIES, **detection.QUERIES}
+SQL: dict = {**images.SQL, **vectors.SQL, **frames.SQL, **formats.SQL, **layers.SQL, **descriptors.SQL, **filters.SQL, **scenes.SQL, **cameras.SQL, **detection.SQL}
 FLAGSHIP = "abs_difference_sum"

@@ -14,6 +14,7 @@ from ..model import WIDTH as W
 from ..model import neighbourhood, neighbourhood_sql, pack, pixels, unpack
 from ..operators import packed
 from ..operators import stencil as S
+from ..operators.cascade import integral_corners
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -147,22 +148,9 @@ add(
 
 
 def integrals(p: DataFrame) -> DataFrame:
-    """img, y, x, s, sq, tilted: sums above and left of a corner, of values, squares, and of the triangle that opens upwards from it.
-
-    A pixel lies in the triangle of corner (y, x) if |column + 1 - x| < y - row.  Along both diagonals the triangle's edge is
-    a running sum; a column's edges are added up in turn.
-    """
-    plain = S.integral(S.integral(p.select(*KEY, "a", (c("a") * c("a")).alias("aa")), "a", "s"), "aa", "sq")
-    plain = plain.select("img", (c("y") + 1).alias("y"), (c("x") + 1).alias("x"), "s", "sq")
-    # corner (y, x) sums over rows d above it the 2 d - 1 pixels around column x - 1: a difference of row sums
-    row = Window.partitionBy("img", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    runs = p.select(*KEY, F.sum("a").over(row).alias("r")).groupBy("img", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "r"))), lambda z: z["r"]).alias("r"))
-    corner = runs.select("img", "y", "r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(H) - c("y"))).alias("d")).withColumn("cy", c("y") + c("d"))
-    corner = corner.select("img", "cy", "d", "r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(W).cast("long"))).alias("cx"))
-    high = F.get("r", F.least(c("cx") - 1 + c("d") - 1, F.lit(W - 1)).cast("int"))
-    low = F.coalesce(F.get("r", (c("cx") - 1 - c("d")).cast("int")), F.lit(0))
-    tilted = corner.groupBy("img", c("cy").alias("y"), c("cx").alias("x")).agg(F.sum(high - F.when(c("cx") - 1 - c("d") >= 0, low).otherwise(0)).alias("tilted"))
-    return plain.join(tilted, KEY).select(*KEY, "s", "sq", "tilted")
+    """img, y, x, s, sq, tilted: sums above and left of a corner, of values, squares, and of the triangle that opens upwards from it."""
+    found = integral_corners(p.select(*KEY, "a"), "a").where("y > 0 and x > 0")
+    return found.select(*KEY, "s", "sq", c("t").alias("tilted"))
 
 
 add(

@@ -16,6 +16,7 @@ from ..model import PIXELS_SQL as P
 from ..model import WIDTH as W
 from ..model import pack, pixels, table, unpack
 from ..operators import geometry as G
+from ..operators.grouping import grouped
 from ..operators.layers import exploded
 from ..operators.training import Network
 from ..sources.images import encoded, read_images
@@ -23,6 +24,7 @@ from ..sources.sink import write_files
 from ..streaming.background import background_range, windowed_statistic
 from ..streaming.run import replayed, shared_folder
 from . import frames, images
+from .detection import DIFFER, GROUPED_SQL, LEAST
 from .formats import planes
 from .images import _forward_sql
 from .vectors import _EV
@@ -81,43 +83,7 @@ add(
     algebra,
     f"WITH {R} SELECT p.id, least(p.l, q.l) AS ul, least(p.t, q.t) AS ut, greatest(p.r, q.r) AS ur, greatest(p.b, q.b) AS ub, greatest(least(p.r, q.r) - greatest(p.l, q.l), 0) * greatest(least(p.b, q.b) - greatest(p.t, q.t), 0) AS common, q.l >= p.l AND q.t >= p.t AND q.r <= p.r AND q.b <= p.b AS holds, CAST(pow((p.l + p.r) // 2 - (q.l + q.r) // 2, 2) + pow((p.t + p.b) // 2 - (q.t + q.b) // 2, 2) AS BIGINT) AS apart, p.l - 2 AS bl, p.b + 2 AS bb FROM r p JOIN r q ON q.img = p.img AND q.id = p.id + 1",
 )
-LEAST, DIFFER = 2, 0.2
-
-
-def grouped(group: pd.DataFrame) -> pd.DataFrame:
-    """An image's candidates: similar ones joined, groups averaged, small groups and those inside a stronger one dropped."""
-    box = group[["l", "t", "r", "b"]].to_numpy(np.float64)
-    size = np.stack([box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]], axis=1)
-    allowed = DIFFER * (np.minimum(size[:, None], size[None]).sum(axis=2)) / 2
-    near = (np.abs(box[:, None] - box[None]) <= allowed[:, :, None]).all(axis=2)
-    label = group["id"].to_numpy(np.int64).copy()
-    while True:  # the least id spreads along similar ones
-        least = np.where(near, label[None], label.max() + 1).min(axis=1)
-        if (least == label).all():
-            break
-        label = least
-    roots, back, n = np.unique(label, return_inverse=True, return_counts=True)
-    mean = np.stack([np.bincount(back, box[:, k]) / n for k in range(4)], axis=1)
-    strong = n >= LEAST
-    roots, n, mean = roots[strong], n[strong], mean[strong]
-    reach = DIFFER * np.stack([mean[:, 2] - mean[:, 0], mean[:, 3] - mean[:, 1]], axis=1)
-    inside = (mean[:, None, :2] >= mean[None, :, :2] - reach[None] - 1e-9).all(axis=2) & (mean[:, None, 2:] <= mean[None, :, 2:] + reach[None] + 1e-9).all(axis=2)
-    stronger = (n[None] > np.maximum(3, n[:, None])) | (n[:, None] < 3)
-    stay = ~(inside & stronger & ~np.eye(len(n), dtype=bool)).any(axis=1)
-    mean = np.round(mean[stay], 6)
-    return pd.DataFrame({"img": group["img"].iloc[0], "id": roots[stay], "n": n[stay], "l": mean[:, 0], "t": mean[:, 1], "r": mean[:, 2], "b": mean[:, 3]})
-
-
-_SIMILAR = " AND ".join(f"abs(p.{k} - q.{k}) <= {DIFFER}::DOUBLE * (least(p.r - p.l, q.r - q.l) + least(p.b - p.t, q.b - q.t)) / 2" for k in "ltrb")
-add(
-    "detection_grouping",
-    lambda s, d: rectangles(s, d).groupBy("img").applyInPandas(grouped, "img long, id long, n long, l double, t double, r double, b double"),
-    f"""WITH RECURSIVE {R}, e AS (SELECT p.img, p.id AS a, q.id AS b FROM r p JOIN r q ON p.img = q.img AND {_SIMILAR}),
-m AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, m.root FROM m JOIN e ON e.a = m.id), k AS (SELECT id, min(root) AS root FROM m GROUP BY id),
-g AS (SELECT r.img, k.root AS id, count(*) AS n, avg(l) AS l, avg(t) AS t, avg(r.r) AS r, avg(b) AS b FROM r JOIN k ON k.id = r.id GROUP BY 1, 2 HAVING count(*) >= {LEAST})
-SELECT img, id, n, round(l, 6) AS l, round(t, 6) AS t, round(r, 6) AS r, round(b, 6) AS b FROM g p WHERE NOT EXISTS (SELECT 1 FROM g q WHERE q.img = p.img AND q.id <> p.id AND (q.n > greatest(3, p.n) OR p.n < 3)
-AND p.l >= q.l - {DIFFER}::DOUBLE * (q.r - q.l) - 1e-9 AND p.r <= q.r + {DIFFER}::DOUBLE * (q.r - q.l) + 1e-9 AND p.t >= q.t - {DIFFER}::DOUBLE * (q.b - q.t) - 1e-9 AND p.b <= q.b + {DIFFER}::DOUBLE * (q.b - q.t) + 1e-9)""",
-)
+add("detection_grouping", lambda s, d: grouped(rectangles(s, d).drop("id"), LEAST, DIFFER), f"WITH RECURSIVE {R}, {GROUPED_SQL}")
 
 
 def linked(spark, sf_dir) -> DataFrame:
