@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..model import HEIGHT as H
 from ..model import PIXELS_SQL as P
 from ..model import WIDTH as W
-from ..model import pixels, table
+from ..model import neighbourhood_sql, pixels, table
 from ..operators import aggregate as A
 from ..operators import cascade as K
+from ..operators import hog
 from ..operators.grouping import grouped
 from .images import _EQ, _HG
 
@@ -213,3 +214,22 @@ for _kind in SMALL:
     SQL[f"detection_candidates_{_kind.lower()}"] = f"{_over_sql(_kind)} SELECT img, l, t, r, b, count(*) AS n FROM r GROUP BY ALL"
     QUERIES[f"detection_{_kind.lower()}"] = lambda s, d, k=_kind: grouped(over_scales(s, d, k), LEAST, DIFFER)
     SQL[f"detection_{_kind.lower()}"] = f"{_over_sql(_kind)}, {GROUPED_SQL}"
+
+# -- histograms of oriented gradients ------------------------------------------------------------------------------
+
+QUERIES["hog_extract_features"] = lambda s, d: hog.features(pixels(s, d), "a").select("img", c("cy").cast("long").alias("cy"), c("cx").cast("long").alias("cx"), F.posexplode("f").alias("k", "v")).select("img", "cy", "cx", c("k").cast("long").alias("k"), F.round("v", 4).alias("v"))
+_DOTS = ", ".join(f"{x!r}::DOUBLE * abs(dx) + {y!r}::DOUBLE * abs(dy)" for x, y in hog.AXES)
+SQL["hog_extract_features"] = f"""WITH {P}, {neighbourhood_sql('a', 1)},
+g AS (SELECT img, y, x, n12 - n10 AS dx, n21 - n01 AS dy FROM n WHERE x BETWEEN 1 AND {W - 2} AND y BETWEEN 1 AND {H - 2}),
+k AS (SELECT *, sqrt((dx * dx + dy * dy)::DOUBLE) AS len, CASE WHEN dx < 0 THEN 9 - b ELSE b END AS t FROM (SELECT *, list_position([{_DOTS}], list_max([{_DOTS}])) - 1 AS b FROM g)),
+o AS (SELECT img, y, x, len, CASE WHEN dy < 0 AND t <> 0 THEN 18 - t - CASE WHEN dx = 0 THEN 1 ELSE 0 END ELSE t END AS o FROM k),
+s AS (SELECT img, o, CAST(floor((y - 4) / 8) AS BIGINT) + i AS cy, CAST(floor((x - 4) / 8) AS BIGINT) + j AS cx, len * CASE WHEN i = 1 THEN ((y + 4) % 8 * 2 + 1) / 16::DOUBLE ELSE 1 - ((y + 4) % 8 * 2 + 1) / 16::DOUBLE END * CASE WHEN j = 1 THEN ((x + 4) % 8 * 2 + 1) / 16::DOUBLE ELSE 1 - ((x + 4) % 8 * 2 + 1) / 16::DOUBLE END AS v FROM o, range(2) a(i), range(2) b(j)),
+q AS (SELECT img, cy, cx, o, sum(v) AS v FROM s WHERE cy BETWEEN 0 AND {H // 8 - 1} AND cx BETWEEN 0 AND {W // 8 - 1} GROUP BY ALL),
+every AS (SELECT img, cy, cx, o FROM (SELECT DISTINCT img, cy, cx FROM q), range(18) r(o)), hh AS (SELECT img, cy, cx, o, coalesce(v, 0) AS v FROM every LEFT JOIN q USING (img, cy, cx, o)),
+uu AS (SELECT a.img, a.cy, a.cx, a.o, a.v + b.v AS v FROM hh a JOIN hh b ON a.img = b.img AND a.cy = b.cy AND a.cx = b.cx AND b.o = a.o + 9),
+e AS (SELECT img, cy, cx, sum(v * v) AS e FROM uu GROUP BY ALL),
+z AS (SELECT a.img, a.cy, a.cx, m.m, 1 / sqrt(sum(b.e) + {hog.SMALL}::DOUBLE) AS n FROM e a, (VALUES (0, 1, 0, 1, 0), (1, -1, 0, 0, 1), (2, 0, 1, -1, 0), (3, -1, 0, -1, 0)) mm(m, y0, y1, x0, x1), LATERAL (SELECT m, CASE WHEN m IN (1, 3) THEN -1 ELSE 0 END AS dy, CASE WHEN m IN (2, 3) THEN -1 ELSE 0 END AS dx) m, e b WHERE b.img = a.img AND b.cy - a.cy - m.dy IN (0, 1) AND b.cx - a.cx - m.dx IN (0, 1) GROUP BY ALL),
+f AS (SELECT img, cy, cx, o AS k, 0.5 * sum(least(v * n, {hog.CUT}::DOUBLE)) AS v FROM hh JOIN z USING (img, cy, cx) GROUP BY ALL
+UNION ALL SELECT img, cy, cx, o + 18, 0.5 * sum(least(v * n, {hog.CUT}::DOUBLE)) FROM uu JOIN z USING (img, cy, cx) GROUP BY ALL
+UNION ALL SELECT img, cy, cx, m + 27, {hog.TEXTURE}::DOUBLE * sum(least(v * n, {hog.CUT}::DOUBLE)) FROM hh JOIN z USING (img, cy, cx) GROUP BY ALL)
+SELECT img, cy, cx, CAST(k AS BIGINT) AS k, round(v, 4) AS v FROM f"""
