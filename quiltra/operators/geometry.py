@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,23 @@ def reduced_value(size: int) -> Column:
         for j, b in enumerate(taps):
             out = out + a * b * F.col(f"n{i}{j}")
     return shr(out, bits)
+
+
+def area_taps(n: int, dn: int) -> list[tuple[int, int, float]]:
+    """A destination is the mean of the sources it covers, the outer ones in part."""
+    out = []
+    for d in range(dn):
+        low, high = d * n / dn, (d + 1) * n / dn
+        for s in range(int(low), min(n, math.ceil(high))):
+            share = min(high, s + 1) - max(low, s)
+            if share > 1e-12:
+                out.append((d, s, share * dn / n))
+    return out
+
+
+def resampled(df: DataFrame, values: list[str], taps_y: list, taps_x: list) -> DataFrame:
+    """img, y, x and the weighted sums of `values`: a source goes to the destinations that its taps name, partial sums meet once."""
+    spark = df.sparkSession
+    table = lambda taps, k: F.broadcast(spark.createDataFrame([(d, s, float(w)) for d, s, w in taps], f"to_{k} long, {k} long, w_{k} double"))
+    sent = df.select("img", "y", "x", *values).join(table(taps_y, "y"), "y").join(table(taps_x, "x"), "x")
+    return sent.groupBy("img", F.col("to_y").alias("y"), F.col("to_x").alias("x")).agg(*[F.sum(F.col(v) * F.col("w_y") * F.col("w_x")).alias(v) for v in values])

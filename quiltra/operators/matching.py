@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import area_taps, resampled
+from .graph import kept
+
 
 def signatures(df: DataFrame, value: str, cell: int, grid: tuple[int, int]) -> DataFrame:
     """(img, mean, gx, gy, sig): rounded block means in row order, their mean and how much the right half tops the left and the lower the upper; one shuffle of partial sums.
@@ -44,6 +47,56 @@ def near_images(sigs: DataFrame, half: int, rms: float, grid: tuple[int, int]) -
     return pairs.withColumn("d", square).where(F.col("d") <= F.lit(rms * rms) * F.size("sp")).select(F.col("p").alias("a"), F.col("q").alias("b"), "d")
 
 
+#: Sides of an image's main hash, side of its fast hash, and images of one bucket that one join key holds.
+HASH_SIZES, FAST, DEAL = (16, 32, 64), 4, 256
+
+
+def image_hashes(planes: DataFrame, value: str, size: tuple[int, int], main: int = 16) -> DataFrame:
+    """img, main, fast: gray values by area resampling to main x main, rounded, and their rounded means over 4 x 4 blocks, in row order.
+
+    size: width and height of the images.  Two sums over pixels, each with one
+    shuffle of partial sums; pixels that are absent count as 0.
+    """
+    if main not in HASH_SIZES:
+        raise ValueError(f"{main} is none of {HASH_SIZES}")
+    c = F.col
+    cells = resampled(planes.select("img", c("y").cast("long").alias("y"), c("x").cast("long").alias("x"), value), [value], area_taps(size[1], main), area_taps(size[0], main))
+    cells = cells.select("img", "y", "x", F.floor(F.round(value, 6) + 0.5).cast("int").alias("v"))
+    step = main // FAST
+    listed = lambda keys, v: F.transform(F.array_sort(F.collect_list(F.struct(*keys, v))), lambda s: s[v])
+    cells = kept(cells)
+    fast = cells.groupBy("img", F.expr(f"y div {step}").alias("y"), F.expr(f"x div {step}").alias("x")).agg(F.expr(f"(sum(v) + {step * step // 2}) div {step * step}").cast("int").alias("f"))
+    return cells.groupBy("img").agg(listed(("y", "x"), "v").alias("main")).join(fast.groupBy("img").agg(listed(("y", "x"), "f").alias("fast")), "img")
+
+
+def similar_images(hashes: DataFrame, threshold: float = 0.05, normalized: bool = False, deal: int = DEAL) -> DataFrame:
+    """a, b, difference of images a < b: root mean square difference of main hashes as a share of 255, at most `threshold`.
+
+    Fast hashes rule pairs out first, at the same mean square difference.  Sums of
+    a fast hash with signs differ by 16 times that at most, so three of them -
+    left against right, upper against lower half, and the sum, or with
+    `normalized` images of one brightness the diagonals - deal images into buckets
+    in which similar ones are neighbours: no pair is lost.  A bucket of many
+    images is dealt out: a task's key holds `deal` of them on one side.
+    """
+    c = F.col
+    side = int(threshold * 255)
+    signs = {"bx": [1 if x < 2 else -1 for y in range(4) for x in range(4)], "by": [1 if y < 2 else -1 for y in range(4) for x in range(4)], "bz": [1 if not normalized or (y < 2) == (x < 2) else -1 for y in range(4) for x in range(4)]}
+    total = lambda s: sum((F.get("fast", F.lit(k)) * v for k, v in enumerate(s)), F.lit(0))
+    keys = list(signs)
+    own = kept(hashes).select("img", "main", "fast", *[F.floor(total(s) / F.lit(16 * side + 1)).alias(k) for k, s in signs.items()])
+    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / deal).cast("int").alias("deals"))
+    left = own.join(sizes, keys).select(c("img").alias("a"), c("main").alias("main_a"), c("fast").alias("fast_a"), *keys, F.pmod(F.xxhash64("img"), c("deals")).cast("int").alias("deal"))
+    right = own.select(c("img").alias("b"), "main", "fast", *keys)
+    for k in keys:
+        right = right.withColumn(k, F.explode(F.array(c(k) - 1, c(k), c(k) + 1)))
+    right = right.join(sizes, keys).select("b", "main", "fast", *keys, F.explode(F.sequence(F.lit(0), c("deals") - 1)).alias("deal"))
+    square = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: (u - v) * (u - v)), F.lit(0), lambda s, v: s + v)
+    met = left.join(right, [*keys, "deal"]).where("a < b").where(square("fast_a", "fast") <= side * side * FAST * FAST)
+    met = met.select("a", "b", square("main_a", "main").alias("d"), F.size("main").alias("n")).where(c("d") <= F.lit(side * side) * c("n"))
+    return met.select("a", "b", (F.sqrt(c("d") / c("n")) / 255).alias("difference")).where(c("difference") <= threshold)
+
+
 def best_shift(df: DataFrame, current: str, background: str, reach: int) -> DataFrame:
     """(img, dy, dx, s, n): the shift of least mean absolute difference, ties by dy and dx.
 

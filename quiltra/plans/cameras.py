@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import around, neighbourhood, pack, pixels, table
+from ..operators import matching as M
 from ..operators.contours import contours
 from ..operators.shift import ShiftOptions, shifts
 from ..streaming.motion import MotionOptions, motion
@@ -64,6 +65,41 @@ def motion_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(motion(camera_frames(spark, sf_dir), OPTIONS))
 
 
+# -- images by their hashes --------------------------------------------------------------------------------------
+# An embedding is an image of 8 x 8 pixels; near embeddings are near images.
+
+SIGN_W, SIGN_H = 8, 8
+
+
+def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img, y, x, v of all embeddings."""
+    v = F.floor(F.col("e").cast("double") * 120 + 128)
+    pixels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("i", "e"))
+    return pixels.select("img", F.expr(f"i div {SIGN_W}").alias("y"), F.expr(f"i % {SIGN_W}").alias("x"), F.least(F.greatest(v, F.lit(0)), F.lit(255)).alias("v"))
+
+
+_SIGN = f"""p AS (SELECT img, i // {SIGN_W} AS y, i % {SIGN_W} AS x, CAST(least(greatest(floor(e * 120 + 128), 0), 255) AS BIGINT) AS v FROM (SELECT vec_id AS img, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
+
+
+def _hash_sql(main: int) -> str:
+    step = main // 4
+    axis = lambda n: f"(SELECT d, s, (least((d + 1) * {n} / {main}::DOUBLE, s + 1) - greatest(d * {n} / {main}::DOUBLE, s)) * {main} / {n} AS w FROM (SELECT unnest(range({main})) AS d), (SELECT unnest(range({n})) AS s) WHERE least((d + 1) * {n} / {main}::DOUBLE, s + 1) - greatest(d * {n} / {main}::DOUBLE, s) > 1e-12)"
+    return f"""{_SIGN}, m AS (SELECT p.img, j.d AS y, i.d AS x, CAST(floor(round(sum(p.v * j.w * i.w), 6) + 0.5) AS BIGINT) AS v FROM p JOIN {axis(SIGN_H)} j ON j.s = p.y JOIN {axis(SIGN_W)} i ON i.s = p.x GROUP BY 1, 2, 3),
+f AS (SELECT img, y // {step} AS y, x // {step} AS x, (CAST(sum(v) AS BIGINT) + {step * step // 2}) // {step * step} AS v FROM m GROUP BY 1, 2, 3)"""
+
+
+THRESHOLD = 0.07
+for _main in M.HASH_SIZES:
+    QUERIES[f"image_hash_{_main}"] = lambda s, d, n=_main: M.image_hashes(signs(s, d), "v", (SIGN_W, SIGN_H), n).select("img", F.array_join(F.col("main").cast("array<string>"), " ").alias("main"), F.array_join(F.col("fast").cast("array<string>"), " ").alias("fast"))
+    SQL[f"image_hash_{_main}"] = f"WITH {_hash_sql(_main)}, a AS (SELECT img, string_agg(v, ' ' ORDER BY y, x) AS main FROM m GROUP BY img), b AS (SELECT img, string_agg(v, ' ' ORDER BY y, x) AS fast FROM f GROUP BY img) SELECT img, main, fast FROM a JOIN b USING (img)"
+for _name, _normal in (("similar_images", False), ("similar_images_normalized", True)):
+    QUERIES[_name] = lambda s, d, k=_normal: M.similar_images(M.image_hashes(signs(s, d), "v", (SIGN_W, SIGN_H)), THRESHOLD, k).select("a", "b", F.round("difference", 6).alias("difference"))
+    _side = int(THRESHOLD * 255)
+    SQL[_name] = f"""WITH {_hash_sql(16)}, a AS (SELECT img, list(v ORDER BY y, x) AS main FROM m GROUP BY img), b AS (SELECT img, list(v ORDER BY y, x) AS fast FROM f GROUP BY img), h AS (SELECT img, main, fast FROM a JOIN b USING (img)),
+q AS (SELECT p.img AS a, q.img AS b, list_sum(list_transform(list_zip(p.fast, q.fast), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS fd, p.main AS pm, q.main AS qm FROM h p JOIN h q ON p.img < q.img),
+r AS (SELECT a, b, list_sum(list_transform(list_zip(pm, qm), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM q WHERE fd <= {_side * _side * 16})
+SELECT a, b, round(sqrt(d / 256::DOUBLE) / 255, 6) AS difference FROM r WHERE d <= {_side * _side * 256} AND sqrt(d / 256::DOUBLE) / 255 <= {THRESHOLD}::DOUBLE"""
+
 # -- shifts and contours of the pixel planes ----------------------------------------------------------------
 
 REGION = (10, 6, 40, 24)

@@ -15,6 +15,7 @@ from ..model import neighbourhood, neighbourhood_sql, pack, pixels, unpack
 from ..operators import packed
 from ..operators import stencil as S
 from ..operators.cascade import integral_corners
+from ..operators.geometry import area_taps, resampled
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -37,18 +38,6 @@ def add(name: str, sql: str | None, tail: str = ""):
 # The weights of an axis are a table of (destination, source, weight), as long as the axis: small by its nature.
 
 
-def area_taps(n: int, dn: int) -> list[tuple[int, int, float]]:
-    """A destination is the mean of the sources it covers, the outer ones in part."""
-    out = []
-    for d in range(dn):
-        low, high = d * n / dn, (d + 1) * n / dn
-        for s in range(int(low), min(n, math.ceil(high))):
-            share = min(high, s + 1) - max(low, s)
-            if share > 1e-12:
-                out.append((d, s, share * dn / n))
-    return out
-
-
 #: Bits of a cubic weight.
 CUBIC_BITS = 7
 
@@ -66,14 +55,6 @@ def cubic_taps(n: int, dn: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def resampled(df: DataFrame, values: list[str], taps_y: list, taps_x: list) -> DataFrame:
-    """img, y, x and the weighted sums of `values`: a source goes to the destinations that its taps name, partial sums meet once."""
-    spark = df.sparkSession
-    table = lambda taps, k: F.broadcast(spark.createDataFrame([(d, s, float(w)) for d, s, w in taps], f"to_{k} long, {k} long, w_{k} double"))
-    sent = df.select(*KEY, *values).join(table(taps_y, "y"), "y").join(table(taps_x, "x"), "x")
-    return sent.groupBy("img", c("to_y").alias("y"), c("to_x").alias("x")).agg(*[F.sum(c(v) * c("w_y") * c("w_x")).alias(v) for v in values])
-
-
 _AREA_AXIS = "(SELECT d, s, (least((d + 1) * {n} / {dn}::DOUBLE, s + 1) - greatest(d * {n} / {dn}::DOUBLE, s)) * {dn} / {n} AS w FROM (SELECT unnest(range({dn})) AS d), (SELECT unnest(range({n})) AS s) WHERE least((d + 1) * {n} / {dn}::DOUBLE, s + 1) - greatest(d * {n} / {dn}::DOUBLE, s) > 1e-12)"
 for _name, (_dw, _dh) in {"33x17": (33, 17), "25x15": (25, 15), "16x10": (16, 10)}.items():
     _from = f"FROM p JOIN {_AREA_AXIS.format(n=H, dn=_dh)} j ON j.s = p.y JOIN {_AREA_AXIS.format(n=W, dn=_dw)} i ON i.s = p.x GROUP BY 1, 2, 3"
@@ -259,5 +240,18 @@ add(
 add("draw_line", f"SELECT p.img, p.y, p.x, CASE WHEN l.y IS NULL THEN p.a ELSE 200 END AS v FROM p LEFT JOIN (SELECT DISTINCT CAST(floor(4 + t * 20 / 40.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) + o AS y, 3 + t AS x FROM (SELECT unnest(range(41)) AS t), (SELECT unnest([-1, 0, 1]) AS o)) l ON l.y = p.y AND l.x = p.x")(
     lambda p: on_planes(p, lambda v: packed.draw_line(v, 3, 4, 43, 24, 200, 3))
 )
-#: The recursion runs along whole rows and columns: no SQL; tests hold it against a plain loop.
-add("recursive_bilateral_filter", None)(lambda p: on_planes(p, lambda v: packed.recursive_bilateral(v, 3.0, 10.0)))
+_SPATIAL, _RANGE = 0.012, 0.08
+_KEEP = math.exp(-math.sqrt(2.0) / (_SPATIAL * 255))
+
+
+def _pass(name: str, source: str, k: str, ahead: bool) -> str:
+    """A recursion along k from one end: weight f and colour g of every pixel of source (img, y, x, s, v)."""
+    o, last = ("y", W - 1) if k == "x" else ("x", H - 1)
+    share = f"{_KEEP!r}::DOUBLE * exp(-abs(q.s - r.s)::DOUBLE / {_RANGE * 255!r}::DOUBLE)"
+    return f"""{name} AS (SELECT img, y, x, s, 1::DOUBLE AS f, v::DOUBLE AS g FROM {source} WHERE {k} = {0 if ahead else last}
+UNION ALL SELECT q.img, q.y, q.x, q.s, {1 - _KEEP!r}::DOUBLE + {share} * r.f, {1 - _KEEP!r}::DOUBLE * q.v + {share} * r.g FROM {name} r JOIN {source} q ON q.img = r.img AND q.{o} = r.{o} AND q.{k} = r.{k} {'+' if ahead else '-'} 1)"""
+
+
+_MET = "SELECT a.img, a.y, a.x, a.s, CAST(floor((a.g + b.g) / (a.f + b.f) + 1e-4::DOUBLE) AS BIGINT) AS v FROM {0} a JOIN {1} b USING (img, y, x)"
+add("recursive_bilateral_filter", None)(lambda p: on_planes(p, lambda v: packed.recursive_bilateral(v, _SPATIAL, _RANGE)))
+SQL["recursive_bilateral_filter"] = f"WITH RECURSIVE {P}, s0 AS (SELECT img, y, x, a AS s, a AS v FROM p), {_pass('r1', 's0', 'x', True)}, {_pass('r2', 's0', 'x', False)}, s1 AS ({_MET.format('r1', 'r2')}), {_pass('c1', 's1', 'y', True)}, {_pass('c2', 's1', 'y', False)} SELECT img, y, x, v FROM ({_MET.format('c1', 'c2')})"

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,12 +47,43 @@ def test_gaussian_blur_keeps_flat_planes_and_mean(spark):
     assert out.shape == v.shape and abs(out.mean() - v.mean()) < 3 and out.std() < v.std()
 
 
-def test_recursive_bilateral_keeps_edges():
-    v = np.zeros((8, 20), np.uint8)
-    v[:, 10:] = 200
-    out = packed.recursive_bilateral(v, 3.0, 10.0)
-    assert (out[:, :9] <= 2).all() and (out[:, 11:] >= 198).all()
-    assert (packed.recursive_bilateral(np.full((4, 5), 9, np.uint8), 3.0, 10.0) == 9).all()
+def plain_bilateral(p, spatial, range_):
+    h, w, n = len(p), len(p[0]), len(p[0][0])
+    a = math.exp(-math.sqrt(2) / (spatial * 255))
+    mean = lambda i, j: (i + j + 1) // 2
+
+    def share(u, v):
+        d = [abs(i - j) for i, j in zip(u, v)]
+        return a * math.exp(-(d[0] if n == 1 else mean(*d) if n == 2 else mean(d[1], mean(d[0], d[2]))) / (range_ * 255))
+
+    def line(source, values):
+        sums = [[0.0] * (n + 1) for _ in source]
+        for order in (range(len(source)), range(len(source) - 1, -1, -1)):
+            f, g = 1.0, list(map(float, values[order[0]]))
+            for k, i in enumerate(order):
+                if k:
+                    s = share(source[i], source[order[k - 1]])
+                    f, g = 1 - a + s * f, [(1 - a) * v + s * u for v, u in zip(values[i], g)]
+                sums[i] = [x + y for x, y in zip(sums[i], [*g, f])]
+        return [[math.floor(v / s[n] + 1e-4) for v in s[:n]] for s in sums]
+
+    rows = [line(r, r) for r in p]
+    columns = [line([p[y][x] for y in range(h)], [rows[y][x] for y in range(h)]) for x in range(w)]
+    return [[columns[x][y] for x in range(w)] for y in range(h)]
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_recursive_bilateral_is_the_plain_recursion(channels):
+    v = np.random.default_rng(channels).integers(0, 256, (9, 14, channels))
+    v[:, 7:] //= 8
+    got = packed.recursive_bilateral(v.astype(np.uint8), 0.02, 0.1)
+    assert got.tolist() == plain_bilateral(v.tolist(), 0.02, 0.1)
+    even = np.full((4, 5, channels), 9, np.uint8)
+    assert (packed.recursive_bilateral(even, 0.01, 0.1) == 9).all()
+    step = np.zeros((8, 20), np.uint8)
+    step[:, 10:] = 200
+    out = packed.recursive_bilateral(step, 0.012, 0.04)
+    assert (out[:, :9] <= 2).all() and (out[:, 11:] >= 197).all()
 
 
 def test_affine_inverse():
