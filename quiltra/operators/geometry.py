@@ -114,3 +114,10 @@ def resampled(df: DataFrame, values: list[str], taps_y: list, taps_x: list) -> D
     table = lambda taps, k: F.broadcast(spark.createDataFrame([(d, s, float(w)) for d, s, w in taps], f"to_{k} long, {k} long, w_{k} double"))
     sent = df.select("img", "y", "x", *values).join(table(taps_y, "y"), "y").join(table(taps_x, "x"), "x")
     return sent.groupBy("img", F.col("to_y").alias("y"), F.col("to_x").alias("x")).agg(*[F.sum(F.col(v) * F.col("w_y") * F.col("w_x")).alias(v) for v in values])
+
+
+def inverse_affine(m: list[Column]) -> list[Column]:
+    """Columns of the inverse of the map x' = a x + b y + c, y' = d x + e y + f; null where it has none."""
+    a, b, c, d, e, f = m
+    det = F.nullif(a * e - b * d, F.lit(0.0))
+    return [e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det]

@@ -11,11 +11,11 @@ from ..functions.numeric import clamp, shr
 from ..model import HEIGHT as H
 from ..model import PIXELS_SQL as P
 from ..model import WIDTH as W
-from ..model import neighbourhood, neighbourhood_sql, pack, pixels, unpack
+from ..model import neighbourhood, neighbourhood_sql, pack, pixels, table, unpack
 from ..operators import packed
 from ..operators import stencil as S
 from ..operators.cascade import integral_corners
-from ..operators.geometry import area_taps, resampled
+from ..operators.geometry import area_taps, inverse_affine, resampled
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -97,10 +97,15 @@ add(
 )(lambda p: warp_bilinear(p, "a", _WARP, BORDER))
 
 
-@add("invert_affine_transform", "SELECT img, round(0.75::DOUBLE / d, 6) AS m0, round(k / d, 6) AS m1, round((-k * -2 - 3 * 0.75::DOUBLE) / d, 6) AS m2, round(-k / d, 6) AS m3, round(0.75::DOUBLE / d, 6) AS m4, round((3 * k - 0.75::DOUBLE * -2) / d, 6) AS m5 FROM (SELECT DISTINCT img, 0.25::DOUBLE AS k, 0.625::DOUBLE AS d FROM p)")
-def _inverse(p: DataFrame) -> DataFrame:
-    inverse = packed.affine_inverse(_WARP)
-    return p.select("img").distinct().select("img", *[F.round(F.lit(float(v)), 6).alias(f"m{k}") for k, v in enumerate(inverse)])
+def _inverse(spark, sf_dir) -> DataFrame:
+    """The inverse of each matrix of 2 x 3 that the first six numbers of an embedding give; null where there is none."""
+    m = [F.get("embedding", F.lit(k)).cast("double") for k in range(6)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(v, 4).alias(f"m{k}") for k, v in enumerate(inverse_affine(m))])
+
+
+QUERIES["invert_affine_transform"] = _inverse
+_M6 = "(SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS {v}" for k, v in enumerate("abcdef")) + " FROM embeddings)"
+SQL["invert_affine_transform"] = f"SELECT vec_id, round(e / d0, 4) AS m0, round(-b / d0, 4) AS m1, round((b * f - c * e) / d0, 4) AS m2, round(-d / d0, 4) AS m3, round(a / d0, 4) AS m4, round((c * d - a * f) / d0, 4) AS m5 FROM (SELECT *, nullif(a * e - b * d, 0) AS d0 FROM {_M6})"
 
 
 # -- shifts by a fraction of a pixel --------------------------------------------------------------------

@@ -40,7 +40,7 @@ class FileWriter(DataSourceWriter):
         files = []
         for k, row in enumerate(rows):
             if row["content"] is None or row["name"] is None:
-                continue
+                raise ValueError(f"a file needs a name and content: {row['name']!r}")
             if "/" in row["name"]:
                 raise ValueError(f"not a file name: {row['name']!r}")
             with store.open_output_stream(f"{aside}/{k}") as out:
@@ -50,6 +50,10 @@ class FileWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, top = _store(self.folder)
+        names = [name for message in filter(None, messages) for _, name in message.files[1:]]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError("two rows have one file name")
         for message in filter(None, messages):
             for path, name in message.files[1:]:
                 store.move(path, f"{top}/{name}")
@@ -73,6 +77,6 @@ class FileSink(DataSource):
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write (name, content) rows as files; rows without content or name are left out."""
+    """Write (name, content) rows as files; a null or a name given twice is an error, and nothing is written."""
     files.sparkSession.dataSource.register(FileSink)
     files.select("name", "content").write.format(NAME).mode("append").save(folder)

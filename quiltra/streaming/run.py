@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,20 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def numbered_batches(df: DataFrame, number: Column, batches: int) -> DataFrame:
+    """A stream that gives df in `batches` micro-batches by their number from 0; rows of other numbers go.
+
+    One file is written for each batch, in order, and one is read at a time.
+    """
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/batches-{uuid.uuid4().hex}"
+    for k in range(batches):  # the order of writing is the order of the batches
+        df.where(number == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def micro_batches(df: DataFrame, time: str, batches: int) -> DataFrame:
     """A stream that gives df in `batches` micro-batches, cut at times that leave about as many rows in each.
 
-    Rows of one time stay together; one file is written for each batch, in order,
-    and one is read at a time.  Fewer files where times are few; rows with a null
-    time come with the first batch.
+    Rows of one time stay together; fewer batches where times are few; rows with a
+    null time come with the first one.
     """
-    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/batches-{uuid.uuid4().hex}"
     micros = F.unix_micros(time)
     cuts = df.agg(F.percentile_approx(micros, [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
-    number = sum((F.coalesce((micros > x).cast("int"), F.lit(0)) for x in sorted(set(cuts))), F.lit(0))
-    for k in range(len(set(cuts)) + 1):  # the order of writing is the order of the batches
-        df.where(number == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    cuts = sorted(set(cuts))
+    number = sum((F.coalesce((micros > x).cast("int"), F.lit(0)) for x in cuts), F.lit(0))
+    return numbered_batches(df, number, len(cuts) + 1)
 
 
 def replayed(stream: DataFrame, mode: str = "append") -> DataFrame:
