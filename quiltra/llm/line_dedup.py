@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,16 +165,18 @@ class LineDedup:
         was, is_ = F.col("n_docs") >= self.min_docs, F.col("n_docs") + F.col("change") >= self.min_docs
         crossed = change.where(was != is_).select(self._shard(F.col("key")).alias("shard"), "key", is_.alias("hot"))
 
-        def touch(own: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            shard = int((own if len(own) else keys)["shard"].iloc[0])
-            f = CuckooFilter(int(own["buckets"].iloc[0]), bytes(own["data"].iloc[0])) if len(own) else CuckooFilter.build([])
-            for key in keys["key"][~keys["hot"].astype(bool)]:
-                f.delete(bytes(key))
-            full = [key for key in keys["key"][keys["hot"].astype(bool)] if not f.insert(bytes(key))]
+        def touch(own: pa.Table, keys: pa.Table) -> pa.Table:
+            shard = (own if own.num_rows else keys).column("shard").slice(0, 1)
+            f = CuckooFilter(own.column("buckets")[0].as_py(), own.column("data")[0].as_py()) if own.num_rows else CuckooFilter.build([])
+            rows = list(zip(keys.column("key").to_pylist(), keys.column("hot").to_pylist()))
+            for key, hot in rows:
+                if not hot:
+                    f.delete(key)
+            full = [key for key, hot in rows if hot and not f.insert(key)]
             # a filter without room keeps no keys to grow from: its shard is built anew from the counts
-            return pd.DataFrame({"shard": [shard], "buckets": [-1 if full else f.buckets], "data": [b"" if full else f.table.tobytes()]})
+            return pa.table([shard, pa.array([-1 if full else f.buckets], pa.int64()), pa.array([b"" if full else f.table.tobytes()], pa.binary())], ["shard", "buckets", "data"])
 
-        after = written(self._filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(touch, _FILTERS), "line-filters")
+        after = written(self._filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(touch, _FILTERS), "line-filters")
         full = after.where("buckets < 0").select("shard")
         if full.isEmpty():
             return after
@@ -199,17 +200,20 @@ class LineDedup:
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
     def _shard(self, key: Column) -> Column:
-        shards = self._shards
-        return F.pandas_udf(lambda keys: keys.map(lambda k: _shard_of(bytes(k), shards)).astype("int32"), "int")(key)
+        """As _shard_of: the first 8 bytes, the least first, as a number modulo the shards."""
+        if self._shards == 1:
+            return F.lit(0)
+        low = F.conv(F.concat(*[F.hex(F.substring(key, k, 1)) for k in range(8, 0, -1)]), 16, 10)
+        return (low.cast("decimal(20,0)") % F.lit(self._shards)).cast("int")
 
     def _built(self, keys: DataFrame) -> DataFrame:
         """Filters from (shard, key)."""
 
-        def build(group: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter.build([bytes(k) for k in group["key"]])
-            return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "buckets": [f.buckets], "data": [f.table.tobytes()]})
+        def build(group: pa.Table) -> pa.Table:
+            f = CuckooFilter.build(group.column("key").to_pylist())
+            return pa.table([group.column("shard").slice(0, 1), pa.array([f.buckets], pa.int64()), pa.array([f.table.tobytes()], pa.binary())], ["shard", "buckets", "data"])
 
-        return keys.select("shard", "key").groupBy("shard").applyInPandas(build, _FILTERS)
+        return keys.select("shard", "key").groupBy("shard").applyInArrow(build, _FILTERS)
 
     def filters(self) -> DataFrame:
         """shard int, buckets long, data binary: one cuckoo filter per shard of the hot keys.
@@ -283,19 +287,17 @@ class LineDedup:
         joined = docs.join(gone, docs[doc_col].eqNullSafe(gone[mark + "_doc"]), "left").drop(mark + "_doc").drop("n_lines", "n_dropped")
         min_chars = self.min_chars
 
-        @F.pandas_udf("text string, n_lines long, n_dropped long")
-        def reduce(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t, gone in zip(text, keys):
-                t = t or ""
-                n = t.count("\n") + 1
-                if gone is None or len(gone) == 0:
-                    rows.append((t, n, 0))
-                    continue
-                gone = {bytes(k) for k in gone}
-                left = [line for line, k in zip(t.split("\n"), line_keys(t, min_chars)) if k not in gone]
-                rows.append(("\n".join(left), n, n - len(left)))
-            return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
+        @F.arrow_udf("text string, n_lines long, n_dropped long")
+        def reduce(text: pa.Array, keys: pa.Array) -> pa.Array:
+            out, n_lines, n_dropped = [], [], []
+            for t, gone in zip(text.to_pylist(), keys.to_pylist()):
+                t, gone = t or "", set(gone or ())
+                lines = t.split("\n")
+                left = [line for line, k in zip(lines, line_keys(t, min_chars)) if k not in gone] if gone else lines
+                out.append("\n".join(left))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(left))
+            return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
         out = joined.withColumn(mark + "_out", reduce(F.col(self.text_col), F.col(mark)))
         fields = {into: F.col(mark + "_out.text"), "n_lines": F.col(mark + "_out.n_lines"), "n_dropped": F.col(mark + "_out.n_dropped")}
