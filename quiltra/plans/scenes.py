@@ -87,15 +87,33 @@ add("detection_grouping", lambda s, d: grouped(rectangles(s, d).drop("id"), LEAS
 
 
 def linked(spark, sf_dir) -> DataFrame:
-    """An image's rectangles each with the nearest one of the image before, by centre; ties to the lesser id."""
-    r = rectangles(spark, sf_dir).select("img", "id", F.expr("(l + r) div 2").alias("cx"), F.expr("(t + b) div 2").alias("cy"))
-    before = r.select((c("img") + 1).alias("img"), c("id").alias("was"), c("cx").alias("px"), c("cy").alias("py"))
-    far = (c("cx") - c("px")) * (c("cx") - c("px")) + (c("cy") - c("py")) * (c("cy") - c("py"))
-    best = r.join(before, "img").groupBy("id").agg(F.min(F.struct(far.alias("d"), "was")).alias("m"))
-    return best.select("id", "m.was", "m.d")
+    """Rectangles linked to those of the image before, one to one: id, was (-1 for a new one), d.
+
+    A rectangle asks for the nearest one before by centre, ties to the lesser id;
+    of those that ask for it and of which one holds the other's centre, a
+    rectangle takes the nearest.
+    """
+    r = rectangles(spark, sf_dir).select("img", "id", *"ltrb", F.expr("(l + r) div 2").alias("cx"), F.expr("(t + b) div 2").alias("cy"))
+    before = r.select((c("img") + 1).alias("img"), c("id").alias("was"), *[c(k).alias("p" + k) for k in ("l", "t", "r", "b", "cx", "cy")])
+    far = (c("cx") - c("pcx")) * (c("cx") - c("pcx")) + (c("cy") - c("pcy")) * (c("cy") - c("pcy"))
+    holds = lambda l, t, r, b, x, y: (c(x) >= c(l)) & (c(x) < c(r)) & (c(y) >= c(t)) & (c(y) < c(b))
+    near = holds("l", "t", "r", "b", "pcx", "pcy") | holds("pl", "pt", "pr", "pb", "cx", "cy")
+    asked = r.join(before, "img").groupBy("id").agg(F.min(F.struct(far.alias("d"), "was", near.alias("near"))).alias("m"))
+    taken = asked.where("m.near").groupBy("m.was").agg(F.min(F.struct("m.d", "id")).alias("t"))
+    links = taken.select(c("t.id").alias("id"), "was", c("t.d").alias("d"))
+    return r.select("id").join(links, "id", "left").select("id", F.coalesce("was", F.lit(-1)).alias("was"), F.coalesce("d", F.lit(-1)).alias("d"))
 
 
-add("tracking_link", linked, f"WITH {R}, k AS (SELECT img, id, (l + r) // 2 AS cx, (t + b) // 2 AS cy FROM r) SELECT a.id, b.id AS was, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d FROM k a JOIN k b ON b.img = a.img - 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) = 1")
+add(
+    "tracking_link",
+    linked,
+    f"""WITH {R}, k AS (SELECT *, (l + r) // 2 AS cx, (t + b) // 2 AS cy FROM r),
+q AS (SELECT a.id, b.id AS was, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d,
+b.cx >= a.l AND b.cx < a.r AND b.cy >= a.t AND b.cy < a.b OR a.cx >= b.l AND a.cx < b.r AND a.cy >= b.t AND a.cy < b.b AS near
+FROM k a JOIN k b ON b.img = a.img - 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) = 1),
+s AS (SELECT * FROM q WHERE near QUALIFY row_number() OVER (PARTITION BY was ORDER BY d, id) = 1)
+SELECT k.id, coalesce(s.was, -1) AS was, coalesce(s.d, -1) AS d FROM k LEFT JOIN s ON s.id = k.id""",
+)
 
 
 def onvif(spark, sf_dir) -> DataFrame:
