@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +20,20 @@ QUERIES: dict = {}
 SQL: dict = {}
 #: A camera has FRAMES frames of the events table, each of WIDTH x HEIGHT pixels and STEP_MS after the one before.
 FRAMES, WIDTH, HEIGHT, STEP_MS = 80, 96, 64, 100
+#: Tasks that draw frames.
+PARTS = 96
 OPTIONS = MotionOptions(object_width=0.25, object_height=0.25)
 
 
+@lru_cache(maxsize=303)
+def texture(shift: int, noise: int) -> np.ndarray:
+    y, x = np.arange(HEIGHT)[:, None], np.arange(WIDTH)[None]
+    return ((x * 7 + y * 13 + shift) * 37 % 101 + 40 + (x + y + noise) % 3).astype(np.uint16)
+
+
 def drawn(cam: int, frame: int, noise: int) -> np.ndarray:
     """A texture of the camera with noise; bright boxes that cross it from the 15th to the 60th frame; another light at the end for some."""
-    y, x = np.arange(HEIGHT)[:, None], np.arange(WIDTH)[None]
-    plane = (x * 7 + y * 13 + cam * 29) * 37 % 101 + 40 + (x + y + noise) % 3
+    plane = texture(cam * 29 % 101, noise % 3).copy()
     if 15 <= frame < 60:
         for k in range(1 + (cam % 3 == 0)):
             at_x, at_y = (cam * 11 % 20 + (frame - 15), cam * 7 % 40) if cam % 2 else (cam * 11 % 40 + 30 * k, (frame - 15) * 3 // 4)
@@ -35,19 +44,30 @@ def drawn(cam: int, frame: int, noise: int) -> np.ndarray:
     return np.minimum(plane, 255).astype(np.uint8)
 
 
-def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cam, ts, w, h, data: a frame for each event; every fifth camera is silent for 1.5 seconds."""
+def camera_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cam, ts, frame, noise: what a frame is drawn from, one for each event; every fifth camera is silent for 1.5 seconds."""
     e = table(spark, sf_dir, "events").select(F.expr(f"event_id div {FRAMES}").alias("cam"), (F.col("event_id") % FRAMES).cast("int").alias("frame"), F.floor(F.coalesce("value", F.lit(0.0))).cast("int").alias("noise"))
     e = e.where("cam % 5 <> 0 or frame not between 45 and 59")
+    return e.select("cam", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("frame") * STEP_MS).alias("ts"), "frame", "noise")
+
+
+def with_planes(events: DataFrame) -> DataFrame:
+    """cam, ts, w, h, data: the frames of camera_events, drawn without a shuffle."""
 
     def run(batches):
-        for batch in batches:
-            data = [drawn(*r).tobytes() for r in zip(*(c.to_pylist() for c in batch.columns))]
-            n = batch.num_rows
-            yield pa.record_batch([*batch.columns, pa.array([WIDTH] * n, pa.int32()), pa.array([HEIGHT] * n, pa.int32()), pa.array(data, pa.binary())], ["cam", "frame", "noise", "w", "h", "data"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):  # about 6 MB of planes
+                batch = whole.slice(k, 1000)
+                data = [drawn(*r).tobytes() for r in zip(*(batch.column(c).to_pylist() for c in ("cam", "frame", "noise")))]
+                n = batch.num_rows
+                yield pa.record_batch([batch.column("cam"), batch.column("ts"), pa.array([WIDTH] * n, pa.int32()), pa.array([HEIGHT] * n, pa.int32()), pa.array(data, pa.binary())], ["cam", "ts", "w", "h", "data"])
+
+    return events.mapInArrow(run, "cam long, ts timestamp, w int, h int, data binary")
 
-    out = e.mapInArrow(run, "cam long, frame int, noise int, w int, h int, data binary")
-    return out.select("cam", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("frame") * STEP_MS).alias("ts"), "w", "h", "data")
+
+def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cam, ts, w, h, data: a frame for each event, dealt out before it is drawn."""
+    return with_planes(camera_events(spark, sf_dir).repartition(PARTS))
 
 
 def _told(rows: DataFrame) -> DataFrame:
@@ -56,8 +76,9 @@ def _told(rows: DataFrame) -> DataFrame:
 
 
 def motion_detector(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
-    """Moving objects of all cameras, by a stream of `batches` micro-batches."""
-    return _told(replayed(motion(micro_batches(camera_frames(spark, sf_dir), "ts", batches), OPTIONS)))
+    """Moving objects of all cameras, by a stream of `batches` micro-batches; the stream carries events, frames are drawn from them."""
+    events = micro_batches(camera_events(spark, sf_dir), "ts", batches)
+    return _told(replayed(motion(with_planes(events.repartition(PARTS)), OPTIONS)))
 
 
 def motion_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:

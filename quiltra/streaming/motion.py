@@ -94,20 +94,34 @@ def halved(plane: np.ndarray) -> np.ndarray:
 
 
 def smoothed(plane: np.ndarray) -> np.ndarray:
-    """Half the size by taps 1 3 3 1 in both directions, rounded, edges repeated."""
-    h, w = plane.shape
-    p = np.pad(plane.astype(np.int32), [(1, 2 + h % 2), (1, 2 + w % 2)], "edge")
+    """Half the size by taps 1 3 3 1 in both directions, rounded, edges repeated; of one plane or of many in front of each other."""
+    h, w = plane.shape[-2:]
+    p = np.empty((*plane.shape[:-2], h + 3 + h % 2, w + 3 + w % 2), np.uint16)  # 64 * 255 + 32 at most
+    p[..., 1 : h + 1, 1 : w + 1], p[..., 1 : h + 1, :1], p[..., 1 : h + 1, w + 1 :] = plane, plane[..., :1], plane[..., -1:]
+    p[..., :1, :], p[..., h + 1 :, :] = p[..., 1:2, :], p[..., h : h + 1, :]
     n, m = (h + 1) >> 1, (w + 1) >> 1
-    rows = p[0 : 2 * n : 2] + 3 * (p[1 : 2 * n + 1 : 2] + p[2 : 2 * n + 2 : 2]) + p[3 : 2 * n + 3 : 2]
-    return ((rows[:, 0 : 2 * m : 2] + 3 * (rows[:, 1 : 2 * m + 1 : 2] + rows[:, 2 : 2 * m + 2 : 2]) + rows[:, 3 : 2 * m + 3 : 2] + 32) >> 6).astype(np.uint8)
+    rows = p[..., 1 : 2 * n + 1 : 2, :] + p[..., 2 : 2 * n + 2 : 2, :]
+    rows *= 3
+    rows += p[..., 0 : 2 * n : 2, :]
+    rows += p[..., 3 : 2 * n + 3 : 2, :]
+    out = rows[..., 1 : 2 * m + 1 : 2] + rows[..., 2 : 2 * m + 2 : 2]
+    out *= 3
+    out += rows[..., 0 : 2 * m : 2]
+    out += rows[..., 3 : 2 * m + 3 : 2]
+    out += 32
+    return (out >> 6).astype(np.uint8)
 
 
 def gradients(plane: np.ndarray, saturation: int, boost: int) -> tuple[np.ndarray, np.ndarray]:
     """Saturated central differences in x and y, lifted to positive numbers; 0 on the frame."""
-    v = plane.astype(np.int32)
+    v = plane.astype(np.int16)
     out = np.zeros((2, *plane.shape), np.uint8)
-    out[0, 1:-1, 1:-1] = (saturation + np.clip(v[1:-1, 2:] - v[1:-1, :-2], -saturation, saturation)) * boost
-    out[1, 1:-1, 1:-1] = (saturation + np.clip(v[2:, 1:-1] - v[:-2, 1:-1], -saturation, saturation)) * boost
+    for k, apart in enumerate((v[..., 1:-1, 2:] - v[..., 1:-1, :-2], v[..., 2:, 1:-1] - v[..., :-2, 1:-1])):
+        np.minimum(apart, saturation, out=apart)
+        np.maximum(apart, -saturation, out=apart)
+        apart += saturation
+        apart *= boost
+        out[k, ..., 1:-1, 1:-1] = apart
     return out[0], out[1]
 
 
@@ -142,7 +156,15 @@ class Background:
         self.planes = np.stack([values, values, np.zeros_like(values), np.zeros_like(values)])
         self.grow_end, self.state, self.updates, self.stat, self.update = now + o.grow_time, GROW, 0, 0.0, 0.0
 
-    def take(self, values: np.ndarray, now: float, o: MotionOptions) -> None:
+    def away(self, values: np.ndarray) -> np.ndarray | None:
+        """How far values lie outside their ranges; None where all lie inside."""
+        lo, hi = self.planes[:2]
+        out = values - np.minimum(values, hi)
+        np.maximum(out, np.maximum(values, lo) - values, out=out)
+        return out if out.any() else None
+
+    def take(self, values: np.ndarray, now: float, o: MotionOptions, inside: bool = False) -> None:
+        """The background takes a frame in; `inside` tells that no value lies outside its range."""
         lo, hi, below, above = self.planes
         updating = self.state == UPDATE
         if self.state == INIT or self.state == GROW and self.unstable:
@@ -160,13 +182,15 @@ class Background:
             self.stat += now - self.last
             self.update += now - self.last
             if self.stat > o.stat_time:
-                below += (values < lo) & (below < 255)
-                above += (values > hi) & (above < 255)
+                if not inside:
+                    below += (values < lo) & (below < 255)
+                    above += (values > hi) & (above < 255)
                 self.stat, self.updates = 0.0, self.updates + 1
                 if self.updates >= 127 or self.update > o.update_time and self.updates >= 8:
                     for bound, count, out in ((lo, below, -1), (hi, above, 1)):
-                        step = np.where(count > 1, out, np.where(count < 1, -out, 0))
-                        bound[:] = np.clip(bound.astype(np.int16) + step, 0, 255)
+                        less, more = (count > 1, count < 1) if out < 0 else (count < 1, count > 1)
+                        bound -= less & (bound > 0)
+                        bound += more & (bound < 255)
                         count[:] = 0
                     self.update, self.updates = 0.0, 0
         if updating and not self.unstable:
@@ -210,33 +234,42 @@ def clipped(rect, shape, border: int):
     return max(rect[0], border), max(rect[1], border), min(rect[2], shape[1] - border), min(rect[3], shape[0] - border)
 
 
-def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionOptions) -> tuple[list[tuple], np.ndarray]:
-    """Boxes of moving regions at the finest level, and its mask (2: not to be taken, 3 and more: regions)."""
+def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionOptions) -> tuple[list[tuple], int]:
+    """Boxes of moving regions at the finest level, and how many of its pixels they hold."""
     create, expand = int(255 * o.create), int(255 * o.expand * o.create)
+    top = len(difference) - 1
+    d = difference[top]
+    wide = d.shape[1]
+    inner = np.zeros(d.shape, bool)
+    inner[1:-1, 1:-1] = True
+    seeds = np.flatnonzero((d > create) & inner & (roi > 0)).tolist()
+    if not seeds:
+        return [], 0
+    # 2: not to be taken, 3 and more: regions
     masks = [np.zeros(d.shape, np.int32) for d in difference]
-    top = len(masks) - 1
-    mask, d = masks[top], difference[top]
-    mask[[0, -1]] = 2
-    mask[:, [0, -1]] = 2
-    seeds = (d > create) & (mask == 0) & (roi > 0)
-    free = (d > expand) & (mask < 2)
+    mask = masks[top]
+    mask[~inner] = 2
+    free = ((d > expand) & inner).ravel().tolist()
     found = []
-    for y, x in np.argwhere(seeds).tolist():
-        if mask[y, x]:
+    taken = [False] * d.size
+    for seed in seeds:
+        if taken[seed]:
             continue
-        index, stack, cells = len(found) + 3, [(y, x)], []
-        mask[y, x] = index
+        index, stack, cells = len(found) + 3, [seed], []
+        taken[seed] = True
         while stack:
-            i, j = stack.pop()
-            cells.append((i, j))
-            for a, b in ((i, j - 1), (i - 1, j), (i, j + 1), (i + 1, j)):
-                if free[a, b] and mask[a, b] < 2:
-                    mask[a, b] = index
-                    stack.append((a, b))
+            at = stack.pop()
+            cells.append(at)
+            for a in (at - 1, at - wide, at + 1, at + wide):
+                if free[a] and not taken[a]:
+                    taken[a] = True
+                    stack.append(a)
         at = np.array(cells)
-        (t, l), (b, r) = at.min(0).tolist(), (at.max(0) + 1).tolist()
+        rows, columns = at // wide, at % wide
+        l, t, r, b = int(columns.min()), int(rows.min()), int(columns.max()) + 1, int(rows.max()) + 1
+        mask.flat[at] = index
         if (r - l) * (b - t) <= area:
-            mask[at[:, 0], at[:, 1]] = 2
+            mask.flat[at] = 2
             continue
         rect, above = (l, t, r, b), []
         for level in range(top, 0, -1):
@@ -244,7 +277,7 @@ def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionO
             l, t, r, b = rect
             parent, child = masks[level][t : b + 1, l : r + 1] == index, masks[level - 1][2 * t + 1 : 2 * b + 1, 2 * l + 1 : 2 * r + 1]
             corners = parent[:-1, :-1].astype(np.int8) + parent[:-1, 1:] + parent[1:, :-1] + parent[1:, 1:]
-            corners = np.kron(corners, np.ones((2, 2), np.int8))
+            corners = corners.repeat(2, 0).repeat(2, 1)
             strong = difference[level - 1][2 * t + 1 : 2 * b + 1, 2 * l + 1 : 2 * r + 1] > expand
             new = np.where((corners == 4) | (corners > 0) & strong, index, 0)
             child[:] = np.where(child < 2, new, child)
@@ -259,7 +292,7 @@ def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionO
                 part[part == index] = 2
         else:
             found.append(rect)
-    return found, masks[0]
+    return found, int(np.count_nonzero(masks[0] >= 3))
 
 
 class Scene:
@@ -277,33 +310,30 @@ class Scene:
             self.roi.append(smoothed(self.roi[-1]))
         h, w = self.layout.sizes[0]
         self.far = int((h * h + w * w) * o.shift_min * o.shift_min)
+        self.whole = all((r == 255).all() for r in self.roi)
+        away = np.arange(256, dtype=np.int64)
+        self.weighted = [np.minimum(away * away * (k * 256) >> 16, 255).astype(np.uint16) for k in o.weights]
 
-    def split(self, flat: np.ndarray) -> list[list[np.ndarray]]:
-        """flat samples as planes: features, then levels."""
-        n = int(self.cuts[-1])
-        return [[flat[k * n + a : k * n + b].reshape(size) for a, b, size in zip(self.cuts, self.cuts[1:], self.layout.sizes)] for k in range(3)]
-
-    def values(self, plane: np.ndarray) -> np.ndarray:
-        pyramid = [plane]
+    def values(self, planes: np.ndarray) -> np.ndarray:
+        """Samples of each of many planes: features, then levels, one after another."""
+        pyramid = [planes]
         while len(pyramid) < len(self.layout.sizes):
             pyramid.append(smoothed(pyramid[-1]))
         if any(self.o.weights[1:]):
             grads = [gradients(p, self.o.saturation, self.o.boost) for p in pyramid]
         else:
             grads = [(np.zeros_like(p),) * 2 for p in pyramid]
-        return np.concatenate([p.ravel() for p in (*pyramid, *(g[0] for g in grads), *(g[1] for g in grads))])
-
-    def difference(self, values: np.ndarray) -> list[np.ndarray]:
-        lo, hi = self.back.planes[:2].astype(np.int32)
-        v = values.astype(np.int32)
-        away = np.maximum(0, np.maximum(v - hi, lo - v))
-        out = []
-        weighted = [self.split(away * away * (w * 256) >> 16)[k] for k, w in enumerate(self.o.weights)]
-        for level in zip(*weighted):
-            out.append(np.minimum(sum(level), 255).astype(np.uint8))
+        return np.concatenate([p.reshape(len(planes), -1) for p in (*pyramid, *(g[0] for g in grads), *(g[1] for g in grads))], 1)
+
+    def difference(self, away: np.ndarray) -> list[np.ndarray]:
+        n = int(self.cuts[-1])
+        total = sum(table[away[k * n : (k + 1) * n]] for k, table in enumerate(self.weighted))
+        total = np.minimum(total, 255).astype(np.uint8)
+        out = [total[a:b].reshape(size) for a, b, size in zip(self.cuts, self.cuts[1:], self.layout.sizes)]
         for k in range(1, len(out)) if self.o.forward else ():
-            out[k] = np.maximum(out[k], smoothed(out[k - 1]))
-        return [d & m for d, m in zip(out, self.roi)]
+            if out[k - 1].any():
+                out[k] = np.maximum(out[k], smoothed(out[k - 1]))
+        return out if self.whole else [d & m for d, m in zip(out, self.roi)]
 
     def expire(self, now: float) -> list[tuple]:
         """Objects leave at `now`."""
@@ -323,14 +353,15 @@ class Scene:
         last = x.places[-1]
         return kind, now, x.number, *rect, last[1] * size, last[2] * size, len(x.places)
 
-    def next(self, plane: np.ndarray, now: float) -> list[tuple]:
-        """Rows of one frame: what comes and goes, then every object that moves."""
-        out = self.silent(now) if self.back.state != INIT else []
-        values = self.values(plane)
-        difference = self.difference(values)
-        found, mask = regions(difference, self.roi[-1], self.layout.area, self.o)
-        if self.back.state != INIT:
-            unstable = int((mask >= 3).sum()) >= mask.size * self.o.stable_area
+    def next(self, values: np.ndarray, now: float) -> list[tuple]:
+        """Rows of one frame, given by its samples: what comes and goes, then every object that moves."""
+        begun = self.back.state != INIT
+        out = self.silent(now) if begun else []
+        away = self.back.away(values) if begun else None
+        found, covered = regions(self.difference(away), self.roi[-1], self.layout.area, self.o) if away is not None else ([], 0)
+        if begun:
+            h, w = self.layout.sizes[0]
+            unstable = covered >= h * w * self.o.stable_area
             if unstable != self.back.unstable:
                 out.append(self.row("sabotage on" if unstable else "sabotage off", now))
             self.back.unstable = unstable
@@ -346,7 +377,7 @@ class Scene:
             if not moved and now - x.start >= self.o.time_min and (px - x.start_x) ** 2 + (py - x.start_y) ** 2 >= self.far:
                 x.number, self.numbers = self.numbers, self.numbers + 1
                 out.append(self.row("in", now, x))
-        self.back.take(values, now, self.o)
+        self.back.take(values, now, self.o, begun and away is None)
         return out + [self.row("object", now, x) for x in (*self.objects, *left) if x.number >= 0]
 
     def track(self, found: list[tuple], now: float) -> list[Tracked]:
@@ -383,15 +414,50 @@ class Scene:
         return rect[0] - border, rect[1] - border, rect[2] + border, rect[3] + border
 
 
+#: Frames whose samples are taken at once.
+AT_ONCE = 32
+
+
+def through(s: Scene | None, options: MotionOptions, frames: Iterable[tuple]) -> tuple[Scene | None, list[tuple]]:
+    """A camera after frames (microseconds, w, h, scaled_w, scaled_h, compressed data) in order of time, and their rows."""
+    out, frames, k = [], list(frames), 0
+    while k < len(frames):
+        _, w, h, sw, sh, _ = size = frames[k]
+        end = k + 1
+        while end < len(frames) and end - k < AT_ONCE and frames[end][1:5] == size[1:5]:
+            end += 1
+        planes = np.frombuffer(b"".join(pa.decompress(f[5], sw * sh, "lz4_raw", asbytes=True) if sw * sh else b"" for f in frames[k:end]), np.uint8).reshape(end - k, sh, sw)
+        fresh = s is None or (s.width, s.height) != (w, h)
+        if fresh:
+            out += s.expire(frames[k][0] / 1e6) if s else []
+            numbers = s.numbers if s else 0
+            s = Scene(int(w), int(h), options)
+            s.numbers = numbers
+        for (ts, *_), values in zip(frames[k:end], s.values(planes)):
+            now = ts / 1e6
+            if fresh or now > s.back.last:  # not a frame that is not newer than the camera's last one
+                out += s.next(values, now)
+            fresh = False
+        k = end
+    return s, out
+
+
 SCENE = "width int, height int, state int, grow_end double, stat double, update double, updates int, sabotaged int, unstable boolean, last double, numbers long, planes binary"
 OBJECT = "x long, y long, l long, t long, r long, b long, start_x long, start_y long, start double, number long, places binary"
 
 
+NAMES = [f.split()[0] for f in OUT.split(", ")]
+
+
+def micros(seconds: Iterable[float]) -> np.ndarray:
+    return np.rint(np.array(seconds, np.float64) * 1e6).astype(np.int64)
+
+
 class MotionProcessor(StatefulProcessor):
     """Frames of one camera after another; see the module for what its state holds."""
 
-    def __init__(self, options: MotionOptions, timers: bool):
-        self.options, self.timers = options, timers
+    def __init__(self, options: MotionOptions):
+        self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -419,35 +485,24 @@ class MotionProcessor(StatefulProcessor):
             self.objects.put([(x.x, x.y, *x.rect, x.start_x, x.start_y, x.start, x.number, np.array(x.places, np.float64).tobytes()) for x in s.objects])
         else:
             self.objects.clear()
-        if self.timers:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            if s.objects:
-                self.handle.registerTimer(math.ceil(1000 * (b.last + self.options.remove_time)))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if s.objects:
+            self.handle.registerTimer(math.ceil(1000 * (b.last + self.options.remove_time)))
 
     @staticmethod
     def _frame(cam: int, rows: list[tuple]) -> pd.DataFrame:
-        names = ["kind", "ts", "id", "l", "t", "r", "b", "x", "y", "n_places"]
-        out = pd.DataFrame(rows, columns=names)
-        out["ts"] = pd.to_datetime((out["ts"].astype(float) * 1e6).round().astype("int64"), unit="us")
-        for c in names[2:]:
-            out[c] = out[c].astype("Int64")
-        out.insert(0, "cam", cam)
-        return out[["cam", "ts", "kind", *names[2:]]]
+        kind, ts, *numbers = zip(*rows)
+        out = {"cam": np.full(len(rows), cam), "ts": micros(ts).astype("datetime64[us]"), "kind": np.array(kind, object)}
+        for c, v in zip(NAMES[3:], numbers):
+            none = np.array([x is None for x in v])
+            out[c] = pd.arrays.IntegerArray(np.array([x or 0 for x in v], np.int64), none)
+        return pd.DataFrame(out)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        s, out = self._load(), []
-        for ts, w, h, sw, sh, data in zip(frames["ts"].astype("datetime64[us]").astype("int64"), frames["w"], frames["h"], frames["scaled_w"], frames["scaled_h"], frames["data"]):
-            now = ts / 1e6
-            if s is None or (s.width, s.height) != (w, h):
-                out += s.expire(now) if s else []
-                numbers = s.numbers if s else 0
-                s = Scene(int(w), int(h), self.options)
-                s.numbers = numbers
-            elif now <= s.back.last:
-                continue  # a frame that is not newer than the camera's last one
-            out += s.next(np.frombuffer(data, np.uint8).reshape(sh, sw), now)
+        ts = frames["ts"].astype("datetime64[us]").astype("int64")
+        s, out = through(self._load(), self.options, zip(ts, *(frames[k] for k in ("w", "h", "scaled_w", "scaled_h", "data"))))
         self._save(s)
         if out:
             yield self._frame(int(key[0]), out)
@@ -461,7 +516,7 @@ class MotionProcessor(StatefulProcessor):
 
 
 def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
-    """cam, ts, w, h, scaled_w, scaled_h, data: frames at the size that detection starts from; no shuffle."""
+    """cam, ts, w, h, scaled_w, scaled_h, data: frames at the size that detection starts from, compressed, so that the shuffle and its sort hold a fifth or less; no shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -470,7 +525,7 @@ def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
                 plane = np.frombuffer(data, np.uint8).reshape(h, w)
                 for _ in range(Layout.of(w, h, options).scaled):
                     plane = halved(plane)
-                rows.append((plane.shape[1], plane.shape[0], plane.tobytes()))
+                rows.append((plane.shape[1], plane.shape[0], pa.compress(plane.tobytes(), "lz4_raw", asbytes=True) if plane.size else b""))
             sw, sh, data = zip(*rows) if rows else ((), (), ())
             columns = [*(batch.column(c) for c in ("cam", "ts", "w", "h")), pa.array(sw, pa.int32()), pa.array(sh, pa.int32()), pa.array(data, pa.binary())]
             yield pa.record_batch(columns, ["cam", "ts", "w", "h", "scaled_w", "scaled_h", "data"])
@@ -478,6 +533,33 @@ def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
     return frames.select("cam", "ts", "w", "h", "data").mapInArrow(run, "cam long, ts timestamp, w int, h int, scaled_w int, scaled_h int, data binary")
 
 
+def in_order(frames: DataFrame, options: MotionOptions) -> DataFrame:
+    """Rows of a table of scaled frames: a task reads camera after camera in order of time and holds the state of one."""
+
+    def run(batches):
+        cam, s = None, None
+        for batch in batches:
+            cams = batch.column("cam").to_pylist()
+            frames = list(zip(batch.column("ts").cast(pa.int64()).to_pylist(), *(batch.column(k).to_pylist() for k in ("w", "h", "scaled_w", "scaled_h", "data"))))
+            begin, of, rows = 0, [], []
+            while begin < len(cams):
+                end = begin + 1
+                while end < len(cams) and cams[end] == cams[begin]:
+                    end += 1
+                if cams[begin] != cam:
+                    cam, s = cams[begin], None
+                s, new = through(s, options, frames[begin:end])
+                of += [cam] * len(new)
+                rows += new
+                begin = end
+            if rows:
+                kind, ts, *numbers = zip(*rows)
+                columns = [pa.array(of, pa.int64()), pa.array(micros(ts), pa.timestamp("us", "UTC")), pa.array(kind), *(pa.array(v, pa.int64()) for v in numbers)]
+                yield pa.record_batch(columns, NAMES)
+
+    return frames.repartition("cam").sortWithinPartitions("cam", "ts").mapInArrow(run, OUT)
+
+
 def motion(frames: DataFrame, options: MotionOptions | None = None, late: str = "0 seconds") -> DataFrame:
     """Rows (cam, ts, kind, id, l, t, r, b, x, y, n_places) of a stream or table of gray frames (cam, ts, w, h, data).
 
@@ -486,14 +568,15 @@ def motion(frames: DataFrame, options: MotionOptions | None = None, late: str =
     included; x, y is where its region was seen last.  Frames of a camera are taken
     in order of time; those that are not newer than its last one are left out.
     Frames of another size start the camera anew.  Rows with a null camera, time or
-    data go.  Sets the state store to RocksDB, which typed state needs.
+    data go.  A table's
+    cameras are read in order of time after one shuffle and sort; a stream's have
+    typed state, for which the state store is set to RocksDB.
     """
     options = options or MotionOptions()
     spark = frames.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    assert spark.streams is not None  # starts the coordinator that state needs, on a table too
     frames = scaled_frames(frames.where("cam is not null and ts is not null and data is not null"), options)
-    if frames.isStreaming:
-        frames = frames.withWatermark("ts", late)
-    mode = "EventTime" if frames.isStreaming else "None"
-    return frames.groupBy("cam").transformWithStateInPandas(MotionProcessor(options, frames.isStreaming), OUT, "Append", mode)
+    if not frames.isStreaming:
+        return in_order(frames, options)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    assert spark.streams is not None  # starts the coordinator that state needs
+    return frames.withWatermark("ts", late).groupBy("cam").transformWithStateInPandas(MotionProcessor(options), OUT, "Append", "EventTime")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiltra.plans import cameras
-from quiltra.streaming.motion import Layout, MotionOptions, inside, motion
+from quiltra.streaming.motion import Layout, MotionOptions, inside, motion, scaled_frames
 from quiltra.streaming.run import micro_batches, replayed
 
 ROUND = lambda v: int(v + 0.5)
@@ -284,3 +284,18 @@ def test_the_query_by_stream_is_the_query_by_table(spark):
     told = lambda f: {tuple(r) for r in f(spark, sf).collect()}
     table, stream = told(cameras.motion_detector_table), told(cameras.motion_detector)
     assert table <= stream and all(r[2] == "out" for r in stream - table)
+
+
+def test_a_table_needs_no_state_and_one_shuffle_of_packed_frames(spark, frames):
+    plan = motion(frames, OPTIONS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "TransformWithState" not in plan and plan.count("RepartitionByExpression [cam") == 1
+    flat = spark.createDataFrame([(1, 1, 60, 50, bytes(3000))], "cam long, k long, w int, h int, data binary").select("cam", F.timestamp_millis("k").alias("ts"), "w", "h", "data")
+    assert len(scaled_frames(flat, OPTIONS).first()["data"]) < 300
+
+
+def test_a_stream_carries_what_frames_are_drawn_from(spark):
+    events = cameras.camera_events(spark, "/root/testdata/sf0.001")
+    assert events.columns == ["cam", "ts", "frame", "noise"]
+    stream = cameras.with_planes(micro_batches(events, "ts", 3))
+    assert stream.isStreaming and "Join" not in stream._jdf.queryExecution().analyzed().toString()
+    assert cameras.with_planes(events).count() == events.count()
