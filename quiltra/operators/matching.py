@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import area_taps, resampled
+from .geometry import area_taps
 from .graph import kept
 
 
@@ -47,54 +51,141 @@ def near_images(sigs: DataFrame, half: int, rms: float, grid: tuple[int, int]) -
     return pairs.withColumn("d", square).where(F.col("d") <= F.lit(rms * rms) * F.size("sp")).select(F.col("p").alias("a"), F.col("q").alias("b"), "d")
 
 
-#: Sides of an image's main hash, side of its fast hash, and images of one bucket that one join key holds.
-HASH_SIZES, FAST, DEAL = (16, 32, 64), 4, 256
+#: Sides of an image's main hash, side of its fast hash, and images of one bucket that one task holds on one side.
+HASH_SIZES, FAST, DEAL = (16, 32, 64), 4, 8192
 
 
 def image_hashes(planes: DataFrame, value: str, size: tuple[int, int], main: int = 16) -> DataFrame:
     """img, main, fast: gray values by area resampling to main x main, rounded, and their rounded means over 4 x 4 blocks, in row order.
 
-    size: width and height of the images.  Two sums over pixels, each with one
-    shuffle of partial sums; pixels that are absent count as 0.
+    size: width and height of the images.  Pixels meet once, on their image;
+    a task then resamples some hundred images at a time by two products with the
+    taps.  Pixels that are absent or null count as 0, equal places add up.
     """
     if main not in HASH_SIZES:
         raise ValueError(f"{main} is none of {HASH_SIZES}")
-    c = F.col
-    cells = resampled(planes.select("img", c("y").cast("long").alias("y"), c("x").cast("long").alias("x"), value), [value], area_taps(size[1], main), area_taps(size[0], main))
-    cells = cells.select("img", "y", "x", F.floor(F.round(value, 6) + 0.5).cast("int").alias("v"))
-    step = main // FAST
-    listed = lambda keys, v: F.transform(F.array_sort(F.collect_list(F.struct(*keys, v))), lambda s: s[v])
-    cells = kept(cells)
-    fast = cells.groupBy("img", F.expr(f"y div {step}").alias("y"), F.expr(f"x div {step}").alias("x")).agg(F.expr(f"(sum(v) + {step * step // 2}) div {step * step}").cast("int").alias("f"))
-    return cells.groupBy("img").agg(listed(("y", "x"), "v").alias("main")).join(fast.groupBy("img").agg(listed(("y", "x"), "f").alias("fast")), "img")
+    (w, h), step = size, main // FAST
+    kind = planes.schema["img"].dataType.simpleString()
+    point = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias("v"))
+    whole = planes.where(f"y between 0 and {h - 1} and x between 0 and {w - 1}").groupBy("img").agg(F.collect_list(point).alias("p"))
+
+    def taps(n: int) -> np.ndarray:
+        out = np.zeros((main, n))
+        for d, s, share in area_taps(n, main):
+            out[d, s] = share
+        return out
+
+    def run(batches):
+        down, across = taps(h), taps(w).T
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                n, p = batch.num_rows, batch.column("p")
+                flat = p.flatten()
+                of = np.repeat(np.arange(n), p.value_lengths().to_numpy(zero_copy_only=False))
+                y, x, v = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                dense = np.bincount((of * h + y) * w + x, np.nan_to_num(v), n * h * w).reshape(n, h, w)
+                cells = np.floor(np.round(down @ dense @ across, 6) + 0.5).astype(np.int32)
+                fast = (cells.reshape(n, FAST, step, FAST, step).sum((2, 4)) + step * step // 2) // (step * step)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(c.reshape(-1).astype(np.int32))) for c, m in ((cells, main * main), (fast, FAST * FAST))]
+                yield pa.record_batch([batch.column("img"), *lists], ["img", "main", "fast"])
+
+    return whole.mapInArrow(run, f"img {kind}, main array<int>, fast array<int>")
+
+
+def _pairs_of_cell(left: list, right: list | None, side: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places on both sides and difference of the similar pairs of (main, fast) of two sides, or of one with itself."""
+    own = right is None
+    (main, fast), (main_b, fast_b) = left, left if own else right
+    n = main.shape[1]
+    # around 0, so that all sums of a hash of 16 x 16 are whole in single precision
+    kind = np.float32 if n * 128 * 128 * 4 <= 1 << 24 else np.float64
+    norm, norm_b = ((m.astype(np.int64) - 128) ** 2 @ np.ones(n, np.int64) for m in (main, main_b))
+    step = max(1, (1 << 18) // n)
+    for j in range(0, len(main_b), step):
+        b = main_b[j : j + step].astype(kind) - 128
+        for i in range(0, min(len(main), j + len(b)) if own else len(main), step):
+            a = main[i : i + step].astype(kind) - 128
+            dots = a @ b.T
+            dots *= -2
+            dots += norm[i : i + step, None].astype(kind)
+            dots += norm_b[None, j : j + step].astype(kind)
+            p, q = np.nonzero(dots <= side * side * n)
+            d, p, q = dots[p, q].astype(np.float64), p + i, q + j
+            difference = np.sqrt(d / n) / 255
+            apart = fast[p].astype(np.int64) - fast_b[q]
+            good = ((apart * apart).sum(1) <= side * side * FAST * FAST) & (difference <= threshold) & ((p < q) if own else True)
+            yield p[good], q[good], difference[good]
 
 
 def similar_images(hashes: DataFrame, threshold: float = 0.05, normalized: bool = False, deal: int = DEAL) -> DataFrame:
     """a, b, difference of images a < b: root mean square difference of main hashes as a share of 255, at most `threshold`.
 
-    Fast hashes rule pairs out first, at the same mean square difference.  Sums of
+    Fast hashes rule pairs out, at the same mean square difference.  Sums of
     a fast hash with signs differ by 16 times that at most, so three of them -
     left against right, upper against lower half, and the sum, or with
     `normalized` images of one brightness the diagonals - deal images into buckets
     in which similar ones are neighbours: no pair is lost.  A bucket of many
-    images is dealt out: a task's key holds `deal` of them on one side.
+    images is dealt out: a task holds `deal` of them on each side, packed, and
+    compares them by products of matrices, some hundred by some hundred.
     """
     c = F.col
     side = int(threshold * 255)
     signs = {"bx": [1 if x < 2 else -1 for y in range(4) for x in range(4)], "by": [1 if y < 2 else -1 for y in range(4) for x in range(4)], "bz": [1 if not normalized or (y < 2) == (x < 2) else -1 for y in range(4) for x in range(4)]}
-    total = lambda s: sum((F.get("fast", F.lit(k)) * v for k, v in enumerate(s)), F.lit(0))
-    keys = list(signs)
-    own = kept(hashes).select("img", "main", "fast", *[F.floor(total(s) / F.lit(16 * side + 1)).alias(k) for k, s in signs.items()])
-    sizes = own.groupBy(*keys).agg(F.ceil(F.count("*") / deal).cast("int").alias("deals"))
-    left = own.join(sizes, keys).select(c("img").alias("a"), c("main").alias("main_a"), c("fast").alias("fast_a"), *keys, F.pmod(F.xxhash64("img"), c("deals")).cast("int").alias("deal"))
-    right = own.select(c("img").alias("b"), "main", "fast", *keys)
-    for k in keys:
-        right = right.withColumn(k, F.explode(F.array(c(k) - 1, c(k), c(k) + 1)))
-    right = right.join(sizes, keys).select("b", "main", "fast", *keys, F.explode(F.sequence(F.lit(0), c("deals") - 1)).alias("deal"))
-    square = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: (u - v) * (u - v)), F.lit(0), lambda s, v: s + v)
-    met = left.join(right, [*keys, "deal"]).where("a < b").where(square("fast_a", "fast") <= side * side * FAST * FAST)
-    met = met.select("a", "b", square("main_a", "main").alias("d"), F.size("main").alias("n")).where(c("d") <= F.lit(side * side) * c("n"))
-    return met.select("a", "b", (F.sqrt(c("d") / c("n")) / 255).alias("difference")).where(c("difference") <= threshold)
+    kind = hashes.schema["img"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            main, fast = (batch.column(k).flatten().to_numpy().reshape(n, -1) for k in ("main", "fast"))
+            keys = [pa.array((fast.astype(np.int64) @ np.array(s)) // (16 * side + 1)) for s in signs.values()]
+            packed = [pa.array([r.tobytes() for r in v.astype(np.uint8)], pa.binary()) for v in (main, fast)]
+            yield pa.record_batch([batch.column("img"), *packed, *keys], ["img", "main", "fast", *signs])
+
+    own = kept(hashes.select("img", "main", "fast").where("img is not null").mapInArrow(pack, f"img {kind}, main binary, fast binary, bx long, by long, bz long"))
+    sizes = own.groupBy(*signs).agg(F.ceil(F.count("*") / deal).cast("int").alias("deals"))
+    # each pair of neighbouring buckets once: a bucket's own cells and those with the half of its neighbours that come after it
+    at = F.struct(*signs)
+    steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(k).alias("dz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    beside = sizes.select(at.alias("of"), c("deals").alias("own_deals"), F.explode(steps).alias("s"))
+    beside = beside.select("of", "own_deals", F.struct((c("of.bx") + c("s.dx")).alias("bx"), (c("of.by") + c("s.dy")).alias("by"), (c("of.bz") + c("s.dz")).alias("bz")).alias("to"))
+    beside = beside.join(sizes.select(at.alias("to"), "deals"), "to").groupBy("of", "own_deals").agg(F.collect_list(F.struct("to", "deals")).alias("near"))
+    dealt = own.withColumn("of", at).drop(*signs).join(beside, "of").withColumn("deal", F.pmod(F.xxhash64("img"), c("own_deals")).cast("int"))
+    every = F.flatten(F.transform("near", lambda z: F.transform(F.sequence(F.lit(0), z["deals"] - 1), lambda k: F.struct(z["to"].alias("to"), k.alias("deal")))))
+    me = F.struct(c("of").alias("to"), c("deal").alias("deal"))
+    cells = F.transform(every, lambda z: F.struct(F.least(me, z).alias("low"), F.greatest(me, z).alias("high"), (z < me).alias("right")))
+    met = dealt.select("img", "main", "fast", F.explode(cells).alias("cell")).select("img", "main", "fast", "cell.low", "cell.high", c("cell.right").alias("right"))
+
+    def compare(key, batches):
+        sides: dict[bool, list] = {False: [], True: []}
+        for batch in batches:
+            right = batch.column("right").to_numpy(zero_copy_only=False)
+            for k in (False, True):
+                if (right == k).any():
+                    sides[k].append(batch.filter(pa.array(right == k)))
+        if not sides[False]:
+            return
+        ids, packed = {}, {}
+        for k, found in sides.items():
+            if found:
+                ids[k] = pa.concat_arrays([b.column("img") for b in found])
+                packed[k] = [np.concatenate([np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint8).reshape(b.num_rows, -1) for b in found]) for name in ("main", "fast")]
+        if True not in packed and key[0] != key[1]:
+            return
+        for p, q, difference in _pairs_of_cell(packed[False], packed.get(True), side, threshold):
+            if len(p):
+                yield pa.record_batch([ids[False].take(pa.array(p)), ids.get(True, ids[False]).take(pa.array(q)), pa.array(difference)], ["a", "b", "difference"])
+
+    found = met.groupBy("low", "high").applyInArrow(_iterated(compare), f"a {kind}, b {kind}, difference double")
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "difference")
+
+
+def _iterated(f):
+    """f with the annotations by which Spark knows a function that takes and gives batches one by one."""
+    f.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return f
 
 
 def best_shift(df: DataFrame, current: str, background: str, reach: int) -> DataFrame:

@@ -63,3 +63,29 @@ def test_no_pair_is_lost(spark, planes, threshold, normalized, deal):
 
 def test_images_that_are_absent(spark, planes):
     assert M.similar_images(M.image_hashes(planes.limit(0), "v", (W, H))).count() == 0
+
+
+def test_a_bucket_of_many_images_meets_in_packed_cells(spark):
+    rows = [(k, [(k * 3 + j) % 7 + 100 for j in range(256)], [100] * 16) for k in range(120)]
+    df = spark.createDataFrame(rows, "img long, main array<int>, fast array<int>").repartition(3)
+    found = M.similar_images(df, 0.05, False, 16)
+    assert found.count() == 120 * 119 // 2 and found.where("a >= b").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_normalized_pairs_are_those_of_all_pairs_over_several_deals(spark):
+    hashes = {k: hashed(p, 16) for k, p in enumerate(pictures(80))}
+    df = spark.createDataFrame([(k, *h) for k, h in hashes.items()], "img long, main array<int>, fast array<int>")
+    whole, dealt = (sorted(map(tuple, M.similar_images(df, 0.06, True, n).collect())) for n in (8192, 5))
+    assert whole == dealt and whole
+
+
+@pytest.mark.parametrize("main", [32, 64])
+def test_pixels_of_hashes_meet_once(spark, planes, main):
+    plan = M.image_hashes(planes, "v", (W, H), main)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+    few = spark.createDataFrame([(1, 0, 0, 200), (1, 0, 0, 20), (1, 5, 3, None), (1, 99, 0, 7)], "img long, y long, x long, v long")
+    r = M.image_hashes(few, "v", (W, H), main).first()
+    p = [220] + [0] * (W * H - 1)
+    assert (r.main, r.fast) == hashed(p, main)
