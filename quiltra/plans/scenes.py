@@ -94,11 +94,16 @@ def linked(spark, sf_dir) -> DataFrame:
     rectangle takes the nearest.
     """
     r = rectangles(spark, sf_dir).select("img", "id", *"ltrb", F.expr("(l + r) div 2").alias("cx"), F.expr("(t + b) div 2").alias("cy"))
-    before = r.select((c("img") + 1).alias("img"), c("id").alias("was"), *[c(k).alias("p" + k) for k in ("l", "t", "r", "b", "cx", "cy")])
-    far = (c("cx") - c("pcx")) * (c("cx") - c("pcx")) + (c("cy") - c("pcy")) * (c("cy") - c("pcy"))
-    holds = lambda l, t, r, b, x, y: (c(x) >= c(l)) & (c(x) < c(r)) & (c(y) >= c(t)) & (c(y) < c(b))
-    near = holds("l", "t", "r", "b", "pcx", "pcy") | holds("pl", "pt", "pr", "pb", "cx", "cy")
-    asked = r.join(before, "img").groupBy("id").agg(F.min(F.struct(far.alias("d"), "was", near.alias("near"))).alias("m"))
+    # the rectangles of an image come as one list, so that a task holds no pairs
+    before = r.groupBy((c("img") + 1).alias("img")).agg(F.collect_list(F.struct("id", *"ltrb", "cx", "cy")).alias("before"))
+    holds = lambda l, t, r, b, x, y: (x >= l) & (x < r) & (y >= t) & (y < b)
+
+    def asks(p: Column) -> Column:
+        far = (c("cx") - p["cx"]) * (c("cx") - p["cx"]) + (c("cy") - p["cy"]) * (c("cy") - p["cy"])
+        near = holds(*map(c, "ltrb"), p["cx"], p["cy"]) | holds(*(p[k] for k in "ltrb"), c("cx"), c("cy"))
+        return F.struct(far.alias("d"), p["id"].alias("was"), near.alias("near"))
+
+    asked = r.join(before, "img").select("id", F.array_min(F.transform("before", asks)).alias("m"))
     taken = asked.where("m.near").groupBy("m.was").agg(F.min(F.struct("m.d", "id")).alias("t"))
     links = taken.select(c("t.id").alias("id"), "was", c("t.d").alias("d"))
     return r.select("id").join(links, "id", "left").select("id", F.coalesce("was", F.lit(-1)).alias("was"), F.coalesce("d", F.lit(-1)).alias("d"))

@@ -221,3 +221,10 @@ def test_gradients_are_differences():
         net.weights[k].ravel()[at] = held
         begin = sum(v.size for v in net.weights[:k])
         assert abs((loss[0] - loss[1]) / 2e-6 - total[begin + at]) < 1e-5
+
+
+def test_links_of_rectangles_make_no_rows_of_pairs(spark):
+    from quiltra.plans import scenes
+
+    plan = scenes.linked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" in plan and "collect_list" in plan
