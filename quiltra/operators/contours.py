@@ -1,8 +1,7 @@
-"""Contours as polylines: edge pixels are split into connected components, each of which is walked on its own.
+"""Contours as polylines: the edge pixels of an image meet once and are walked.
 
-A walk goes from pixel to pixel of strong metric and never leaves its component,
-so components are found first, by joins of labels, and the tasks that walk hold
-one component of one image at a time.  Anchors start walks in the order of their
+A walk goes from pixel to pixel of strong metric; the tasks that walk hold the
+edge pixels of one image at a time.  Anchors start walks in the order of their
 strength; pixels that a walk has taken stop later ones.
 """
 
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import shr
 from ..model import neighbourhood
-from .graph import components, kept
 from .stencil import contour_metric
 
 KEY = ["img", "y", "x"]
@@ -53,7 +51,7 @@ def edge_pixels(planes: DataFrame, value: str, gradient: int, anchor: int, inter
 
 
 def walked(group: pd.DataFrame, shortest: int) -> list[tuple]:
-    """Polylines (anchor's strength, y, x, number at that anchor, points) of one component."""
+    """Polylines (anchor's strength, y, x, number at that anchor, points) of an image's edge pixels, in order of their anchors."""
     pixels = {(y, x): (m & 1, steps) for y, x, m, *steps in zip(*(group[k].tolist() for k in ("y", "x", "m", "up", "down", "right", "left")))}
     anchors = sorted(((-s, y, x) for y, x, s in zip(group["y"].tolist(), group["x"].tolist(), group["strength"].tolist()) if s > 0))
     free, out = set(pixels), []
@@ -85,22 +83,15 @@ def contours(planes: DataFrame, value: str = "v", gradient: int = 40, anchor: in
     """img, contour, position, y, x: polylines of more than `shortest` points, numbered in an image by the strength of their anchors.
 
     Ties go to the upper, then to the left anchor.  Images without strong pixels
-    have no rows.  Needs one row for each pixel; a component of edge pixels of an
-    image is held by one task.
+    have no rows.  Needs one row for each pixel; the edge pixels of an image are
+    held by one task, as a packed plane is.
     """
-    edges = kept(edge_pixels(planes, value, gradient, anchor, interval, mask, index))
-    point = F.struct(*KEY)
-    ahead = [(0, 1), (1, -1), (1, 0), (1, 1)]
-    ends = edges.select(point.alias("a"), F.explode(F.array(*[F.struct("img", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ahead])).alias("b"))
-    links = ends.join(edges.select(point.alias("b")), "b").select("a", "b")
-    labels = components(links).select(F.col("id.img").alias("img"), F.col("id.y").alias("y"), F.col("id.x").alias("x"), "root")
-    groups = edges.join(labels, KEY, "left").withColumn("root", F.coalesce("root", point))
+    edges = edge_pixels(planes, value, gradient, anchor, interval, mask, index)
 
     def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(group["img"].iloc[0], s, ay, ax, k, p, y, x) for s, ay, ax, k, points in walked(group, shortest) for p, (y, x) in enumerate(points)]
-        return pd.DataFrame(rows, columns=["img", "s", "ay", "ax", "k", "position", "y", "x"])
+        lines = [points for *_, points in walked(group, shortest)]
+        rows = [(key[0], n, k, y, x) for n, points in enumerate(lines) for k, (y, x) in enumerate(points)]
+        return pd.DataFrame(rows, columns=["img", "contour", "position", "y", "x"])
 
     kind = edges.schema["img"].dataType.simpleString()
-    found = groups.groupBy("img", "root").applyInPandas(walk, f"img {kind}, s long, ay long, ax long, k long, position long, y long, x long")
-    number = F.dense_rank().over(Window.partitionBy("img").orderBy(F.col("s").desc(), "ay", "ax", "k")) - 1
-    return found.select("img", number.cast("long").alias("contour"), "position", "y", "x")
+    return edges.groupBy("img").applyInPandas(walk, f"img {kind}, contour long, position long, y long, x long")

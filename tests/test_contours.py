@@ -90,3 +90,9 @@ def test_masks_and_empty_tables(spark):
     got = sorted((r.contour, r.position, r.y, r.x) for r in contours(df, "v", mask="k").collect())
     assert got == sorted((n, i, y, x) for n, line in enumerate(plain(p, 40, 0, 2, 2, mask)) for i, (y, x) in enumerate(line)) and got
     assert contours(df.limit(0), "v").count() == 0
+
+
+def test_pixels_of_an_image_meet_without_rounds_of_labels(spark):
+    df = spark.createDataFrame([(1, y, x, v) for y, row in enumerate(scene("boxes")) for x, v in enumerate(row)], "img long, y long, x long, v long")
+    plan = contours(df, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "ExistingRDD" not in plan.split("FlatMapGroupsInPandas")[0] and plan.count("FlatMapGroupsInPandas") == 1
