@@ -94,23 +94,22 @@ def text_alpha(texts: DataFrame, atlas: DataFrame, font: FontSize, id_col: str,
 def drawn(canvas: DataFrame, alpha: DataFrame, colours: dict[str, int], size: tuple[int, int], background: DataFrame | None = None, ground: dict[str, int] | None = None) -> DataFrame:
     """The canvas (img, y, x and the columns of `colours`) with the text blended in.
 
-    Pixels of the text meet those of the canvas in one aggregate.  With `background`
+    The text's pixels of a row come as one list to the canvas's pixels of that row;
+    of those at one place the most opaque counts.  With `background`
     (img, width, height: sizes at the upper left corner) that room is filled with
-    `ground` first.
+    `ground` first; an image has one row there at most.
     """
-    names = list(colours)
-    own = canvas.select("img", "y", "x", *names, F.lit(None).cast("long").alias("alpha"), F.lit(None).cast("boolean").alias("room"))
-    none = [F.lit(None).cast(canvas.schema[k].dataType).alias(k) for k in names]
-    rows = own.unionByName(alpha.select("img", "y", "x", *none, F.col("alpha").cast("long").alias("alpha"), F.lit(None).cast("boolean").alias("room")))
+    names, x = list(colours), F.col("x")
+    rows = alpha.groupBy("img", F.col("y").cast("long").alias("y")).agg(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("alpha").cast("long").alias("alpha"))).alias("row"))
+    met = canvas.select("img", F.col("y").cast("long").alias("y"), "x", *names).where(F.col(names[0]).isNotNull()).join(rows, ["img", "y"], "left")
+    met = met.select("img", "y", "x", *names, F.array_max(F.transform(F.filter("row", lambda z: z["x"] == x), lambda z: z["alpha"])).alias("alpha"))
     if background is not None:
-        far = lambda k, most: F.sequence(F.lit(0), F.least(F.col(k), F.lit(most)) - 1)
-        room = background.where("width > 0 and height > 0").select("img", F.explode(far("height", size[1])).alias("y"), "width").select("img", "y", F.explode(far("width", size[0])).alias("x"))
-        rows = rows.unionByName(room.select("img", "y", "x", *none, F.lit(None).cast("long").alias("alpha"), F.lit(True).alias("room")))
-    met = rows.groupBy("img", "y", "x").agg(*[F.max(k).alias(k) for k in (*names, "alpha", "room")]).where(F.col(names[0]).isNotNull())
+        met = met.join(background.select("img", F.col("width").alias("room_w"), F.col("height").alias("room_h")), "img", "left")
+        met = met.withColumn("room", (x < F.least("room_w", F.lit(size[0]))) & (F.col("y") < F.least("room_h", F.lit(size[1]))))
     a = F.coalesce("alpha", F.lit(0))
 
     def blended(k: str):
-        under = F.when(F.col("room"), F.lit(ground[k])).otherwise(F.col(k)) if ground else F.col(k)
+        under = F.when(F.col("room"), F.lit(ground[k])).otherwise(F.col(k)) if ground and background is not None else F.col(k)
         v = F.lit(colours[k]) * a + under * (255 - a)
         return F.shiftright((v + 1 + F.shiftright(v, 8)).cast("long"), 8).alias(k)
 

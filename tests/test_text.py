@@ -65,3 +65,14 @@ def test_blending_with_and_without_ground(spark, atlas):
     room = spark.createDataFrame([(1, 4, 30), (2, 0, 0)], "img long, width long, height long")
     got = {(r.img, r.y, r.x): r.v for r in T.drawn(canvas, alpha, {"v": 200}, (20, 17), room, {"v": 7}).collect()}
     assert got[1, 16, 3] == 7 and got[1, 16, 4] == 64 and got[2, 16, 3] == 48 and got[1, 2, 3] == 200 and got[1, 4, 5] == div(200 * 100 + 20 * 155)
+
+
+def test_a_room_and_a_text_need_no_aggregate_of_the_canvas(spark, atlas):
+    canvas = spark.createDataFrame([(1, y, x, 9) for y in range(4) for x in range(5)] + [(1, 0, 0, 9)], "img long, y long, x long, v long")
+    alpha = spark.createDataFrame([(1, 1, 1, 10), (1, 1, 1, 255), (1, 7, 7, 3)], "img long, y long, x long, alpha int")
+    room = spark.createDataFrame([(1, 2, 3)], "img long, width long, height long")
+    out = T.drawn(canvas, alpha, {"v": 200}, (5, 4), room, {"v": 7})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Aggregate") == 1
+    got = sorted((r.y, r.x, r.v) for r in out.collect())
+    assert got == sorted([(y, x, 200 if (y, x) == (1, 1) else 7 if x < 2 and y < 3 else 9) for y in range(4) for x in range(5)] + [(0, 0, 7)])
