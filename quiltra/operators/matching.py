@@ -191,14 +191,39 @@ def _iterated(f):
 def best_shift(df: DataFrame, current: str, background: str, reach: int) -> DataFrame:
     """(img, dy, dx, s, n): the shift of least mean absolute difference, ties by dy and dx.
 
-    A pixel explodes to the shifts it takes part in; the join with the
-    background is by position, the scores are partial sums.
+    Pixels meet once, on their image; a task holds the planes of one image at a
+    time and compares them shift by shift.  Pixels that are absent take no part;
+    those with a null count in n only.
     """
-    offsets = F.array(*[F.struct(F.lit(i).cast("long").alias("dy"), F.lit(j).cast("long").alias("dx")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
-    moved = df.select("img", "y", "x", F.col(current).alias("v"), F.explode(offsets).alias("o")).select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "v", "o.dy", "o.dx")
-    scores = moved.join(df.select("img", "y", "x", F.col(background).alias("w")), ["img", "y", "x"]).groupBy("img", "dy", "dx").agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("s"), F.count(F.lit(1)).alias("n"))
-    best = scores.groupBy("img").agg(F.min(F.struct((F.col("s") / F.col("n")).alias("mean"), "dy", "dx", "s", "n")).alias("b"))
-    return best.select("img", "b.dy", "b.dx", "b.s", "b.n")
+    whole = all(df.schema[k].dataType.typeName() in ("byte", "short", "integer", "long") for k in (current, background))
+    kind, total = df.schema["img"].dataType.simpleString(), "long" if whole else "double"
+
+    def run(group: pa.Table) -> pa.Table:
+        y, x = (group[k].to_numpy() for k in ("y", "x"))
+        y, x = y - y.min(), x - x.min()
+        h, w = int(y.max()) + 1, int(x.max()) + 1
+        there, (known, planes) = np.zeros((h, w), bool), (np.zeros((2, h, w), bool), np.zeros((2, h, w), np.int64 if whole else np.float64))
+        there[y, x] = True
+        for k, name in enumerate("vw"):
+            known[k][y, x] = group[name].is_valid().to_numpy()
+            planes[k][y, x] = group[name].fill_null(0).to_numpy()
+        best = None
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                t, b, l, r = max(0, -dy), min(h, h - dy), max(0, -dx), min(w, w - dx)
+                if t >= b or l >= r:
+                    continue
+                own, to = (slice(t, b), slice(l, r)), (slice(t + dy, b + dy), slice(l + dx, r + dx))
+                n = int((there[own] & there[to]).sum())
+                both = known[0][own] & known[1][to]
+                s = np.abs(planes[0][own] - planes[1][to])[both].sum().item() if both.any() else None
+                mean = s / n if s is not None else -1.0  # a null is less than all
+                if n and (best is None or mean < best[0]):
+                    best = mean, dy, dx, s, n
+        return pa.table({"img": group["img"].slice(0, 1), **{k: pa.array([v], t) for k, v, t in zip(("dy", "dx", "s", "n"), best[1:], (pa.int64(), pa.int64(), pa.int64() if whole else pa.float64(), pa.int64()))}})
+
+    rows = df.where("img is not null and y is not null and x is not null").select("img", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *[F.col(k).cast(total).alias(n) for k, n in ((current, "v"), (background, "w"))])
+    return rows.groupBy("img").applyInArrow(run, f"img {kind}, dy long, dx long, s {total}, n long")
 
 
 def warp_nearest(df: DataFrame, value: str, inverse: tuple[float, ...], size: tuple[int, int], border: int) -> DataFrame:

@@ -89,3 +89,18 @@ def test_pixels_of_hashes_meet_once(spark, planes, main):
     r = M.image_hashes(few, "v", (W, H), main).first()
     p = [220] + [0] * (W * H - 1)
     assert (r.main, r.fast) == hashed(p, main)
+
+
+def test_the_best_shift_sends_a_pixel_once(spark):
+    rows = [(k, y, x, (y * 7 + x * 3 + k) % 50, ((y - 1) * 7 + (x + 2) * 3 + k) % 50) for k in range(3) for y in range(9) for x in range(11) if (k, y, x) != (2, 4, 4)]
+    df = spark.createDataFrame(rows, "img long, y long, x long, v long, w long")
+    out = M.best_shift(df, "v", "w", 2)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    v, w = ({r[:3]: r[n] for r in rows} for n in (3, 4))
+    for r in out.collect():
+        every = []
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                d = [abs(a - w[k, y + dy, x + dx]) for (k, y, x), a in v.items() if k == r.img and (k, y + dy, x + dx) in w]
+                every.append((sum(d) / len(d), dy, dx, sum(d), len(d)))
+        assert tuple(r)[1:] == min(every)[1:]
