@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 KEY = ["img", "y", "x"]
 #: Fixed value: what a stage's sum may fall short of its threshold.
 SLACK = 1e-5
@@ -77,7 +79,7 @@ def flattened(models: DataFrame) -> Cascades:
 def cascades_of_text(models: DataFrame, model_col: str = "model", xml_col: str = "xml") -> Cascades:
     """Models from a column of XML documents, whole files in the format of OpenCV."""
     inner = F.regexp_extract(xml_col, r"(?s)<cascade\b.*</cascade>", 0)
-    return flattened(models.select(F.col(model_col).alias("model"), F.from_xml(F.when(inner != "", inner), SCHEMA, XML).alias("c")))
+    return flattened(kept(models.select(F.col(model_col).alias("model"), F.from_xml(F.when(inner != "", inner), SCHEMA, XML).alias("c"))))
 
 
 def read_cascades(spark: SparkSession, path: str) -> Cascades:

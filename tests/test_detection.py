@@ -140,3 +140,8 @@ def test_groups_are_those_of_all_pairs(spark, least, differ):
     df = spark.createDataFrame([(k, *b) for k, bs in boxes.items() for b in bs], "img long, l long, t long, r long, b long")
     got = sorted((r.img, r.n, r.l, r.t, r.r, r.b) for r in grouped(df, least, differ).collect())
     assert got == sorted((k, *g) for k, bs in boxes.items() for g in plain_groups(bs, least, differ))
+
+
+def test_a_text_is_parsed_once(spark):
+    for name in TABLES:
+        assert "from_xml" not in getattr(D.small(spark), name)._jdf.queryExecution().optimizedPlan().toString()
