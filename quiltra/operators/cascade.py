@@ -91,13 +91,14 @@ def read_cascades(spark: SparkSession, path: str) -> Cascades:
 # -- evaluation -------------------------------------------------------------------------------------------
 
 
-def integral_corners(planes: DataFrame, value: str) -> DataFrame:
+def integral_corners(planes: DataFrame, value: str, plain: bool = False) -> DataFrame:
     """img, y, x, s, sq, t: sums above and left of each corner of `value` and of its square, and over the triangle that opens upwards from it.
 
     Corners are (h + 1) x (w + 1).  A triangle grows from one row to the next by
     the two diagonals that end beside the corner's last pixel, so running sums
     along both diagonals and then down each column give it.  Windows of one image
-    share one shuffle; nothing is joined.
+    share one shuffle; nothing is joined.  plain: s only, which is all that local
+    binary patterns look at.
     """
     up = lambda *keys: Window.partitionBy("img", *keys).orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
     v = F.col("v")
@@ -105,6 +106,14 @@ def integral_corners(planes: DataFrame, value: str) -> DataFrame:
     high = F.max("y").over(Window.partitionBy("img")) + 1
     p = planes.select("img", "y", "x", F.col(value).cast("long").alias("v")).repartition("img").select("*", size.alias("w"), high.alias("h"))
     row = Window.partitionBy("img", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("long")
+    if plain:
+        p = p.select("*", F.sum("v").over(row).alias("rs")).select("*", F.sum("rs").over(up("x")).alias("s"))
+        corner = lambda y, x, s=zero: F.struct(y.alias("y"), x.alias("x"), s.alias("s"))
+        below, right, none = F.col("y") + 1, F.col("x") + 1, F.array().cast("array<struct<y: bigint, x: bigint, s: bigint>>")
+        first = lambda k, *found: F.when(k, F.array(*found)).otherwise(none)
+        more = F.concat(F.array(corner(below, right, F.col("s"))), first(F.col("y") == 0, corner(zero, right)), first(F.col("x") == 0, corner(below, zero)), first((F.col("x") == 0) & (F.col("y") == 0), corner(zero, zero)))
+        return p.select("img", F.inline(more))
     p = p.select("*", F.sum("v").over(row).alias("rs"), F.sum(v * v).over(row).alias("rq"))
     p = p.select("*", F.sum("rs").over(up("x")).alias("s"), F.sum("rq").over(up("x")).alias("sq"))
     # pixels on the way up-left and up-right from a pixel, itself included
@@ -112,7 +121,6 @@ def integral_corners(planes: DataFrame, value: str) -> DataFrame:
     p = p.select("*", F.sum("v").over(diagonal(-1)).alias("ul"), F.sum("v").over(diagonal(1)).alias("ur"))
     edge = F.col("ul") + F.col("ur") - v
     # corners below and right of a pixel; corners of the first row and column are added beside the pixels that know them
-    zero = F.lit(0).cast("long")
     own = F.struct((F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), "s", "sq", edge.alias("e"))
     top = F.struct(zero.alias("y"), (F.col("x") + 1).alias("x"), zero.alias("s"), zero.alias("sq"), zero.alias("e"))
     left = F.struct((F.col("y") + 2).alias("y"), zero.alias("x"), zero.alias("s"), zero.alias("sq"), F.col("ur").alias("e"))
@@ -126,11 +134,13 @@ def windows(corners: DataFrame, w: int, h: int, step: int = 1) -> DataFrame:
     """img, y, x, s, t, norm: windows of w x h whose place is a multiple of `step`; s and t are the corners inside, row by row.
 
     norm is the root of area * squares - sum * sum inside a border of one, 1 where that is negative.
+    Plain corners give no t and no norm.
     """
-    rows = corners.groupBy("img", "y").agg(F.array_sort(F.collect_list(F.struct("x", "s", "sq", "t"))).alias("row"))
-    rows = rows.select("img", "y", *[F.col("row")[k].alias(k) for k in ("s", "sq", "t")])
+    sums = [k for k in ("s", "sq", "t") if k in corners.columns]
+    rows = corners.groupBy("img", "y").agg(F.array_sort(F.collect_list(F.struct("x", *sums))).alias("row"))
+    rows = rows.select("img", "y", *[F.col("row")[k].alias(k) for k in sums])
     down = Window.partitionBy("img").orderBy("y").rowsBetween(0, h)
-    rows = rows.select("img", "y", *[F.collect_list(k).over(down).alias(k) for k in ("s", "sq", "t")]).where((F.size("s") == h + 1) & (F.col("y") % step == 0))
+    rows = rows.select("img", "y", *[F.collect_list(k).over(down).alias(k) for k in sums]).where((F.size("s") == h + 1) & (F.col("y") % step == 0))
     cut = lambda k, x: F.flatten(F.transform(k, lambda r: F.slice(r, x + 1, w + 1)))
 
     def inner(k: str, x: Column) -> Column:
@@ -140,6 +150,8 @@ def windows(corners: DataFrame, w: int, h: int, step: int = 1) -> DataFrame:
     area = float((w - 2) * (h - 2))
     last = F.size(F.get("s", F.lit(0))) - 1 - w
     places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda x: (x % step == 0) & (x <= last))
+    if sums == ["s"]:
+        return rows.select("img", "y", F.inline(F.transform(places, lambda x: F.struct(x.cast("long").alias("x"), cut("s", x).alias("s")))))
     one = F.transform(places, lambda x: F.struct(x.cast("long").alias("x"), cut("s", x).alias("s"), cut("t", x).alias("t"), (inner("sq", x) * area - inner("s", x) * inner("s", x)).alias("q")))
     out = rows.select("img", "y", F.inline(one))
     return out.select("img", "y", "x", "s", "t", F.when(F.col("q") < 0, F.lit(1.0)).otherwise(F.sqrt("q")).alias("norm"))
@@ -213,9 +225,10 @@ def passing(found: DataFrame, kind: str, stages: list[DataFrame]) -> DataFrame:
             high = F.call_function("shiftright", word, code % 32).bitwiseAND(F.lit(1)) == 0
         return total + F.when(high, tree["high"]).otherwise(tree["low"])
 
+    names = [k for k in ("img", "y", "x", "s", "t", "norm") if k in found.columns]
     out = found.withColumn("here", F.lit(True))
     for rows in stages:
-        out = out.join(F.broadcast(rows), "here").where(F.aggregate("trees", F.lit(0.0), leaf) >= F.col("bound")).select("img", "y", "x", "s", "t", "norm", "here")
+        out = out.join(F.broadcast(rows), "here").where(F.aggregate("trees", F.lit(0.0), leaf) >= F.col("bound")).select(*names, "here")
     return out.drop("here")
 
 
@@ -226,7 +239,7 @@ def detected(planes: DataFrame, cascades: Cascades, model, value: str = "v", ste
     image that is smaller than the window has none; null pixels are not allowed.
     """
     info, stages = stage_rows(cascades, model, int16)
-    return passing(windows(integral_corners(planes, value), info["w"], info["h"], step), info["kind"], stages).select("img", "y", "x")
+    return passing(windows(integral_corners(planes, value, info["kind"] == "LBP"), info["w"], info["h"], step), info["kind"], stages).select("img", "y", "x")
 
 
 # -- scales and groups -----------------------------------------------------------------------------------------
@@ -279,9 +292,11 @@ def candidates(planes: DataFrame, cascades: Cascades, model, size: tuple[int, in
     small = resampled(planes, value, size, levels)
     # an image and a level are one key to the stages, which know images only
     small = small.select(F.struct("img", "lvl").alias("img"), "y", "x", "v")
-    found = windows(integral_corners(small, "v"), w, h)
+    found = windows(integral_corners(small, "v", info["kind"] == "LBP"), w, h)
     scale = F.element_at(F.array(*[F.lit(s) for s, _, _ in levels]), F.col("img.lvl") + 1)
     found = found.where((scale > 2) | ((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0)))
+    # the rows that pass are few and have no sums: only these meet the pixels of the region
+    found = passing(found, info["kind"], stages).select("img", "y", "x")
     if roi is not None:
         middle = lambda k, half: F.floor((F.col(k) + half) * scale).cast("long")
         found = found.withColumns({"my": middle("y", h // 2), "mx": middle("x", w // 2)})
@@ -289,4 +304,4 @@ def candidates(planes: DataFrame, cascades: Cascades, model, size: tuple[int, in
         found = found.join(inside, (found["img"]["img"] == inside["of"]) & (found["my"] == inside["ry"]) & (found["mx"] == inside["rx"]), "left_semi").drop("my", "mx")
     near = lambda v: F.floor(v * scale + 0.5).cast("long")
     x, y = F.col("x"), F.col("y")
-    return passing(found, info["kind"], stages).select(F.col("img.img").alias("img"), near(x).alias("l"), near(y).alias("t"), near(x + w).alias("r"), near(y + h).alias("b"))
+    return found.select(F.col("img.img").alias("img"), near(x).alias("l"), near(y).alias("t"), near(x + w).alias("r"), near(y + h).alias("b"))

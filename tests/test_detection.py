@@ -145,3 +145,16 @@ def test_groups_are_those_of_all_pairs(spark, least, differ):
 def test_a_text_is_parsed_once(spark):
     for name in TABLES:
         assert "from_xml" not in getattr(D.small(spark), name)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_of_binary_patterns_carry_plain_sums(spark):
+    planes = spark.createDataFrame([(1, y, x, (3 * x + y * y) % 7) for y in range(9) for x in range(10)], "img long, y long, x long, v long")
+    every, plain = K.integral_corners(planes, "v"), K.integral_corners(planes, "v", True)
+    assert rows(every.select("img", "y", "x", "s")) == rows(plain.select("img", "y", "x", "s"))
+    assert rows(K.windows(every, 8, 8).select("img", "y", "x", "s")) == rows(K.windows(plain, 8, 8)) and K.windows(plain, 8, 8).columns == ["img", "y", "x", "s"]
+
+
+def test_the_region_meets_rows_without_sums(spark):
+    plan = D.over_scales(spark, SF, "HAAR")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join LeftSemi")
+    assert join < plan.index("bound")
