@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +62,46 @@ def image_hashes(planes: DataFrame, value: str, size: tuple[int, int], main: int
     a task then resamples some hundred images at a time by two products with the
     taps.  Pixels that are absent or null count as 0, equal places add up.
     """
-    if main not in HASH_SIZES:
-        raise ValueError(f"{main} is none of {HASH_SIZES}")
-    (w, h), step = size, main // FAST
     kind = planes.schema["img"].dataType.simpleString()
+    w, h = size
     point = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias("v"))
     whole = planes.where(f"y between 0 and {h - 1} and x between 0 and {w - 1}").groupBy("img").agg(F.collect_list(point).alias("p"))
 
+    def dense(p: pa.ListArray) -> np.ndarray:
+        flat = p.flatten()
+        of = np.repeat(np.arange(len(p)), p.value_lengths().to_numpy(zero_copy_only=False))
+        y, x, v = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        return np.bincount((of * h + y) * w + x, np.nan_to_num(v), len(p) * h * w)
+
+    return _hashed(whole, kind, size, main, dense)
+
+
+def packed_image_hashes(planes: DataFrame, size: tuple[int, int], main: int = 16) -> DataFrame:
+    """image_hashes of rows img, data: an image's values in row order as an array of numbers.
+
+    The one shuffle carries arrays, no pixels.  Values that are absent or null
+    count as 0, those beyond the image go, rows of one image add up.
+    """
+    kind = planes.schema["img"].dataType.simpleString()
+    n = size[0] * size[1]
+    whole = planes.where("size(data) > 0").groupBy("img").agg(F.collect_list("data").alias("p"))
+
+    def dense(p: pa.ListArray) -> np.ndarray:
+        rows = p.flatten()
+        of, many = np.repeat(np.arange(len(p)), p.value_lengths().to_numpy(zero_copy_only=False)), rows.value_lengths().to_numpy(zero_copy_only=False)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        v, within = np.nan_to_num(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)), place < n
+        return np.bincount((np.repeat(of, many) * n + place)[within], v[within], len(p) * n)
+
+    return _hashed(whole, kind, size, main, dense)
+
+
+def _hashed(whole: DataFrame, kind: str, size: tuple[int, int], main: int, dense: Callable[[pa.ListArray], np.ndarray]) -> DataFrame:
+    """img, main, fast of (img, p); dense gives the pixels of some images, one image after another."""
+    if main not in HASH_SIZES:
+        raise ValueError(f"{main} is none of {HASH_SIZES}")
+    (w, h), step = size, main // FAST
+
     def taps(n: int) -> np.ndarray:
         out = np.zeros((main, n))
         for d, s, share in area_taps(n, main):
@@ -80,12 +113,8 @@ def image_hashes(planes: DataFrame, value: str, size: tuple[int, int], main: int
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
                 batch = whole.slice(k, 200)
-                n, p = batch.num_rows, batch.column("p")
-                flat = p.flatten()
-                of = np.repeat(np.arange(n), p.value_lengths().to_numpy(zero_copy_only=False))
-                y, x, v = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                dense = np.bincount((of * h + y) * w + x, np.nan_to_num(v), n * h * w).reshape(n, h, w)
-                cells = np.floor(np.round(down @ dense @ across, 6) + 0.5).astype(np.int32)
+                n = batch.num_rows
+                cells = np.floor(np.round(down @ dense(batch.column("p")).reshape(n, h, w) @ across, 6) + 0.5).astype(np.int32)
                 fast = (cells.reshape(n, FAST, step, FAST, step).sum((2, 4)) + step * step // 2) // (step * step)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(c.reshape(-1).astype(np.int32))) for c, m in ((cells, main * main), (fast, FAST * FAST))]
                 yield pa.record_batch([batch.column("img"), *lists], ["img", "main", "fast"])

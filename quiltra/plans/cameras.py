@@ -93,10 +93,10 @@ SIGN_W, SIGN_H = 8, 8
 
 
 def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img, y, x, v of all embeddings."""
-    v = F.floor(F.col("e").cast("double") * 120 + 128)
-    pixels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("i", "e"))
-    return pixels.select("img", F.expr(f"i div {SIGN_W}").alias("y"), F.expr(f"i % {SIGN_W}").alias("x"), F.least(F.greatest(v, F.lit(0)), F.lit(255)).alias("v"))
+    """img, data of all embeddings: pixels in row order.  NaN is above all numbers, as in SQL."""
+    v = lambda e: F.floor(F.nanvl(e.cast("double") * 120 + 128, F.lit(255.0)))
+    pixel = lambda e: F.least(F.greatest(v(e), F.lit(0)), F.lit(255)).cast("short")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.transform("embedding", pixel).alias("data"))
 
 
 _SIGN = f"""p AS (SELECT img, i // {SIGN_W} AS y, i % {SIGN_W} AS x, CAST(least(greatest(floor(e * 120 + 128), 0), 255) AS BIGINT) AS v FROM (SELECT vec_id AS img, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
@@ -111,10 +111,10 @@ f AS (SELECT img, y // {step} AS y, x // {step} AS x, (CAST(sum(v) AS BIGINT) +
 
 THRESHOLD = 0.07
 for _main in M.HASH_SIZES:
-    QUERIES[f"image_hash_{_main}"] = lambda s, d, n=_main: M.image_hashes(signs(s, d), "v", (SIGN_W, SIGN_H), n).select("img", F.array_join(F.col("main").cast("array<string>"), " ").alias("main"), F.array_join(F.col("fast").cast("array<string>"), " ").alias("fast"))
+    QUERIES[f"image_hash_{_main}"] = lambda s, d, n=_main: M.packed_image_hashes(signs(s, d), (SIGN_W, SIGN_H), n).select("img", F.array_join(F.col("main").cast("array<string>"), " ").alias("main"), F.array_join(F.col("fast").cast("array<string>"), " ").alias("fast"))
     SQL[f"image_hash_{_main}"] = f"WITH {_hash_sql(_main)}, a AS (SELECT img, string_agg(v, ' ' ORDER BY y, x) AS main FROM m GROUP BY img), b AS (SELECT img, string_agg(v, ' ' ORDER BY y, x) AS fast FROM f GROUP BY img) SELECT img, main, fast FROM a JOIN b USING (img)"
 for _name, _normal in (("similar_images", False), ("similar_images_normalized", True)):
-    QUERIES[_name] = lambda s, d, k=_normal: M.similar_images(M.image_hashes(signs(s, d), "v", (SIGN_W, SIGN_H)), THRESHOLD, k).select("a", "b", F.round("difference", 6).alias("difference"))
+    QUERIES[_name] = lambda s, d, k=_normal: M.similar_images(M.packed_image_hashes(signs(s, d), (SIGN_W, SIGN_H)), THRESHOLD, k).select("a", "b", F.round("difference", 6).alias("difference"))
     _side = int(THRESHOLD * 255)
     SQL[_name] = f"""WITH {_hash_sql(16)}, a AS (SELECT img, list(v ORDER BY y, x) AS main FROM m GROUP BY img), b AS (SELECT img, list(v ORDER BY y, x) AS fast FROM f GROUP BY img), h AS (SELECT img, main, fast FROM a JOIN b USING (img)),
 q AS (SELECT p.img AS a, q.img AS b, list_sum(list_transform(list_zip(p.fast, q.fast), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS fd, p.main AS pm, q.main AS qm FROM h p JOIN h q ON p.img < q.img),

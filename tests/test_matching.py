@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 
 from quiltra.operators import matching as M
@@ -104,3 +105,25 @@ def test_the_best_shift_sends_a_pixel_once(spark):
                 d = [abs(a - w[k, y + dy, x + dx]) for (k, y, x), a in v.items() if k == r.img and (k, y + dy, x + dx) in w]
                 every.append((sum(d) / len(d), dy, dx, sum(d), len(d)))
         assert tuple(r)[1:] == min(every)[1:]
+
+
+@pytest.mark.parametrize("main", M.HASH_SIZES)
+def test_packed_rows_give_the_hashes_of_pixels(spark, main):
+    rows = [(1, [200, 7, None] + [90] * 30), (1, [20]), (2, [250] * 480 + [99]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "img long, data array<short>").repartition(3)
+    got = {r.img: (r.main, r.fast) for r in M.packed_image_hashes(df, (W, H), main).collect()}
+    assert got == {1: hashed([220, 7, 0] + [90] * 30 + [0] * (W * H - 33), main), 2: hashed([250] * 480, main)}
+    with pytest.raises(ValueError, match="is none of"):
+        M.packed_image_hashes(df, (W, H), 20)
+
+
+@pytest.mark.parametrize("query", ["image_hash_32", "image_hash_64"])
+def test_hash_queries_shuffle_a_row_for_an_image(spark, tmp_path, query):
+    from quiltra.plans import cameras
+
+    rows = [(k, [float("nan"), None, float("inf")] + [(k * j % 9 - 4) / 3 for j in range(61)]) for k in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = cameras.QUERIES[query](spark, str(tmp_path))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = duckdb.sql(cameras.SQL[query].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) == 20
