@@ -52,7 +52,7 @@ def near_images(sigs: DataFrame, half: int, rms: float, grid: tuple[int, int]) -
 
 
 #: Sides of an image's main hash, side of its fast hash, and images of one bucket that one task holds on one side.
-HASH_SIZES, FAST, DEAL = (16, 32, 64), 4, 8192
+HASH_SIZES, FAST, DEAL = (16, 32, 64), 4, 32768
 
 
 def image_hashes(planes: DataFrame, value: str, size: tuple[int, int], main: int = 16) -> DataFrame:

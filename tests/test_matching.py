@@ -127,3 +127,8 @@ def test_hash_queries_shuffle_a_row_for_an_image(spark, tmp_path, query):
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     want = duckdb.sql(cameras.SQL[query].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) == 20
+
+
+def test_a_bucket_of_20000_images_is_sent_once_for_each_neighbour(spark):
+    """With deals of 8192 a bucket of 20,000 images had three deals, and each image three copies in its own bucket alone."""
+    assert -(-20_000 // M.DEAL) == 1
