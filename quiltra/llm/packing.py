@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import string
 import zlib
 from collections import defaultdict
@@ -31,7 +32,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Deals of one length; a length that a third of all pieces share goes to so many groups.
 BUCKETS = 1024
-#: Distinct words whose ids a task keeps.
+#: Words of one generation whose ids a worker keeps; it holds two.
 CACHE_WORDS = 200_000
 #: White space of str.split() that the tokenizer's own white-space rule may read otherwise,
 #: and the mark of special tokens, which lower-casing must not make.
@@ -39,6 +40,8 @@ ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 
 #: ASCII marks, which the tokenizer splits from letters before them.
 MARKS = string.punctuation
+#: Such marks at a word's end, after a letter; that of the Turkish capital I is a mark itself once it is lower-cased.
+AT_END = re.compile(rf"[{re.escape(MARKS)}](?<=[^\W\d_İ].)[{re.escape(MARKS)}]*+(?!\S)")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,9 +55,12 @@ class WordTokenizer:
 
     For a tokenizer that lower-cases, drops white space and never joins across
     it, a text's ids are those of its white-space separated words one after the
-    other.  The ids of words are kept for the life of the Python worker.  New
-    words without other characters than letters are encoded many at a time: the
-    word-end mark of the vocabulary says where each one's ids end.
+    other, and marks after a word's last letter are words of their own.  A worker
+    keeps the ids of words for its life, in two generations: a word that is met
+    again moves to the younger one, and the older one goes when that is full, so
+    frequent words are encoded once.  New words without other characters than
+    letters are encoded many at a time: the word-end mark of the vocabulary says
+    where each one's ids end.
     """
 
     kept: dict[str, "WordTokenizer"] = {}
@@ -63,7 +69,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.model, self.keep, self.known, self.before = Tokenizer.from_file(path), keep, {}, {}
         vocabulary = self.model.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -76,24 +82,12 @@ class WordTokenizer:
         return cls.kept[path]
 
     def learn(self, new: set[str]) -> None:
-        known, plain, cut, other = self.known, [], [], []
+        known, plain, other = self.known, [], []
         for w in new:
-            if w.isalpha():
-                plain.append(w)
-                continue
-            stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem[-1:].isalpha():  # marks after a letter are split off by the tokenizer itself
-                cut.append((w, stem, w[len(stem) :]))
-            else:
-                other.append(w)
-        more = {c[1] for c in cut} | {c[2] for c in cut}
-        more -= new
-        more -= known.keys()
-        for w in more:
             (plain if w.isalpha() else other).append(w)
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for i in range(0, len(plain), 200):
+            some = plain[i : i + 200]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some):  # letters that the tokenizer's own tables don't know as such
                 other += some
@@ -102,29 +96,34 @@ class WordTokenizer:
             known.update(zip(some, [raw[b:e] for b, e in zip([0, *ends], ends)]))
         for i in range(0, len(other), 2000):
             some = other[i : i + 2000]
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.model.encode_batch(some, add_special_tokens=False)))
-        for w, stem, marks in cut:
-            known[w] = known[stem] + known[marks]
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
-            self.known.clear()
-        get, found, new = self.known.get, [], set()
+            self.known, self.before = {}, self.known
+        known, get, before, found, new = self.known, self.known.get, self.before, [], set()
         for t in texts:
             if any(c in t for c in ODD):
                 found.append((None, np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), ()))
                 continue
             # A-Z are lower-cased by the tokenizer anyway; doing it here makes fewer different words
-            words = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split()
+            words = AT_END.sub(r" \g<0>", t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")).split()
             own = list(map(get, words))
-            open_ = [i for i, x in enumerate(own) if x is None]
-            new.update(words[i] for i in open_)
+            open_ = []
+            for i in [i for i, x in enumerate(own) if x is None]:
+                w = words[i]
+                x = before.get(w)
+                if x is None:
+                    new.add(w)
+                    open_.append(i)
+                else:
+                    own[i] = known[w] = x
             found.append((words, own, open_))
         self.learn(new)
         out = []
         for words, own, open_ in found:
             for i in open_:
-                own[i] = self.known[words[i]]
+                own[i] = known[words[i]]
             out.append(own if words is None else b"".join(own))
         return out
 

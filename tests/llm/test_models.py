@@ -317,3 +317,22 @@ def test_pipeline_stages_take_effect(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r.doc_id for r in packed} == set(before)
+
+
+def test_word_store_gives_the_tokenizers_ids_and_keeps_frequent_words():
+    import random
+
+    from tokenizers import Tokenizer
+
+    model, rng = Tokenizer.from_file(packing.tokenizer_path()), random.Random(5)
+    signs = ["a", "b", "s", "t", "é", "E", "İ", "ß", "ñ", "中", "²", "٣", "7", "_", "'", ".", ",", "!", "…", "«", "́", "̸", "ａ", "ǆ", "<", "|", ">", " ", " ", " ", "\n", " ", "\x85"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(1500)]
+    store = packing.WordTokenizer(packing.tokenizer_path(), 50)
+    got = [np.frombuffer(x, "<u4").tolist() for at in range(0, 1500, 60) for x in store.ids(texts[at : at + 60])]
+    assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    store, learnt = packing.WordTokenizer(packing.tokenizer_path(), 50), []
+    learn = store.learn
+    store.learn = lambda new: (learnt.extend(new), learn(new))
+    for k in range(20):  # the store is full again and again
+        store.ids(["often, " + " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(26)) + " often."])
+    assert learnt.count("often") == 1 and "often." not in learnt and len(store.known) + len(store.before) < 160
