@@ -42,6 +42,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes that a Python worker gets at once: Spark's own 10,000 rows are some 30 MB of text, held on both sides by every task.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python workers texts in batches of some MB; a smaller setting stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)) if key.endswith("BytesPerBatch") else int(now)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

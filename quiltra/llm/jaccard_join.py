@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import SENT_IDS, checkpointed, keyed, table, tasks, written
+from ._spark import SENT_IDS, checkpointed, keyed, small_batches, table, tasks, written
 from .components import components
 
 U = np.uint64
@@ -217,6 +217,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, doc_col: str = "doc_id", text_col: str = "text", scheme: PartEnum | None = None, rare_share: int | None = None):
         self.spark, self.shingle = docs.sparkSession, shingle
+        small_batches(self.spark)
         self.docs = keyed(docs, doc_col, text_col)
         self.scheme = scheme or PartEnum(num, den, slack=0.0 if num * 100 >= 88 * den else 0.04)
         if rare_share is None and num * 100 < 85 * den:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,20 @@ def test_quality_rules_edge_cases(spark):
 
 def test_line_dedup_query_matches_sql(spark):
     assert_same(spark, line_dedup.op6_line_dedup, line_dedup.SQL)
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Batches of 10,000 rows of text cost an executor more memory than the pipeline may use."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, spark_bytes = spark.conf.get(key), "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.set(key, "10000")
+        docs = spark.createDataFrame([(k, f"a b c d {k}") for k in range(3000)], "doc_id long, text string").coalesce(1)
+        jaccard_join.JaccardJoin(docs)
+        sizes = docs.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 3000
+        spark.conf.set(key, "7")
+        jaccard_join.JaccardJoin(docs)
+        assert spark.conf.get(key) == "7" and spark.conf.get(spark_bytes)
+    finally:
+        spark.conf.set(key, before)
