@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quiltra.llm import components as llm_components
 from quiltra.llm import jaccard_join, line_dedup, quality_rules, substring_dedup, suffix_dedup
 from quiltra.llm.components import components
 
@@ -166,6 +167,28 @@ def test_components_are_the_least_reachable_nodes(spark):
     assert got == {k: find(k) for e in edges if e[0] != e[1] for k in e}
 
 
+def test_components_of_many_blocks_and_few_jobs(spark, monkeypatch):
+    rng = random.Random(4)
+    # ends of the 64-bit range, a long path with mixed names, self loops and repeated edges
+    names = [rng.randrange(-(2**63), 2**63) for _ in range(150)]
+    edges = [*zip(names, names[1:]), (2**63 - 1, -(2**63)), (5, 5), (7, 8), (7, 8)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    up = {k: k for e in edges for k in e}
+    for _ in up:
+        for u, v in edges:
+            up[u] = up[v] = min(up[u], up[v])
+    want = {k: up[k] for e in edges if e[0] != e[1] for k in e}
+    for most in (llm_components.EDGES_PER_TASK, 20):
+        monkeypatch.setattr(llm_components, "EDGES_PER_TASK", most)
+        spark.sparkContext.setJobGroup(f"components-{most}", "")
+        got = components(spark.createDataFrame(edges, "u long, v long").repartition(3))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows = [(r.node, r.root) for r in got.collect()]
+        assert len(rows) == len(want) and dict(rows) == want
+        assert len(jobs) <= 8 or most == 20
+    assert components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
+
+
 def test_quality_rules_match_sql(spark):
     assert_same(spark, quality_rules.op5_quality_rules, quality_rules.SQL)
 
