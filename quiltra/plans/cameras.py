@@ -20,7 +20,7 @@ QUERIES: dict = {}
 SQL: dict = {}
 #: A camera has FRAMES frames of the events table, each of WIDTH x HEIGHT pixels and STEP_MS after the one before.
 FRAMES, WIDTH, HEIGHT, STEP_MS = 80, 96, 64, 100
-#: Tasks that draw frames.
+#: Tasks that draw frames, and that follow a table's cameras.
 PARTS = 96
 OPTIONS = MotionOptions(object_width=0.25, object_height=0.25)
 
@@ -28,7 +28,7 @@ OPTIONS = MotionOptions(object_width=0.25, object_height=0.25)
 @lru_cache(maxsize=303)
 def texture(shift: int, noise: int) -> np.ndarray:
     y, x = np.arange(HEIGHT)[:, None], np.arange(WIDTH)[None]
-    return ((x * 7 + y * 13 + shift) * 37 % 101 + 40 + (x + y + noise) % 3).astype(np.uint16)
+    return ((x * 7 + y * 13 + shift) * 37 % 101 + 40 + (x + y + noise) % 3).astype(np.uint8)
 
 
 def drawn(cam: int, frame: int, noise: int) -> np.ndarray:
@@ -38,10 +38,12 @@ def drawn(cam: int, frame: int, noise: int) -> np.ndarray:
         for k in range(1 + (cam % 3 == 0)):
             at_x, at_y = (cam * 11 % 20 + (frame - 15), cam * 7 % 40) if cam % 2 else (cam * 11 % 40 + 30 * k, (frame - 15) * 3 // 4)
             at_y = at_y if cam % 2 == 0 or k == 0 else (at_y + 32) % 44
-            plane[at_y : at_y + 20, at_x : at_x + 28] += 110
+            box = plane[at_y : at_y + 20, at_x : at_x + 28]
+            np.minimum(box, 145, out=box)
+            box += 110
     if cam % 7 == 0 and frame >= 66:
         plane = 255 - plane // 2
-    return np.minimum(plane, 255).astype(np.uint8)
+    return plane
 
 
 def camera_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +67,6 @@ def with_planes(events: DataFrame) -> DataFrame:
     return events.mapInArrow(run, "cam long, ts timestamp, w int, h int, data binary")
 
 
-def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cam, ts, w, h, data: a frame for each event, dealt out before it is drawn."""
-    return with_planes(camera_events(spark, sf_dir).repartition(PARTS))
-
-
 def _told(rows: DataFrame) -> DataFrame:
     """Times as milliseconds after the first frame."""
     return rows.select("cam", (F.unix_millis("ts") - 1_700_000_000_000).alias("ms"), "kind", "id", "l", "t", "r", "b", "x", "y", "n_places")
@@ -82,8 +79,12 @@ def motion_detector(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataF
 
 
 def motion_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same frames as one table; cameras that stay silent at the end keep their objects, as no timer comes."""
-    return _told(motion(camera_frames(spark, sf_dir), OPTIONS))
+    """The same frames as one table; cameras that stay silent at the end keep their objects, as no timer comes.
+
+    Events meet on their camera before frames are drawn from them, so no frame is shuffled or sorted.
+    """
+    events = camera_events(spark, sf_dir).repartition(PARTS, "cam").sortWithinPartitions("cam", "ts")
+    return _told(motion(with_planes(events), OPTIONS, ordered=True))
 
 
 # -- images by their hashes --------------------------------------------------------------------------------------

@@ -17,8 +17,8 @@ its next frame if that comes first; both give the same row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -96,32 +96,42 @@ def halved(plane: np.ndarray) -> np.ndarray:
 def smoothed(plane: np.ndarray) -> np.ndarray:
     """Half the size by taps 1 3 3 1 in both directions, rounded, edges repeated; of one plane or of many in front of each other."""
     h, w = plane.shape[-2:]
-    p = np.empty((*plane.shape[:-2], h + 3 + h % 2, w + 3 + w % 2), np.uint16)  # 64 * 255 + 32 at most
-    p[..., 1 : h + 1, 1 : w + 1], p[..., 1 : h + 1, :1], p[..., 1 : h + 1, w + 1 :] = plane, plane[..., :1], plane[..., -1:]
-    p[..., :1, :], p[..., h + 1 :, :] = p[..., 1:2, :], p[..., h : h + 1, :]
-    n, m = (h + 1) >> 1, (w + 1) >> 1
-    rows = p[..., 1 : 2 * n + 1 : 2, :] + p[..., 2 : 2 * n + 2 : 2, :]
+    if h % 2 or w % 2:
+        plane = np.pad(plane, [(0, 0)] * (plane.ndim - 2) + [(0, h % 2), (0, w % 2)], "edge")
+    pairs = np.ascontiguousarray(plane).view("<u2")  # two neighbours of a row; 64 * 255 + 32 at most
+    even, odd = pairs & 255, pairs >> 8
+    rows = even + odd
     rows *= 3
-    rows += p[..., 0 : 2 * n : 2, :]
-    rows += p[..., 3 : 2 * n + 3 : 2, :]
-    out = rows[..., 1 : 2 * m + 1 : 2] + rows[..., 2 : 2 * m + 2 : 2]
+    rows[..., 1:] += odd[..., :-1]
+    rows[..., :1] += even[..., :1]
+    rows[..., :-1] += even[..., 1:]
+    rows[..., -1:] += odd[..., -1:]
+    even, odd = rows[..., ::2, :], rows[..., 1::2, :]
+    out = even + odd
     out *= 3
-    out += rows[..., 0 : 2 * m : 2]
-    out += rows[..., 3 : 2 * m + 3 : 2]
+    out[..., 1:, :] += odd[..., :-1, :]
+    out[..., :1, :] += even[..., :1, :]
+    out[..., :-1, :] += even[..., 1:, :]
+    out[..., -1:, :] += odd[..., -1:, :]
     out += 32
-    return (out >> 6).astype(np.uint8)
-
-
-def gradients(plane: np.ndarray, saturation: int, boost: int) -> tuple[np.ndarray, np.ndarray]:
-    """Saturated central differences in x and y, lifted to positive numbers; 0 on the frame."""
-    v = plane.astype(np.int16)
-    out = np.zeros((2, *plane.shape), np.uint8)
-    for k, apart in enumerate((v[..., 1:-1, 2:] - v[..., 1:-1, :-2], v[..., 2:, 1:-1] - v[..., :-2, 1:-1])):
-        np.minimum(apart, saturation, out=apart)
-        np.maximum(apart, -saturation, out=apart)
-        apart += saturation
-        apart *= boost
-        out[k, ..., 1:-1, 1:-1] = apart
+    out >>= 6
+    return out.astype(np.uint8)
+
+
+def gradients(planes: np.ndarray, saturation: int, boost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Saturated central differences in x and y, lifted to positive numbers; 0 on the frame.  Of planes that lie one after another."""
+    v = planes.reshape(-1)
+    out = np.zeros((2, *planes.shape), np.uint8)
+    for k, step in enumerate((1, planes.shape[-1])):
+        before, after = v[: -2 * step], v[2 * step :]
+        if len(after):
+            top, limit = np.maximum(before, after), np.full(len(after), saturation, np.uint8)  # the least of two arrays is found faster than that of an array and a number
+            apart = np.minimum(top - before, limit)
+            apart += saturation
+            apart -= np.minimum(top - after, limit)
+            apart *= boost
+            out[k].reshape(-1)[step : len(v) - step] = apart
+    out[..., :1, :], out[..., -1:, :], out[..., :1], out[..., -1:] = 0, 0, 0, 0
     return out[0], out[1]
 
 
@@ -156,15 +166,29 @@ class Background:
         self.planes = np.stack([values, values, np.zeros_like(values), np.zeros_like(values)])
         self.grow_end, self.state, self.updates, self.stat, self.update = now + o.grow_time, GROW, 0, 0.0, 0.0
 
-    def away(self, values: np.ndarray) -> np.ndarray | None:
-        """How far values lie outside their ranges; None where all lie inside."""
+    def apart(self, values: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far values lie below and above their ranges, the larger of both in `away`."""
         lo, hi = self.planes[:2]
-        out = values - np.minimum(values, hi)
-        np.maximum(out, np.maximum(values, lo) - values, out=out)
-        return out if out.any() else None
-
-    def take(self, values: np.ndarray, now: float, o: MotionOptions, inside: bool = False) -> None:
-        """The background takes a frame in; `inside` tells that no value lies outside its range."""
+        below, above = np.maximum(values, lo), np.minimum(values, hi)
+        below -= values
+        np.subtract(values, above, out=above)
+        np.maximum(below, above, out=away)
+        return below, above
+
+    def follow(self, values: np.ndarray, times: Sequence[float], o: MotionOptions, away: np.ndarray) -> list[int]:
+        """The background takes frames in, none of which changes `unstable`; how far each was away, and the state before it."""
+        states = []
+        for v, now, a in zip(values, times, away):
+            states.append(self.state)
+            if self.state == INIT:
+                a[:], apart = 0, None
+            else:
+                apart = self.apart(v, a)
+            self.take(v, now, o, apart)
+        return states
+
+    def take(self, values: np.ndarray, now: float, o: MotionOptions, apart: tuple[np.ndarray, np.ndarray] | None) -> None:
+        """The background takes a frame in, which lies `apart` from its ranges."""
         lo, hi, below, above = self.planes
         updating = self.state == UPDATE
         if self.state == INIT or self.state == GROW and self.unstable:
@@ -182,9 +206,8 @@ class Background:
             self.stat += now - self.last
             self.update += now - self.last
             if self.stat > o.stat_time:
-                if not inside:
-                    below += (values < lo) & (below < 255)
-                    above += (values > hi) & (above < 255)
+                below += (apart[0] > 0).view(np.uint8)  # 127 at most
+                above += (apart[1] > 0).view(np.uint8)
                 self.stat, self.updates = 0.0, self.updates + 1
                 if self.updates >= 127 or self.update > o.update_time and self.updates >= 8:
                     for bound, count, out in ((lo, below, -1), (hi, above, 1)):
@@ -220,79 +243,174 @@ def holds(rect, x: int, y: int) -> bool:
     return rect[0] <= x < rect[2] and rect[1] <= y < rect[3]
 
 
-def shrunk(mask: np.ndarray, rect, index: int):
-    """The tight box of index inside rect with a border of one, or None."""
-    l, t, r, b = rect
-    at = mask[t:b, l:r] == index
-    rows, columns = np.flatnonzero(at.any(1)), np.flatnonzero(at.any(0))
-    if not len(rows):
-        return None
-    return l + int(columns[0]) - 1, t + int(rows[0]) - 1, l + int(columns[-1]) + 2, t + int(rows[-1]) + 2
-
-
 def clipped(rect, shape, border: int):
     return max(rect[0], border), max(rect[1], border), min(rect[2], shape[1] - border), min(rect[3], shape[0] - border)
 
 
-def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionOptions) -> tuple[list[tuple], int]:
-    """Boxes of moving regions at the finest level, and how many of its pixels they hold."""
+def grown(seeds: np.ndarray, free: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """Frame and cells of each seed, in order, with all free cells that it reaches; cells are taken once.  A seed need not be free."""
+    wide = free.shape[2]
+    for f in np.flatnonzero(seeds.any((1, 2))).tolist():
+        open_, taken = free[f].ravel().tolist(), [False] * free[f].size
+        for seed in np.flatnonzero(seeds[f]).tolist():
+            if taken[seed]:
+                continue
+            stack, cells = [seed], []
+            taken[seed] = True
+            while stack:
+                at = stack.pop()
+                cells.append(at)
+                for a in (at - 1, at - wide, at + 1, at + wide):
+                    if open_[a] and not taken[a]:
+                        taken[a] = True
+                        stack.append(a)
+            yield f, cells
+
+
+def pools(seeds: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label of each cell (0: none), frame and box (l, t, r, b) of each label: connected free cells with a seed, in the order of first seeds.
+
+    Cells of the planes' borders are neither seeds nor free.  Rows are cut into runs, and runs that touch are joined.
+    """
+    shape, wide = free.shape, free.shape[2]
+    labels = np.zeros(free.size, np.int32)
+    if (seeds & ~free).any():
+        where = [(f, np.array(cells)) for f, cells in grown(seeds, free)]
+        boxes = np.array([(c.min(), r.min(), c.max() + 1, r.max() + 1) for _, cells in where for r, c in [np.divmod(cells, wide)]])
+        for k, (f, cells) in enumerate(where, 1):
+            labels[f * shape[1] * wide + cells] = k
+        return labels.reshape(shape), np.array([f for f, _ in where]), boxes
+    v = free.ravel()
+    edge = np.flatnonzero(v[1:] != v[:-1]) + 1
+    begin, end = edge[::2], edge[1::2]
+    run = np.repeat(np.arange(len(begin), dtype=np.int32), end - begin)
+    cells = np.flatnonzero(v)
+    labels[cells] = run
+    below = v[wide:] & v[:-wide]
+    first = np.flatnonzero(below[1:] & ~below[:-1]) + 1
+    root = list(range(len(begin)))
+    for a, b in zip(labels[first].tolist(), labels[first + wide].tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    for k, r in enumerate(root):  # a root is the least of its runs
+        root[k] = root[r]
+    root = np.array(root, np.int32)
+    own, at = np.unique(root[labels[np.flatnonzero(seeds)]], return_index=True)
+    own = own[np.argsort(at)]
+    number = np.zeros(len(root), np.int32)
+    number[own] = np.arange(1, len(own) + 1)
+    number = number[root]
+    labels[cells] = number[run]
+    rows, columns = np.divmod(begin, wide)
+    boxes = np.tile(np.array([wide, shape[1], 0, 0]), (len(own) + 1, 1))
+    for k, values in enumerate((columns, rows % shape[1], columns + end - begin, rows % shape[1] + 1)):
+        (np.minimum if k < 2 else np.maximum).at(boxes[:, k], number, values)
+    return labels.reshape(shape), begin[own] // (shape[1] * wide), boxes[1:]
+
+
+def between(first: np.ndarray, end: np.ndarray, begin: int, stop: int) -> np.ndarray:
+    """For each frame, which of begin..stop lie in first..end."""
+    at = np.arange(begin, stop)
+    return (at >= first[:, None]) & (at < end[:, None])
+
+
+def parts(boxes: np.ndarray, pixels: int) -> list[slice]:
+    """All boxes together, or each for itself where a window that holds them all has 100,000 pixels more than they have; a cell of a box is so many pixels."""
+    (l, t), (r, b) = boxes[:, :2].min(0).tolist(), boxes[:, 2:].max(0).tolist()
+    more = (r - l) * (b - t) - np.mean((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]))
+    return [slice(0, len(boxes))] if more * pixels < 100_000 else [slice(k, k + 1) for k in range(len(boxes))]
+
+
+def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionOptions) -> tuple[list[list[tuple]], list[int]]:
+    """Boxes of moving regions of each frame at the finest level, and how many of its pixels they hold; levels are planes of many frames.
+
+    The frames' first regions go down the levels together, then their second ones, and so on, unless they lie far apart.
+    """
     create, expand = int(255 * o.create), int(255 * o.expand * o.create)
-    top = len(difference) - 1
-    d = difference[top]
-    wide = d.shape[1]
-    inner = np.zeros(d.shape, bool)
-    inner[1:-1, 1:-1] = True
-    seeds = np.flatnonzero((d > create) & inner & (roi > 0)).tolist()
-    if not seeds:
-        return [], 0
+    top, n = len(difference) - 1, len(difference[0])
+    inner = np.zeros(difference[top].shape, bool)
+    inner[:, 1:-1, 1:-1] = (roi > 0)[1:-1, 1:-1]
+    seeds = (difference[top] > create) & inner
+    inner[:, 1:-1, 1:-1] = True
+    found, covered = [[] for _ in range(n)], [0] * n
+    if not seeds.any():
+        return found, covered
+    labels, of, boxes = pools(seeds, (difference[top] > expand) & inner)
+    large = np.flatnonzero((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) > area)
+    per = [[] for _ in range(n)]
+    for k, f in zip(large.tolist(), of[large].tolist()):
+        per[f].append(k)
+    order = sorted((f for f in range(n) if per[f]), key=lambda f: -len(per[f]))
+    if not order:
+        return found, covered
+    if top == 0:
+        sizes = np.bincount(labels.ravel(), minlength=len(boxes) + 1).tolist()
+        for f in order:
+            found[f], covered[f] = [tuple(boxes[k].tolist()) for k in per[f]], sum(sizes[k + 1] for k in per[f])
+        return found, covered
     # 2: not to be taken, 3 and more: regions
-    masks = [np.zeros(d.shape, np.int32) for d in difference]
-    mask = masks[top]
-    mask[~inner] = 2
-    free = ((d > expand) & inner).ravel().tolist()
-    found = []
-    taken = [False] * d.size
-    for seed in seeds:
-        if taken[seed]:
-            continue
-        index, stack, cells = len(found) + 3, [seed], []
-        taken[seed] = True
-        while stack:
-            at = stack.pop()
-            cells.append(at)
-            for a in (at - 1, at - wide, at + 1, at + wide):
-                if free[a] and not taken[a]:
-                    taken[a] = True
-                    stack.append(a)
-        at = np.array(cells)
-        rows, columns = at // wide, at % wide
-        l, t, r, b = int(columns.min()), int(rows.min()), int(columns.max()) + 1, int(rows.max()) + 1
-        mask.flat[at] = index
-        if (r - l) * (b - t) <= area:
-            mask.flat[at] = 2
-            continue
-        rect, above = (l, t, r, b), []
+    most = len(per[order[0]])
+    kind = np.uint8 if most + 3 < 256 else np.int32
+    labels = labels[order]
+    masks = [np.zeros((len(order), *d.shape[1:]), kind) for d in difference[:top]]
+    strong = [d[order] > expand for d in difference[:top]]
+    turns = [[per[f][turn] for f in order if len(per[f]) > turn] for turn in range(most)]
+    for part, of in ((part, np.array(of[part])) for of in turns for part in parts(boxes[of], 4**top)):
+        index = np.array([len(found[f]) + 3 for f in order[part]], kind)[:, None, None]
+        rect, alive, above = boxes[of], np.ones(len(of), bool), []
         for level in range(top, 0, -1):
             above.append((level, rect))
-            l, t, r, b = rect
-            parent, child = masks[level][t : b + 1, l : r + 1] == index, masks[level - 1][2 * t + 1 : 2 * b + 1, 2 * l + 1 : 2 * r + 1]
-            corners = parent[:-1, :-1].astype(np.int8) + parent[:-1, 1:] + parent[1:, :-1] + parent[1:, 1:]
-            corners = corners.repeat(2, 0).repeat(2, 1)
-            strong = difference[level - 1][2 * t + 1 : 2 * b + 1, 2 * l + 1 : 2 * r + 1] > expand
-            new = np.where((corners == 4) | (corners > 0) & strong, index, 0)
-            child[:] = np.where(child < 2, new, child)
-            shape = masks[level - 1].shape
-            rect = shrunk(masks[level - 1], clipped((2 * l - 2, 2 * t - 2, 2 * r + 2, 2 * b + 2), shape, 1), index)
-            if rect is None:
+            l, t, r, b = rect.T
+            # a window that holds all frames' rectangles
+            (l0, t0), (r1, b1) = rect[alive, :2].min(0).tolist(), rect[alive, 2:].max(0).tolist()
+            upper = (part, slice(t0, b1 + 1), slice(l0, r1 + 1))
+            parent = labels[upper] == of[:, None, None] + 1 if level == top else masks[level][upper] == index
+            pair, either = parent[..., :-1] & parent[..., 1:], parent[..., :-1] | parent[..., 1:]
+            corners = (pair[:, :-1] & pair[:, 1:]).view(np.uint8) + (either[:, :-1] | either[:, 1:]).view(np.uint8)  # 0: none, 1: some, 2: all
+            corners *= between(t, b, t0, b1)[:, :, None]
+            corners *= between(l, r, l0, r1)[:, None]
+            lower = (part, slice(2 * t0 + 1, 2 * b1 + 1), slice(2 * l0 + 1, 2 * r1 + 1))
+            child = masks[level - 1][lower]
+            new = (corners.repeat(2, 2).repeat(2, 1) + strong[level - 1][lower] > 1) & (child == 0)
+            child += new * index
+            h, w = shape = masks[level - 1].shape[1:]
+            l, t = np.maximum(2 * l - 2, 1), np.maximum(2 * t - 2, 1)
+            r, b = np.minimum(2 * r + 2, w - 1), np.minimum(2 * b + 2, h - 1)
+            l0, t0, r1, b1 = clipped((2 * l0 - 2, 2 * t0 - 2, 2 * r1 + 2, 2 * b1 + 2), shape, 1)
+            at = masks[level - 1][part, t0:b1, l0:r1] == index
+            at &= between(t, b, t0, b1)[:, :, None]
+            at &= between(l, r, l0, r1)[:, None]
+            rows, columns = at.any(2), at.any(1)
+            # the tight box with a border of one
+            rect = np.stack([columns.argmax(1) + l0 - 1, rows.argmax(1) + t0 - 1, r1 + 1 - columns[:, ::-1].argmax(1), b1 + 1 - rows[:, ::-1].argmax(1)], 1)
+            rect = np.concatenate([np.maximum(rect[:, :2], 1), np.minimum(rect[:, 2:], [w - 1, h - 1])], 1)
+            for k in np.flatnonzero(alive & ~rows.any(1)).tolist():
+                alive[k] = False
+                for high, boxed in above[1:]:
+                    l, t, r, b = boxed[k].tolist()
+                    lost = masks[high][part.start + k, t:b, l:r]
+                    lost[lost == index[k]] = 2
+            rect[~alive] = 0
+            if not alive.any():
                 break
-            rect = clipped(rect, shape, 1)
-        if rect is None:
-            for level, (l, t, r, b) in above:
-                part = masks[level][t:b, l:r]
-                part[part == index] = 2
-        else:
-            found.append(rect)
-    return found, int(np.count_nonzero(masks[0] >= 3))
+        for k in np.flatnonzero(alive).tolist():
+            found[order[part.start + k]].append(tuple(rect[k].tolist()))
+    for k, f in enumerate(order):
+        covered[f] = int(np.count_nonzero(masks[0][k] >= 3))
+    return found, covered
+
+
+#: Frames and samples that are taken at once.
+AT_ONCE = 80
+SAMPLES = 8_000_000
+
+
+def keep_memory() -> None:
+    """Lets the process keep freed arrays of up to 16 MB: glibc holds what it has seen freed once, else every array of a batch is paged in anew."""
+    np.empty(1 << 24, np.uint8)
 
 
 class Scene:
@@ -308,11 +426,11 @@ class Scene:
         self.roi = [inside(o.roi, self.layout.sizes[0])]
         while len(self.roi) < len(self.layout.sizes):
             self.roi.append(smoothed(self.roi[-1]))
+        self.whole = all((r == 255).all() for r in self.roi)
         h, w = self.layout.sizes[0]
         self.far = int((h * h + w * w) * o.shift_min * o.shift_min)
-        self.whole = all((r == 255).all() for r in self.roi)
-        away = np.arange(256, dtype=np.int64)
-        self.weighted = [np.minimum(away * away * (k * 256) >> 16, 255).astype(np.uint16) for k in o.weights]
+        self.at_once = max(1, min(AT_ONCE, SAMPLES // max(3 * int(self.cuts[-1]), 1)))
+        self.ahead = self.at_once
 
     def values(self, planes: np.ndarray) -> np.ndarray:
         """Samples of each of many planes: features, then levels, one after another."""
@@ -326,13 +444,20 @@ class Scene:
         return np.concatenate([p.reshape(len(planes), -1) for p in (*pyramid, *(g[0] for g in grads), *(g[1] for g in grads))], 1)
 
     def difference(self, away: np.ndarray) -> list[np.ndarray]:
+        """Weighted squares of how far frames are away, each level with what the finer one hands up."""
         n = int(self.cuts[-1])
-        total = sum(table[away[k * n : (k + 1) * n]] for k, table in enumerate(self.weighted))
-        total = np.minimum(total, 255).astype(np.uint8)
-        out = [total[a:b].reshape(size) for a, b, size in zip(self.cuts, self.cuts[1:], self.layout.sizes)]
+        total = np.zeros((len(away), n), np.uint16 if max(self.o.weights) < 256 else np.uint32)
+        for k, weight in enumerate(self.o.weights):
+            if weight:
+                square = np.square(away[:, k * n : (k + 1) * n], dtype=np.uint16 if weight < 256 else np.uint32)
+                np.minimum(square, np.full(n, -(-255 * 256 // weight), square.dtype), out=square)  # from here on it is 255 or more
+                square *= weight
+                square >>= 8
+                total += square
+        total = np.minimum(total, np.full(n, 255, total.dtype)).astype(np.uint8)
+        out = [total[:, a:b].reshape(-1, *size) for a, b, size in zip(self.cuts, self.cuts[1:], self.layout.sizes)]
         for k in range(1, len(out)) if self.o.forward else ():
-            if out[k - 1].any():
-                out[k] = np.maximum(out[k], smoothed(out[k - 1]))
+            out[k] = np.maximum(out[k], smoothed(out[k - 1]))
         return out if self.whole else [d & m for d, m in zip(out, self.roi)]
 
     def expire(self, now: float) -> list[tuple]:
@@ -340,9 +465,9 @@ class Scene:
         gone, self.objects = [x for x in self.objects if x.number >= 0], []
         return [self.row("out", now, x) for x in gone]
 
-    def silent(self, now: float) -> list[tuple]:
-        """What a camera that has sent nothing for long has lost by `now`."""
-        end = self.back.last + self.o.remove_time
+    def silent(self, now: float, last: float) -> list[tuple]:
+        """What a camera that has sent nothing since `last` has lost by `now`."""
+        end = last + self.o.remove_time
         return self.expire(end) if self.objects and end <= now else []
 
     def row(self, kind: str, now: float, x: Tracked | None = None) -> tuple:
@@ -353,20 +478,45 @@ class Scene:
         last = x.places[-1]
         return kind, now, x.number, *rect, last[1] * size, last[2] * size, len(x.places)
 
-    def next(self, values: np.ndarray, now: float) -> list[tuple]:
-        """Rows of one frame, given by its samples: what comes and goes, then every object that moves."""
-        begun = self.back.state != INIT
-        out = self.silent(now) if begun else []
-        away = self.back.away(values) if begun else None
-        found, covered = regions(self.difference(away), self.roi[-1], self.layout.area, self.o) if away is not None else ([], 0)
-        if begun:
-            h, w = self.layout.sizes[0]
-            unstable = covered >= h * w * self.o.stable_area
-            if unstable != self.back.unstable:
-                out.append(self.row("sabotage on" if unstable else "sabotage off", now))
-            self.back.unstable = unstable
-        left = []
-        if self.back.state == UPDATE:
+    def frames(self, values: np.ndarray, times: list[float]) -> list[tuple]:
+        """Rows of frames, given by their samples.
+
+        The background goes ahead as if no frame made the scene stable or unstable; where one does, it goes back and
+        comes again up to that frame.  So differences and regions of many frames are found at once.
+        """
+        out, k = [], 0
+        h, w = self.layout.sizes[0]
+        while k < len(times):
+            end = min(k + self.ahead, len(times))
+            before, last, was = replace(self.back, planes=self.back.planes.copy()), self.back.last, self.back.unstable
+            away = np.empty((end - k, values.shape[1]), np.uint8)
+            states = self.back.follow(values[k:end], times[k:end], self.o, away)
+            found, covered = [[] for _ in states], [0] * len(states)
+            moved = np.flatnonzero(away.max(1, initial=0))
+            if len(moved):
+                for at, boxes, pixels in zip(moved.tolist(), *regions(self.difference(away if len(moved) == len(away) else away[moved]), self.roi[-1], self.layout.area, self.o)):
+                    found[at], covered[at] = boxes, pixels
+            unstable = [pixels >= h * w * self.o.stable_area if state != INIT else was for state, pixels in zip(states, covered)]
+            turn = next((j for j, u in enumerate(unstable) if u != was), None)
+            if turn is None:
+                self.ahead = min(2 * self.ahead, self.at_once)
+            else:
+                self.back, end, self.ahead = before, k + turn + 1, max(self.ahead // 4, 1)
+                self.back.follow(values[k : end - 1], times[k : end - 1], self.o, away)
+                self.back.unstable = unstable[turn]
+                self.back.follow(values[end - 1 : end], times[end - 1 : end], self.o, away)
+            for state, boxes, now, u in zip(states, found, times[k:end], unstable):
+                out += self.next(state, boxes, now, last, "" if u == was else "sabotage on" if u else "sabotage off")
+                last = now
+            k = end
+        return out
+
+    def next(self, state: int, found: list[tuple], now: float, last: float, turn: str) -> list[tuple]:
+        """Rows of one frame, given by its regions: what comes and goes, then every object that moves."""
+        out = self.silent(now, last) if state != INIT else []
+        if turn:
+            out.append(self.row(turn, now))
+        if state == UPDATE:
             left = self.track(found, now)
         else:
             left, self.objects = self.objects, []
@@ -377,7 +527,6 @@ class Scene:
             if not moved and now - x.start >= self.o.time_min and (px - x.start_x) ** 2 + (py - x.start_y) ** 2 >= self.far:
                 x.number, self.numbers = self.numbers, self.numbers + 1
                 out.append(self.row("in", now, x))
-        self.back.take(values, now, self.o, begun and away is None)
         return out + [self.row("object", now, x) for x in (*self.objects, *left) if x.number >= 0]
 
     def track(self, found: list[tuple], now: float) -> list[Tracked]:
@@ -414,30 +563,32 @@ class Scene:
         return rect[0] - border, rect[1] - border, rect[2] + border, rect[3] + border
 
 
-#: Frames whose samples are taken at once.
-AT_ONCE = 32
-
-
-def through(s: Scene | None, options: MotionOptions, frames: Iterable[tuple]) -> tuple[Scene | None, list[tuple]]:
-    """A camera after frames (microseconds, w, h, scaled_w, scaled_h, compressed data) in order of time, and their rows."""
+def through(s: Scene | None, options: MotionOptions, frames: Iterable[tuple], packed: bool = True) -> tuple[Scene | None, list[tuple]]:
+    """A camera after frames (microseconds, w, h, scaled_w, scaled_h, data, compressed if `packed`) in order of time, and their rows."""
     out, frames, k = [], list(frames), 0
     while k < len(frames):
         _, w, h, sw, sh, _ = size = frames[k]
-        end = k + 1
-        while end < len(frames) and end - k < AT_ONCE and frames[end][1:5] == size[1:5]:
-            end += 1
-        planes = np.frombuffer(b"".join(pa.decompress(f[5], sw * sh, "lz4_raw", asbytes=True) if sw * sh else b"" for f in frames[k:end]), np.uint8).reshape(end - k, sh, sw)
-        fresh = s is None or (s.width, s.height) != (w, h)
-        if fresh:
+        if s is None or (s.width, s.height) != (w, h):
             out += s.expire(frames[k][0] / 1e6) if s else []
             numbers = s.numbers if s else 0
             s = Scene(int(w), int(h), options)
             s.numbers = numbers
-        for (ts, *_), values in zip(frames[k:end], s.values(planes)):
-            now = ts / 1e6
-            if fresh or now > s.back.last:  # not a frame that is not newer than the camera's last one
-                out += s.next(values, now)
-            fresh = False
+            last = -math.inf
+        else:
+            last = s.back.last
+        end, times, data = k, [], []
+        while end < len(frames) and len(times) < s.at_once and frames[end][1:5] == size[1:5]:
+            now = frames[end][0] / 1e6
+            if now > last:  # not a frame that is not newer than the camera's last one
+                times.append(now)
+                data.append(frames[end][5])
+                last = now
+            end += 1
+        if times:
+            if packed and sw * sh:
+                data = [pa.decompress(d, sw * sh, "lz4_raw", asbytes=True) for d in data]
+            planes = np.frombuffer(b"".join(data) if sw * sh else b"", np.uint8).reshape(len(times), sh, sw)
+            out += s.frames(s.values(planes), times)
         k = end
     return s, out
 
@@ -460,6 +611,7 @@ class MotionProcessor(StatefulProcessor):
         self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        keep_memory()
         self.handle = handle
         self.scene = handle.getValueState("scene", SCENE)
         self.objects = handle.getListState("objects", OBJECT)
@@ -509,12 +661,22 @@ class MotionProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self._load()
-        out = s.silent(expiredTimerInfo.getExpiryTimeInMs() / 1000) if s else []
+        out = s.silent(expiredTimerInfo.getExpiryTimeInMs() / 1000, s.back.last) if s else []
         if out:
             self._save(s)
             yield self._frame(int(key[0]), out)
 
 
+def scaled(w: int, h: int, data: bytes, times: int) -> tuple[int, int, bytes]:
+    """A frame at half the size so many times: width, height, pixels."""
+    if times == 0:
+        return w, h, data
+    plane = np.frombuffer(data, np.uint8).reshape(h, w)
+    for _ in range(times):
+        plane = halved(plane)
+    return plane.shape[1], plane.shape[0], plane.tobytes()
+
+
 def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
     """cam, ts, w, h, scaled_w, scaled_h, data: frames at the size that detection starts from, compressed, so that the shuffle and its sort hold a fifth or less; no shuffle."""
 
@@ -522,10 +684,8 @@ def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
         for batch in batches:
             rows = []
             for w, h, data in zip(batch.column("w").to_pylist(), batch.column("h").to_pylist(), batch.column("data").to_pylist()):
-                plane = np.frombuffer(data, np.uint8).reshape(h, w)
-                for _ in range(Layout.of(w, h, options).scaled):
-                    plane = halved(plane)
-                rows.append((plane.shape[1], plane.shape[0], pa.compress(plane.tobytes(), "lz4_raw", asbytes=True) if plane.size else b""))
+                sw, sh, data = scaled(w, h, data, Layout.of(w, h, options).scaled)  # noqa: PLW2901
+                rows.append((sw, sh, pa.compress(data, "lz4_raw", asbytes=True) if data else b""))
             sw, sh, data = zip(*rows) if rows else ((), (), ())
             columns = [*(batch.column(c) for c in ("cam", "ts", "w", "h")), pa.array(sw, pa.int32()), pa.array(sh, pa.int32()), pa.array(data, pa.binary())]
             yield pa.record_batch(columns, ["cam", "ts", "w", "h", "scaled_w", "scaled_h", "data"])
@@ -534,13 +694,20 @@ def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
 
 
 def in_order(frames: DataFrame, options: MotionOptions) -> DataFrame:
-    """Rows of a table of scaled frames: a task reads camera after camera in order of time and holds the state of one."""
+    """Rows of frames, scaled and compressed or as they are, whose partitions hold whole cameras, each in order of time: a task reads one after another and holds the state of one."""
+    packed = "scaled_w" in frames.columns
 
     def run(batches):
-        cam, s = None, None
+        keep_memory()
+        cam, s, times = None, None, {}
         for batch in batches:
             cams = batch.column("cam").to_pylist()
-            frames = list(zip(batch.column("ts").cast(pa.int64()).to_pylist(), *(batch.column(k).to_pylist() for k in ("w", "h", "scaled_w", "scaled_h", "data"))))
+            ts, ws, hs, data = batch.column("ts").cast(pa.int64()).to_pylist(), *(batch.column(k).to_pylist() for k in ("w", "h", "data"))
+            if packed:
+                frames = list(zip(ts, ws, hs, batch.column("scaled_w").to_pylist(), batch.column("scaled_h").to_pylist(), data))
+            else:
+                times.update({size: Layout.of(*size, options).scaled for size in {*zip(ws, hs)} - times.keys()})
+                frames = [(t, w, h, *scaled(w, h, d, times[w, h])) for t, w, h, d in zip(ts, ws, hs, data)]
             begin, of, rows = 0, [], []
             while begin < len(cams):
                 end = begin + 1
@@ -548,7 +715,7 @@ def in_order(frames: DataFrame, options: MotionOptions) -> DataFrame:
                     end += 1
                 if cams[begin] != cam:
                     cam, s = cams[begin], None
-                s, new = through(s, options, frames[begin:end])
+                s, new = through(s, options, frames[begin:end], packed)
                 of += [cam] * len(new)
                 rows += new
                 begin = end
@@ -557,10 +724,10 @@ def in_order(frames: DataFrame, options: MotionOptions) -> DataFrame:
                 columns = [pa.array(of, pa.int64()), pa.array(micros(ts), pa.timestamp("us", "UTC")), pa.array(kind), *(pa.array(v, pa.int64()) for v in numbers)]
                 yield pa.record_batch(columns, NAMES)
 
-    return frames.repartition("cam").sortWithinPartitions("cam", "ts").mapInArrow(run, OUT)
+    return frames.mapInArrow(run, OUT)
 
 
-def motion(frames: DataFrame, options: MotionOptions | None = None, late: str = "0 seconds") -> DataFrame:
+def motion(frames: DataFrame, options: MotionOptions | None = None, late: str = "0 seconds", ordered: bool = False) -> DataFrame:
     """Rows (cam, ts, kind, id, l, t, r, b, x, y, n_places) of a stream or table of gray frames (cam, ts, w, h, data).
 
     kind: `in` and `out` of a numbered object, `sabotage on` and `sabotage off` of a
@@ -569,14 +736,18 @@ def motion(frames: DataFrame, options: MotionOptions | None = None, late: str =
     in order of time; those that are not newer than its last one are left out.
     Frames of another size start the camera anew.  Rows with a null camera, time or
     data go.  A table's
-    cameras are read in order of time after one shuffle and sort; a stream's have
-    typed state, for which the state store is set to RocksDB.
+    cameras are read in order of time after one shuffle and sort, without either if
+    the table is `ordered`: each partition holds whole cameras, sorted by cam and ts.
+    A stream's cameras have typed state, for which the state store is set to RocksDB.
     """
     options = options or MotionOptions()
     spark = frames.sparkSession
-    frames = scaled_frames(frames.where("cam is not null and ts is not null and data is not null"), options)
+    frames = frames.where("cam is not null and ts is not null and data is not null")
+    if ordered and not frames.isStreaming:
+        return in_order(frames.select("cam", "ts", "w", "h", "data"), options)
+    frames = scaled_frames(frames, options)
     if not frames.isStreaming:
-        return in_order(frames, options)
+        return in_order(frames.repartition("cam").sortWithinPartitions("cam", "ts"), options)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     assert spark.streams is not None  # starts the coordinator that state needs
     return frames.withWatermark("ts", late).groupBy("cam").transformWithStateInPandas(MotionProcessor(options), OUT, "Append", "EventTime")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiltra.plans import cameras
-from quiltra.streaming.motion import Layout, MotionOptions, inside, motion, scaled_frames
+from quiltra.streaming.motion import Layout, MotionOptions, Scene, grown, inside, motion, pools, regions, scaled_frames
 from quiltra.streaming.run import micro_batches, replayed
 
 ROUND = lambda v: int(v + 0.5)
@@ -299,3 +299,78 @@ def test_a_stream_carries_what_frames_are_drawn_from(spark):
     stream = cameras.with_planes(micro_batches(events, "ts", 3))
     assert stream.isStreaming and "Join" not in stream._jdf.queryExecution().analyzed().toString()
     assert cameras.with_planes(events).count() == events.count()
+
+
+def test_the_query_shuffles_events_and_no_frames(spark):
+    plan = cameras.motion_detector_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.index("Repartition") > plan.rindex("MapInArrow")
+
+
+def test_an_ordered_table_gives_the_same_rows_without_a_shuffle(spark, frames, plain):
+    ordered = frames.repartition(3, "cam").sortWithinPartitions("cam", "ts")
+    got = motion(ordered, OPTIONS, ordered=True)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [cam") == 1
+    assert told(got) == sorted(tuple(map(str, r)) for r in plain[0])
+    large = spark.createDataFrame([(1, k, 75, 50, bytes([200 if k > 12 and y > 20 and x > 30 else 90 for y in range(50) for x in range(75)])) for k in range(14)], "cam long, k long, w int, h int, data binary").select("cam", F.timestamp_millis(F.col("k") * 100).alias("ts"), "w", "h", "data")
+    halves = MotionOptions(object_width=0.4, object_height=0.4, top_size=8, levels_min=2, time_min=0.0, shift_min=0.0)
+    assert Layout.of(75, 50, halves).scaled == 2 and told(motion(large.coalesce(1).sortWithinPartitions("ts"), halves, ordered=True)) == told(motion(large, halves)) != []
+
+
+def blobs(rng, n, h, w):
+    """Planes of few strong spots on weak ones."""
+    return np.where(rng.random((n, h, w)) < 0.55, rng.integers(96, 128, (n, h, w)), 0).astype(np.uint8) + np.where(rng.random((n, h, w)) < 0.1, 100, 0).astype(np.uint8)
+
+
+def test_pools_are_what_floods_reach():
+    rng = np.random.default_rng(4)
+    for h, w in [(9, 12), (1, 1), (3, 40), (30, 5)]:
+        inner = np.zeros((6, h, w), bool)
+        inner[:, 1:-1, 1:-1] = True
+        d = blobs(rng, 6, h, w)
+        for seeds, free in (((d > 127) & inner, (d > 95) & inner), ((d > 95) & inner, (d > 127) & inner)):
+            labels, of, boxes = pools(seeds, free)
+            flood = list(grown(seeds, free))
+            assert len(of) == len(boxes) == len(flood) == labels.max()
+            for k, (f, cells) in enumerate(flood):
+                rows, columns = np.divmod(np.array(cells), w)
+                assert of[k] == f and np.array_equal(np.argwhere(labels == k + 1), sorted([f, r, c] for r, c in zip(rows.tolist(), columns.tolist())))
+                assert boxes[k].tolist() == [columns.min(), rows.min(), columns.max() + 1, rows.max() + 1]
+
+
+def test_regions_of_many_frames_are_those_of_each():
+    rng, n_found = np.random.default_rng(5), 0
+    for sizes in (((33, 46), (17, 23), (9, 12)), ((40, 31), (20, 16)), ((20, 20),), ((600, 800), (300, 400))):
+        levels = [blobs(rng, 7, *size) for size in sizes]
+        levels[0][3] = 0
+        levels[-1][4] = 0
+        roi = np.full(sizes[-1], 255, np.uint8)
+        roi[: sizes[-1][0] // 3] = 0
+        for area in (1, 6):
+            found, covered = regions(levels, roi, area, OPTIONS)
+            each = [regions([d[k : k + 1] for d in levels], roi, area, OPTIONS) for k in range(7)]
+            assert found == [f[0] for f, _ in each] and covered == [c[0] for _, c in each]
+            n_found = max(n_found, *map(len, found))
+            if len(sizes) == 3:
+                for k in range(7):
+                    detector = Plain(*sizes[0], area)
+                    seeds = [np.where(roi > 0, levels[2][k], np.minimum(levels[2][k], 127))]
+                    assert detector.segment([d.tolist() for d in (levels[0][k], levels[1][k], *seeds)]) == (found[k], covered[k])
+    assert n_found > 300  # more than a byte counts
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 64])
+def test_frames_at_once_are_frames_one_by_one(at_once):
+    """Other light again and again, so that the background goes back in the midst of frames."""
+    rng, light = np.random.default_rng(6), 0
+    planes = np.empty((60, H, W), np.uint8)
+    for k in range(60):
+        light = 90 - light if k in (14, 15, 20, 31, 33, 40, 41, 42, 43, 44, 52) else light
+        planes[k] = 60 + light + rng.integers(0, 3, (H, W))
+        planes[k, 5:17, k // 2 : k // 2 + 14] += 80
+    s, plain_, want = Scene(W, H, OPTIONS), Plain(H, W, 14), []
+    s.at_once = s.ahead = at_once
+    got = s.frames(s.values(planes), [k / 10 for k in range(60)])
+    for k in range(60):
+        want += plain_.frame(planes[k].tolist(), k / 10)
+    assert [r[2:] for r in got if r[0] == "object"] == [r[2:] for r in want if r[0] == "object"]
+    assert [(r[0], r[1]) for r in got] == [(r[0], r[1]) for r in want] and sum(r[0] == "sabotage on" for r in got) > 3
