@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,18 +54,19 @@ def camera_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("cam", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("frame") * STEP_MS).alias("ts"), "frame", "noise")
 
 
-def with_planes(events: DataFrame) -> DataFrame:
-    """cam, ts, w, h, data: the frames of camera_events, drawn without a shuffle."""
+def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cam, ts, w, h, data: the frames of batches of camera_events, in their order."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):  # about 6 MB of planes
+            batch = whole.slice(k, 1000)
+            data = [drawn(*r).tobytes() for r in zip(*(batch.column(c).to_pylist() for c in ("cam", "frame", "noise")))]
+            n = batch.num_rows
+            yield pa.record_batch([batch.column("cam"), batch.column("ts"), pa.array([WIDTH] * n, pa.int32()), pa.array([HEIGHT] * n, pa.int32()), pa.array(data, pa.binary())], ["cam", "ts", "w", "h", "data"])
 
-    def run(batches):
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):  # about 6 MB of planes
-                batch = whole.slice(k, 1000)
-                data = [drawn(*r).tobytes() for r in zip(*(batch.column(c).to_pylist() for c in ("cam", "frame", "noise")))]
-                n = batch.num_rows
-                yield pa.record_batch([batch.column("cam"), batch.column("ts"), pa.array([WIDTH] * n, pa.int32()), pa.array([HEIGHT] * n, pa.int32()), pa.array(data, pa.binary())], ["cam", "ts", "w", "h", "data"])
 
-    return events.mapInArrow(run, "cam long, ts timestamp, w int, h int, data binary")
+def with_planes(events: DataFrame) -> DataFrame:
+    """cam, ts, w, h, data: the frames of camera_events, drawn without a shuffle."""
+    return events.mapInArrow(planes, "cam long, ts timestamp, w int, h int, data binary")
 
 
 def _told(rows: DataFrame) -> DataFrame:
@@ -81,10 +83,10 @@ def motion_detector(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataF
 def motion_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same frames as one table; cameras that stay silent at the end keep their objects, as no timer comes.
 
-    Events meet on their camera before frames are drawn from them, so no frame is shuffled or sorted.
+    Events meet on their camera, and frames are drawn from them where they are looked at, so no frame is shuffled or sorted.
     """
     events = camera_events(spark, sf_dir).repartition(PARTS, "cam").sortWithinPartitions("cam", "ts")
-    return _told(motion(with_planes(events), OPTIONS, ordered=True))
+    return _told(motion(events.where("cam is not null"), OPTIONS, ordered=True, made=planes))
 
 
 # -- images by their hashes --------------------------------------------------------------------------------------

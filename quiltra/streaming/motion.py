@@ -17,7 +17,7 @@ its next frame if that comes first; both give the same row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -99,25 +99,28 @@ def smoothed(plane: np.ndarray) -> np.ndarray:
     if h % 2 or w % 2:
         plane = np.pad(plane, [(0, 0)] * (plane.ndim - 2) + [(0, h % 2), (0, w % 2)], "edge")
     pairs = np.ascontiguousarray(plane).view("<u2")  # two neighbours of a row; 64 * 255 + 32 at most
-    even, odd = pairs & 255, pairs >> 8
-    rows = even + odd
-    rows *= 3
-    rows[..., 1:] += odd[..., :-1]
-    rows[..., :1] += even[..., :1]
-    rows[..., :-1] += even[..., 1:]
-    rows[..., -1:] += odd[..., -1:]
-    even, odd = rows[..., ::2, :], rows[..., 1::2, :]
-    out = even + odd
-    out *= 3
-    out[..., 1:, :] += odd[..., :-1, :]
-    out[..., :1, :] += even[..., :1, :]
-    out[..., :-1, :] += even[..., 1:, :]
-    out[..., -1:, :] += odd[..., -1:, :]
+    rows = folded(pairs & 255, pairs >> 8, 1, np.s_[..., :1], np.s_[..., -1:])
+    even, odd = np.ascontiguousarray(rows[..., ::2, :]), np.ascontiguousarray(rows[..., 1::2, :])
+    out = folded(even, odd, rows.shape[-1], np.s_[..., :1, :], np.s_[..., -1:, :])
     out += 32
     out >>= 6
     return out.astype(np.uint8)
 
 
+def folded(even: np.ndarray, odd: np.ndarray, step: int, first: tuple, last: tuple) -> np.ndarray:
+    """Taps 1 3 3 1 on the odd one before (a step away), the even, the odd and the even one after; edges repeated."""
+    out, beside = even + odd, np.empty_like(odd)
+    out *= 3
+    flat = beside.reshape(-1)
+    flat[step:] = odd.reshape(-1)[:-step]
+    beside[first] = even[first]
+    out += beside
+    flat[:-step] = even.reshape(-1)[step:]
+    beside[last] = odd[last]
+    out += beside
+    return out
+
+
 def gradients(planes: np.ndarray, saturation: int, boost: int) -> tuple[np.ndarray, np.ndarray]:
     """Saturated central differences in x and y, lifted to positive numbers; 0 on the frame.  Of planes that lie one after another."""
     v = planes.reshape(-1)
@@ -374,7 +377,10 @@ def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionO
             corners *= between(l, r, l0, r1)[:, None]
             lower = (part, slice(2 * t0 + 1, 2 * b1 + 1), slice(2 * l0 + 1, 2 * r1 + 1))
             child = masks[level - 1][lower]
-            new = (corners.repeat(2, 2).repeat(2, 1) + strong[level - 1][lower] > 1) & (child == 0)
+            m, high, wide = corners.shape
+            twice = (corners.astype(np.uint16) * 257).view(np.uint8)[:, :, None]  # each beside itself
+            new = (twice + strong[level - 1][lower].reshape(m, high, 2, 2 * wide) > 1).reshape(child.shape)
+            new &= child == 0
             child += new * index
             h, w = shape = masks[level - 1].shape[1:]
             l, t = np.maximum(2 * l - 2, 1), np.maximum(2 * t - 2, 1)
@@ -389,9 +395,9 @@ def regions(difference: list[np.ndarray], roi: np.ndarray, area: int, o: MotionO
             rect = np.concatenate([np.maximum(rect[:, :2], 1), np.minimum(rect[:, 2:], [w - 1, h - 1])], 1)
             for k in np.flatnonzero(alive & ~rows.any(1)).tolist():
                 alive[k] = False
-                for high, boxed in above[1:]:
+                for upper, boxed in above[1:]:
                     l, t, r, b = boxed[k].tolist()
-                    lost = masks[high][part.start + k, t:b, l:r]
+                    lost = masks[upper][part.start + k, t:b, l:r]
                     lost[lost == index[k]] = 2
             rect[~alive] = 0
             if not alive.any():
@@ -460,6 +466,11 @@ class Scene:
             out[k] = np.maximum(out[k], smoothed(out[k - 1]))
         return out if self.whole else [d & m for d, m in zip(out, self.roi)]
 
+    def loud(self, away: np.ndarray) -> np.ndarray:
+        """Frames that may have a region: their largest values of all features together are strong enough; no level has more."""
+        most = away.reshape(len(away), 3, -1).max(2, initial=0).astype(np.int64)
+        return np.flatnonzero(np.minimum(most * most * self.o.weights >> 8, 255).sum(1) > int(255 * self.o.create))
+
     def expire(self, now: float) -> list[tuple]:
         """Objects leave at `now`."""
         gone, self.objects = [x for x in self.objects if x.number >= 0], []
@@ -492,7 +503,7 @@ class Scene:
             away = np.empty((end - k, values.shape[1]), np.uint8)
             states = self.back.follow(values[k:end], times[k:end], self.o, away)
             found, covered = [[] for _ in states], [0] * len(states)
-            moved = np.flatnonzero(away.max(1, initial=0))
+            moved = self.loud(away)
             if len(moved):
                 for at, boxes, pixels in zip(moved.tolist(), *regions(self.difference(away if len(moved) == len(away) else away[moved]), self.roi[-1], self.layout.area, self.o)):
                     found[at], covered[at] = boxes, pixels
@@ -693,12 +704,24 @@ def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
     return frames.select("cam", "ts", "w", "h", "data").mapInArrow(run, "cam long, ts timestamp, w int, h int, scaled_w int, scaled_h int, data binary")
 
 
-def in_order(frames: DataFrame, options: MotionOptions) -> DataFrame:
+Made = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def complete(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that have a camera, a time and data."""
+    for c in ("cam", "ts", "data"):
+        if batch.column(c).null_count:
+            batch = batch.filter(batch.column(c).is_valid())
+    return batch
+
+
+def in_order(frames: DataFrame, options: MotionOptions, made: Made | None = None) -> DataFrame:
     """Rows of frames, scaled and compressed or as they are, whose partitions hold whole cameras, each in order of time: a task reads one after another and holds the state of one."""
-    packed = "scaled_w" in frames.columns
+    packed = made is None and "scaled_w" in frames.columns
 
     def run(batches):
         keep_memory()
+        batches = map(complete, made(batches)) if made else batches
         cam, s, times = None, None, {}
         for batch in batches:
             cams = batch.column("cam").to_pylist()
@@ -727,7 +750,7 @@ def in_order(frames: DataFrame, options: MotionOptions) -> DataFrame:
     return frames.mapInArrow(run, OUT)
 
 
-def motion(frames: DataFrame, options: MotionOptions | None = None, late: str = "0 seconds", ordered: bool = False) -> DataFrame:
+def motion(frames: DataFrame, options: MotionOptions | None = None, late: str = "0 seconds", ordered: bool = False, made: Made | None = None) -> DataFrame:
     """Rows (cam, ts, kind, id, l, t, r, b, x, y, n_places) of a stream or table of gray frames (cam, ts, w, h, data).
 
     kind: `in` and `out` of a numbered object, `sabotage on` and `sabotage off` of a
@@ -738,10 +761,16 @@ def motion(frames: DataFrame, options: MotionOptions | None = None, late: str =
     data go.  A table's
     cameras are read in order of time after one shuffle and sort, without either if
     the table is `ordered`: each partition holds whole cameras, sorted by cam and ts.
+    Then frames may be `made` of its rows, batch by batch and in their order, where
+    they are read, so that pixels never leave their task.
     A stream's cameras have typed state, for which the state store is set to RocksDB.
     """
     options = options or MotionOptions()
     spark = frames.sparkSession
+    if made is not None:
+        if frames.isStreaming or not ordered:
+            raise ValueError("frames are made of the rows of an ordered table only")
+        return in_order(frames, options, made)
     frames = frames.where("cam is not null and ts is not null and data is not null")
     if ordered and not frames.isStreaming:
         return in_order(frames.select("cam", "ts", "w", "h", "data"), options)

@@ -311,6 +311,9 @@ def test_an_ordered_table_gives_the_same_rows_without_a_shuffle(spark, frames, p
     got = motion(ordered, OPTIONS, ordered=True)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [cam") == 1
     assert told(got) == sorted(tuple(map(str, r)) for r in plain[0])
+    assert told(motion(ordered, OPTIONS, ordered=True, made=lambda batches: batches)) == told(got)  # rows without camera, time or data go
+    with pytest.raises(ValueError):
+        motion(frames, OPTIONS, made=lambda batches: batches)
     large = spark.createDataFrame([(1, k, 75, 50, bytes([200 if k > 12 and y > 20 and x > 30 else 90 for y in range(50) for x in range(75)])) for k in range(14)], "cam long, k long, w int, h int, data binary").select("cam", F.timestamp_millis(F.col("k") * 100).alias("ts"), "w", "h", "data")
     halves = MotionOptions(object_width=0.4, object_height=0.4, top_size=8, levels_min=2, time_min=0.0, shift_min=0.0)
     assert Layout.of(75, 50, halves).scaled == 2 and told(motion(large.coalesce(1).sortWithinPartitions("ts"), halves, ordered=True)) == told(motion(large, halves)) != []
