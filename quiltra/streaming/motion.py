@@ -560,7 +560,7 @@ class Scene:
             taken.add(k)
             x.places.append((now, *centres[k], *found[k]))
             recent = x.places[-self.o.averaged :]
-            rect = [sum(p[i] for p in recent) // len(recent) for i in range(3, 7)]
+            rect = [sum(side) // len(recent) for side in list(zip(*recent))[3:]]
             dx, dy = (a - b for a, b in zip(centres[k], centre(rect)))
             x.rect = clipped((rect[0] + dx, rect[1] + dy, rect[2] + dx, rect[3] + dy), self.layout.sizes[0], 0)
             x.x, x.y = centres[k]
