@@ -14,14 +14,14 @@ from ..model import around, neighbourhood, pack, pixels, table
 from ..operators import matching as M
 from ..operators.contours import contours
 from ..operators.shift import ShiftOptions, shifts
-from ..streaming.motion import MotionOptions, motion
+from ..streaming.motion import REWRITTEN, MotionOptions, motion
 from ..streaming.run import micro_batches, replayed
 
 QUERIES: dict = {}
 SQL: dict = {}
 #: A camera has FRAMES frames of the events table, each of WIDTH x HEIGHT pixels and STEP_MS after the one before.
 FRAMES, WIDTH, HEIGHT, STEP_MS = 80, 96, 64, 100
-#: Tasks that draw frames, and that follow a table's cameras.
+#: Tasks that follow a table's cameras.
 PARTS = 96
 OPTIONS = MotionOptions(object_width=0.25, object_height=0.25)
 
@@ -75,9 +75,9 @@ def _told(rows: DataFrame) -> DataFrame:
 
 
 def motion_detector(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
-    """Moving objects of all cameras, by a stream of `batches` micro-batches; the stream carries events, frames are drawn from them."""
+    """Moving objects of all cameras, by a stream of `batches` micro-batches; the stream and its shuffle carry events, frames are drawn from them beside their camera's state."""
     events = micro_batches(camera_events(spark, sf_dir), "ts", batches)
-    return _told(replayed(motion(with_planes(events.repartition(PARTS)), OPTIONS)))
+    return _told(replayed(motion(events, OPTIONS, made=planes), settings=REWRITTEN))
 
 
 def motion_detector_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Motion detection and tracking: each camera's background, objects and expiry timer as state of a stream.
 
-A frame's way: scaled down where it is read (no shuffle), then to its camera's
-state, where its pyramid and gradients are compared with the ranges that the
-background has at each level; regions of strong difference are found at the
-coarsest level and followed down to the finest; regions are linked to objects,
-objects that have moved long and far enough get a number, and the background
-takes the frame in.
-
-State of a camera: one value (the background planes, whose size is that of the
-frame's pyramid, and its clocks), a list of objects (of `trajectory` places
-each at most) and one event-time timer.  A camera that sends nothing for
-`remove_time` loses its objects when the watermark passes that time, or with
-its next frame if that comes first; both give the same row.
+A frame's way: scaled down where it is read (no shuffle), or made of a row after
+the shuffle; then to its camera's state, where its pyramid and gradients are
+compared with the ranges that the background has at each level; regions of
+strong difference are found at the coarsest level and followed down to the
+finest; regions are linked to objects, objects that have moved long and far
+enough get a number, and the background takes the frame in.
+
+State of a camera: one compressed value (its clocks, objects of `trajectory`
+places each at most, and the background planes, whose size is that of the
+frame's pyramid) and one event-time timer.  Where frames are made, up to 32
+neighbouring cameras are under one key: they are read, looked at and written
+together.  A camera that sends nothing for `remove_time` loses its objects when
+the watermark passes that time, or with its next frame if that comes first; both
+give the same row.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .run import ROCKSDB
@@ -62,6 +67,9 @@ class MotionOptions:
     saturation: int = 16
     boost: int = 4
 
+    def __post_init__(self):
+        object.__setattr__(self, "roi", tuple(map(tuple, self.roi)))
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -419,19 +427,25 @@ def keep_memory() -> None:
     np.empty(1 << 24, np.uint8)
 
 
+@lru_cache(maxsize=8)
+def surroundings(width: int, height: int, o: MotionOptions) -> tuple[Layout, np.ndarray, list[np.ndarray]]:
+    """What cameras of one size share: the levels, where each begins, the region of interest at each."""
+    layout = Layout.of(width, height, o)
+    roi = [inside(o.roi, layout.sizes[0])]
+    while len(roi) < len(layout.sizes):
+        roi.append(smoothed(roi[-1]))
+    return layout, np.cumsum([0, *(h * w for h, w in layout.sizes)]), roi
+
+
 class Scene:
     """One camera between frames; everything that its state keeps."""
 
     def __init__(self, width: int, height: int, o: MotionOptions):
         self.o, self.width, self.height = o, width, height
-        self.layout = Layout.of(width, height, o)
-        self.cuts = np.cumsum([0, *(h * w for h, w in self.layout.sizes)])
+        self.layout, self.cuts, self.roi = surroundings(width, height, o)
         self.back = Background(np.zeros((4, 3 * int(self.cuts[-1])), np.uint8))
         self.objects: list[Tracked] = []
         self.numbers = 0
-        self.roi = [inside(o.roi, self.layout.sizes[0])]
-        while len(self.roi) < len(self.layout.sizes):
-            self.roi.append(smoothed(self.roi[-1]))
         self.whole = all((r == 255).all() for r in self.roi)
         h, w = self.layout.sizes[0]
         self.far = int((h * h + w * w) * o.shift_min * o.shift_min)
@@ -490,37 +504,8 @@ class Scene:
         return kind, now, x.number, *rect, last[1] * size, last[2] * size, len(x.places)
 
     def frames(self, values: np.ndarray, times: list[float]) -> list[tuple]:
-        """Rows of frames, given by their samples.
-
-        The background goes ahead as if no frame made the scene stable or unstable; where one does, it goes back and
-        comes again up to that frame.  So differences and regions of many frames are found at once.
-        """
-        out, k = [], 0
-        h, w = self.layout.sizes[0]
-        while k < len(times):
-            end = min(k + self.ahead, len(times))
-            before, last, was = replace(self.back, planes=self.back.planes.copy()), self.back.last, self.back.unstable
-            away = np.empty((end - k, values.shape[1]), np.uint8)
-            states = self.back.follow(values[k:end], times[k:end], self.o, away)
-            found, covered = [[] for _ in states], [0] * len(states)
-            moved = self.loud(away)
-            if len(moved):
-                for at, boxes, pixels in zip(moved.tolist(), *regions(self.difference(away if len(moved) == len(away) else away[moved]), self.roi[-1], self.layout.area, self.o)):
-                    found[at], covered[at] = boxes, pixels
-            unstable = [pixels >= h * w * self.o.stable_area if state != INIT else was for state, pixels in zip(states, covered)]
-            turn = next((j for j, u in enumerate(unstable) if u != was), None)
-            if turn is None:
-                self.ahead = min(2 * self.ahead, self.at_once)
-            else:
-                self.back, end, self.ahead = before, k + turn + 1, max(self.ahead // 4, 1)
-                self.back.follow(values[k : end - 1], times[k : end - 1], self.o, away)
-                self.back.unstable = unstable[turn]
-                self.back.follow(values[end - 1 : end], times[end - 1 : end], self.o, away)
-            for state, boxes, now, u in zip(states, found, times[k:end], unstable):
-                out += self.next(state, boxes, now, last, "" if u == was else "sabotage on" if u else "sabotage off")
-                last = now
-            k = end
-        return out
+        """Rows of frames, given by their samples."""
+        return advance([self], [values], [times])[0]
 
     def next(self, state: int, found: list[tuple], now: float, last: float, turn: str) -> list[tuple]:
         """Rows of one frame, given by its regions: what comes and goes, then every object that moves."""
@@ -574,38 +559,148 @@ class Scene:
         return rect[0] - border, rect[1] - border, rect[2] + border, rect[3] + border
 
 
-def through(s: Scene | None, options: MotionOptions, frames: Iterable[tuple], packed: bool = True) -> tuple[Scene | None, list[tuple]]:
-    """A camera after frames (microseconds, w, h, scaled_w, scaled_h, data, compressed if `packed`) in order of time, and their rows."""
-    out, frames, k = [], list(frames), 0
-    while k < len(frames):
-        _, w, h, sw, sh, _ = size = frames[k]
-        if s is None or (s.width, s.height) != (w, h):
-            out += s.expire(frames[k][0] / 1e6) if s else []
-            numbers = s.numbers if s else 0
-            s = Scene(int(w), int(h), options)
-            s.numbers = numbers
-            last = -math.inf
-        else:
-            last = s.back.last
-        end, times, data = k, [], []
-        while end < len(frames) and len(times) < s.at_once and frames[end][1:5] == size[1:5]:
-            now = frames[end][0] / 1e6
-            if now > last:  # not a frame that is not newer than the camera's last one
-                times.append(now)
-                data.append(frames[end][5])
+def advance(scenes: Sequence[Scene], values: Sequence[np.ndarray], times: Sequence[list[float]]) -> list[list[tuple]]:
+    """Rows of the frames of each camera, given by their samples; the cameras have one size.
+
+    A background goes ahead as if no frame made the scene stable or unstable; where one does, it goes back and
+    comes again up to that frame.  So differences and regions of many frames and cameras are found at once.
+    """
+    out, at = [[] for _ in scenes], [0] * len(scenes)
+    one = scenes[0]
+    h, w = one.layout.sizes[0]
+    while todo := [j for j, k in enumerate(at) if k < len(times[j])]:
+        ends = [min(at[j] + scenes[j].ahead, len(times[j])) for j in todo]
+        cuts = np.cumsum([0, *(end - at[j] for j, end in zip(todo, ends))]).tolist()
+        away, backs, states = np.empty((cuts[-1], values[0].shape[1]), np.uint8), [], []
+        for j, end, cut in zip(todo, ends, cuts):
+            back = scenes[j].back
+            backs.append(replace(back, planes=back.planes.copy()))
+            states += back.follow(values[j][at[j] : end], times[j][at[j] : end], one.o, away[cut:])
+        found, covered = [[] for _ in states], [0] * len(states)
+        moved = one.loud(away)
+        if len(moved):
+            for k, boxes, pixels in zip(moved.tolist(), *regions(one.difference(away if len(moved) == len(away) else away[moved]), one.roi[-1], one.layout.area, one.o)):
+                found[k], covered[k] = boxes, pixels
+        for j, end, cut, before in zip(todo, ends, cuts, backs):
+            s, k, last, was = scenes[j], at[j], before.last, before.unstable
+            own = slice(cut, cut + end - k)
+            unstable = [pixels >= h * w * s.o.stable_area if state != INIT else was for state, pixels in zip(states[own], covered[own])]
+            turn = next((i for i, u in enumerate(unstable) if u != was), None)
+            if turn is None:
+                s.ahead = min(2 * s.ahead, s.at_once)
+            else:
+                s.back, end, s.ahead = before, k + turn + 1, max(s.ahead // 4, 1)  # noqa: PLW2901
+                s.back.follow(values[j][k : end - 1], times[j][k : end - 1], s.o, away)
+                s.back.unstable = unstable[turn]
+                s.back.follow(values[j][end - 1 : end], times[j][end - 1 : end], s.o, away)
+            for state, boxes, now, u in zip(states[own], found[own], times[j][k:end], unstable):
+                out[j] += s.next(state, boxes, now, last, "" if u == was else "sabotage on" if u else "sabotage off")
                 last = now
-            end += 1
-        if times:
-            if packed and sw * sh:
-                data = [pa.decompress(d, sw * sh, "lz4_raw", asbytes=True) for d in data]
-            planes = np.frombuffer(b"".join(data) if sw * sh else b"", np.uint8).reshape(len(times), sh, sw)
-            out += s.frames(s.values(planes), times)
-        k = end
-    return s, out
+            at[j] = end
+    return out
 
 
-SCENE = "width int, height int, state int, grow_end double, stat double, update double, updates int, sabotaged int, unstable boolean, last double, numbers long, planes binary"
-OBJECT = "x long, y long, l long, t long, r long, b long, start_x long, start_y long, start double, number long, places binary"
+def together(runs: Iterable[tuple], most: int) -> Iterator[list[tuple]]:
+    """Runs (camera, times, data) in lists of `most` frames or of one run."""
+    part, n = [], 0
+    for run in runs:
+        if part and n + len(run[1]) > most:
+            yield part
+            part, n = [], 0
+        part.append(run)
+        n += len(run[1])
+    if part:
+        yield part
+
+
+def through(scenes: dict[int, Scene], options: MotionOptions, frames: dict[int, list[tuple]], packed: bool = True) -> dict[int, list[tuple]]:
+    """Takes cameras through frames (microseconds, w, h, scaled_w, scaled_h, data, compressed if `packed`) in order of time; rows of each."""
+    out, at = {cam: [] for cam in frames}, dict.fromkeys(frames, 0)
+    while at := {cam: k for cam, k in at.items() if k < len(frames[cam])}:
+        runs: dict[tuple, list[tuple]] = {}
+        for cam, k in at.items():
+            own, s = frames[cam], scenes.get(cam)
+            _, w, h, *_ = size = own[k]
+            if s is None or (s.width, s.height) != (w, h):
+                out[cam] += s.expire(own[k][0] / 1e6) if s else []
+                numbers = s.numbers if s else 0
+                s = scenes[cam] = Scene(int(w), int(h), options)
+                s.numbers = numbers
+                last = -math.inf
+            else:
+                last = s.back.last
+            end, times, data = k, [], []
+            while end < len(own) and len(times) < s.at_once and own[end][1:5] == size[1:5]:
+                now = own[end][0] / 1e6
+                if now > last:  # not a frame that is not newer than the camera's last one
+                    times.append(now)
+                    data.append(own[end][5])
+                    last = now
+                end += 1
+            if times:
+                runs.setdefault(size[1:5], []).append((cam, times, data))
+            at[cam] = end
+        for (_, _, sw, sh), several in runs.items():
+            for part in together(several, scenes[several[0][0]].at_once):
+                cams, times, data = zip(*part)
+                data = [d for some in data for d in some]
+                if packed and sw * sh:
+                    data = [pa.decompress(d, sw * sh, "lz4_raw", asbytes=True) for d in data]
+                planes = np.frombuffer(b"".join(data) if sw * sh else b"", np.uint8).reshape(len(data), sh, sw)
+                values = np.split(scenes[cams[0]].values(planes), np.cumsum([len(t) for t in times])[:-1])
+                for cam, rows in zip(cams, advance([scenes[cam] for cam in cams], values, times)):
+                    out[cam] += rows
+    return out
+
+
+STATE = "size long, kept binary"
+#: Cameras of one key where frames are made: 1 << GROUPED.
+GROUPED = 5
+#: Settings of a stream whose cameras all send in every batch, so that each batch writes the whole state anew: what it
+#: replaces goes from the state store with it, and from the checkpoint but for the batch before.
+REWRITTEN = {"spark.sql.streaming.stateStore.rocksdb.compactOnCommit": "true", "spark.sql.streaming.minBatchesToRetain": "2"}
+
+
+def kept(scenes: dict[int, Scene]) -> bytes:
+    """Cameras in bytes that compress well: planes come last, a range's width for its end, and counts up to 2, as more tells nothing more."""
+    whole, real, objects, planes = [], [], [], []
+    for cam, s in scenes.items():
+        b = s.back
+        whole += (cam, s.width, s.height, b.state, b.updates, b.sabotaged, b.unstable, s.numbers, len(s.objects))
+        real += (b.grow_end, b.stat, b.update, b.last)
+        for x in s.objects:
+            objects += (len(x.places), x.x, x.y, *x.rect, x.start_x, x.start_y, x.start, x.number)
+            for place in x.places:
+                objects += place
+        lo, hi, below, above = b.planes
+        planes += (lo, hi - lo, np.minimum(below, 2) + 3 * np.minimum(above, 2))
+    return np.array([len(scenes), *whole], np.int64).tobytes() + np.array([*real, *objects], np.float64).tobytes() + b"".join(planes)
+
+
+def restored(data: bytes, options: MotionOptions) -> dict[int, Scene]:
+    """The cameras that `kept` has kept."""
+    scenes, n = {}, int(np.frombuffer(data, np.int64, 1)[0])
+    whole = np.frombuffer(data, np.int64, 9 * n, 8).reshape(n, 9).tolist()
+    real = np.frombuffer(data, np.float64, 4 * n, at := 8 + 72 * n).reshape(n, 4).tolist()
+    at += 32 * n
+    for (cam, width, height, state, updates, sabotaged, unstable, numbers, objects), (grow_end, stat, update, last) in zip(whole, real):
+        s = scenes[cam] = Scene(width, height, options)
+        s.back, s.numbers = Background(s.back.planes, state, grow_end, stat, update, updates, sabotaged, bool(unstable), last), numbers
+        for _ in range(objects):
+            count, x, y, l, t, r, b, sx, sy, start, number = np.frombuffer(data, np.float64, 11, at).tolist()
+            rows = np.frombuffer(data, np.float64, 7 * int(count), at + 88).reshape(-1, 7).tolist()
+            at += 88 + 56 * len(rows)
+            s.objects.append(Tracked(int(x), int(y), (int(l), int(t), int(r), int(b)), int(sx), int(sy), start, int(number), [(p[0], *map(int, p[1:])) for p in rows]))
+    for s in scenes.values():
+        size = s.back.planes.shape[1]
+        lo, wide, counts = np.frombuffer(data, np.uint8, 3 * size, at).reshape(3, size)
+        at += 3 * size
+        planes = s.back.planes
+        planes[0] = lo
+        np.add(lo, wide, out=planes[1])
+        np.floor_divide(counts, 3, out=planes[3])
+        np.subtract(counts, 3 * planes[3], out=planes[2])
+    return scenes
 
 
 NAMES = [f.split()[0] for f in OUT.split(", ")]
@@ -615,67 +710,107 @@ def micros(seconds: Iterable[float]) -> np.ndarray:
     return np.rint(np.array(seconds, np.float64) * 1e6).astype(np.int64)
 
 
+Made = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def complete(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that have a camera, a time and data."""
+    for c in ("cam", "ts", "data"):
+        if batch.column(c).null_count:
+            batch = batch.filter(batch.column(c).is_valid())
+    return batch
+
+
+def by_camera(cams: Iterable[int], *columns: Iterable) -> dict[int, list[tuple]]:
+    out: dict[int, list[tuple]] = {}
+    for cam, *frame in zip(cams, *columns):
+        out.setdefault(cam, []).append(tuple(frame))
+    return out
+
+
+def scaled_by_camera(batch: pa.RecordBatch, options: MotionOptions) -> dict[int, list[tuple]]:
+    """Frames of each camera of a batch of frames as they are: microseconds, w, h, scaled_w, scaled_h, data."""
+    ts, (ws, hs, data) = batch.column("ts").cast(pa.int64()).to_pylist(), (batch.column(k).to_pylist() for k in ("w", "h", "data"))
+    times = {size: Layout.of(*size, options).scaled for size in {*zip(ws, hs)}}
+    frames = [(t, w, h, *scaled(w, h, d, times[w, h])) for t, w, h, d in zip(ts, ws, hs, data)]
+    return by_camera(batch.column("cam").to_pylist(), *zip(*frames)) if frames else {}
+
+
 class MotionProcessor(StatefulProcessor):
-    """Frames of one camera after another; see the module for what its state holds."""
+    """Frames of a group of cameras, one after another for each; see the module for what its state holds."""
 
-    def __init__(self, options: MotionOptions):
-        self.options = options
+    def __init__(self, options: MotionOptions, made: Made | None = None, schema: pa.Schema | None = None):
+        self.options, self.made, self.schema = options, made, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         keep_memory()
         self.handle = handle
-        self.scene = handle.getValueState("scene", SCENE)
-        self.objects = handle.getListState("objects", OBJECT)
+        self.state = handle.getValueState("scenes", STATE)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> Scene | None:
-        if not self.scene.exists():
-            return None
-        width, height, *clocks, numbers, planes = self.scene.get()
-        s = Scene(width, height, self.options)
-        s.back, s.numbers = Background(np.frombuffer(bytes(planes), np.uint8).reshape(4, -1).copy(), *clocks), numbers
-        for x, y, l, t, r, b, sx, sy, start, number, places in self.objects.get():
-            rows = [(p[0], *map(int, p[1:])) for p in np.frombuffer(bytes(places), np.float64).reshape(-1, 7).tolist()]
-            s.objects.append(Tracked(x, y, (l, t, r, b), sx, sy, start, number, rows))
-        return s
-
-    def _save(self, s: Scene) -> None:
-        b = s.back
-        self.scene.update((s.width, s.height, b.state, b.grow_end, b.stat, b.update, b.updates, b.sabotaged, b.unstable, b.last, s.numbers, b.planes.tobytes()))
-        if s.objects:
-            self.objects.put([(x.x, x.y, *x.rect, x.start_x, x.start_y, x.start, x.number, np.array(x.places, np.float64).tobytes()) for x in s.objects])
-        else:
-            self.objects.clear()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if s.objects:
-            self.handle.registerTimer(math.ceil(1000 * (b.last + self.options.remove_time)))
+    def _load(self) -> dict[int, Scene]:
+        row = self.state.get()
+        return restored(pa.decompress(bytes(row[1]), row[0], "zstd", asbytes=True), self.options) if row else {}
+
+    def _save(self, scenes: dict[int, Scene]) -> None:
+        data = kept(scenes)
+        self.state.update((len(data), pa.compress(data, "zstd", asbytes=True)))
+
+    def _ends(self, s: Scene) -> int:
+        """Milliseconds after which the camera's objects leave."""
+        return math.ceil(1000 * (s.back.last + self.options.remove_time))
 
     @staticmethod
-    def _frame(cam: int, rows: list[tuple]) -> pd.DataFrame:
+    def _frame(out: dict[int, list[tuple]]) -> pd.DataFrame:
+        rows = [r for own in out.values() for r in own]
         kind, ts, *numbers = zip(*rows)
-        out = {"cam": np.full(len(rows), cam), "ts": micros(ts).astype("datetime64[us]"), "kind": np.array(kind, object)}
+        frame = {"cam": np.repeat(list(out), [len(own) for own in out.values()]), "ts": pd.DatetimeIndex(micros(ts).astype("datetime64[us]")).tz_localize("UTC"), "kind": np.array(kind, object)}
         for c, v in zip(NAMES[3:], numbers):
             none = np.array([x is None for x in v])
-            out[c] = pd.arrays.IntegerArray(np.array([x or 0 for x in v], np.int64), none)
-        return pd.DataFrame(out)
+            frame[c] = pd.arrays.IntegerArray(np.array([x or 0 for x in v], np.int64), none)
+        return pd.DataFrame(frame)
+
+    def _frames(self, rows: pd.DataFrame) -> Iterator[dict[int, list[tuple]]]:
+        """Frames of each camera, in order of time; where they are made, as many at once as are looked at."""
+        cams, us = rows["cam" if self.made is None else f"c{self.schema.get_field_index('cam')}"].to_numpy(), rows["us"].to_numpy()
+        order = np.lexsort((us, cams))
+        if self.made is None:
+            yield by_camera(*(rows[k].to_numpy()[order].tolist() for k in ("cam", "us", "w", "h", "scaled_w", "scaled_h", "data")))
+            return
+        first = np.flatnonzero(np.diff(cams[order], prepend=cams[order[0]] - 1))
+        piece = (np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))) // AT_ONCE
+        order, most = order[np.argsort(piece, kind="stable")], AT_ONCE << GROUPED
+        columns = [pa.array(us, f.type) if f.name == "ts" else pa.Array.from_pandas(rows[f"c{k}"], type=f.type) for k, f in enumerate(self.schema)]
+        whole = pa.RecordBatch.from_arrays(columns, schema=self.schema).take(pa.array(order))
+        batches = (whole.slice(k, most) for k in range(0, len(order), most))
+        for batch in map(complete, self.made(batches)):
+            yield scaled_by_camera(batch, self.options)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        ts = frames["ts"].astype("datetime64[us]").astype("int64")
-        s, out = through(self._load(), self.options, zip(ts, *(frames[k] for k in ("w", "h", "scaled_w", "scaled_h", "data"))))
-        self._save(s)
-        if out:
-            yield self._frame(int(key[0]), out)
+        scenes, some = self._load(), False
+        for frames in self._frames(pd.concat(list(rows))):
+            out = {cam: own for cam, own in through(scenes, self.options, frames, self.made is None).items() if own}
+            some = some or bool(frames)
+            if out:
+                yield self._frame(out)
+        if some:
+            self._save(scenes)
+            old, new = set(self.handle.listTimers()), {self._ends(s) for s in scenes.values() if s.objects}
+            for ms in old - new:
+                self.handle.deleteTimer(ms)
+            for ms in new - old:
+                self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = self._load()
-        out = s.silent(expiredTimerInfo.getExpiryTimeInMs() / 1000, s.back.last) if s else []
+        scenes, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        left = {cam: s for cam, s in scenes.items() if s.objects and self._ends(s) <= now}
+        out = {cam: own for cam, s in left.items() if (own := s.expire(s.back.last + self.options.remove_time))}
+        if left:
+            self._save(scenes)
         if out:
-            self._save(s)
-            yield self._frame(int(key[0]), out)
+            yield self._frame(out)
 
 
 def scaled(w: int, h: int, data: bytes, times: int) -> tuple[int, int, bytes]:
@@ -704,17 +839,6 @@ def scaled_frames(frames: DataFrame, options: MotionOptions) -> DataFrame:
     return frames.select("cam", "ts", "w", "h", "data").mapInArrow(run, "cam long, ts timestamp, w int, h int, scaled_w int, scaled_h int, data binary")
 
 
-Made = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
-def complete(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows that have a camera, a time and data."""
-    for c in ("cam", "ts", "data"):
-        if batch.column(c).null_count:
-            batch = batch.filter(batch.column(c).is_valid())
-    return batch
-
-
 def in_order(frames: DataFrame, options: MotionOptions, made: Made | None = None) -> DataFrame:
     """Rows of frames, scaled and compressed or as they are, whose partitions hold whole cameras, each in order of time: a task reads one after another and holds the state of one."""
     packed = made is None and "scaled_w" in frames.columns
@@ -722,26 +846,19 @@ def in_order(frames: DataFrame, options: MotionOptions, made: Made | None = None
     def run(batches):
         keep_memory()
         batches = map(complete, made(batches)) if made else batches
-        cam, s, times = None, None, {}
+        scenes: dict[int, Scene] = {}
         for batch in batches:
-            cams = batch.column("cam").to_pylist()
-            ts, ws, hs, data = batch.column("ts").cast(pa.int64()).to_pylist(), *(batch.column(k).to_pylist() for k in ("w", "h", "data"))
             if packed:
-                frames = list(zip(ts, ws, hs, batch.column("scaled_w").to_pylist(), batch.column("scaled_h").to_pylist(), data))
+                frames = by_camera(*(batch.column(k).cast(pa.int64()).to_pylist() if k == "ts" else batch.column(k).to_pylist() for k in ("cam", "ts", "w", "h", "scaled_w", "scaled_h", "data")))
             else:
-                times.update({size: Layout.of(*size, options).scaled for size in {*zip(ws, hs)} - times.keys()})
-                frames = [(t, w, h, *scaled(w, h, d, times[w, h])) for t, w, h, d in zip(ts, ws, hs, data)]
-            begin, of, rows = 0, [], []
-            while begin < len(cams):
-                end = begin + 1
-                while end < len(cams) and cams[end] == cams[begin]:
-                    end += 1
-                if cams[begin] != cam:
-                    cam, s = cams[begin], None
-                s, new = through(s, options, frames[begin:end], packed)
+                frames = scaled_by_camera(batch, options)
+            of, rows = [], []
+            for cam, own in frames.items():
+                if cam not in scenes:
+                    scenes = {}
+                new = through(scenes, options, {cam: own}, packed)[cam]
                 of += [cam] * len(new)
                 rows += new
-                begin = end
             if rows:
                 kind, ts, *numbers = zip(*rows)
                 columns = [pa.array(of, pa.int64()), pa.array(micros(ts), pa.timestamp("us", "UTC")), pa.array(kind), *(pa.array(v, pa.int64()) for v in numbers)]
@@ -762,21 +879,27 @@ def motion(frames: DataFrame, options: MotionOptions | None = None, late: str =
     cameras are read in order of time after one shuffle and sort, without either if
     the table is `ordered`: each partition holds whole cameras, sorted by cam and ts.
     Then frames may be `made` of its rows, batch by batch and in their order, where
-    they are read, so that pixels never leave their task.
+    they are read, so that pixels never leave their task.  So may those of a stream
+    whose rows have cam and ts: rows are shuffled, and a camera's rows of a
+    micro-batch reach `made` in order of time (whole numbers beside nulls as pandas holds them).
     A stream's cameras have typed state, for which the state store is set to RocksDB.
     """
     options = options or MotionOptions()
     spark = frames.sparkSession
-    if made is not None:
-        if frames.isStreaming or not ordered:
-            raise ValueError("frames are made of the rows of an ordered table only")
+    if made is not None and not frames.isStreaming:
+        if not ordered:
+            raise ValueError("frames are made of the rows of an ordered table or of a stream")
         return in_order(frames, options, made)
-    frames = frames.where("cam is not null and ts is not null and data is not null")
+    frames = frames.where("cam is not null and ts is not null" + (" and data is not null" if made is None else ""))
     if ordered and not frames.isStreaming:
         return in_order(frames.select("cam", "ts", "w", "h", "data"), options)
-    frames = scaled_frames(frames, options)
+    schema = to_arrow_schema(frames.schema) if made is not None else None
+    frames = frames if made is not None else scaled_frames(frames, options)
     if not frames.isStreaming:
         return in_order(frames.repartition("cam").sortWithinPartitions("cam", "ts"), options)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     assert spark.streams is not None  # starts the coordinator that state needs
-    return frames.withWatermark("ts", late).groupBy("cam").transformWithStateInPandas(MotionProcessor(options), OUT, "Append", "EventTime")
+    group = F.col("cam") if made is None else F.shiftright("cam", GROUPED)
+    columns = ["*"] if made is None else [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(frames.columns)]  # pandas' rows rename what is no name in Python
+    frames = frames.withWatermark("ts", late).select(*columns, group.alias("group"), F.unix_micros("ts").alias("us"))
+    return frames.groupBy("group").transformWithStateInPandas(MotionProcessor(options, made, schema), OUT, "Append", "EventTime")

@@ -47,14 +47,24 @@ def micro_batches(df: DataFrame, time: str, batches: int) -> DataFrame:
     return numbered_batches(df, number, len(cuts) + 1)
 
 
-def replayed(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Every row that the stream has produced once its source is read up; with mode complete the last batch's rows."""
+def replayed(stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """Every row that the stream has produced once its source is read up; with mode complete the last batch's rows.
+
+    Settings hold for this stream alone.
+    """
     spark = stream.sparkSession
     top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/rows/{'all' if mode == 'complete' else f'batch={number}'}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    try:
+        for key, value in (settings or {}).items():
+            spark.conf.set(key, value)
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/rows/all" if mode == "complete" else f"{top}/rows/*")

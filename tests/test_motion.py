@@ -1,5 +1,7 @@
 """Motion detection against a pixel-by-pixel detector, by stream and by table."""
 
+import glob
+import os
 import random
 
 import numpy as np
@@ -7,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiltra.plans import cameras
-from quiltra.streaming.motion import Layout, MotionOptions, Scene, grown, inside, motion, pools, regions, scaled_frames
-from quiltra.streaming.run import micro_batches, replayed
+from quiltra.streaming.motion import Layout, MotionOptions, Scene, advance, grown, inside, kept, motion, pools, regions, restored, scaled_frames, through
+from quiltra.streaming.run import micro_batches, replayed, shared_folder
 
 ROUND = lambda v: int(v + 0.5)
 
@@ -377,3 +379,68 @@ def test_frames_at_once_are_frames_one_by_one(at_once):
         want += plain_.frame(planes[k].tolist(), k / 10)
     assert [r[2:] for r in got if r[0] == "object"] == [r[2:] for r in want if r[0] == "object"]
     assert [(r[0], r[1]) for r in got] == [(r[0], r[1]) for r in want] and sum(r[0] == "sabotage on" for r in got) > 3
+
+
+def lit(seed, turns):
+    """Frames of a camera whose light changes at some of them."""
+    rng, light = np.random.default_rng(seed), 0
+    out = np.empty((60, H, W), np.uint8)
+    for k in range(60):
+        light = 90 - light if k in turns else light
+        out[k] = 60 + light + rng.integers(0, 3, (H, W))
+        out[k, 5 + seed : 17 + seed, k // 2 : k // 2 + 14] += 80
+    return out
+
+
+def test_cameras_together_are_cameras_alone():
+    cams = {7: lit(1, (14, 15, 31, 40, 41, 42)), -3: lit(2, ()), 8: lit(3, range(30, 40)), 9: lit(4, (52,))}
+    frames = {cam: [(100_000 * k, W, H, W, H, p.tobytes()) for k, p in enumerate(planes) if cam != 9 or k % 3] for cam, planes in cams.items()}
+    alone = {cam: through({}, OPTIONS, {cam: own}, False)[cam] for cam, own in frames.items()}
+    assert through({}, OPTIONS, frames, False) == alone and all(alone.values())
+    # part by part, the state written and read between
+    got, scenes = {cam: [] for cam in cams}, {}
+    for k in range(0, 60, 7):
+        for cam, rows in through(scenes, OPTIONS, {cam: own[k : k + 7] for cam, own in frames.items()}, False).items():
+            got[cam] += rows
+        data = kept(scenes)
+        scenes = restored(data, OPTIONS)
+        assert kept(scenes) == data and list(scenes) == list(cams)
+    assert got == alone
+    scenes = [Scene(W, H, OPTIONS) for _ in range(2)]
+    assert advance(scenes, [s.values(p) for s, p in zip(scenes, (cams[7], cams[8]))], [[k / 10 for k in range(60)]] * 2) == [alone[7], alone[8]]
+
+
+def test_counts_of_state_are_kept_as_far_as_they_tell():
+    s = Scene(W, H, OPTIONS)
+    s.back.planes[:] = np.random.default_rng(1).integers(0, 128, s.back.planes.shape)
+    s.back.planes[1] += s.back.planes[0]
+    (t,) = restored(kept({5: s}), OPTIONS).values()
+    assert np.array_equal(t.back.planes[:2], s.back.planes[:2]) and np.array_equal(t.back.planes[2:], np.minimum(s.back.planes[2:], 2))
+
+
+@pytest.mark.parametrize("batches", [3, 9])
+def test_a_stream_of_made_frames_shuffles_what_they_are_made_of(spark, frames, plain, batches):
+    rows, cams = plain
+    later = spark.createDataFrame([(9, 95, W, H, bytes(W * H))], "cam long, k long, w int, h int, data binary").select("cam", F.timestamp_millis(F.col("k") * 100 + 10**12).alias("ts"), "w", "h", "data")
+    stream = motion(micro_batches(frames.unionByName(later), "ts", batches), OPTIONS, made=lambda batches: batches)
+    assert "MapInArrow" not in stream._jdf.queryExecution().analyzed().toString()
+    left = [(k, round(1000 * (c.last + 1.0)) - 10**12, "out", *o["row"]()) for k, c in cams.items() for o in c.objects if o["id"] is not None and c.last + 1.0 <= 10**9 + 9.5]
+    assert told(replayed(stream)) == sorted(tuple(map(str, r)) for r in rows + left)
+
+
+def test_the_query_s_state_is_a_small_part_of_its_planes(spark):
+    streams = f"{shared_folder(spark).removeprefix('file://')}/stream-*"
+    before = glob.glob(streams)
+    cameras.motion_detector(spark, "/root/testdata/sf0.001").count()
+    (own,) = {*glob.glob(streams)} - {*before}
+    n = cameras.camera_events(spark, "/root/testdata/sf0.001").select("cam").distinct().count()
+    stored = sum(os.path.getsize(f) for f in glob.glob(f"{own}/state/state/**/*.sst", recursive=True))
+    planes = 4 * 3 * sum(h * w for h, w in Layout.of(cameras.WIDTH, cameras.HEIGHT, cameras.OPTIONS).sizes)
+    assert 0 < stored < n * planes / 2, stored / n / planes  # all five batches' versions
+
+
+def test_settings_hold_for_a_replay_alone(spark):
+    key = "spark.sql.streaming.minBatchesToRetain"
+    before = spark.conf.get(key, None)
+    stream = micro_batches(spark.range(4).select("id", F.timestamp_millis("id").alias("ts")), "ts", 2)
+    assert replayed(stream, settings={key: "2"}).count() == 4 and spark.conf.get(key, None) == before
